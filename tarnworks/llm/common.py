@@ -64,6 +64,11 @@ def n_words(text: Column) -> Column:
     return F.greatest(F.lit(0), pieces - ends).cast("long")
 
 
+def bound(value: Column, function: Callable[[Column], Column]) -> Column:
+    """``function`` of a value that is computed once."""
+    return F.transform(F.array(value), function)[0]
+
+
 def per_batch(function: Callable) -> Callable[[Iterator], Iterator]:
     """A mapInPandas function from one that turns a pandas frame into another."""
 

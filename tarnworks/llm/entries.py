@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tarnworks.llm.common import read
 from tarnworks.llm.lengths import length_histogram, suffix_sums
+from tarnworks.llm.mixing import mix
 from tarnworks.llm.pii import pii_digest
+from tarnworks.llm.rules import quality_rules
 from tarnworks.llm.sstable import token_output
 from tarnworks.llm.tokens import vocabulary_path
 
@@ -15,6 +17,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(read(spark, sf_dir, "documents"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(read(spark, sf_dir, "documents"))
+
+
 def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(read(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -23,5 +29,9 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_sums(length_histogram(read(spark, sf_dir, "documents"), vocabulary_path()))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op5_token_shards, op8_token_counts)}
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op4_quality_rules, op5_token_shards, op8_token_counts, op9_mixing)}
 ORACLE_SQL: dict[str, str] = {}
