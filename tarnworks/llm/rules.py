@@ -2,8 +2,10 @@
 
 Each rule looks at a few counts of a text and votes good, votes bad or abstains. How often each rule is right is
 not set but estimated: the votes of all documents are counted by pattern (at most 3 to the number of rules), and
-expectation-maximisation over those counts gives each rule's vote probabilities for good and for bad documents and
-the share of good ones. A document's posterior probability of being good then decides, not the failing of one rule.
+expectation-maximisation over those counts gives the share of good documents and of each kind of bad ones, and how
+each rule votes on each. Bad documents are bad in different ways, so there is a latent kind for each rule, which that
+rule catches; a single bad class would hold only the commonest kind. A document's posterior probability of being
+good then decides, not the failing of one rule.
 
 Null and empty texts have no words; they, and texts under 50 words, fail the base. Repeated rows count each. An
 empty table gives no rows.
@@ -19,8 +21,12 @@ from pyspark.sql import functions as F
 from tarnworks.llm.common import Work, bound, words
 
 SYMBOLS = r"[#*$%&|<>]"
-FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_distinct")
-ROUNDS, SMOOTHING, LEAST_RIGHT = 60, 2.0, 0.55
+#: Letters, at most one mark after them, quotes or brackets around.
+PLAIN = r"""^[("'«]*\p{L}[\p{L}\p{M}'’-]*[.,;:!?…]?[)"'»]*$"""
+FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_distinct", "n_plain")
+ROUNDS, SMOOTHING = 60, 2.0
+#: A good document gets a rule's bad vote with this chance at most; a kind of bad ones gets that of its rule with this chance at least.
+MOST_WRONG, LEAST_CAUGHT = 0.03, 0.8
 PRIOR_GOOD = 0.8
 KEEP_FROM = 0.5
 
@@ -85,6 +91,7 @@ def features(docs: DataFrame) -> DataFrame:
         F.size(line).cast("long").alias("n_lines"),
         F.size(F.filter(w, lambda x: (x == F.upper(x)) & (x != F.lower(x)))).cast("long").alias("n_upper"),
         F.size(F.array_distinct(w)).cast("long").alias("n_distinct"),
+        F.size(F.filter(w, lambda x: x.rlike(PLAIN))).cast("long").alias("n_plain"),
     )
 
 
@@ -101,52 +108,55 @@ def rules() -> dict[str, Column]:
         "repeats": vote(c("n_repeat_words") > 0.3 * n, c("n_repeat_words") < 0.1 * n),
         "dup_lines": vote(c("n_dup_lines") > 0.3 * lines, (c("n_dup_lines") == 0) & (c("n_lines") > 1)),
         "capitals": vote(c("n_upper") > 0.4 * n, c("n_upper") < 0.1 * n),
+        "plain_words": vote(c("n_plain") < 0.6 * n, c("n_plain") > 0.9 * n),
         "variety": vote((c("n_distinct") < 0.25 * n) & (n >= 50) & (n < 2000), (c("n_distinct") > 0.5 * n) & (n >= 50)),
         "word_length": vote((c("word_chars") < 2.0 * n) | (c("word_chars") > 16.0 * n), (c("word_chars") >= 3.0 * n) & (c("word_chars") <= 10.0 * n)),
         "length": vote(n < 20, n >= 80),
     }
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[dict[int, float]]]:
-    """Prior log odds of good, and each rule's log odds by vote, from counts of vote patterns (a bounded list)."""
-    k = len(patterns[0][0]) if patterns else len(rules())
-    right = [{1: 0.8, -1: 0.8}] * k  # of votes cast, for good and for bad documents
-    cast = [{1: 0.5, -1: 0.5}] * k
-    prior = PRIOR_GOOD
-
-    def odds():
-        out = []
-        for r, c in zip(right, cast):
-            p = {y: {1: c[y] * (r[y] if y == 1 else 1 - r[y]), -1: c[y] * (1 - r[y] if y == 1 else r[y]), 0: 1 - c[y]} for y in (1, -1)}
-            out.append({v: math.log(p[1][v] / p[-1][v]) for v in (-1, 0, 1)})
-        return math.log(prior / (1 - prior)), out
+def estimate(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[list[float], list[list[float]]]:
+    """Shares of the classes (good ones, then the kind of each rule) and, by class and rule, the chance that a vote
+    cast is bad. Abstaining tells nothing.
 
+    ``patterns``: vote patterns and their counts, a list that the number of rules bounds.
+    """
+    k = len(patterns[0][0]) if patterns else len(rules())
+    shares = [PRIOR_GOOD] + [(1 - PRIOR_GOOD) / k] * k
+    chances = [[0.02] * k] + [[0.9 if i == j else 0.25 for i in range(k)] for j in range(k)]
+    total = sum(count for _, count in patterns)
     for _ in range(ROUNDS if patterns else 0):
-        base, by_vote = odds()
-        good = [1 / (1 + math.exp(-max(-500.0, min(500.0, base + sum(o[v] for o, v in zip(by_vote, votes)))))) for votes, _ in patterns]
-        total = sum(count for _, count in patterns)
-        mass = {1: sum(g * count for g, (_, count) in zip(good, patterns))}
-        mass[-1] = total - mass[1]
-        prior = min(0.99, max(0.5, (mass[1] + SMOOTHING) / (total + 2 * SMOOTHING)))
-        right, cast = [], []
+        mass = [SMOOTHING] * (k + 1)
+        bad, cast = ([[SMOOTHING * c for c in row] for row in chances], [[SMOOTHING] * k for _ in chances])
+        for votes, count in patterns:
+            joint = [s * math.prod(c if v < 0 else 1 - c for c, v in zip(row, votes) if v) for s, row in zip(shares, chances)]
+            whole = sum(joint)
+            for c, x in enumerate(joint):
+                x *= count / whole
+                mass[c] += x
+                for j, v in enumerate(votes):
+                    if v:
+                        cast[c][j] += x
+                        bad[c][j] += x * (v < 0)
+        shares = [m / (total + SMOOTHING * (k + 1)) for m in mass]
+        chances = [[min(0.999, max(0.001, b / n)) for b, n in zip(*rows)] for rows in zip(bad, cast)]
+        chances[0] = [min(c, MOST_WRONG) for c in chances[0]]
         for j in range(k):
-            r, c = {}, {}
-            for y in (1, -1):
-                weight = [(g if y == 1 else 1 - g) * count for g, (_, count) in zip(good, patterns)]
-                voted = sum(x for x, (votes, _) in zip(weight, patterns) if votes[j])
-                agreed = sum(x for x, (votes, _) in zip(weight, patterns) if votes[j] == y)
-                r[y] = min(0.995, max(LEAST_RIGHT if y == 1 else 0.02, (agreed + SMOOTHING) / (voted + 2 * SMOOTHING)))
-                c[y] = min(0.995, max(0.005, (voted + SMOOTHING) / (mass[y] + 2 * SMOOTHING)))
-            right.append(r)
-            cast.append(c)
-    return odds()
+            chances[j + 1][j] = max(chances[j + 1][j], LEAST_CAUGHT)
+    return shares, chances
+
+
+def posterior(shares: list[float], chances: list[list[float]], votes: list[Column]) -> Column:
+    """Probability of the good class."""
 
+    def joint(share, row):
+        logs = F.lit(math.log(share))
+        for chance, v in zip(row, votes):
+            logs = logs + F.when(v == 1, math.log(1 - chance)).when(v == -1, math.log(chance)).otherwise(0.0)
+        return F.exp(logs)
 
-def posterior(base: float, by_vote: list[dict[int, float]], votes: list[Column]) -> Column:
-    total = F.lit(base)
-    for odds, v in zip(by_vote, votes):
-        total = total + F.when(v == 1, odds[1]).when(v == -1, odds[-1]).otherwise(odds[0])
-    return 1 / (1 + F.exp(-total))
+    good, *bad = (joint(s, row) for s, row in zip(shares, chances))
+    return good / sum(bad, good)
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
@@ -155,7 +165,9 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     counts = work.cut(features(docs), "features")  # a few numbers a document
     votes = rules()
     table = counts.groupBy(*(v.alias(name) for name, v in votes.items())).count().collect()  # at most 3 ** rules rows
-    base, by_vote = estimate(sorted((tuple(row[:-1]), row[-1]) for row in table))
+    shares, chances = estimate(sorted((tuple(row[:-1]), row[-1]) for row in table))
+    counts = counts.select("*", *(v.alias(f"vote_{name}") for name, v in votes.items()))
+    cast = [F.col(f"vote_{name}") for name in votes]
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    out = counts.select("doc_id", *FEATURES[:5], failed.alias("base_failed"), posterior(base, by_vote, list(votes.values())).alias("quality"))
+    out = counts.select("doc_id", *FEATURES[:5], failed.alias("base_failed"), posterior(shares, chances, cast).alias("quality"))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= KEEP_FROM))
