@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tarnworks.llm.cnn import quality_classifier
 from tarnworks.llm.common import read
 from tarnworks.llm.lengths import length_histogram, suffix_sums
 from tarnworks.llm.mixing import mix
@@ -25,6 +26,10 @@ def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(read(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_sums(length_histogram(read(spark, sf_dir, "documents"), vocabulary_path()))
 
@@ -33,5 +38,5 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op4_quality_rules, op5_token_shards, op8_token_counts, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_pii, op4_quality_rules, op5_token_shards, op7_quality_classifier, op8_token_counts, op9_mixing)}
 ORACLE_SQL: dict[str, str] = {}
