@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tarnworks.llm.cnn import quality_classifier
 from tarnworks.llm.common import read
 from tarnworks.llm.lengths import length_histogram, suffix_sums
+from tarnworks.llm.minhash import near_duplicates
 from tarnworks.llm.mixing import mix
 from tarnworks.llm.pii import pii_digest
 from tarnworks.llm.rules import quality_rules
@@ -26,6 +27,10 @@ def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(read(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"), k=3, most=85, depth=3)
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -38,5 +43,5 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op4_quality_rules, op5_token_shards, op7_quality_classifier, op8_token_counts, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_pii, op4_quality_rules, op5_token_shards, op6_minhash, op7_quality_classifier, op8_token_counts, op9_mixing)}
 ORACLE_SQL: dict[str, str] = {}
