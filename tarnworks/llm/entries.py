@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tarnworks.llm.cnn import quality_classifier
 from tarnworks.llm.common import read
+from tarnworks.llm.decontaminate import find_leaks
+from tarnworks.llm.htmltext import extract_text
 from tarnworks.llm.lengths import length_histogram, suffix_sums
 from tarnworks.llm.minhash import near_duplicates
 from tarnworks.llm.mixing import mix
@@ -19,6 +21,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(read(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents"))
 
@@ -43,5 +49,9 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op4_quality_rules, op5_token_shards, op6_minhash, op7_quality_classifier, op8_token_counts, op9_mixing)}
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(read(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op3_decontamination, op4_quality_rules, op5_token_shards, op6_minhash, op7_quality_classifier, op8_token_counts, op9_mixing, op10_html_text)}
 ORACLE_SQL: dict[str, str] = {}
