@@ -24,6 +24,7 @@ MOST_TEXTS, MOST_BYTES, EPOCHS, BATCH, SEED = 3000, 1 << 16, 7, 32, 7
 #: Half chunks that are convolved at a time.
 HALVES = 1 << 10
 THRESHOLD = 0.7
+SCORE = "score"
 
 
 def padded(text: str | None) -> np.ndarray:
@@ -148,18 +149,17 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int = MOST_TEXTS, most_by
 
 def score(docs: DataFrame, net: dict | float, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``columns`` and the score of every row of ``docs``."""
-    kept = docs.select(*columns, F.col("text").alias("_text"))
+    kept = docs.select(*dict.fromkeys((*columns, "text")))
     types = ", ".join(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in columns)
 
     def run(batches):
         def scored(batch):
-            out = batch[list(columns)].copy()
-            out["score"] = [net if isinstance(net, float) else probability(t, net) for t in batch["_text"]]
-            return out
+            scores = [net if isinstance(net, float) else probability(t, net) for t in batch["text"]]
+            return batch[list(columns)].assign(**{SCORE: scores})
 
         yield from per_batch(scored)(batches)
 
-    return kept.mapInPandas(run, f"{types}, score double")
+    return kept.mapInPandas(run, f"{types}, {SCORE} double")
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -167,3 +167,14 @@ def quality_classifier(docs: DataFrame, labels: DataFrame) -> DataFrame:
     net = fit(*labelled(docs, labels))
     rows = score(docs, net)
     return rows.select("doc_id", F.coalesce(remainder(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of ``docs`` with a score of at least ``THRESHOLD``, with all their columns."""
+    net = fit(*labelled(docs, labels))
+
+    def run(batches):
+        for batch in batches:
+            yield batch[[(net if isinstance(net, float) else probability(t, net)) >= THRESHOLD for t in batch["text"]]]
+
+    return docs.mapInPandas(run, docs.schema)

@@ -9,6 +9,7 @@ from tarnworks.llm.common import read
 from tarnworks.llm.decontaminate import find_leaks
 from tarnworks.llm.htmltext import extract_text
 from tarnworks.llm.lengths import length_histogram, suffix_sums
+from tarnworks.llm.lm import lm_scores
 from tarnworks.llm.minhash import near_duplicates
 from tarnworks.llm.mixing import mix
 from tarnworks.llm.pii import pii_digest
@@ -21,6 +22,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(read(spark, sf_dir, "documents"))
 
 
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(read(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -53,5 +58,5 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(read(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op3_decontamination, op4_quality_rules, op5_token_shards, op6_minhash, op7_quality_classifier, op8_token_counts, op9_mixing, op10_html_text)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_lm_scores, op3_decontamination, op4_quality_rules, op5_token_shards, op6_minhash, op7_quality_classifier, op8_token_counts, op9_mixing, op10_html_text)}
 ORACLE_SQL: dict[str, str] = {}

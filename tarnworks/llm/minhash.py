@@ -160,3 +160,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, most: int = 80, whole: int = 10
     out = rows.select("doc_id", "n_shingles", "key").join(known, "key", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, most: int = 80, whole: int = 100, depth: int = 2, bands: int = BANDS) -> DataFrame:
+    """Rows of ``docs`` but for near duplicates: the document of least identifier of each group stays, once."""
+    kept = near_duplicates(docs, k, most, whole, depth, bands).where("kept and doc_id is not null").select("doc_id").distinct()
+    first = docs.hint("merge").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return first.select(docs.columns).unionByName(docs.where("doc_id is null"))

@@ -117,3 +117,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -
     rows = rows.select(F.col("u.doc_id").alias("doc_id"), F.col("u.size").alias("size"), "source_size", "target", taken.alias("taken"), F.col("u.copies").alias("copies"))
     many = rows.where("copies > 1").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copy")
     return rows.where("copies = 1").unionByName(many).drop("copies")
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """Rows of ``docs``, each as often as the mix takes it, with all their columns."""
+    turn = Window.partitionBy("_id").orderBy("_size")
+    taken = mix(docs, weights, most).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int").alias("_copies"))
+    taken = taken.withColumn("_turn", F.row_number().over(turn)).select(F.col("_id").alias("_key"), F.col("_turn").alias("_nth"), "_copies")
+    rows = docs.withColumns({"_id": F.col("doc_id"), "_size": n_words(F.col("text"))}).withColumn("_turn", F.row_number().over(turn))
+    rows = rows.join(taken.where("_copies > 0"), F.col("_id").eqNullSafe(F.col("_key")) & (F.col("_turn") == F.col("_nth")))
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
