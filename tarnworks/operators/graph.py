@@ -1,4 +1,7 @@
-"""Dependency graphs as edge tables: zones and their metrics, degrees, hubs, neighbourhoods, cycles, communities."""
+"""Dependency graphs as edge tables: zones and their metrics, degrees, hubs, neighbourhoods, cycles, communities.
+
+Loops cut lineage after each round, since a round uses the last one's result more than once.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnworks.functions.scalars import half_up, risk_level, risk_score
+from tarnworks.session import cut
 
 
 def crossings(edges: DataFrame, zones: DataFrame) -> DataFrame:
@@ -100,20 +104,20 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 def ball(edges: DataFrame, start: Column, hops: int) -> DataFrame:
     """Nodes within so many hops of the start nodes, in any direction, with their distance."""
-    both = edges.select(F.col("from").alias("a"), F.col("to").alias("b")).union(edges.select("to", "from")).distinct()
+    both = cut(edges.select(F.col("from").alias("a"), F.col("to").alias("b")).union(edges.select("to", "from")).distinct())
     found = both.where(start).select(F.col("a").alias("node"), F.lit(0).alias("distance")).distinct()
     for hop in range(1, hops + 1):
         rim = found.where(F.col("distance") == hop - 1).join(both, F.col("node") == F.col("a")).select(F.col("b").alias("node"), F.lit(hop).alias("distance"))
-        found = found.unionByName(rim).groupBy("node").agg(F.min("distance").alias("distance"))
+        found = cut(found.unionByName(rim).groupBy("node").agg(F.min("distance").alias("distance")))
     return found
 
 
 def reachable(edges: DataFrame, steps: int) -> DataFrame:
     """(from, to) pairs joined by a path of at most 2 ** steps edges. For graphs of few nodes, such as zones."""
-    reach = edges.select("from", "to").distinct()
+    reach = cut(edges.select("from", "to").distinct())
     for _ in range(steps):
         onward = reach.select(F.col("from").alias("mid"), F.col("to").alias("end"))
-        reach = reach.union(reach.join(onward, F.col("to") == F.col("mid")).select("from", F.col("end").alias("to"))).distinct()
+        reach = cut(reach.union(reach.join(onward, F.col("to") == F.col("mid")).select("from", F.col("end").alias("to"))).distinct())
     return reach
 
 
@@ -129,7 +133,7 @@ def cyclic_core(edges: DataFrame, rounds: int) -> DataFrame:
     between them, hold. Linear in the edges, for graphs too large for ``in_cycles``."""
     for _ in range(rounds):
         sources, targets = edges.select("from").distinct(), edges.select("to").distinct()
-        edges = edges.join(targets.select(F.col("to").alias("from")), "from", "left_semi").join(sources.select(F.col("from").alias("to")), "to", "left_semi").select("from", "to")
+        edges = cut(edges.join(targets.select(F.col("to").alias("from")), "from", "left_semi").join(sources.select(F.col("from").alias("to")), "to", "left_semi").select("from", "to"))
     return edges
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnworks.functions.scalars import half_up, priority_rank, total_interval_ms
+from tarnworks.session import cut
 
 CONTAINERS, WORK_ITEMS = ("epic", "feature"), ("task", "subtask")
 DONE = ("completed", "deferred")
@@ -27,15 +28,13 @@ def closure(items: DataFrame, most_levels: int = 32) -> DataFrame:
     """
     pairs = items.select(F.col("id").alias("ancestor"), "id", F.lit(0).alias("distance"))
     parents = items.where("parent_id is not null").select(F.col("parent_id").alias("ancestor"), "id", F.lit(1).alias("distance"))
-    step, reach = parents, 1
-    known = pairs.union(parents)
+    known, reach = cut(pairs.union(parents)), 1
     while reach < most_levels:
         upper = known.where("distance > 0").select(F.col("ancestor").alias("top"), F.col("id").alias("middle"), F.col("distance").alias("d"))
-        exact = known.where(F.col("distance") == reach)
-        longer = exact.join(upper, F.col("ancestor") == F.col("middle")).select(F.col("top").alias("ancestor"), "id", (F.col("distance") + F.col("d")).alias("distance"))
-        known, step, reach = known.union(longer), longer, reach * 2
-        if step.isEmpty():
+        longer = cut(known.where(F.col("distance") == reach).join(upper, F.col("ancestor") == F.col("middle")).select(F.col("top").alias("ancestor"), "id", (F.col("distance") + F.col("d")).alias("distance")))
+        if longer.isEmpty():
             break
+        known, reach = known.union(longer), reach * 2
     return known
 
 
