@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Words that tell nothing about a task.
 STOP_WORDS = ("the", "and", "for", "with", "from", "into", "that", "this", "are", "was", "will", "not", "all", "any", "can", "has", "have", "its", "our", "out", "use", "via", "when", "where", "which", "who", "how", "but", "you", "your")
@@ -117,7 +118,7 @@ def file_paths(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"((?:[\w.-]+/)+[\w.-]+\.[A-Za-z]{1,5})"), F.lit(1))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def slug(titles: pd.Series) -> pd.Series:
     """ASCII words joined by hyphens, at most 40 characters, cut between words."""
 

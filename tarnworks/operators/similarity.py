@@ -10,6 +10,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tarnworks.functions.text import grams, normalize
 from tarnworks.session import cut
@@ -85,7 +86,7 @@ def name_similarity(a: str, b: str) -> float:
     return plain_similarity(a, b)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([name_similarity(x or "", y or "") for x, y in zip(a, b)])
 
