@@ -5,10 +5,10 @@ import math
 import duckdb
 import pytest
 
-from tarnworks.plans import graphs, telemetry, texts, trees
+from tarnworks.plans import graphs, inventories, telemetry, texts, trees
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CASES = [(plan, name) for plan in (telemetry, trees, graphs, texts) for name in plan.SQL]
+CASES = [(plan, name) for plan in (telemetry, trees, graphs, inventories, texts) for name in plan.SQL]
 
 
 @pytest.fixture(scope="module")
