@@ -50,8 +50,8 @@ def usage_from_details(entries: DataFrame, detail: str, schema: str) -> DataFram
 def usage_totals(events: DataFrame) -> DataFrame:
     """One row: totals and the totals of each of three packages; anything else counts as the third."""
     part = lambda name, c: F.sum(F.when(name, F.col(c)).otherwise(0))
-    rex, hench = F.col("package") == "log", F.col("package") == "runs"
-    return events.agg(*(F.sum(c).alias(f"total_{c}") for c in TOTALS), *(part(rex, c).alias(f"log_{c}") for c in TOTALS), *(part(hench, c).alias(f"runs_{c}") for c in TOTALS), *(part(~(rex | hench), c).alias(f"manifest_{c}") for c in TOTALS))
+    log, run = F.col("package") == "log", F.col("package") == "runs"
+    return events.agg(*(F.sum(c).alias(f"total_{c}") for c in TOTALS), *(part(log, c).alias(f"log_{c}") for c in TOTALS), *(part(run, c).alias(f"runs_{c}") for c in TOTALS), *(part(~(log | run), c).alias(f"manifest_{c}") for c in TOTALS))
 
 
 def budget_status(usage: DataFrame, budget: float, warn_at: float = 80.0) -> DataFrame:
