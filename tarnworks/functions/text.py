@@ -9,8 +9,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Words that tell nothing about a task.
-STOP_WORDS = ("the", "and", "for", "with", "from", "into", "that", "this", "are", "was", "will", "not", "all", "any", "can", "has", "have", "its", "our", "out", "use", "via", "when", "where", "which", "who", "how", "but", "you", "your")
+#: Words that keywords leave out.
+STOP_WORDS = (
+    "a", "an", "the", "is", "are", "was", "were", "be", "been", "being",
+    "have", "has", "had", "do", "does", "did", "will", "would", "shall",
+    "should", "may", "might", "must", "can", "could",
+    "and", "but", "or", "nor", "not", "no", "so", "if", "then",
+    "for", "in", "on", "at", "to", "of", "by", "with", "from",
+    "up", "out", "off", "over", "under", "into", "through",
+    "that", "this", "it", "its",
+    "test", "tests", "when", "each", "all", "any",
+)
 
 
 def normalize(x: Column) -> Column:
@@ -40,8 +49,9 @@ def keywords(x: Column) -> Column:
 
 
 def matched_keywords(words: Column, text: Column) -> Column:
-    """How many of the words a text contains."""
-    return F.size(F.filter(words, lambda w: F.contains(F.lower(text), w)))
+    """How many of the words a text contains, with slashes, dots and hyphens as spaces."""
+    plain = F.translate(F.lower(text), "/\\.-", "    ")
+    return F.size(F.filter(words, lambda w: F.contains(plain, w)))
 
 
 def facet_value(tags: Column, key: str) -> Column:

@@ -10,6 +10,8 @@ from tarnworks.functions.text import facet_value, is_facet, keywords
 
 #: Rank of how much a change means.
 SIGNIFICANCE = {"patch": 0, "minor": 1, "major": 2}
+#: Weight of requirements by how much risk is tolerated.
+RISK_MULTIPLIERS = {"low": 3, "medium": 2, "high": 1}
 
 
 def tagged(items: DataFrame, *wanted: str) -> DataFrame:
@@ -104,12 +106,17 @@ def pending_leaves(items: DataFrame) -> DataFrame:
     return items.join(parents, "id", "left_anti").where(F.col("status").isin("pending", "blocked")).select("id")
 
 
-def requirement_scores(pairs: DataFrame, requirements: DataFrame) -> DataFrame:
-    """Per item: what its own and inherited requirements add, each by priority and category, 3, 2 or 1 times by distance."""
-    bonus = 1 + F.when(F.col("priority") == "critical", 2).when(F.col("priority") == "high", 1).otherwise(0) + F.when(F.col("category").isin("security", "performance"), 1).otherwise(0)
-    near = F.when(F.col("distance") == 0, 3).when(F.col("distance") == 1, 2).otherwise(1)
+def requirement_scores(pairs: DataFrame, requirements: DataFrame, tolerance: str = "medium") -> DataFrame:
+    """Per item: what its own and inherited requirements add, each once: 1, and more by priority and category.
+
+    requirements: id, requirement, priority, category. The less risk is tolerated, the more those weigh.
+    """
+    m = RISK_MULTIPLIERS[tolerance]
+    p, c = F.col("priority"), F.col("category")
+    worth = 1 + F.when(p == "critical", 3 * m).when(p == "high", 2 * m).when(p == "medium", 1).otherwise(0) + F.when(c == "security", 2 * m).when(c == "performance", m).otherwise(0)
     rows = pairs.join(requirements.withColumnRenamed("id", "ancestor"), "ancestor")
-    return rows.groupBy("id").agg(F.sum(bonus * near).alias("score"))
+    nearest = rows.groupBy("id", "requirement").agg(F.min_by(F.struct("priority", "category"), "distance").alias("r")).select("id", "r.priority", "r.category")
+    return nearest.groupBy("id").agg(F.sum(worth).alias("score"))
 
 
 def scope_creep(before: Column, now: Column, share: float = 0.5) -> Column:

@@ -107,11 +107,11 @@ def pending_leaves(spark, sf_dir):
 
 
 @query(f"""WITH {CLOSURE}, q AS (SELECT id, priority, CASE WHEN length(title) % 3 = 0 THEN 'security' ELSE 'other' END AS category FROM items WHERE level <> 'subtask')
-SELECT c.id, CAST(sum((1 + CASE q.priority WHEN 'critical' THEN 2 WHEN 'high' THEN 1 ELSE 0 END + CASE WHEN category = 'security' THEN 1 ELSE 0 END) * CASE distance WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 1 END) AS BIGINT) AS score FROM closure c JOIN q ON q.id = c.ancestor GROUP BY 1""")
+SELECT c.id, CAST(sum(1 + CASE q.priority WHEN 'critical' THEN 6 WHEN 'high' THEN 4 WHEN 'medium' THEN 1 ELSE 0 END + CASE WHEN category = 'security' THEN 4 ELSE 0 END) AS BIGINT) AS score FROM closure c JOIN q ON q.id = c.ancestor GROUP BY 1""")
 def requirement_scores(spark, sf_dir):
     pairs, rows = closed(spark, sf_dir)
     category = F.when(F.length("title") % 3 == 0, "security").otherwise("other")
-    return it.requirement_scores(pairs, rows.where("level != 'subtask'").select("id", "priority", category.alias("category")))
+    return it.requirement_scores(pairs, rows.where("level != 'subtask'").select("id", F.col("id").alias("requirement"), "priority", category.alias("category")))
 
 
 @query("""WITH t AS (SELECT CAST(p_partkey % 40 AS VARCHAR) AS typed, p_name AS name FROM part), k AS (SELECT DISTINCT p_brand AS typed FROM part), c AS (SELECT DISTINCT 'Brand#' || (p_partkey % 9) AS command FROM part)
