@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -29,7 +30,18 @@ class Work:
         if not root:
             root = "file://" + tempfile.mkdtemp(prefix="tarnworks-")
             spark.conf.set("spark.checkpoint.dir", root)
-        self.spark, self.root, self.tables = spark, f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}", 0
+        self.spark, self.tables = spark, 0
+        self.root = f"{self.qualified(root).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+    @staticmethod
+    def _file_system(spark: SparkSession, path: str):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def qualified(self, path: str) -> str:
+        """A path with its scheme, so that Spark and the tasks' own file access mean the same place."""
+        at, fs = self._file_system(self.spark, path)
+        return re.sub(r"^file:/+", "file:///", fs.makeQualified(at).toString())
 
     def path(self, label: str) -> str:
         self.tables += 1
@@ -47,8 +59,8 @@ class Work:
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that nothing reads any more."""
         for table in tables:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(table._tarnworks_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            at, fs = self._file_system(self.spark, table._tarnworks_path)
+            fs.delete(at, True)
 
 
 def words(text: Column) -> Column:
