@@ -145,3 +145,32 @@ def slug(titles: pd.Series) -> pd.Series:
         return out
 
     return titles.map(one)
+
+
+def is_capitals_header(line: Column) -> Column:
+    """A short line of capitals, without end punctuation."""
+    return line.rlike(r"^[A-Z][A-Z0-9 &/\-]{2,59}$")
+
+
+def is_colon_header(line: Column) -> Column:
+    return line.rlike(r"^[A-Z][^:.!?]{1,58}:$")
+
+
+def is_separator(line: Column) -> Column:
+    return line.rlike(r"^\s*([-=*_])\1{2,}\s*$")
+
+
+def priority_tag(line: Column) -> Column:
+    """Priority named in brackets or after a P: [high], (critical), P0 to P3."""
+    named = F.lower(F.regexp_extract(line, r"(?i)[\[(](critical|high|medium|low)[\])]", 1))
+    level = F.regexp_extract(line, r"\bP([0-3])\b", 1)
+    return F.when(named != "", named).when(level != "", F.element_at(F.array(*map(F.lit, ("critical", "high", "medium", "low"))), level.try_cast("int") + 1))
+
+
+def co_authors(message: Column) -> Column:
+    return F.regexp_extract_all(message, F.lit(r"(?im)^co-authored-by:\s*([^<\n]+?)\s*(?:<|$)"), F.lit(1))
+
+
+def requirement_sentences(x: Column) -> Column:
+    """Sentences that say what must, shall or should be."""
+    return F.filter(F.split(x, r"(?<=[.!?])\s+"), lambda s: s.rlike(r"(?i)\b(must|shall|should|required to|needs to)\b"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnworks.functions.scalars import budget_severity, cost, half_up, in_range, period_key
+from tarnworks.functions.scalars import budget_severity, cost, half_up, in_range, period_key, priority_rank
 
 TOTALS = ("input", "output", "calls")
 
@@ -178,3 +178,22 @@ def run_summary(calls: DataFrame) -> DataFrame:
     """Per run: calls, distinct files changed and read, commands and failed ones."""
     of = lambda *tools: F.col("tool").isin(*tools)
     return calls.groupBy("run_id").agg(F.count("*").alias("calls"), F.count_distinct(F.when(of("write", "edit"), F.col("path"))).alias("changed"), F.count_distinct(F.when(of("read"), F.col("path"))).alias("read"), F.count_if(of("command")).alias("commands"), F.count_if(of("command") & (F.col("exit_code") != 0)).alias("failed_commands"))
+
+
+def memory_peaks(samples: DataFrame, limit_bytes: int = 512 * 1024 * 1024, last: int = 360) -> DataFrame:
+    """Per task: peak and last resident size over its newest samples, and whether the last is at the limit."""
+    rn = F.row_number().over(Window.partitionBy("task").orderBy(F.desc("epoch_ms")))
+    kept = samples.withColumn("rn", rn).where(F.col("rn") <= last)
+    out = kept.groupBy("task").agg(F.max("rss").alias("peak"), F.max_by("rss", "epoch_ms").alias("last"), F.count("*").alias("samples"))
+    return out.withColumn("leaking", F.col("last") >= limit_bytes)
+
+
+def issue_frequency(reports: DataFrame) -> DataFrame:
+    """issue, reports: how often each issue occurs over reports with arrays of issues."""
+    return reports.select(F.explode("issues").alias("issue")).groupBy("issue").agg(F.count("*").alias("reports")).orderBy(F.desc("reports"), "issue")
+
+
+def queue_order(requests: DataFrame) -> DataFrame:
+    """Place of each waiting request: by priority, then first come."""
+    w = Window.partitionBy("queue").orderBy(priority_rank(F.col("priority")), "enqueued_at", "id")
+    return requests.withColumn("place", F.row_number().over(w))

@@ -232,3 +232,45 @@ def health(items: DataFrame, now: str, stale_hours: int = 48) -> DataFrame:
     balance = groups.where("m >= 2").agg(F.coalesce(half_up(F.greatest(F.lit(0.0), 100 - F.avg("cv") * 50)), F.lit(100)).alias("balance"))
     rows = parts.crossJoin(balance)  # one row each
     return rows.withColumn("overall", half_up(sum(F.col(k) * w for k, w in HEALTH_WEIGHTS.items())))
+
+
+def without_subtrees(pairs: DataFrame, items: DataFrame, roots: DataFrame) -> DataFrame:
+    """Items that aren't one of the roots (id) or below one."""
+    gone = pairs.join(roots.select(F.col("id").alias("ancestor")), "ancestor").select("id").distinct()
+    return items.join(gone, "id", "left_anti")
+
+
+def checked_moves(moves: DataFrame, pairs: DataFrame, items: DataFrame) -> DataFrame:
+    """Moves (id, to) with what forbids each: unknown, below itself, or a level that may not hold it; null if nothing does."""
+    known = items.select("id", "level")
+    below = pairs.select(F.col("ancestor").alias("id"), F.col("id").alias("to"), F.lit(True).alias("below"))
+    rows = moves.join(known, "id", "left").join(known.select(F.col("id").alias("to"), F.col("level").alias("to_level")), "to", "left").join(below, ["id", "to"], "left")
+    fits = F.lit(False)
+    for level, holders in LATTICE.items():
+        inner = F.col("to").isNull() if holders == (None,) else F.coalesce(F.col("to_level").isin(*holders), F.lit(False))
+        fits = fits | ((F.col("level") == level) & inner)
+    unknown = F.col("level").isNull() | (F.col("to").isNotNull() & F.col("to_level").isNull())
+    return rows.select("id", "to", F.when(unknown, "unknown").when(F.col("below"), "below itself").when(~fits, "level").alias("problem"))
+
+
+def moved(items: DataFrame, moves: DataFrame) -> DataFrame:
+    """Items with the parents that the moves (id, to) give them."""
+    to = moves.select("id", "to", F.lit(True).alias("moves"))
+    return items.join(to, "id", "left").withColumn("parent_id", F.when(F.col("moves"), F.col("to")).otherwise(F.col("parent_id"))).drop("to", "moves")
+
+
+def distinct_tags(items: DataFrame) -> DataFrame:
+    return items.select(F.explode("tags").alias("tag")).distinct().orderBy("tag")
+
+
+def selection_reasons(items: DataFrame, blocked_by: DataFrame) -> DataFrame:
+    """Leaves and items with all children done, counted by why each is or isn't to be worked on; the first that applies.
+
+    ``blocked_by``: (id, blocker).
+    """
+    kids = live_children(items)
+    unmet = blocked_by.join(items.where("status = 'completed'").select(F.col("id").alias("blocker")), "blocker", "left_anti").select("id", F.lit(True).alias("unmet")).distinct()
+    rows = items.where("status != 'deleted'").join(kids, "id", "left").where(F.coalesce("all_done", F.lit(True))).join(unmet, "id", "left")
+    status = F.col("status")
+    why = F.when(status == "completed", "completed").when(status == "deferred", "deferred").when(status == "blocked", "blocked").when(F.coalesce("unmet", F.lit(False)), "unresolved").when(status == "in_progress", "in_progress").otherwise("actionable")
+    return rows.groupBy(why.alias("reason")).agg(F.count("*").alias("items"))

@@ -184,3 +184,11 @@ def tracker_items(rows: DataFrame, key: str, parent: str, kind: str, levels: dic
     held = rows.select(F.col(key).alias("_p")).distinct()
     out = rows.join(held, F.col(parent) == F.col("_p"), "left")
     return out.select(F.col(key).cast("string").alias("id"), F.col("_p").cast("string").alias("parent_id"), mapped(kind, levels, "task").alias("level"), mapped(status, statuses, "pending").alias("status"), F.col(title).alias("title"))
+
+
+def dated_documents(files: DataFrame) -> DataFrame:
+    """path, branch, date of document files named prd_{branch}_{date}.json, oldest first; undated ones before all."""
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    dated = r"^prd_(.+)_(\d{4}-\d{2}-\d{2})\.json$"
+    rows = files.where(name.rlike(r"^prd(_.+)?\.json$"))
+    return rows.select("path", F.nullif(F.regexp_extract(name, dated, 1), F.lit("")).alias("branch"), F.nullif(F.regexp_extract(name, dated, 2), F.lit("")).alias("date")).orderBy(F.asc_nulls_first("date"), "path")

@@ -100,3 +100,33 @@ def test_search(spark):
     assert [r.id for r in search.search(items, "aut").collect()] == [1]
     assert search.search(items, "the of").count() == 0
     assert search.postings(items).where("term = 'login'").count() == 2
+
+
+def test_tree_changes(spark):
+    rows = [("e", None, "epic", "pending"), ("f", "e", "feature", "pending"), ("g", "e", "feature", "completed"), ("t", "f", "task", "pending"), ("s", "t", "subtask", "completed"), ("u", "g", "task", "in_progress")]
+    items = spark.createDataFrame(rows, "id string, parent_id string, level string, status string")
+    pairs = tree.closure_of_levels(items, 4)
+    moves = spark.createDataFrame([("t", "g"), ("f", "t"), ("s", "f"), ("x", "e"), ("e", None)], "id string, to string")
+    assert {r.id: r.problem for r in tree.checked_moves(moves, pairs, items).collect()} == {"t": None, "f": "below itself", "s": "level", "x": "unknown", "e": None}
+    assert {r.id for r in tree.without_subtrees(pairs, items, items.where("id = 'f'")).collect()} == {"e", "g", "u"}
+    after = tree.moved(items, moves.where("id = 't'"))
+    assert {r.id: r.parent_id for r in after.collect()}["t"] == "g" and after.count() == 6
+    blocked = spark.createDataFrame([("t", "u")], "id string, blocker string")
+    assert {r.reason: r["items"] for r in tree.selection_reasons(items, blocked).collect()} == {"completed": 1, "unresolved": 1, "in_progress": 1}
+
+
+def test_lines(spark):
+    assert value(spark, text.is_capitals_header(F.lit("SCOPE AND GOALS"))) and not value(spark, text.is_capitals_header(F.lit("Scope")))
+    assert value(spark, text.is_separator(F.lit("-----"))) and value(spark, text.is_colon_header(F.lit("Open points:")))
+    assert value(spark, text.priority_tag(F.lit("Login [High]"))) == "high" and value(spark, text.priority_tag(F.lit("P0: down"))) == "critical"
+    assert value(spark, text.co_authors(F.lit("x\n\nCo-authored-by: Ada L <a@b>"))) == ["Ada L"]
+    assert value(spark, text.requirement_sentences(F.lit("It is red. It must be blue! Fine."))) == ["It must be blue!"]
+
+
+def test_memory_and_queue(spark):
+    from tarnworks.operators import telemetry
+
+    samples = spark.createDataFrame([("a", 1, 10), ("a", 2, 700), ("a", 3, 600), ("b", 1, 5)], "task string, epoch_ms long, rss long")
+    assert {r.task: (r.peak, r.last, r.leaking) for r in telemetry.memory_peaks(samples, 600).collect()} == {"a": (700, 600, True), "b": (5, 5, False)}
+    waiting = spark.createDataFrame([("q", "low", 1, "x"), ("q", "critical", 9, "y"), ("q", "low", 1, "a")], "queue string, priority string, enqueued_at int, id string")
+    assert [r.id for r in telemetry.queue_order(waiting).orderBy("place").collect()] == ["y", "a", "x"]
