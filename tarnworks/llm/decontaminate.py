@@ -2,8 +2,8 @@
 
 For every benchmark item, windows of as many words slide over the whole text. A window's fingerprint is the SimHash
 of its runs of five words, each weighted by how often it occurs. Multi-index blocks find every item fingerprint
-within Hamming distance ``RADIUS``: two words of 64 bits that near differ by at most ``BLOCK_RADIUS`` bits in one of
-the eight blocks, and all block values that near are looked up. Candidates are verified by the exact weighted
+within Hamming distance ``RADIUS``: two numbers of 64 bits that near differ by at most ``BLOCK_RADIUS`` bits in one of
+the eight blocks, and tables by block and value give the items that are so near there. Candidates are verified by the exact weighted
 similarity, the sum of lesser counts over the sum of greater counts, of at least 0.8.
 
 A window cannot reach that if fewer than 0.8 of its runs occur in the benchmark at all, so only the others are
@@ -17,7 +17,6 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -29,17 +28,28 @@ WORDS, LEAST = 5, 0.8
 BLOCKS, BLOCK_RADIUS = 8, 2
 RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
 #: Runs of words in a block of items at most, but for an item that is longer.
-MOST_RUNS = 500_000
+MOST_RUNS = 200_000
 HITS = "item_id long, start_word long, n_words long, similarity double"
-NEAR = [sum(1 << b for b in bits) for r in range(BLOCK_RADIUS + 1) for bits in combinations(range(8), r)]
-
-
-def simhash(counts: Counter) -> int:
-    """64 bits: of each, whether the weights of runs that have it exceed those of runs that don't."""
-    values = np.fromiter(counts.keys(), dtype=np.uint64, count=len(counts))
-    weights = np.fromiter(counts.values(), dtype=np.int64, count=len(counts))
-    bits = np.unpackbits(values.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int64) * 2 - 1
-    return int(np.packbits((weights @ bits) > 0, bitorder="little").view(np.uint64)[0])
+NEAR = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :]) <= BLOCK_RADIUS
+#: Runs of words whose fingerprint sums are held at a time.
+SPAN, TOGETHER = 1 << 15, 1 << 12
+
+
+def simhashes(hashes: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Fingerprints of the windows of ``length`` runs at the ascending ``starts``: of each of 64 bits, whether more
+    runs have it than not, a run counting as often as it occurs."""
+    out = np.empty(len(starts), dtype=np.uint64)
+    done = 0
+    while done < len(starts):
+        low = starts[done]
+        upto = int(np.searchsorted(starts, low + SPAN))
+        own = starts[done:upto] - low
+        part = np.ascontiguousarray(hashes[low : low + own[-1] + length])
+        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int32) * 2 - 1
+        sums = np.concatenate([np.zeros((1, 64), dtype=np.int32), np.cumsum(bits, axis=0)])
+        out[done:upto] = np.packbits(sums[own + length] - sums[own] > 0, axis=1, bitorder="little").view(np.uint64)[:, 0]
+        done = upto
+    return out
 
 
 def similarity(a: Counter, b: Counter) -> float:
@@ -47,24 +57,41 @@ def similarity(a: Counter, b: Counter) -> float:
     return both / (sum(a.values()) + sum(b.values()) - both)
 
 
+class Fingerprints:
+    """Items of one size: their fingerprints, and for each block and value of it the items that are near there."""
+
+    def __init__(self, items: list[int], prints: np.ndarray, n_runs: int):
+        self.items, self.prints, self.n_runs = items, prints, n_runs
+        own = prints.view(np.uint8).reshape(-1, BLOCKS)
+        self.blocks = [np.packbits(NEAR[:, own[:, b]], axis=1) for b in range(BLOCKS)]
+
+    def near(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (place in ``values``, place in ``items``) of fingerprints within ``RADIUS``."""
+        own = values.view(np.uint8).reshape(-1, BLOCKS)
+        found = self.blocks[0][own[:, 0]]
+        for b in range(1, BLOCKS):
+            found = found | self.blocks[b][own[:, b]]
+        at, item = np.nonzero(np.unpackbits(found, axis=1, count=len(self.items)))
+        close = np.bitwise_count(values[at] ^ self.prints[item]) <= RADIUS
+        return at[close], item[close]
+
+
 class Items:
     """A block of benchmark items with the tables that searches need."""
 
     def __init__(self, rows: list[tuple[int, np.ndarray]]):
         self.ids = [item for item, _ in rows]
         self.n_words = [len(w) for _, w in rows]
-        self.counts = [Counter(runs(w, WORDS).tolist()) for _, w in rows]
-        self.prints = np.array([simhash(c) for c in self.counts], dtype=np.uint64)
-        self.sizes = sorted({(n, sum(c.values())) for n, c in zip(self.n_words, self.counts)})
-        every = np.unique(np.concatenate([np.fromiter(c, dtype=np.uint64, count=len(c)) for c in self.counts]))
+        hashes = [runs(w, WORDS) for _, w in rows]
+        self.counts = [Counter(h.tolist()) for h in hashes]
+        every = np.unique(np.concatenate(hashes))
         self.every, self.bits = every, max(16, int(len(every)).bit_length() + 5)
         self.mask = np.zeros(1 << self.bits, dtype=bool)
         self.mask[(every >> np.uint64(64 - self.bits)).astype(np.int64)] = True
-        self.short = {n for n in self.n_words if n < WORDS}
-        self.blocks: list[dict[int, list[int]]] = [{} for _ in range(BLOCKS)]
-        for k, value in enumerate(self.prints.tolist()):
-            for b in range(BLOCKS):
-                self.blocks[b].setdefault(value >> 8 * b & 255, []).append(k)
+        of_size: dict[int, list[int]] = {}
+        for k, n in enumerate(self.n_words):
+            of_size.setdefault(n, []).append(k)
+        self.sizes = {n: Fingerprints(ks, np.array([simhashes(hashes[k], np.zeros(1, dtype=np.int64), len(hashes[k]))[0] for k in ks], dtype=np.uint64), len(hashes[ks[0]])) for n, ks in sorted(of_size.items())}
 
     def known(self, hashes: np.ndarray) -> np.ndarray:
         """Which of these runs occur in an item."""
@@ -75,15 +102,6 @@ class Items:
             out[at] = self.every[place] == hashes[at]
         return out
 
-    def near(self, value: int) -> list[int]:
-        """Items whose fingerprints are within ``RADIUS``."""
-        found = set()
-        for b, block in enumerate(self.blocks):
-            own = value >> 8 * b & 255
-            for flip in NEAR:
-                found.update(block.get(own ^ flip, ()))
-        return [k for k in sorted(found) if (int(self.prints[k]) ^ value).bit_count() <= RADIUS]
-
     def search(self, text: str | None) -> list[tuple[int, int, int, float]]:
         """(item, first word, words, similarity) of the best window for each item that the text holds."""
         words, best = word_hashes(text), {}
@@ -95,14 +113,18 @@ class Items:
             if not hit.any():
                 continue
             before = np.concatenate([[0], np.cumsum(hit)])
-            for n_words, n_runs in self.sizes:
-                if min(WORDS, n_words) != width or len(hashes) < n_runs:
+            for n_words, held in self.sizes.items():
+                n = held.n_runs
+                if min(WORDS, n_words) != width or len(hashes) < n:
                     continue
-                for start in np.flatnonzero(before[n_runs:] - before[:-n_runs] >= LEAST * n_runs - 1e-9):
-                    window = Counter(hashes[start : start + n_runs].tolist())
-                    for k in self.near(simhash(window)):
-                        if self.n_words[k] == n_words and (s := similarity(window, self.counts[k])) >= LEAST and s > best.get(k, (0, 0))[0]:
-                            best[k] = (s, int(start))
+                all_starts = np.flatnonzero(before[n:] - before[:-n] >= LEAST * n - 1e-9)
+                for part in range(0, len(all_starts), TOGETHER):
+                    starts = all_starts[part : part + TOGETHER]
+                    for at, place in zip(*held.near(simhashes(hashes, starts, n))):
+                        k, start = held.items[place], int(starts[at])
+                        s = similarity(Counter(hashes[start : start + n].tolist()), self.counts[k])
+                        if s >= LEAST and s > best.get(k, (0, 0))[0]:
+                            best[k] = (s, start)
         return [(self.ids[k], start, self.n_words[k], s) for k, (s, start) in sorted(best.items())]
 
 
