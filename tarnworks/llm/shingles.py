@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-MOST_WORDS = 1_000_000
+MOST_WORDS = 250_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 P1, P2, P3 = (np.uint64(p) for p in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
