@@ -5,10 +5,15 @@ each place around it, squashed, gives a distribution over 32 groups of words and
 A document's score is the sum of the log-probabilities of all its words.
 
 Vocabulary: all words of the corpus are counted; the commonest get a number of their own, the others share buckets.
+A word in a bucket has the probability of the bucket, which the network gives, times the word's share of all that
+the bucket counts. So the probabilities of all distinct words of the corpus, however many, sum to one at each place.
+The counts of the words in buckets stay a table and never meet on one machine: documents are scored in blocks, the
+distinct words of each block are joined with that table, and the logarithms of their shares come back to the block.
+
 Training: in each of ``ROUNDS`` rounds every task fits a copy of the network to all its documents of that round, in
 numpy, and passes on how the weights moved; a tree of tasks averages the moves by words. Every document trains in
-one round. What is gathered grows with the input: a row for each distinct word and task, and the weights of each
-task; the driver gets a list of 992 words and one averaged network (1 MB).
+one round. What is gathered grows with the input: a row for each distinct word and task or block, and the weights
+of each task; the driver gets a list of 992 words, the totals of 32 buckets and one averaged network (1 MB).
 
 Null, empty and blank texts have no words: their sum is 0 and their mean null. Repeated rows count and are scored
 each. An empty table gives no rows.
@@ -20,10 +25,13 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnworks.llm.common import Work
 from tarnworks.llm.shingles import LOWER
 
 GROUPS, PER_GROUP, SIDE, HIDDEN = 32, 32, 3, 32
@@ -35,14 +43,16 @@ ROUNDS, SLICE, RATE, LANES, SEED = 2, 8192, 0.15, 16, 5
 SAFE = 60.0
 #: Distinct words that a task counts before it passes them on; a long text's words are handled in slices.
 MOST_COUNTED = 300_000
+#: Words in buckets, repeats included, and documents after which a block of documents ends; a longer text is a block of its own.
+BLOCK_WORDS, BLOCK_DOCS = 1_000_000, 20_000
 
 
 def split(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(LOWER).split()
 
 
-def vocabulary(docs: DataFrame) -> dict[bytes, int]:
-    """Numbers of the commonest words, by count over all documents and then by bytes."""
+def counted(docs: DataFrame) -> DataFrame:
+    """word and n of every distinct word of the documents."""
 
     def run(batches):
         counts: Counter = Counter()
@@ -55,9 +65,18 @@ def vocabulary(docs: DataFrame) -> dict[bytes, int]:
         if counts:
             yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
 
-    counts = docs.select("text").mapInPandas(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInPandas(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def vocabulary(counts: DataFrame) -> tuple[dict[bytes, int], DataFrame]:
+    """Numbers of the commonest words, by count and then by bytes; word and log_share (in its bucket) of all others."""
     top = counts.orderBy(F.desc("n"), "word").limit(WORDS - SHARED).collect()
-    return {bytes(r.word): k for k, r in enumerate(top)}
+    known = {bytes(r.word): k for k, r in enumerate(top)}
+    n, last = (top[-1].n, bytearray(top[-1].word)) if len(top) == WORDS - SHARED else (0, bytearray())
+    others = counts.where((F.col("n") < n) | ((F.col("n") == n) & (F.col("word") > F.lit(last)))).withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(SHARED)).cast("int"))
+    totals = dict(others.groupBy("bucket").agg(F.sum("n")).collect())  # SHARED rows
+    total = F.array(*(F.lit(float(totals.get(k, 1))) for k in range(SHARED)))[F.col("bucket")]
+    return known, others.select("word", F.log(F.col("n") / total).alias("log_share"))
 
 
 class Numbers(dict):
@@ -71,11 +90,13 @@ class Numbers(dict):
         if len(self) > 250_000:
             self.clear()
             self.update(self.known)
-        self[word] = n = WORDS - SHARED + xxhash.xxh3_64_intdigest(word) % SHARED
+        self[word] = n = WORDS - SHARED + xxhash.xxh64_intdigest(word, 42) % SHARED  # as Spark's xxhash64
         return n
 
     def of(self, text: str | None) -> np.ndarray:
-        words = split(text)
+        return self.of_words(split(text))
+
+    def of_words(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), dtype=np.int32, count=len(words))
 
 
@@ -261,28 +282,94 @@ def scored(net: dict, texts: list[np.ndarray]) -> list[float]:
     return out.tolist()
 
 
-def lm_scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, n_words, log_prob (the sum over all words) and mean_log_prob of every row of ``docs``."""
-    known = vocabulary(docs)
-    net = trained(docs, known, rounds)
+class Block:
+    """Documents scored together, and the words of theirs that lie in buckets."""
+
+    def __init__(self):
+        self.ids, self.lengths, self.scores, self.seen, self.words, self.owners, self.size = [], [], [], {}, [], [], 0
+
+    def add(self, ids: list, texts: list[list[bytes]], numbers: list[np.ndarray], scores: list[float]) -> None:
+        seen = self.seen
+        for words, own in zip(texts, numbers):
+            rare = np.flatnonzero(own >= WORDS - SHARED)
+            self.words.append(np.fromiter((seen.setdefault(words[k], len(seen)) for k in rare.tolist()), dtype=np.int32, count=len(rare)))
+            self.owners.append(np.full(len(rare), len(self.owners), dtype=np.int32))
+            self.size += len(rare)
+        self.ids += ids
+        self.lengths += map(len, numbers)
+        self.scores += scores
+
+    def rows(self, name: int):
+        """A row for each distinct word, with a document number for each time it occurs, and one for the documents."""
+        none = [i is None for i in self.ids]
+        kept = np.array([[i or 0 for i in self.ids], none, self.lengths], dtype=np.int64).tobytes() + np.array(self.scores, dtype=np.float64).tobytes()
+        yield pa.RecordBatch.from_pydict({"block": pa.array([name], pa.int64()), "size": pa.array([len(self.ids)], pa.int32()), "word": pa.array([b" %d" % name], pa.binary()), "at": pa.array([kept], pa.binary())})
+        words, owners = np.concatenate(self.words), np.concatenate(self.owners)
+        flat = owners[np.argsort(words, kind="stable")].tobytes()
+        ends, known = [0, *(4 * np.cumsum(np.bincount(words, minlength=len(self.seen)))).tolist()], list(self.seen)
+        for start in range(0, len(known), 50_000):
+            part = range(start, min(start + 50_000, len(known)))
+            at = pa.array([flat[ends[k] : ends[k + 1]] for k in part], pa.binary())
+            yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(len(part), name)), "size": pa.array(np.zeros(len(part), np.int32)), "word": pa.array(known[start : part.stop], pa.binary()), "at": at})
+
+
+def in_blocks(known: dict[bytes, int], net: dict[str, np.ndarray]):
+    """A mapInArrow function from doc_id and text to the rows of blocks."""
 
     def run(batches):
-        numbers = Numbers(known)
+        numbers, block, name = Numbers(known), Block(), TaskContext.get().partitionId() << 32
         for batch in batches:
-            out: list[tuple[int, float]] = []
-            held, size = [], 0
-            for text in batch["text"]:
-                held.append(numbers.of(text))
-                size += len(held[-1])
-                if size >= 16 * SLICE:
-                    out += zip(map(len, held), scored(net, held))
-                    held, size = [], 0
-            if held:
-                out += zip(map(len, held), scored(net, held))
-            n, total = (np.array(v) for v in zip(*out)) if out else (np.zeros(0), np.zeros(0))
-            with np.errstate(invalid="ignore", divide="ignore"):
-                mean = np.where(n > 0, total / n, np.nan)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_words": n, "log_prob": total, "mean_log_prob": pd.array(mean, dtype="Float64")})
-
-    rows = docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_words long, log_prob double, mean_log_prob double")
-    return rows.withColumn("mean_log_prob", F.when(F.col("n_words") > 0, F.col("mean_log_prob")))
+            ids, texts, start = batch.column("doc_id").to_pylist(), batch.column("text"), 0
+            while start < len(ids):
+                words, held, size = [], [], 0
+                while start + len(held) < len(ids) and size < 16 * SLICE:
+                    words.append(split(texts[start + len(held)].as_py()))
+                    held.append(numbers.of_words(words[-1]))
+                    size += len(held[-1])
+                block.add(ids[start : start + len(held)], words, held, scored(net, held))
+                start += len(held)
+                if block.size >= BLOCK_WORDS or len(block.ids) >= BLOCK_DOCS:
+                    yield from block.rows(name)
+                    block, name = Block(), name + 1
+        if block.ids:
+            yield from block.rows(name)
+
+    return run
+
+
+def added_up(batches):
+    """Scores of the documents of each block, whose rows stream by in order, the one for the documents first."""
+    ids, none, lengths, scores = (), None, None, None
+
+    def done():
+        with np.errstate(invalid="ignore", divide="ignore"):
+            mean = scores / lengths
+        return pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, mask=none), "n_words": pa.array(lengths), "log_prob": pa.array(scores), "mean_log_prob": pa.array(mean, mask=lengths == 0)})
+
+    for batch in batches:
+        sizes, at, shares = batch.column("size").to_numpy(), batch.column("at"), batch.column("log_share").to_numpy(zero_copy_only=False)
+        firsts = np.flatnonzero(sizes).tolist()
+        for start, stop in zip([0, *firsts], [*firsts, len(sizes)]):
+            if start < stop and sizes[start]:
+                if len(ids):
+                    yield done()
+                kept = at[start].as_py()
+                ids, none, lengths = np.frombuffer(kept[: 24 * sizes[start]], dtype=np.int64).reshape(3, -1)
+                none, scores = none.astype(bool), np.frombuffer(kept[24 * sizes[start] :]).copy()
+                start += 1
+            if start < stop:
+                own = at.slice(start, stop - start).to_pylist()
+                owners = np.frombuffer(b"".join(own), dtype=np.int32)
+                scores += np.bincount(owners, np.repeat(shares[start:stop], np.fromiter(map(len, own), dtype=np.int64, count=len(own)) // 4), len(scores))
+    if len(ids):
+        yield done()
+
+
+def lm_scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """doc_id, n_words, log_prob (the sum over all words) and mean_log_prob of every row of ``docs``."""
+    work = Work(docs.sparkSession, "lm_scores")
+    known, shares = vocabulary(work.cut(counted(docs), "counts"))
+    net = trained(docs, known, rounds)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(in_blocks(known, net), "block long, size int, word binary, at binary")
+    joined = rows.join(shares, "word", "left").select("block", "size", "at", "log_share")  # the documents' row has no word
+    return joined.repartition("block").sortWithinPartitions("block", F.desc("size")).mapInArrow(added_up, "doc_id long, n_words long, log_prob double, mean_log_prob double")

@@ -86,6 +86,31 @@ def test_probabilities_sum_to_one():
     assert np.exp(lm.log_probabilities(net, around, np.arange(lm.WORDS))).sum() == pytest.approx(1, abs=1e-5)
 
 
+def test_rare_words_are_scored_as_words(spark):
+    common = [f"c{k:03d}" for k in range(lm.WORDS - lm.SHARED)]
+    rng, rare = random.Random(6), [f"r{k}" for k in range(300)]
+    rows = [(k, " ".join(common * 4)) for k in range(4)]
+    rows += [(10 + k, " ".join(rng.choices(rare + common[:50], [1 + j % 5 for j in range(350)], k=40))) for k in range(100)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).cache()
+    counts: dict[bytes, int] = {}
+    for _, text in rows:
+        for w in lm.split(text):
+            counts[w] = counts.get(w, 0) + 1
+    top = sorted(counts, key=lambda w: (-counts[w], w))[: lm.WORDS - lm.SHARED]
+    known, shares = lm.vocabulary(lm.counted(frame).cache())
+    assert known == {w: k for k, w in enumerate(top)}
+    numbers, totals = lm.Numbers(known), {}
+    for w, n in counts.items():
+        if w not in known:
+            totals[numbers[w]] = totals.get(numbers[w], 0) + n
+    expected = {w: np.log(n / totals[numbers[w]]) for w, n in counts.items() if w not in known}
+    assert len(expected) > 250 and {bytes(r.word): r.log_share for r in shares.collect()} == pytest.approx(expected)
+    net = lm.trained(frame, known)
+    base = lm.scored(net, [numbers.of(text) for _, text in rows])
+    wanted = {k: b + sum(expected.get(w, 0.0) for w in lm.split(text)) for (k, text), b in zip(rows, base)}
+    assert {r.doc_id: r.log_prob for r in lm.lm_scores(frame).collect()} == pytest.approx(wanted, rel=1e-5)
+
+
 def test_scores_do_not_depend_on_company():
     net, rng = lm.fresh(), np.random.default_rng(2)
     texts = [rng.integers(0, lm.WORDS, n).astype(np.int32) for n in (0, 1, 5, 9000, 3)]
