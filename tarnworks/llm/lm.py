@@ -38,7 +38,7 @@ GROUPS, PER_GROUP, SIDE, HIDDEN = 32, 32, 3, 32
 SHARED = 32
 WORDS = GROUPS * PER_GROUP
 PLACES = [*range(-SIDE, 0), *range(1, SIDE + 1)]
-ROUNDS, SLICE, RATE, LANES, SEED = 2, 8192, 0.15, 16, 5
+ROUNDS, STEP, SLICE, RATE, LANES, SEED = 2, 4096, 8192, 0.15, 16, 5  # STEP: words in each step of training; SLICE: scored at once
 #: Logits below this have exponentials that sum without overflow.
 SAFE = 60.0
 #: Distinct words that a task counts before it passes them on; a long text's words are handled in slices.
@@ -200,15 +200,15 @@ def fit_to(net: dict, texts, numbers: Numbers) -> tuple[dict, int]:
 
     def learn(held):
         padded = np.concatenate([gap, *held])
-        for start in range(0, len(padded) - 2 * SIDE, SLICE):
-            step(net, memory, padded, start, min(start + SLICE, len(padded) - 2 * SIDE))
+        for start in range(0, len(padded) - 2 * SIDE, STEP):
+            step(net, memory, padded, start, min(start + STEP, len(padded) - 2 * SIDE))
 
     for text in texts:
         own = numbers.of(text)
         total += len(own)
         held += [own, gap]
         size += len(own)
-        if size >= 4 * SLICE:
+        if size >= 4 * STEP:
             learn(held)
             held, size = [], 0
     if size:

@@ -111,6 +111,13 @@ def test_rare_words_are_scored_as_words(spark):
     assert {r.doc_id: r.log_prob for r in lm.lm_scores(frame).collect()} == pytest.approx(wanted, rel=1e-5)
 
 
+def test_training_steps_of_4096_words(monkeypatch):
+    seen = []
+    monkeypatch.setattr(lm, "step", lambda net, memory, padded, start, stop: seen.append(stop - start))
+    lm.fit_to(lm.fresh(), ["a " * 50_000], lm.Numbers({b"a": 0}))
+    assert max(seen) == 4096 and sum(seen) >= 50_000
+
+
 def test_scores_do_not_depend_on_company():
     net, rng = lm.fresh(), np.random.default_rng(2)
     texts = [rng.integers(0, lm.WORDS, n).astype(np.int32) for n in (0, 1, 5, 9000, 3)]
