@@ -7,8 +7,10 @@ bigrams, its rarest included. So candidates miss no pair, and no group of equal
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -103,6 +105,23 @@ def candidate_keys(names: DataFrame, threshold: float) -> tuple[DataFrame, DataF
     return by_gram.unionByName(names.select("name", F.explode(starts).alias("key"))), ordered.select("name", F.col("g")[0]["gram"].alias("gram"))
 
 
+def gram_pairs(names: DataFrame, n: int, measure: Callable[[Column, Column], Column], least: float, shared: float) -> DataFrame:
+    """a, b (a before b) and score of all distinct ``names`` (name) whose sets of ``n``-grams measure at or above ``least``.
+
+    ``shared``: the least share of its grams that a name then has in common with the other. So two such names meet
+    in one of their rarest grams, whatever their words.
+    """
+    held = cut(names.select("name").distinct().withColumn("g", grams(F.col("name"), n)))
+    per_gram = held.select("name", F.explode("g").alias("gram"))
+    frequency = per_gram.groupBy("gram").agg(F.count("*").alias("df"))
+    ordered = per_gram.join(frequency, "gram").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("x"))
+    kept = F.size("x") - F.ceil(F.size("x") * shared - 1e-9).cast("int") + 1
+    keys = cut(ordered.select("name", F.explode(F.slice("x", F.lit(1), F.least(kept, F.size("x")))).alias("x")).select("name", "x.gram"))
+    pairs = keys.toDF("a", "gram").join(keys.toDF("b", "gram"), "gram").where("a < b").select("a", "b").distinct()
+    scored = pairs.join(held.toDF("a", "ga"), "a").join(held.toDF("b", "gb"), "b").select("a", "b", measure(F.col("ga"), F.col("gb")).alias("score"))
+    return scored.where(F.col("score") >= least)
+
+
 def similar_pairs(names: DataFrame, threshold: float = 0.7) -> DataFrame:
     """a, b (a before b) and their score, for distinct normalised ``names`` (name) at or above the threshold."""
     names = cut(names.select("name").where("name != ''").distinct())

@@ -46,6 +46,18 @@ PAIR = "FROM g x JOIN g y ON x.w = y.w AND x.name < y.name"
 QUERIES["dice_bigrams"], SQL["dice_bigrams"] = gram_pairs(2, fn.dice), f"WITH {NAMES}, {GRAMS.format(n=2)} SELECT x.name AS a, y.name AS b, 2.0 * len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g)) AS score {PAIR}"
 QUERIES["trigram_jaccard"], SQL["trigram_jaccard"] = gram_pairs(3, fn.jaccard), f"WITH {NAMES}, {GRAMS.format(n=3)} SELECT x.name AS a, y.name AS b, len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g))) AS score {PAIR}"
 
+#: Score from which the queries over all names, whatever their first word, give a pair.
+LEAST = 0.5
+
+
+def all_gram_pairs(n, measure, shared):
+    return lambda spark, sf_dir: op.gram_pairs(names(spark, sf_dir), n, measure, LEAST, shared)
+
+
+ANY_PAIR = f"FROM g x JOIN g y ON x.name < y.name) SELECT * FROM s WHERE score >= {LEAST}"
+QUERIES["dice_bigrams_all"], SQL["dice_bigrams_all"] = all_gram_pairs(2, fn.dice, LEAST / (2 - LEAST)), f"WITH {NAMES}, {GRAMS.format(n=2)}, s AS (SELECT x.name AS a, y.name AS b, 2.0 * len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g)) AS score {ANY_PAIR}"
+QUERIES["trigram_jaccard_all"], SQL["trigram_jaccard_all"] = all_gram_pairs(3, fn.jaccard, LEAST), f"WITH {NAMES}, {GRAMS.format(n=3)}, s AS (SELECT x.name AS a, y.name AS b, len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g))) AS score {ANY_PAIR}"
+
 
 @query("SELECT doc_id, substr(sha256(lower(regexp_replace(source || '|' || lang || '|' || n_chars, '[0-9]+', 'N', 'g'))), 1, 12) AS hash FROM documents")
 def finding_hash(spark, sf_dir):

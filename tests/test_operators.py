@@ -130,3 +130,20 @@ def test_memory_and_queue(spark):
     assert {r.task: (r.peak, r.last, r.leaking) for r in telemetry.memory_peaks(samples, 600).collect()} == {"a": (700, 600, True), "b": (5, 5, False)}
     waiting = spark.createDataFrame([("q", "low", 1, "x"), ("q", "critical", 9, "y"), ("q", "low", 1, "a")], "queue string, priority string, enqueued_at int, id string")
     assert [r.id for r in telemetry.queue_order(waiting).orderBy("place").collect()] == ["y", "a", "x"]
+
+
+def test_gram_pairs_whatever_the_first_word(spark):
+    import itertools
+    import random
+
+    from tarnworks.functions.text import dice, jaccard
+
+    rng = random.Random(5)
+    names = sorted({" ".join(rng.choices(["cold", "old", "rod", "rods", "bold", "ring", "rings", "a"], k=rng.randint(1, 3))) for _ in range(60)} | {"cold rod", "old rod"})
+    frame = spark.createDataFrame([(x,) for x in names], "name string")
+    for n, measure, least, shared in ((2, dice, 0.5, 0.5 / 1.5), (3, jaccard, 0.4, 0.4), (2, dice, 0.9, 0.9 / 1.1)):
+        own = {x: {x[i : i + n] for i in range(len(x) - n + 1)} for x in names}
+        score = (lambda a, b: 2 * len(a & b) / (len(a) + len(b)) if a or b else 0) if measure is dice else (lambda a, b: len(a & b) / len(a | b) if a or b else 0)
+        expected = {(a, b) for a, b in itertools.combinations(names, 2) if score(own[a], own[b]) >= least}
+        got = {(r.a, r.b) for r in similarity.gram_pairs(frame, n, measure, least, shared).collect()}
+        assert got == expected and ("cold rod", "old rod") in got
