@@ -65,12 +65,18 @@ def level_breakdown(spark, sf_dir):
 @query("""WITH l AS (SELECT 'C:' || o_custkey AS c, sum(CASE WHEN l_shipdate > o_orderdate THEN epoch_ms(l_shipdate) - epoch_ms(o_orderdate) ELSE 0 END) AS ms FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1)
 SELECT 'N:' || c_nationkey AS id, CAST(coalesce(sum(ms), 0) AS BIGINT) AS total_ms, false AS is_running FROM customer LEFT JOIN l ON c = 'C:' || c_custkey GROUP BY 1""")
 def duration_rollup(spark, sf_dir):
+    return item_durations(spark, sf_dir).where("id like 'N:%'")
+
+
+@query(f"""WITH {CLOSURE}, own AS (SELECT 'O:' || o_orderkey AS id, sum(CASE WHEN l_shipdate > o_orderdate THEN epoch_ms(l_shipdate) - epoch_ms(o_orderdate) ELSE 0 END) AS ms FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1)
+SELECT ancestor AS id, CAST(coalesce(sum(ms), 0) AS BIGINT) AS total_ms, false AS is_running FROM closure LEFT JOIN own USING (id) GROUP BY 1""")
+def item_durations(spark, sf_dir):
     pairs, rows = closed(spark, sf_dir)
     spans = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
     spans = spans.groupBy(F.concat(F.lit("O:"), F.col("o_orderkey")).alias("id")).agg(F.collect_list(F.struct(F.col("o_orderdate").alias("start"), F.col("l_shipdate").alias("end"))).alias("intervals"))
     none = F.array().cast("array<struct<start:timestamp,end:timestamp>>")
     held = rows.join(spans, "id", "left").withColumn("intervals", F.coalesce("intervals", none))
-    return op.duration_rollup(pairs, held, F.lit(TREE_NOW).cast("timestamp")).where("id like 'N:%'")
+    return op.duration_rollup(pairs, held, F.lit(TREE_NOW).cast("timestamp"))
 
 
 RANK = "CASE {c} WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 2 END"

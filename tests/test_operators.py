@@ -147,3 +147,17 @@ def test_gram_pairs_whatever_the_first_word(spark):
         expected = {(a, b) for a, b in itertools.combinations(names, 2) if score(own[a], own[b]) >= least}
         got = {(r.a, r.b) for r in similarity.gram_pairs(frame, n, measure, least, shared).collect()}
         assert got == expected and ("cold rod", "old rod") in got
+
+
+def test_durations_of_every_item(spark, sf_dir):
+    from tarnworks.plans import trees
+    from tarnworks.plans.tables import items
+
+    got = {r.id: r.total_ms for r in trees.QUERIES["item_durations"](spark, sf_dir).collect()}
+    rows = items(spark, sf_dir).collect()
+    assert sorted(got) == sorted(r.id for r in rows)
+    above = {}
+    for r in rows:
+        if r.parent_id is not None:
+            above[r.parent_id] = above.get(r.parent_id, 0) + got[r.id]
+    assert sum(above.values()) > 0 and all(got[k] == v for k, v in above.items())  # containers have no time of their own
