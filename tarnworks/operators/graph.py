@@ -143,14 +143,37 @@ def dependency_report(deps: DataFrame, nodes: DataFrame) -> DataFrame:
     return deps.join(known, "blocker", "left").select("id", "blocker", F.coalesce("known", F.lit(False)).alias("resolved"), (F.col("id") == F.col("blocker")).alias("on_itself"))
 
 
-def chain_lengths(deps: DataFrame, most: int) -> DataFrame:
-    """Length of the longest chain of blockers above each item, up to ``most``."""
-    step = deps.select("id", F.col("blocker").alias("at"), F.lit(1).alias("length"))
-    out = step
-    for _ in range(1, most):
-        step = step.join(deps.select(F.col("id").alias("at"), F.col("blocker").alias("next")), "at").select("id", F.col("next").alias("at"), (F.col("length") + 1).alias("length"))
-        out = out.unionByName(step)
-    return out.groupBy("id").agg(F.max("length").alias("length"))
+def nodes_on_cycles(edges: DataFrame) -> DataFrame | None:
+    """node, for every node on a cycle of ``edges`` (from, to), or None; reachability runs only on what peeling leaves."""
+    core, n = edges, edges.count()
+    while True:
+        core = cyclic_core(core, 1)
+        left = core.count()
+        if left == n:
+            break
+        n = left
+    if not n:
+        return None
+    steps = core.select("from").distinct().count()
+    return cut(in_cycles(core, max(steps - 1, 0).bit_length() + 1).select("node"))
+
+
+def chain_lengths(deps: DataFrame) -> DataFrame:
+    """Length of the longest chain of blockers above each item, however long.
+
+    A chain ends at an item on a cycle, and such an item has no chain of its own.
+    """
+    edges = cut(deps.select("id", "blocker").where("id is not null and blocker is not null").distinct())
+    cycles = nodes_on_cycles(edges.toDF("from", "to"))
+    if cycles is not None:
+        edges = cut(edges.join(cycles.select(F.col("node").alias("id")), "id", "left_anti"))
+    lengths = cut(edges.select("id").distinct().withColumn("length", F.lit(1)))
+    while True:
+        longer = edges.join(lengths.toDF("blocker", "above"), "blocker").groupBy("id").agg((F.max("above") + 1).alias("longer"))
+        grown = cut(lengths.join(longer, "id", "left").select("id", F.greatest("length", "longer").alias("length"), F.coalesce(F.col("longer") > F.col("length"), F.lit(False)).alias("grown")))
+        lengths = grown.select("id", "length")
+        if grown.where("grown").isEmpty():
+            return lengths
 
 
 def proximity_edges(files: DataFrame, edges: DataFrame, weight: float = 0.2) -> DataFrame:

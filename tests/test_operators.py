@@ -161,3 +161,11 @@ def test_durations_of_every_item(spark, sf_dir):
         if r.parent_id is not None:
             above[r.parent_id] = above.get(r.parent_id, 0) + got[r.id]
     assert sum(above.values()) > 0 and all(got[k] == v for k, v in above.items())  # containers have no time of their own
+
+
+def test_chains_have_no_longest_length(spark):
+    from tarnworks.operators import graph
+
+    rows = [(k, k - 1) for k in range(1, 19)] + [(18, 3), (50, 51), (51, 50), (52, 51), (53, 52), (60, 60)]
+    got = {r.id: r.length for r in graph.chain_lengths(spark.createDataFrame(rows, "id long, blocker long").coalesce(1)).collect()}
+    assert got == {k: k for k in range(1, 19)} | {52: 1, 53: 2}
