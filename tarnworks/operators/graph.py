@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnworks.functions.scalars import half_up, risk_level, risk_score
-from tarnworks.session import cut
+from tarnworks.session import cut, cut_afresh
 
 
 def crossings(edges: DataFrame, zones: DataFrame) -> DataFrame:
@@ -170,7 +170,7 @@ def chain_lengths(deps: DataFrame) -> DataFrame:
     lengths = cut(edges.select("id").distinct().withColumn("length", F.lit(1)))
     while True:
         longer = edges.join(lengths.toDF("blocker", "above"), "blocker").groupBy("id").agg((F.max("above") + 1).alias("longer"))
-        grown = cut(lengths.join(longer, "id", "left").select("id", F.greatest("length", "longer").alias("length"), F.coalesce(F.col("longer") > F.col("length"), F.lit(False)).alias("grown")))
+        grown = cut_afresh(lengths.join(longer, "id", "left").select("id", F.greatest("length", "longer").alias("length"), F.coalesce(F.col("longer") > F.col("length"), F.lit(False)).alias("grown")))
         lengths = grown.select("id", "length")
         if grown.where("grown").isEmpty():
             return lengths

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tarnworks.functions.text import grams, normalize
-from tarnworks.session import cut
+from tarnworks.session import cut, cut_afresh
 
 #: Verbs that start a name, and what each counts as.
 VERBS = {
@@ -134,17 +134,25 @@ def similar_pairs(names: DataFrame, threshold: float = 0.7) -> DataFrame:
     return pairs.withColumn("score", similarity("a", "b")).where(F.col("score") >= threshold)
 
 
-def clusters(pairs: DataFrame, rounds: int = 30) -> DataFrame:
-    """name, cluster (its least name) over all pairs: labels spread until none changes."""
-    both = cut(pairs.select("a", "b").union(pairs.select("b", "a")).distinct())
-    labels = cut(both.select(F.col("a").alias("name")).distinct().withColumn("cluster", F.col("name")))
-    for _ in range(rounds):
-        near = both.join(labels.select(F.col("name").alias("b"), "cluster"), "b").groupBy(F.col("a").alias("name")).agg(F.min("cluster").alias("near"))
-        moved = cut(labels.join(near, "name").select("name", F.least("cluster", "near").alias("cluster"), (F.col("near") < F.col("cluster")).alias("moved")))
-        labels = moved.select("name", "cluster")
-        if moved.where("moved").isEmpty():
-            break
-    return labels
+def clusters(pairs: DataFrame) -> DataFrame:
+    """name, cluster (its least name) over all pairs: labels spread until none changes.
+
+    In each round all names of a label move to the least label next to any of them, and on to where the moves end.
+    """
+    both = cut_afresh(pairs.select("a", "b").union(pairs.select("b", "a")).distinct())
+    labels = cut_afresh(both.select(F.col("a").alias("name")).distinct().withColumn("cluster", F.col("name")))
+    while True:
+        near = both.join(labels.select(F.col("name").alias("b"), F.col("cluster").alias("near")), "b").groupBy(F.col("a").alias("name")).agg(F.min("near").alias("near"))
+        moves = cut_afresh(labels.join(near, "name").groupBy("cluster").agg(F.min("near").alias("near")).select("cluster", F.least("cluster", "near").alias("next")))
+        if moves.where("next < cluster").isEmpty():
+            return labels
+        while True:
+            onward = moves.select(F.col("cluster").alias("next"), F.col("next").alias("last"))
+            jumped = cut_afresh(moves.join(onward, "next").select("cluster", F.col("last").alias("next"), (F.col("last") < F.col("next")).alias("jumped")))
+            moves = jumped.select("cluster", "next")
+            if jumped.where("jumped").isEmpty():
+                break
+        labels = cut_afresh(labels.join(moves, "cluster").select("name", F.col("next").alias("cluster")))
 
 
 def duplicate_groups(items: DataFrame, name: str, threshold: float = 0.7) -> DataFrame:

@@ -20,6 +20,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def cut_afresh(df: DataFrame) -> DataFrame:
+    """``cut`` without size estimates, which a checkpoint keeps and joins multiply: in long loops their digits double each round."""
+    held, spark = cut(df), df.sparkSession
+    return DataFrame(spark._jsparkSession.createDataFrame(held._jdf.rdd(), held._jdf.schema()), spark)
+
+
 def builder(app: str = "tarnworks") -> SparkSession.Builder:
     """A session with UTC times and adaptive execution, skewed joins included."""
     return (

@@ -169,3 +169,11 @@ def test_chains_have_no_longest_length(spark):
     rows = [(k, k - 1) for k in range(1, 19)] + [(18, 3), (50, 51), (51, 50), (52, 51), (53, 52), (60, 60)]
     got = {r.id: r.length for r in graph.chain_lengths(spark.createDataFrame(rows, "id long, blocker long").coalesce(1)).collect()}
     assert got == {k: k for k in range(1, 19)} | {52: 1, 53: 2}
+
+
+def test_clusters_of_long_chains(spark):
+    names = [f"n{k:03d}" for k in range(80)]
+    order = [names[0], *reversed(names[1:40]), *names[40:]]
+    pairs = [tuple(sorted(p)) for p in zip(order, order[1:])]
+    got = similarity.clusters(spark.createDataFrame(pairs, "a string, b string").coalesce(1)).collect()
+    assert {r.name: r.cluster for r in got} == dict.fromkeys(names, names[0])
