@@ -124,8 +124,8 @@ def scope_creep(before: Column, now: Column, share: float = 0.5) -> Column:
 
 
 def suggestions(typed: DataFrame, commands: DataFrame, most: int = 2) -> DataFrame:
-    """typed, command, distance: commands one or two edits away. ``commands`` is a short fixed list."""
-    pairs = typed.crossJoin(F.broadcast(commands.limit(200)))
+    """typed, command, distance: commands one or two edits away, of all ``commands``; meant for a short fixed list, as all pairs are compared."""
+    pairs = typed.crossJoin(commands)
     return pairs.withColumn("distance", F.levenshtein("typed", "command")).where((F.col("distance") >= 1) & (F.col("distance") <= most)).orderBy("typed", "distance", "command")
 
 

@@ -177,3 +177,12 @@ def test_clusters_of_long_chains(spark):
     pairs = [tuple(sorted(p)) for p in zip(order, order[1:])]
     got = similarity.clusters(spark.createDataFrame(pairs, "a string, b string").coalesce(1)).collect()
     assert {r.name: r.cluster for r in got} == dict.fromkeys(names, names[0])
+
+
+def test_suggestions_from_many_commands(spark):
+    from tarnworks.operators import items
+
+    commands = spark.createDataFrame([(f"command{k:03d}x",) for k in range(300)], "command string").coalesce(1)
+    typed = spark.createDataFrame([(f"command{k:03d}",) for k in range(300)], "typed string").coalesce(1)
+    got = items.suggestions(typed, commands, 1).collect()
+    assert {(r.typed, r.command) for r in got} >= {(f"command{k:03d}", f"command{k:03d}x") for k in range(300)}
