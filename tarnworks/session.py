@@ -7,16 +7,23 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+def own_folder(master: str) -> str:
+    """A temporary folder of this machine, which serves only where tasks run in the driver's process."""
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="tarnworks-")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` without its lineage, from the folder that the session names in spark.checkpoint.dir.
 
     Loops that use a step's result more than once need it, or their plans double with every round. Where the
-    setting is absent (tests), a temporary folder takes its place.
+    setting is absent, a temporary folder takes its place in local mode, and any other master raises an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tarnworks-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own_folder(context.master))
     return df.checkpoint()
 
 
