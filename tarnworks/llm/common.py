@@ -22,12 +22,15 @@ class Work:
     """A folder of its own under ``spark.checkpoint.dir``, for tables that cut lineage.
 
     A table survives lost executors, as it lies in the folder that the cluster names. Where the setting is
-    absent (tests), a temporary folder takes its place.
+    absent, a temporary folder takes its place in local mode, and any other master raises an error: a folder of the
+    driver's machine would be no shared one.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
+            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
             root = "file://" + tempfile.mkdtemp(prefix="tarnworks-")
             spark.conf.set("spark.checkpoint.dir", root)
         self.spark, self.tables = spark, 0
