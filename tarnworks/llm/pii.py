@@ -3,8 +3,11 @@
 One Aho-Corasick pass finds the anchors (at-signs, plus signs, digits, schemes and identifier cues). Around each
 anchor a deterministic parser walks to the boundaries of the e-mail address, network address, number or account
 and validates it. Nothing is matched that no anchor leads to, so the cost follows the text, not the patterns.
+Spans of one kind don't overlap, the leftmost stays. A run of characters that a parser has walked to its end is not
+walked again from an anchor within it, so the work on a text grows with its length, whatever it holds.
 
-Null and empty texts have no spans; repeated rows give repeated rows; other columns are ignored.
+Null and empty texts have no spans; an empty table gives no rows; repeated rows give repeated rows; other columns are
+ignored; a text of any length is searched whole.
 """
 
 from __future__ import annotations
@@ -113,16 +116,20 @@ def numbers(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int, str]
     return spans
 
 
-def url(text: str, at: int) -> tuple[int, int] | None:
+def url(text: str, at: int) -> tuple[tuple[int, int] | None, int]:
+    """The address around the scheme's end at ``at``, and where the run of its characters ends."""
     start = at
     while start > 0 and text[start - 1] in SCHEME:
         start -= 1
-    end = at + 3
-    while end < len(text) and text[end] not in URL_END:
-        end += 1
+    if start == at or not text[start].isalpha():
+        return None, 0
+    run = at + 3
+    while run < len(text) and text[run] not in URL_END:
+        run += 1
+    end = run
     while end > at + 3 and text[end - 1] in ".,;:!?)]":
         end -= 1
-    return (start, end) if start < at and end > at + 3 and text[start].isalpha() else None
+    return ((start, end) if end > at + 3 else None), run
 
 
 def iban(text: str, at: int) -> tuple[int, int] | None:
@@ -140,15 +147,22 @@ def iban(text: str, at: int) -> tuple[int, int] | None:
     return None
 
 
-def after_cue(text: str, at: int, between: str, allowed: frozenset, digits: int, least: int) -> tuple[int, int] | None:
+def after_cue(text: str, at: int, between: str, allowed: frozenset, digits: int, least: int) -> tuple[tuple[int, int] | None, int]:
+    """What follows the cue that ends at ``at``, and where the run of its characters ends.
+
+    If it is too short or has too few digits, so is what follows any later cue within the run.
+    """
     start = at
     while start < min(len(text), at + 12) and text[start] in between:
         start += 1
-    end = walk(text, start, allowed, len(text))
+    if start == at:
+        return None, 0
+    run = walk(text, start, allowed, len(text))
+    end = run
     while end > start and text[end - 1] in ".-/+":
         end -= 1
     value = text[start:end]
-    return (start, end) if start > at and len(value) >= least and sum(c in DIGITS for c in value) >= digits else None
+    return ((start, end) if len(value) >= least and sum(c in DIGITS for c in value) >= digits else None), run
 
 
 def find(text: str | None, anchors: ahocorasick.Automaton) -> list[tuple[int, int, str]]:
@@ -158,7 +172,8 @@ def find(text: str | None, anchors: ahocorasick.Automaton) -> list[tuple[int, in
     low = text.lower()
     if len(low) != len(text):  # some letters change their length
         low = "".join(c.lower() if c < "\x80" else c for c in text)
-    spans, runs, floor, seen = [], [], 0, set()
+    spans, runs, floor = [], [], 0
+    walked = dict.fromkeys(("url", "iban", "account", "secret"), 0)  # up to where each kind has been looked for
     for last, (what, length) in anchors.iter(low):
         start = last + 1 - length
         if what == "digit":
@@ -166,21 +181,23 @@ def find(text: str | None, anchors: ahocorasick.Automaton) -> list[tuple[int, in
                 continue
             runs.append((last, walk(text, last, DIGITS, len(text))))
             continue
+        if start < walked.get(what, 0):
+            continue
         if what == "email":
             got = email(text, last, floor)
             floor = got[1] if got else floor
         elif what == "phone":
             got = phone(text, last)
         elif what == "url":
-            got = url(text, start)
+            got, walked[what] = url(text, start)
         elif what == "iban":
             got = iban(text, last + 1)
+            walked[what] = got[1] if got else 0
         elif what == "account":
-            got = after_cue(text, last + 1, " :#=.-\t", LABEL, 6, 6)
+            got, walked[what] = after_cue(text, last + 1, " :#=.-\t", LABEL, 6, 6)
         else:
-            got = after_cue(text, last + 1, " :=\"'\t", VALUE, 1, 8)
-        if got and (got, what) not in seen:
-            seen.add((got, what))
+            got, walked[what] = after_cue(text, last + 1, " :=\"'\t", VALUE, 1, 8)
+        if got:
             spans.append((*got, what))
     spans += numbers(text, runs)
     return sorted(spans, key=lambda s: (s[0], RANK[s[2]], s[1]))
@@ -204,7 +221,10 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def pii_digest(docs: DataFrame) -> DataFrame:
-    """The columns of the query: counts by base kind, the hash of the base spans, all spans as text."""
+    """The columns of the query: counts by base kind, the hash of the base spans, all spans as text.
+
+    After them come the counts of the further kinds and ``n_personal``, the number of spans other than web addresses.
+    """
 
     def run(batches):
         anchors = automaton()
@@ -216,8 +236,11 @@ def pii_digest(docs: DataFrame) -> DataFrame:
                 out[f"n_{kind}"] = [sum(s[2] == kind for s in x) for x in found]
             out["base_sha256"] = [hashlib.sha256(joined([s for s in x if s[2] in BASE]).encode()).hexdigest() for x in found]
             out["spans"] = [joined(x) for x in found]
+            for kind in KINDS[len(BASE) :]:
+                out[f"n_{kind}"] = [sum(s[2] == kind for s in x) for x in found]
+            out["n_personal"] = [sum(s[2] != "url" for s in x) for x in found]
             return out
 
         yield from per_batch(digest)(batches)
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_url long, n_iban long, n_account long, n_secret long, n_personal long")
