@@ -12,6 +12,11 @@ A key is one byte 0 for a null identifier, or byte 1 and the identifier big-endi
 that keys sort as identifiers do. A lookup asks the filter, searches the index by bisection and reads one block
 (more if identifiers repeat). A task streams its shard to the shared folder under a name of its own; only shards
 that the manifest of successful tasks names are ever read, so retried and speculative tasks do no harm.
+
+Rows are dealt to shards by ranges of the identifier, then of a hash of the text, then of the row's place in the
+input, so neither one identifier (or none) nor one repeated row can fill a shard; the manifest keeps the shards' order.
+A null text is one end id, and so is an empty one; repeated rows are repeated entries; texts of any length are encoded
+whole; an empty table gives no shards and no rows.
 """
 
 from __future__ import annotations
@@ -27,6 +32,7 @@ import pandas as pd
 import pyarrow.fs as pafs
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,7 +45,7 @@ BITS_PER_KEY, HASHES = 10, 7
 FOOTER = struct.Struct("<6Q8s")
 PLACE = struct.Struct("<QIII")
 END = b"\x00\x00\x00\x00"
-MANIFEST = "path string, first binary, n_docs long, n_tokens long, n_bytes long"
+MANIFEST = "shard int, path string, first binary, last binary, n_docs long, n_tokens long, n_bytes long"
 
 
 def varint(n: int) -> bytes:
@@ -189,10 +195,11 @@ class ShardReader:
 def write_shards(docs: DataFrame, work: Work, vocabulary: str, shards: int | None = None) -> DataFrame:
     """Encode all of ``docs`` (doc_id, text) into shards under the work folder; returns their manifest.
 
-    A null text is empty; each document ends with id 0. Equal identifiers lie in one shard, ordered by text.
+    A null text is empty; each document ends with id 0. Equal identifiers follow each other, ordered by a hash of the
+    text, in one shard or in several that follow each other.
     """
     root = work.path("shards")
-    kept = docs.select("doc_id", "text")
+    kept = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
 
     def run(batches):
         sink = writer = None
@@ -210,15 +217,23 @@ def write_shards(docs: DataFrame, work: Work, vocabulary: str, shards: int | Non
         if writer is not None:
             writer.close()
             sink.close()
-            yield pd.DataFrame({"path": [f"{root}/{name}"], "first": [first], "n_docs": [writer.n_docs], "n_tokens": [writer.n_tokens], "n_bytes": [writer.offset]})
+            shard = TaskContext.get().partitionId()
+            yield pd.DataFrame({"shard": [shard], "path": [f"{root}/{name}"], "first": [first], "last": [key], "n_docs": [writer.n_docs], "n_tokens": [writer.n_tokens], "n_bytes": [writer.offset]})
+
+    place = F.monotonically_increasing_id()  # tells apart only rows that are equal in both columns
+    dealt = kept.withColumn("place", place).repartitionByRange(shards or kept.rdd.getNumPartitions(), "doc_id", "h", "place")
+    return work.cut(dealt.sortWithinPartitions("doc_id", "h").select("doc_id", "text").mapInPandas(run, MANIFEST), "manifest")
+
 
-    dealt = kept.repartitionByRange(shards or kept.rdd.getNumPartitions(), "doc_id")
-    return work.cut(dealt.sortWithinPartitions("doc_id", "text").mapInPandas(run, MANIFEST), "manifest")
+def shards_of(manifest: DataFrame, doc_id: int | None) -> list[str]:
+    """Paths of the shards whose range of keys holds an identifier, in order: those that a lookup asks."""
+    key = bytearray(key_of(doc_id))
+    return [r.path for r in manifest.where((F.col("first") <= F.lit(key)) & (F.col("last") >= F.lit(key))).orderBy("shard").collect()]
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the shards that ``manifest`` names."""
-    before = Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard
     placed = manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
     def run(batches):

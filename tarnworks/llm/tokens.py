@@ -1,6 +1,7 @@
 """Encoding with a fixed public tokenizer.
 
-``Encoder`` gives the ids of the tokenizers library. A text is cut at single spaces and line feeds that have no
+``Encoder`` gives the ids of the tokenizers library as the file loads it, no setting changed; so a special token's
+string in a text becomes that token's id, unless ``special_as_text`` asks for the ids of its letters. A text is cut at single spaces and line feeds that have no
 white space on either side: there the pre-tokenizer always cuts too, and merges never cross its cuts, so each
 piece encodes to the same ids alone as within its text. Each worker keeps the ids of pieces it has met, up to a
 fixed number, and hands only new pieces to the library.
@@ -63,14 +64,14 @@ class Pieces(dict):
 
 
 class Encoder:
-    def __init__(self, path: str, most_pieces: int = MOST_PIECES):
+    def __init__(self, path: str, most_pieces: int = MOST_PIECES, special_as_text: bool = False):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # in a text, their strings are ordinary text
+        self.tokenizer.encode_special_tokens = special_as_text
         self.most, self.known = most_pieces, Pieces(self.tokenizer)
 
     def odd(self, text: str) -> bytes:
@@ -93,11 +94,12 @@ class Encoder:
             return self.odd(text)
 
 
-ENCODERS: dict[tuple[str, int], Encoder] = {}
+ENCODERS: dict[tuple[str, int, bool], Encoder] = {}
 
 
-def encoder(path: str, most_pieces: int = MOST_PIECES) -> Encoder:
+def encoder(path: str, most_pieces: int = MOST_PIECES, special_as_text: bool = False) -> Encoder:
     """This worker's encoder; tasks of one worker share it."""
-    if (path, most_pieces) not in ENCODERS:
-        ENCODERS[path, most_pieces] = Encoder(path, most_pieces)
-    return ENCODERS[path, most_pieces]
+    key = (path, most_pieces, special_as_text)
+    if key not in ENCODERS:
+        ENCODERS[key] = Encoder(*key)
+    return ENCODERS[key]

@@ -18,7 +18,6 @@ def plain():
     from tokenizers import Tokenizer
 
     found = Tokenizer.from_file(vocabulary_path())
-    found.encode_special_tokens = True
     return lambda text: found.encode(text or "", add_special_tokens=False).ids
 
 
@@ -30,6 +29,29 @@ def test_pieces_encode_as_whole_texts(plain):
         assert np.frombuffer(own.encode(text), "<u4").tolist() == plain(text), repr(text)
 
 
+def test_special_strings(plain):
+    text = "a <|endoftext|> b<|endoftext|>\n<|endoftext|>c  <|endoftext|>"
+    own, letters = (np.frombuffer(Encoder(vocabulary_path(), special_as_text=flag).encode(text), "<u4").tolist() for flag in (False, True))
+    assert own == plain(text) and own.count(50256) == 4 and own[:4] == [64, 220, 50256, 275]
+    assert 50256 not in letters
+
+
+def test_one_identifier_fills_several_shards(spark, plain):
+    rows = [(None if k % 2 else 7, f"text number {k % 40}" if k < 400 else "the same") for k in range(800)] + [(k, "x") for k in range(20)]
+    work = Work(spark, "test")
+    manifest = sstable.write_shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), work, vocabulary_path(), shards=6)
+    assert manifest.count() == 6 and manifest.agg({"n_docs": "max"}).first()[0] < 350
+    got = sorted(sstable.read_shards(manifest).collect(), key=lambda r: r.start)
+    assert [r.doc_id is None for r in got] == sorted((r.doc_id is None for r in got), reverse=True)
+    ids = [r.doc_id for r in got if r.doc_id is not None]
+    assert ids == sorted(ids)
+    want = Counter((k, zlib.crc32(np.array([*plain(t), 0], "<u4").tobytes())) for k, t in rows)
+    assert Counter((r.doc_id, r.ids_crc32) for r in got) == want
+    assert sum(r.n_tokens for r in got) == got[-1].start + got[-1].n_tokens
+    found = [ids for path in sstable.shards_of(manifest, 7) for ids in sstable.ShardReader(path).get(7)]
+    assert len(found) == sum(k == 7 for k, _ in rows)
+
+
 def test_round_trip(spark, plain):
     table = docs.docs(spark).where("doc_id is not null")
     work = Work(spark, "test")
