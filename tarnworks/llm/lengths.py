@@ -1,8 +1,11 @@
 """Exact histogram of encoded lengths.
 
-Every task encodes its documents and sends on a count for each length it met; the counts are summed once. From
-the histogram, suffix sums answer totals, quantiles and what is left after truncation, for any context limit.
-A null or empty text has length 0; repeated rows count each; an empty table gives no rows.
+Every task encodes its documents and sends on a count for each length it met; the counts are summed once and
+written, so texts are encoded once however often the histogram is read. From the histogram, suffix sums answer totals,
+quantiles and what is left after truncation, for any context limit.
+
+A null or empty text has length 0; repeated rows count each; texts of any length are encoded whole; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnworks.llm.common import Work
 from tarnworks.llm.tokens import encoder
 
 #: Lengths are summed within blocks of this many, then over blocks, so no task sorts all of them.
@@ -31,7 +35,7 @@ def length_histogram(docs: DataFrame, vocabulary: str) -> DataFrame:
             yield pd.DataFrame({"length": list(counts), "n_docs": list(counts.values())})
 
     parts = docs.select("text").mapInPandas(run, "length long, n_docs long")
-    return parts.groupBy("length").agg(F.sum("n_docs").alias("n_docs"))
+    return Work(docs.sparkSession, "lengths").cut(parts.groupBy("length").agg(F.sum("n_docs").alias("n_docs")), "histogram")
 
 
 def suffix_sums(histogram: DataFrame) -> DataFrame:
