@@ -1,14 +1,16 @@
 """Quality rules as weak supervision, in DataFrame functions alone.
 
 Each rule looks at a few counts of a text and votes good, votes bad or abstains. How often each rule is right is
-not set but estimated: the votes of all documents are counted by pattern (at most 3 to the number of rules), and
-expectation-maximisation over those counts gives the share of good documents and of each kind of bad ones, and how
-each rule votes on each. Bad documents are bad in different ways, so there is a latent kind for each rule, which that
-rule catches; a single bad class would hold only the commonest kind. A document's posterior probability of being
-good then decides, not the failing of one rule.
-
-Null and empty texts have no words; they, and texts under 50 words, fail the base. Repeated rows count each. An
-empty table gives no rows.
+not set but estimated: the votes of all documents that the base doesn't settle are counted by pattern (at most 3 to
+the number of rules), and expectation-maximisation over those counts gives the share of good documents and how often
+each rule votes bad on good and on bad ones, without limits on either. What the start fixes is only which of the two
+classes is the good one. Rules that vote alike within a class (a correlation of ``ALIKE`` or more) would count one
+finding twice, so they are merged into one voter, and the estimate is made again. A document's posterior probability
+of being good then decides: one bad vote of a rule that nothing else bears out doesn't outweigh many good ones.
+
+Null and empty texts have no words; they, and texts under 50 words, fail the base. Texts of any length are counted
+whole. Repeated rows count each. An empty table gives no rows. If the base settles every document, nothing is
+estimated and none is kept.
 """
 
 from __future__ import annotations
@@ -24,10 +26,9 @@ SYMBOLS = r"[#*$%&|<>]"
 #: Letters, at most one mark after them, quotes or brackets around.
 PLAIN = r"""^[("'«]*\p{L}[\p{L}\p{M}'’-]*[.,;:!?…]?[)"'»]*$"""
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_distinct", "n_plain")
-ROUNDS, SMOOTHING = 60, 2.0
-#: A good document gets a rule's bad vote with this chance at most; a kind of bad ones gets that of its rule with this chance at least.
-MOST_WRONG, LEAST_CAUGHT = 0.03, 0.8
-PRIOR_GOOD = 0.8
+#: Where the estimate starts: the share of good documents, and the chance of a bad vote on good and on bad ones; it counts as much as ``SMOOTHING`` documents.
+START_GOOD, START_BAD_VOTES, SMOOTHING = 0.8, (0.05, 0.4), 2.0
+ROUNDS, ALIKE = 100, 0.5
 KEEP_FROM = 0.5
 
 
@@ -115,59 +116,85 @@ def rules() -> dict[str, Column]:
     }
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[list[float], list[list[float]]]:
-    """Shares of the classes (good ones, then the kind of each rule) and, by class and rule, the chance that a vote
-    cast is bad. Abstaining tells nothing.
+def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> tuple[float, list[list[float]], list[float]]:
+    """Share of good documents; for good and bad ones, the chance that a vote cast by each rule is bad; and for each
+    pattern the probability of being good. Abstaining tells nothing.
 
     ``patterns``: vote patterns and their counts, a list that the number of rules bounds.
     """
-    k = len(patterns[0][0]) if patterns else len(rules())
-    shares = [PRIOR_GOOD] + [(1 - PRIOR_GOOD) / k] * k
-    chances = [[0.02] * k] + [[0.9 if i == j else 0.25 for i in range(k)] for j in range(k)]
-    total = sum(count for _, count in patterns)
-    for _ in range(ROUNDS if patterns else 0):
-        mass = [SMOOTHING] * (k + 1)
-        bad, cast = ([[SMOOTHING * c for c in row] for row in chances], [[SMOOTHING] * k for _ in chances])
-        for votes, count in patterns:
-            joint = [s * math.prod(c if v < 0 else 1 - c for c, v in zip(row, votes) if v) for s, row in zip(shares, chances)]
-            whole = sum(joint)
-            for c, x in enumerate(joint):
-                x *= count / whole
+    k = len(patterns[0][0]) if patterns else 0
+    share, chances = START_GOOD, [[c] * k for c in START_BAD_VOTES]
+    good = [START_GOOD] * len(patterns)
+    for _ in range(rounds if patterns else 0):
+        mass = [SMOOTHING * START_GOOD, SMOOTHING * (1 - START_GOOD)]
+        bad, cast = [[SMOOTHING * c] * k for c in START_BAD_VOTES], [[SMOOTHING] * k for _ in START_BAD_VOTES]
+        for at, (votes, count) in enumerate(patterns):
+            good[at] = probability(share, chances, votes)
+            for c, x in enumerate((good[at] * count, (1 - good[at]) * count)):
                 mass[c] += x
                 for j, v in enumerate(votes):
                     if v:
                         cast[c][j] += x
                         bad[c][j] += x * (v < 0)
-        shares = [m / (total + SMOOTHING * (k + 1)) for m in mass]
-        chances = [[min(0.999, max(0.001, b / n)) for b, n in zip(*rows)] for rows in zip(bad, cast)]
-        chances[0] = [min(c, MOST_WRONG) for c in chances[0]]
-        for j in range(k):
-            chances[j + 1][j] = max(chances[j + 1][j], LEAST_CAUGHT)
-    return shares, chances
-
-
-def posterior(shares: list[float], chances: list[list[float]], votes: list[Column]) -> Column:
-    """Probability of the good class."""
-
-    def joint(share, row):
-        logs = F.lit(math.log(share))
-        for chance, v in zip(row, votes):
-            logs = logs + F.when(v == 1, math.log(1 - chance)).when(v == -1, math.log(chance)).otherwise(0.0)
-        return F.exp(logs)
-
-    good, *bad = (joint(s, row) for s, row in zip(shares, chances))
-    return good / sum(bad, good)
+        share = mass[0] / sum(mass)
+        chances = [[b / n for b, n in zip(*rows)] for rows in zip(bad, cast)]
+    return share, chances, [probability(share, chances, votes) for votes, _ in patterns]
+
+
+def probability(share: float, chances: list[list[float]], votes: tuple[int, ...]) -> float:
+    """Of being good, given the votes."""
+    odds = math.log(share / (1 - share)) + sum(math.log(g / b) if v < 0 else math.log((1 - g) / (1 - b)) for g, b, v in zip(*chances, votes) if v)
+    return 1 / (1 + math.exp(-odds)) if odds > -700 else 0.0
+
+
+def alike(patterns: list[tuple[tuple[int, ...], int]], good: list[float]) -> list[list[int]]:
+    """Rules in groups: two are together if their votes correlate by ``ALIKE`` or more within a class, over documents
+    on which both vote, and each votes bad there on at least one document."""
+    k = len(patterns[0][0]) if patterns else 0
+    group = list(range(k))
+    for i in range(k):
+        for j in range(i):
+            for side in (0, 1):
+                n = a = b = both = 0.0
+                for (votes, count), p in zip(patterns, good):
+                    if votes[i] and votes[j]:
+                        x = count * (1 - p if side else p)
+                        n, a, b, both = n + x, a + x * (votes[i] < 0), b + x * (votes[j] < 0), both + x * (votes[i] < 0 and votes[j] < 0)
+                spread = a * (n - a) * b * (n - b)
+                if min(a, b, n - a, n - b) >= 1 and n * both - a * b >= ALIKE * math.sqrt(spread):
+                    group = [group[i] if g == group[j] else g for g in group]
+    return [[j for j in range(k) if group[j] == g] for g in sorted(set(group))]
+
+
+def merged(votes: tuple[int, ...], groups: list[list[int]]) -> tuple[int, ...]:
+    """One vote of each group: what more of its rules say, none on a draw."""
+    sums = [sum(votes[j] for j in own) for own in groups]
+    return tuple((x > 0) - (x < 0) for x in sums)
+
+
+def posterior(share: float, chances: list[list[float]], votes: list[Column]) -> Column:
+    """``probability`` as a column."""
+    odds = F.lit(math.log(share / (1 - share)))
+    for g, b, v in zip(*chances, votes):
+        odds = odds + F.when(v > 0, math.log((1 - g) / (1 - b))).when(v < 0, math.log(g / b)).otherwise(0.0)
+    return 1 / (1 + F.exp(-odds))
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
-    """doc_id, the base counts, base_failed, kept, and the posterior probability of being good."""
+    """doc_id, the base counts, base_failed, kept, and the posterior probability of being good (0 if the base failed)."""
     work = Work(docs.sparkSession, "rules")
     counts = work.cut(features(docs), "features")  # a few numbers a document
-    votes = rules()
-    table = counts.groupBy(*(v.alias(name) for name, v in votes.items())).count().collect()  # at most 3 ** rules rows
-    shares, chances = estimate(sorted((tuple(row[:-1]), row[-1]) for row in table))
+    votes, failed = rules(), (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    table = counts.where(~failed).groupBy(*(v.alias(name) for name, v in votes.items())).count().collect()  # at most 3 ** rules rows
+    patterns = sorted((tuple(row[:-1]), row[-1]) for row in table)
+    groups = alike(patterns, estimate(patterns)[2])
+    again: dict[tuple[int, ...], int] = {}
+    for own, count in patterns:
+        again[merged(own, groups)] = again.get(merged(own, groups), 0) + count
+    share, chances, _ = estimate(sorted(again.items()))
     counts = counts.select("*", *(v.alias(f"vote_{name}") for name, v in votes.items()))
     cast = [F.col(f"vote_{name}") for name in votes]
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    out = counts.select("doc_id", *FEATURES[:5], failed.alias("base_failed"), posterior(shares, chances, cast).alias("quality"))
+    voters = [F.signum(sum((cast[j] for j in own[1:]), cast[own[0]])) for own in groups]
+    quality = F.when(failed, 0.0).otherwise(posterior(share, chances, voters))
+    out = counts.select("doc_id", *FEATURES[:5], failed.alias("base_failed"), quality.alias("quality"))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= KEEP_FROM))
