@@ -7,7 +7,11 @@ likeliest under one rule is then chosen bottom-up: below a node without main tex
 main text has some below it; so no ancestor contradicts a descendant.
 
 The trees are fitted here on pages that ``training_page`` composes from common layouts, with the main text known by
-construction; no table is needed. A null or empty page has an empty text; markup that never closes runs to the end.
+construction; no table is needed. They are fitted once a driver process and sent to the tasks (about 50 KB).
+
+A null or empty page has an empty text; markup that never closes runs to the end, but for the head, which ends where
+the first element or text of the body begins; pages of any length are parsed whole. Repeated rows give repeated rows;
+an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -24,7 +29,9 @@ from tarnworks.llm.common import per_batch
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|[^<]+|<", re.DOTALL)
 ATTRIBUTE = re.compile(r"\b(?:class|id|role|itemprop|aria-label|name)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
-RAW = {"script", "style", "template", "noscript", "iframe", "svg", "textarea", "title", "select", "head"}
+RAW = {"script", "style", "template", "noscript", "iframe", "svg", "textarea", "title", "select"}
+#: What a head may hold; anything else begins the body.
+IN_HEAD = {"base", "basefont", "bgsound", "link", "meta", "noframes", "head", *RAW} - {"iframe", "svg", "textarea", "select"}
 RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.IGNORECASE) for tag in RAW}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {
@@ -81,12 +88,15 @@ def parse(page: str) -> list[Node]:
         nodes.append(node)
         return len(nodes) - 1
 
-    at = 0
+    at, head = 0, False
     while at < len(page):
         m = TOKEN.match(page, at)
         at = m.end()
         if not m[2]:
             if page[m.start()] != "<" or m[0] == "<":
+                if head and not m[0].strip():
+                    continue
+                head = False
                 last = nodes[open_[-1]].children[-1:]
                 if last and nodes[last[0]].tag == "#text" and last[0] == len(nodes) - 1:
                     nodes[last[0]].text += m[0]
@@ -95,14 +105,16 @@ def parse(page: str) -> list[Node]:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag in ("html", "body"):
+            head = head and tag != "head"
+            if tag in ("html", "head", "body"):
                 continue
             for k in range(len(open_) - 1, 0, -1):
                 if nodes[open_[k]].tag == tag:
                     del open_[k:]
                     break
             continue
-        if tag in ("html", "body"):
+        head = (head or tag == "head") and tag in IN_HEAD
+        if tag in ("html", "head", "body") or head and tag not in RAW:
             continue
         if tag in RAW:
             if not m[3].endswith("/"):
@@ -317,6 +329,7 @@ class Trees:
         return out
 
 
+@cache
 def fit(pages: int = PAGES, seed: int = SEED) -> Trees:
     rng = random.Random(seed)
     xs, ys = [], []
