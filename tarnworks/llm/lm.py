@@ -4,25 +4,25 @@ A small network predicts every word of a text, masked, from three words on eithe
 each place around it, squashed, gives a distribution over 32 groups of words and one over the 32 words of a group.
 A document's score is the sum of the log-probabilities of all its words.
 
-Vocabulary: all words of the corpus are counted; the commonest get a number of their own, the others share buckets.
+Vocabulary: all words of the corpus are counted, by a 64-bit hash of each (two words that share one, at a chance of
+n ** 2 / 4e19 for n distinct words, count as one); the commonest get a number of their own, the others share buckets.
 A word in a bucket has the probability of the bucket, which the network gives, times the word's share of all that
 the bucket counts. So the probabilities of all distinct words of the corpus, however many, sum to one at each place.
 The counts of the words in buckets stay a table and never meet on one machine: documents are scored in blocks, the
 distinct words of each block are joined with that table, and the logarithms of their shares come back to the block.
+The same join tells which words the corpus holds only once; a document that occurs twice has none of them.
 
 Training: in each of ``ROUNDS`` rounds every task fits a copy of the network to all its documents of that round, in
 numpy, and passes on how the weights moved; a tree of tasks averages the moves by words. Every document trains in
 one round. What is gathered grows with the input: a row for each distinct word and task or block, and the weights
 of each task; the driver gets a list of 992 words, the totals of 32 buckets and one averaged network (1 MB).
 
-Null, empty and blank texts have no words: their sum is 0 and their mean null. Repeated rows count and are scored
-each. An empty table gives no rows.
+Null, empty and blank texts have no words: their sum is 0 and their mean null. Texts of any length are scored whole.
+Repeated rows count and are scored each. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -41,63 +41,89 @@ PLACES = [*range(-SIDE, 0), *range(1, SIDE + 1)]
 ROUNDS, STEP, SLICE, RATE, LANES, SEED = 2, 4096, 8192, 0.15, 16, 5  # STEP: words in each step of training; SLICE: scored at once
 #: Logits below this have exponentials that sum without overflow.
 SAFE = 60.0
-#: Distinct words that a task counts before it passes them on; a long text's words are handled in slices.
-MOST_COUNTED = 300_000
+#: Words that a task counts before it passes the counts on; a longer text is a part of its own.
+MOST_COUNTED = 2_000_000
+#: Words whose hashes a worker remembers.
+MOST_WORDS = 400_000
 #: Words in buckets, repeats included, and documents after which a block of documents ends; a longer text is a block of its own.
 BLOCK_WORDS, BLOCK_DOCS = 1_000_000, 20_000
 
 
+class Hashes(dict):
+    """64-bit hash of each word, as Spark's xxhash64 of its bytes."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > MOST_WORDS:
+            self.clear()
+        h = xxhash.xxh64_intdigest(word, 42)
+        self[word] = h = h - (1 << 64) if h >> 63 else h
+        return h
+
+
+KNOWN = Hashes()
+
+
 def split(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(LOWER).split()
 
 
+def hashes(text: str | None) -> np.ndarray:
+    """Hash of each word of a text, in order."""
+    words = split(text)
+    return np.fromiter(map(KNOWN.__getitem__, words), dtype=np.int64, count=len(words))
+
+
 def counted(docs: DataFrame) -> DataFrame:
-    """word and n of every distinct word of the documents."""
+    """word (its hash) and n of every distinct word of the documents."""
 
     def run(batches):
-        counts: Counter = Counter()
+        held, size = [], 0
+
+        def distinct():
+            words, n = np.unique(np.concatenate(held), return_counts=True)
+            return pd.DataFrame({"word": words, "n": n})
+
         for batch in batches:
             for text in batch["text"]:
-                counts.update(split(text))
-                if len(counts) > MOST_COUNTED:
-                    yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
-                    counts.clear()
-        if counts:
-            yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
+                held.append(hashes(text))
+                size += len(held[-1])
+                if size > MOST_COUNTED:
+                    yield distinct()
+                    held, size = [], 0
+        if size:
+            yield distinct()
 
-    return docs.select("text").mapInPandas(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInPandas(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(counts: DataFrame) -> tuple[dict[bytes, int], DataFrame]:
-    """Numbers of the commonest words, by count and then by bytes; word and log_share (in its bucket) of all others."""
+def vocabulary(counts: DataFrame) -> tuple[np.ndarray, DataFrame]:
+    """The commonest words, by count and then by hash; word, log_share (in its bucket) and once of all others."""
     top = counts.orderBy(F.desc("n"), "word").limit(WORDS - SHARED).collect()
-    known = {bytes(r.word): k for k, r in enumerate(top)}
-    n, last = (top[-1].n, bytearray(top[-1].word)) if len(top) == WORDS - SHARED else (0, bytearray())
-    others = counts.where((F.col("n") < n) | ((F.col("n") == n) & (F.col("word") > F.lit(last)))).withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(SHARED)).cast("int"))
+    known = np.array([r.word for r in top], dtype=np.int64)
+    n, last = (top[-1].n, top[-1].word) if len(top) == WORDS - SHARED else (0, 0)
+    others = counts.where((F.col("n") < n) | ((F.col("n") == n) & (F.col("word") > last))).withColumn("bucket", F.pmod(F.col("word"), F.lit(SHARED)).cast("int"))
     totals = dict(others.groupBy("bucket").agg(F.sum("n")).collect())  # SHARED rows
     total = F.array(*(F.lit(float(totals.get(k, 1))) for k in range(SHARED)))[F.col("bucket")]
-    return known, others.select("word", F.log(F.col("n") / total).alias("log_share"))
+    return known, others.select("word", F.log(F.col("n") / total).alias("log_share"), (F.col("n") == 1).alias("once"))
 
 
-class Numbers(dict):
-    """Number of each word; words outside the vocabulary share the last numbers by hash."""
+class Numbers:
+    """Number of each word: its place among the known ones; others share the last numbers by hash."""
 
-    def __init__(self, known: dict[bytes, int]):
-        super().__init__(known)
-        self.known = known
+    def __init__(self, known: np.ndarray):
+        self.place = np.argsort(known).astype(np.int32)
+        self.known = known[self.place]
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 250_000:
-            self.clear()
-            self.update(self.known)
-        self[word] = n = WORDS - SHARED + xxhash.xxh64_intdigest(word, 42) % SHARED  # as Spark's xxhash64
-        return n
+    def of_hashes(self, words: np.ndarray) -> np.ndarray:
+        out = (WORDS - SHARED + words % SHARED).astype(np.int32)
+        if len(self.known):
+            at = np.searchsorted(self.known, words).clip(max=len(self.known) - 1)
+            hit = self.known[at] == words
+            out[hit] = self.place[at[hit]]
+        return out
 
     def of(self, text: str | None) -> np.ndarray:
-        return self.of_words(split(text))
-
-    def of_words(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.int32, count=len(words))
+        return self.of_hashes(hashes(text))
 
 
 def fresh(seed: int = SEED) -> dict[str, np.ndarray]:
@@ -184,13 +210,21 @@ def step(net: dict, memory: dict, padded: np.ndarray, start: int, stop: int) ->
         back[at] += e @ net["word"][g].T
     back *= (1 - h * h) / n
     got["bias"] = back.sum(0)
-    got["around"] = np.zeros_like(net["around"])
-    flat, cells = back.ravel().astype(np.float64), np.arange(HIDDEN)
-    for k, numbers in enumerate(around):
-        got["around"][k] = np.bincount((numbers[:, None] * HIDDEN + cells).ravel(), flat, (WORDS + 1) * HIDDEN).reshape(WORDS + 1, HIDDEN)
     for name, g in got.items():
         memory[name] += g * g
         net[name] -= RATE * g / (np.sqrt(memory[name]) + 1e-6)
+    # rows of the tables: the slopes at all places of a word, for each place around, are summed in the words' order
+    window = padded[start : stop + 2 * SIDE]
+    spread = np.zeros((len(window) + 2 * SIDE, HIDDEN), dtype=np.float32)
+    spread[real + 2 * SIDE] = back
+    order = np.argsort(window, kind="stable")
+    words = window[order]
+    firsts = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
+    rows = words[firsts]
+    for k, p in enumerate(PLACES):
+        g = np.add.reduceat(spread[order + SIDE - p], firsts, axis=0)
+        memory["around"][k][rows] += g * g
+        net["around"][k][rows] -= RATE * g / (np.sqrt(memory["around"][k][rows]) + 1e-6)
 
 
 def fit_to(net: dict, texts, numbers: Numbers) -> tuple[dict, int]:
@@ -243,7 +277,7 @@ def summed(batches):
         yield pd.DataFrame({"part": [part], "move": [total.tobytes()], "n": [words]})
 
 
-def trained(docs: DataFrame, known: dict[bytes, int], rounds: int = ROUNDS) -> dict[str, np.ndarray]:
+def trained(docs: DataFrame, known: np.ndarray, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
     net = fresh()
     for turn in range(rounds):
 
@@ -286,13 +320,12 @@ class Block:
     """Documents scored together, and the words of theirs that lie in buckets."""
 
     def __init__(self):
-        self.ids, self.lengths, self.scores, self.seen, self.words, self.owners, self.size = [], [], [], {}, [], [], 0
+        self.ids, self.lengths, self.scores, self.words, self.owners, self.size = [], [], [], [], [], 0
 
-    def add(self, ids: list, texts: list[list[bytes]], numbers: list[np.ndarray], scores: list[float]) -> None:
-        seen = self.seen
-        for words, own in zip(texts, numbers):
-            rare = np.flatnonzero(own >= WORDS - SHARED)
-            self.words.append(np.fromiter((seen.setdefault(words[k], len(seen)) for k in rare.tolist()), dtype=np.int32, count=len(rare)))
+    def add(self, ids: list, words: list[np.ndarray], numbers: list[np.ndarray], scores: list[float]) -> None:
+        for own, n in zip(words, numbers):
+            rare = own[n >= WORDS - SHARED]
+            self.words.append(rare)
             self.owners.append(np.full(len(rare), len(self.owners), dtype=np.int32))
             self.size += len(rare)
         self.ids += ids
@@ -303,17 +336,22 @@ class Block:
         """A row for each distinct word, with a document number for each time it occurs, and one for the documents."""
         none = [i is None for i in self.ids]
         kept = np.array([[i or 0 for i in self.ids], none, self.lengths], dtype=np.int64).tobytes() + np.array(self.scores, dtype=np.float64).tobytes()
-        yield pa.RecordBatch.from_pydict({"block": pa.array([name], pa.int64()), "size": pa.array([len(self.ids)], pa.int32()), "word": pa.array([b" %d" % name], pa.binary()), "at": pa.array([kept], pa.binary())})
-        words, owners = np.concatenate(self.words), np.concatenate(self.owners)
-        flat = owners[np.argsort(words, kind="stable")].tobytes()
-        ends, known = [0, *(4 * np.cumsum(np.bincount(words, minlength=len(self.seen)))).tolist()], list(self.seen)
-        for start in range(0, len(known), 50_000):
-            part = range(start, min(start + 50_000, len(known)))
-            at = pa.array([flat[ends[k] : ends[k + 1]] for k in part], pa.binary())
-            yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(len(part), name)), "size": pa.array(np.zeros(len(part), np.int32)), "word": pa.array(known[start : part.stop], pa.binary()), "at": at})
-
-
-def in_blocks(known: dict[bytes, int], net: dict[str, np.ndarray]):
+        yield pa.RecordBatch.from_pydict({"block": pa.array([name], pa.int64()), "size": pa.array([len(self.ids)], pa.int32()), "word": pa.array([None], pa.int64()), "at": pa.array([kept], pa.binary())})
+        words = np.concatenate(self.words)
+        if not len(words):
+            return
+        order = np.argsort(words, kind="stable")
+        words, owners = words[order], np.concatenate(self.owners)[order]
+        firsts = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
+        ends = np.append(firsts, len(words))
+        for start in range(0, len(firsts), 50_000):
+            upto = min(start + 50_000, len(firsts))
+            offsets = ((ends[start : upto + 1] - ends[start]) * 4).astype(np.int32)
+            at = pa.Array.from_buffers(pa.binary(), upto - start, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(owners[ends[start] : ends[upto]].tobytes())])
+            yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(upto - start, name)), "size": pa.array(np.zeros(upto - start, np.int32)), "word": pa.array(words[firsts[start:upto]]), "at": at})
+
+
+def in_blocks(known: np.ndarray, net: dict[str, np.ndarray]):
     """A mapInArrow function from doc_id and text to the rows of blocks."""
 
     def run(batches):
@@ -323,8 +361,8 @@ def in_blocks(known: dict[bytes, int], net: dict[str, np.ndarray]):
             while start < len(ids):
                 words, held, size = [], [], 0
                 while start + len(held) < len(ids) and size < 16 * SLICE:
-                    words.append(split(texts[start + len(held)].as_py()))
-                    held.append(numbers.of_words(words[-1]))
+                    words.append(hashes(texts[start + len(held)].as_py()))
+                    held.append(numbers.of_hashes(words[-1]))
                     size += len(held[-1])
                 block.add(ids[start : start + len(held)], words, held, scored(net, held))
                 start += len(held)
@@ -337,17 +375,25 @@ def in_blocks(known: dict[bytes, int], net: dict[str, np.ndarray]):
     return run
 
 
+def numbers_in(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The 32-bit numbers in a column of bytes, in order, and how many each row holds."""
+    column = column.cast(pa.large_binary())
+    ends = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2][int(ends[0]) : int(ends[-1])].to_pybytes(), dtype=np.int32), np.diff(ends) // 4
+
+
 def added_up(batches):
     """Scores of the documents of each block, whose rows stream by in order, the one for the documents first."""
-    ids, none, lengths, scores = (), None, None, None
+    ids, none, lengths, scores, unseen = (), None, None, None, None
 
     def done():
         with np.errstate(invalid="ignore", divide="ignore"):
             mean = scores / lengths
-        return pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, mask=none), "n_words": pa.array(lengths), "log_prob": pa.array(scores), "mean_log_prob": pa.array(mean, mask=lengths == 0)})
+        return pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, mask=none), "n_words": pa.array(lengths), "log_prob": pa.array(scores), "mean_log_prob": pa.array(mean, mask=lengths == 0), "n_unseen": pa.array(unseen)})
 
     for batch in batches:
-        sizes, at, shares = batch.column("size").to_numpy(), batch.column("at"), batch.column("log_share").to_numpy(zero_copy_only=False)
+        sizes, at = batch.column("size").to_numpy(), batch.column("at")
+        shares, once = batch.column("log_share").to_numpy(zero_copy_only=False), batch.column("once").fill_null(False).to_numpy(zero_copy_only=False)
         firsts = np.flatnonzero(sizes).tolist()
         for start, stop in zip([0, *firsts], [*firsts, len(sizes)]):
             if start < stop and sizes[start]:
@@ -356,20 +402,22 @@ def added_up(batches):
                 kept = at[start].as_py()
                 ids, none, lengths = np.frombuffer(kept[: 24 * sizes[start]], dtype=np.int64).reshape(3, -1)
                 none, scores = none.astype(bool), np.frombuffer(kept[24 * sizes[start] :]).copy()
+                unseen = np.zeros(len(ids), dtype=np.int64)
                 start += 1
             if start < stop:
-                own = at.slice(start, stop - start).to_pylist()
-                owners = np.frombuffer(b"".join(own), dtype=np.int32)
-                scores += np.bincount(owners, np.repeat(shares[start:stop], np.fromiter(map(len, own), dtype=np.int64, count=len(own)) // 4), len(scores))
+                owners, times = numbers_in(at.slice(start, stop - start))
+                scores += np.bincount(owners, np.repeat(shares[start:stop], times), len(scores))
+                unseen += np.bincount(owners[np.repeat(once[start:stop], times)], minlength=len(scores))
     if len(ids):
         yield done()
 
 
 def lm_scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, n_words, log_prob (the sum over all words) and mean_log_prob of every row of ``docs``."""
+    """doc_id, n_words, log_prob (the sum over all words), mean_log_prob and n_unseen (words that occur nowhere else in
+    the corpus, which is what a model of the rest of it has not seen) of every row of ``docs``."""
     work = Work(docs.sparkSession, "lm_scores")
     known, shares = vocabulary(work.cut(counted(docs), "counts"))
     net = trained(docs, known, rounds)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(in_blocks(known, net), "block long, size int, word binary, at binary")
-    joined = rows.join(shares, "word", "left").select("block", "size", "at", "log_share")  # the documents' row has no word
-    return joined.repartition("block").sortWithinPartitions("block", F.desc("size")).mapInArrow(added_up, "doc_id long, n_words long, log_prob double, mean_log_prob double")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(in_blocks(known, net), "block long, size int, word long, at binary")
+    joined = rows.join(shares, "word", "left").select("block", "size", "at", "log_share", "once")  # the documents' row has no word
+    return joined.repartition("block").sortWithinPartitions("block", F.desc("size")).mapInArrow(added_up, "doc_id long, n_words long, log_prob double, mean_log_prob double, n_unseen long")

@@ -92,30 +92,87 @@ def test_rare_words_are_scored_as_words(spark):
     rng, rare = random.Random(6), [f"r{k}" for k in range(300)]
     rows = [(k, " ".join(common * 4)) for k in range(4)]
     rows += [(10 + k, " ".join(rng.choices(rare + common[:50], [1 + j % 5 for j in range(350)], k=40))) for k in range(100)]
+    rows += [(200, "alone c001 c002 alone other"), (201, None)]
     frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).cache()
     counts: dict[bytes, int] = {}
     for _, text in rows:
         for w in lm.split(text):
             counts[w] = counts.get(w, 0) + 1
-    top = sorted(counts, key=lambda w: (-counts[w], w))[: lm.WORDS - lm.SHARED]
+    hashed = {w: int(lm.hashes(w.decode())[0]) for w in counts}
+    assert len(set(hashed.values())) == len(counts)
+    top = sorted(counts, key=lambda w: (-counts[w], hashed[w]))[: lm.WORDS - lm.SHARED]
     known, shares = lm.vocabulary(lm.counted(frame).cache())
-    assert known == {w: k for k, w in enumerate(top)}
+    assert known.tolist() == [hashed[w] for w in top]
     numbers, totals = lm.Numbers(known), {}
-    for w, n in counts.items():
-        if w not in known:
-            totals[numbers[w]] = totals.get(numbers[w], 0) + n
-    expected = {w: np.log(n / totals[numbers[w]]) for w, n in counts.items() if w not in known}
-    assert len(expected) > 250 and {bytes(r.word): r.log_share for r in shares.collect()} == pytest.approx(expected)
+    bucket = {w: int(numbers.of(w.decode())[0]) for w in counts}
+    assert [bucket[w] for w in top] == list(range(len(top)))
+    rest = set(counts) - set(top)
+    for w in rest:
+        totals[bucket[w]] = totals.get(bucket[w], 0) + counts[w]
+    expected = {w: np.log(counts[w] / totals[bucket[w]]) for w in rest}
+    assert len(expected) > 250 and min(bucket[w] for w in rest) >= lm.WORDS - lm.SHARED
+    assert {r.word: (r.log_share, r.once) for r in shares.collect()} == {hashed[w]: (pytest.approx(x), counts[w] == 1) for w, x in expected.items()}
     net = lm.trained(frame, known)
     base = lm.scored(net, [numbers.of(text) for _, text in rows])
     wanted = {k: b + sum(expected.get(w, 0.0) for w in lm.split(text)) for (k, text), b in zip(rows, base)}
-    assert {r.doc_id: r.log_prob for r in lm.lm_scores(frame).collect()} == pytest.approx(wanted, rel=1e-5)
+    got = lm.lm_scores(frame).collect()
+    assert {r.doc_id: r.log_prob for r in got} == pytest.approx(wanted, rel=1e-5)
+    assert {r.doc_id: r.n_unseen for r in got} == {k: sum(counts[w] == 1 for w in lm.split(text)) for k, text in rows}
+
+
+def test_one_step_equals_a_plain_one():
+    rng = np.random.default_rng(5)
+    padded = np.concatenate([np.full(3, lm.WORDS), rng.integers(0, 40, 700), np.full(3, lm.WORDS), rng.integers(0, 40, 90), np.full(3, lm.WORDS)]).astype(np.int32)
+    net, memory = lm.fresh(), {k: np.full_like(v, 1e-6) for k, v in lm.fresh().items()}
+    before = {k: v.copy() for k, v in net.items()}
+    lm.step(net, memory, padded, 0, 600)
+    at = [i for i in range(600) if padded[i + 3] < lm.WORDS]
+    loss = lambda n: -lm.log_probabilities(n, [np.array([padded[i + 3 + p] for i in at]) for p in lm.PLACES], padded[[i + 3 for i in at]]).mean()
+    wide = {k: v.astype(np.float64) for k, v in before.items()}
+    for name, cell in (("around", (1, 7, 5)), ("around", (5, lm.WORDS, 2)), ("bias", (4,)), ("word", (0, 3, 6)), ("group", (2, 1))):
+        own = wide[name][cell]
+        wide[name][cell] = own + 1e-4
+        up = loss(wide)
+        wide[name][cell] = own - 1e-4
+        slope = (up - loss(wide)) / 2e-4
+        wide[name][cell] = own
+        moved = lm.RATE * slope / (np.sqrt(1e-6 + slope**2) + 1e-6)
+        assert before[name][cell] - net[name][cell] == pytest.approx(moved, rel=0.02, abs=1e-4)
+    unseen = np.setdiff1d(np.arange(lm.WORDS), padded)
+    assert np.array_equal(net["around"][:, unseen], before["around"][:, unseen])
+
+
+def test_held_out_gain_over_counts_of_words(spark):
+    table = read(spark, SF, "documents")
+    mine, other = (table.where(f"doc_id % 2 = {k}") for k in (0, 1))
+    counts = lm.counted(mine).cache()
+    known, _ = lm.vocabulary(counts)
+    numbers, net = lm.Numbers(known), lm.trained(mine, known)
+    n = np.ones(lm.WORDS)
+    for r in counts.collect():
+        n[numbers.of_hashes(np.array([r.word]))[0]] += r.n
+    texts = [numbers.of(r.text) for r in other.select("text").collect()]
+    plain = np.log(n / n.sum())
+    total = sum(map(len, texts))
+    gain = (sum(lm.scored(net, texts)) - sum(plain[t].sum() for t in texts)) / total
+    print("held-out gain, nats a word:", gain)
+    assert gain > 0.15
+
+
+def test_documents_that_occur_twice_are_scored_apart(spark):
+    table = read(spark, SF, "documents")
+    copies = Counter(r.text for r in table.collect())
+    rows = lm.lm_scores(table).join(table, "doc_id").where("n_words >= 50").collect()
+    twice, share = [int(copies[r.text] > 1) for r in rows], [-r.n_unseen / r.n_words for r in rows]
+    assert sum(twice) > 5 and all(r.n_unseen == 0 for r in rows if copies[r.text] > 1)
+    print("area:", auc(twice, share))
+    assert auc(twice, share) > 0.9
 
 
 def test_training_steps_of_4096_words(monkeypatch):
     seen = []
     monkeypatch.setattr(lm, "step", lambda net, memory, padded, start, stop: seen.append(stop - start))
-    lm.fit_to(lm.fresh(), ["a " * 50_000], lm.Numbers({b"a": 0}))
+    lm.fit_to(lm.fresh(), ["a " * 50_000], lm.Numbers(lm.hashes("a")))
     assert max(seen) == 4096 and sum(seen) >= 50_000
 
 
