@@ -23,6 +23,9 @@ Repeated rows count and are scored each. An empty table gives no rows.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -32,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnworks.llm.common import Work
-from tarnworks.llm.shingles import LOWER
+from tarnworks.llm.shingles import LOWER, mixed
 
 GROUPS, PER_GROUP, SIDE, HIDDEN = 32, 32, 3, 32
 SHARED = 32
@@ -43,34 +46,89 @@ ROUNDS, STEP, SLICE, RATE, LANES, SEED = 2, 4096, 8192, 0.15, 16, 5  # STEP: wor
 SAFE = 60.0
 #: Words that a task counts before it passes the counts on; a longer text is a part of its own.
 MOST_COUNTED = 2_000_000
-#: Words whose hashes a worker remembers.
-MOST_WORDS = 400_000
 #: Words in buckets, repeats included, and documents after which a block of documents ends; a longer text is a block of its own.
 BLOCK_WORDS, BLOCK_DOCS = 1_000_000, 20_000
 
 
-class Hashes(dict):
-    """64-bit hash of each word, as Spark's xxhash64 of its bytes."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > MOST_WORDS:
-            self.clear()
-        h = xxhash.xxh64_intdigest(word, 42)
-        self[word] = h = h - (1 << 64) if h >> 63 else h
-        return h
+def powers(base: int, count: int) -> np.ndarray:
+    out = np.full(count, base, dtype=np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
 
 
-KNOWN = Hashes()
+#: Bytes that are hashed at a time; longer words have a hash of another kind, wherever they stand.
+SPAN, LONG = 1 << 18, 1 << 12
+WHITE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+#: A number for each byte, the same for A to Z and a to z, none for white space; and powers of an odd number and of its inverse.
+LETTERS = np.random.default_rng(23).integers(1, 1 << 63, 256, dtype=np.uint64)[np.frombuffer(LOWER, dtype=np.uint8)] * ~WHITE
+BASE = 0x9E3779B97F4A7C15
+POWERS, INVERSES = powers(BASE, SPAN + 1), powers(pow(BASE, -1, 1 << 64), SPAN + 1)
 
 
 def split(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(LOWER).split()
 
 
+def of_long(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word.translate(LOWER), 42)
+
+
+def in_span(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word of up to ``SPAN`` bytes, and where it starts: sums of letters times powers, told apart by sums so far."""
+    raw = np.frombuffer(data, dtype=np.uint8)
+    edge = np.flatnonzero(np.diff(WHITE[raw], prepend=True, append=True))
+    starts, stops = edge[::2], edge[1::2]
+    sums = np.zeros(len(raw) + 1, dtype=np.uint64)
+    np.cumsum(LETTERS[raw] * POWERS[: len(raw)], out=sums[1:])
+    words = mixed((sums[stops] - sums[starts]) * INVERSES[starts])
+    for k in np.flatnonzero(stops - starts > LONG):
+        words[k] = of_long(data[starts[k] : stops[k]])
+    return words.view(np.int64), starts
+
+
+def in_long(data: bytes) -> np.ndarray:
+    """Hash of each word of a text of any length, span by span, cut at white space."""
+    out, at = [], 0
+    while at < len(data):
+        stop = at + SPAN
+        if stop < len(data):
+            gaps = np.flatnonzero(WHITE[np.frombuffer(data, dtype=np.uint8, count=SPAN, offset=at)])
+            stop = at + int(gaps[-1]) + 1 if len(gaps) else at
+        if stop == at:  # a word longer than a span
+            found = re.search(rb"[\x20\x09-\x0D]", data[at:])
+            stop = at + found.start() if found else len(data)
+            out.append(np.array([of_long(data[at:stop])], dtype=np.uint64).view(np.int64))
+        else:
+            out.append(in_span(data[at:stop])[0])
+        at = stop
+    return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
+
+
+def hashed(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+    """Hash of each word of each text, in order; short texts are handled together."""
+    held, size = [], 0
+
+    def together():
+        words, starts = in_span(b" ".join(held))
+        ends = np.cumsum([len(d) + 1 for d in held])
+        return np.split(words, np.searchsorted(starts, ends[:-1]))
+
+    for text in texts:
+        data = (text or "").encode()
+        if held and size + len(data) >= SPAN:
+            yield from together()
+            held, size = [], 0
+        if len(data) >= SPAN:
+            yield in_long(data)
+        else:
+            held.append(data)
+            size += len(data) + 1
+    if held:
+        yield from together()
+
+
 def hashes(text: str | None) -> np.ndarray:
-    """Hash of each word of a text, in order."""
-    words = split(text)
-    return np.fromiter(map(KNOWN.__getitem__, words), dtype=np.int64, count=len(words))
+    return next(hashed([text]))
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -83,13 +141,12 @@ def counted(docs: DataFrame) -> DataFrame:
             words, n = np.unique(np.concatenate(held), return_counts=True)
             return pd.DataFrame({"word": words, "n": n})
 
-        for batch in batches:
-            for text in batch["text"]:
-                held.append(hashes(text))
-                size += len(held[-1])
-                if size > MOST_COUNTED:
-                    yield distinct()
-                    held, size = [], 0
+        for own in hashed(t for batch in batches for t in batch["text"]):
+            held.append(own)
+            size += len(own)
+            if size > MOST_COUNTED:
+                yield distinct()
+                held, size = [], 0
         if size:
             yield distinct()
 
@@ -164,29 +221,37 @@ def hidden(net: dict, around: list[np.ndarray]) -> np.ndarray:
     return np.tanh(h, out=h)
 
 
-def by_group(groups: np.ndarray):
-    order = np.argsort(groups, kind="stable")
-    ends = np.searchsorted(groups[order], np.arange(GROUPS + 1))
-    for g in range(GROUPS):
-        if ends[g] < ends[g + 1]:
-            yield g, order[ends[g] : ends[g + 1]]
+def by_group(groups: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order that puts words of a group together, and (group, start, stop) in that order."""
+    order = np.argsort(groups.astype(np.int8), kind="stable")
+    ends = np.searchsorted(groups[order], np.arange(GROUPS + 1)).tolist()
+    return order, [(g, a, b) for g, (a, b) in enumerate(zip(ends, ends[1:])) if a < b]
+
+
+def word_logits(net: dict, h: np.ndarray, groups: np.ndarray, parts: list[tuple[int, int, int]]) -> np.ndarray:
+    """Logits of the words of each one's group, for words in the order of ``by_group``."""
+    out = np.empty((len(h), PER_GROUP), dtype=h.dtype)
+    for g, a, b in parts:
+        np.matmul(h[a:b], net["word"][g], out=out[a:b])
+    out += net["word_bias"].take(groups, axis=0)
+    return out
 
 
 def log_probabilities(net: dict, around: list[np.ndarray], target: np.ndarray) -> np.ndarray:
-    h = hidden(net, around)
+    h, every = hidden(net, around), np.arange(len(target))
     groups, own = target // PER_GROUP, target % PER_GROUP
-    group_bound, word_bound = bound_of(net["group"], net["group_bias"]), bound_of(net["word"], net["word_bias"])
     logits = h @ net["group"] + net["group_bias"]
-    out = (logits[np.arange(len(target)), groups] - log_sums(logits, group_bound)).astype(np.float64)
-    for g, at in by_group(groups):
-        logits = h[at] @ net["word"][g] + net["word_bias"][g]
-        out[at] += logits[np.arange(len(at)), own[at]] - log_sums(logits, word_bound)
+    out = (logits[every, groups] - log_sums(logits, bound_of(net["group"], net["group_bias"]))).astype(np.float64)
+    order, parts = by_group(groups)
+    logits = word_logits(net, h[order], groups[order], parts)
+    out[order] += logits[every, own[order]] - log_sums(logits, bound_of(net["word"], net["word_bias"]))
     return out
 
 
 def softmax(x: np.ndarray, bound: float) -> np.ndarray:
     e = np.exp(x if bound < SAFE else x - x.max(1, keepdims=True))
-    return e / e.sum(1, keepdims=True)
+    e /= e.sum(1, keepdims=True)
+    return e
 
 
 def step(net: dict, memory: dict, padded: np.ndarray, start: int, stop: int) -> None:
@@ -197,17 +262,21 @@ def step(net: dict, memory: dict, padded: np.ndarray, start: int, stop: int) ->
     around = [a[real] for a in contexts(padded, start, stop)]
     target = padded[start + SIDE : stop + SIDE][real]
     h, n = hidden(net, around), len(real)
-    groups, own = target // PER_GROUP, target % PER_GROUP
-    group_bound, word_bound = bound_of(net["group"], net["group_bias"]), bound_of(net["word"], net["word_bias"])
-    error = softmax(h @ net["group"] + net["group_bias"], group_bound)
-    error[np.arange(n), groups] -= 1
+    groups, own, every = target // PER_GROUP, target % PER_GROUP, np.arange(n)
+    error = softmax(h @ net["group"] + net["group_bias"], bound_of(net["group"], net["group_bias"]))
+    error[every, groups] -= 1
     got = {"group": h.T @ error / n, "group_bias": error.sum(0) / n, "word": np.zeros_like(net["word"]), "word_bias": np.zeros_like(net["word_bias"])}
     back = error @ net["group"].T
-    for g, at in by_group(groups):
-        e = softmax(h[at] @ net["word"][g] + net["word_bias"][g], word_bound)
-        e[np.arange(len(at)), own[at]] -= 1
-        got["word"][g], got["word_bias"][g] = h[at].T @ e / n, e.sum(0) / n
-        back[at] += e @ net["word"][g].T
+    order, parts = by_group(groups)
+    sorted_h, sorted_back = h[order], np.empty_like(h)
+    error = softmax(word_logits(net, sorted_h, groups[order], parts), bound_of(net["word"], net["word_bias"]))
+    error[every, own[order]] -= 1
+    for g, a, b in parts:
+        np.matmul(sorted_h[a:b].T, error[a:b], out=got["word"][g])
+        np.matmul(error[a:b], net["word"][g].T, out=sorted_back[a:b])
+    got["word"] /= n
+    got["word_bias"][[g for g, _, _ in parts]] = np.add.reduceat(error, [a for _, a, _ in parts], axis=0) / n
+    back[order] += sorted_back
     back *= (1 - h * h) / n
     got["bias"] = back.sum(0)
     for name, g in got.items():
@@ -222,9 +291,10 @@ def step(net: dict, memory: dict, padded: np.ndarray, start: int, stop: int) ->
     firsts = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
     rows = words[firsts]
     for k, p in enumerate(PLACES):
-        g = np.add.reduceat(spread[order + SIDE - p], firsts, axis=0)
-        memory["around"][k][rows] += g * g
-        net["around"][k][rows] -= RATE * g / (np.sqrt(memory["around"][k][rows]) + 1e-6)
+        g = np.add.reduceat(spread.take(order + (SIDE - p), axis=0), firsts, axis=0)
+        seen = memory["around"][k][rows] + g * g
+        memory["around"][k][rows] = seen
+        net["around"][k][rows] -= RATE * g / (np.sqrt(seen) + 1e-6)
 
 
 def fit_to(net: dict, texts, numbers: Numbers) -> tuple[dict, int]:
@@ -237,8 +307,8 @@ def fit_to(net: dict, texts, numbers: Numbers) -> tuple[dict, int]:
         for start in range(0, len(padded) - 2 * SIDE, STEP):
             step(net, memory, padded, start, min(start + STEP, len(padded) - 2 * SIDE))
 
-    for text in texts:
-        own = numbers.of(text)
+    for words in hashed(texts):
+        own = numbers.of_hashes(words)
         total += len(own)
         held += [own, gap]
         size += len(own)
@@ -357,11 +427,11 @@ def in_blocks(known: np.ndarray, net: dict[str, np.ndarray]):
     def run(batches):
         numbers, block, name = Numbers(known), Block(), TaskContext.get().partitionId() << 32
         for batch in batches:
-            ids, texts, start = batch.column("doc_id").to_pylist(), batch.column("text"), 0
+            ids, texts, start = batch.column("doc_id").to_pylist(), hashed(t.as_py() for t in batch.column("text")), 0
             while start < len(ids):
                 words, held, size = [], [], 0
                 while start + len(held) < len(ids) and size < 16 * SLICE:
-                    words.append(hashes(texts[start + len(held)].as_py()))
+                    words.append(next(texts))
                     held.append(numbers.of_hashes(words[-1]))
                     size += len(held[-1])
                 block.add(ids[start : start + len(held)], words, held, scored(net, held))

@@ -120,6 +120,20 @@ def test_rare_words_are_scored_as_words(spark):
     assert {r.doc_id: r.n_unseen for r in got} == {k: sum(counts[w] == 1 for w in lm.split(text)) for k, text in rows}
 
 
+def test_hashes_of_words(monkeypatch):
+    rng = random.Random(3)
+    monkeypatch.setattr(lm, "SPAN", 64)
+    monkeypatch.setattr(lm, "LONG", 20)
+    texts = ["".join(rng.choice("abAB \n\té ") for _ in range(rng.choice([0, 3, 30, 200, 900]))) for _ in range(400)] + ["x" * 50, "y" * 300 + " b", " " + "z" * 100 + " ", "X" * 50, None, "x" * 20]
+    seen: dict[bytes, int] = {}
+    for text, got in zip(texts, lm.hashed(texts), strict=True):
+        words = lm.split(text)
+        assert len(words) == len(got)
+        for w, h in zip(words, got.tolist()):
+            assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(seen) > 300
+
+
 def test_one_step_equals_a_plain_one():
     rng = np.random.default_rng(5)
     padded = np.concatenate([np.full(3, lm.WORDS), rng.integers(0, 40, 700), np.full(3, lm.WORDS), rng.integers(0, 40, 90), np.full(3, lm.WORDS)]).astype(np.int32)
