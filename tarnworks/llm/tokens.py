@@ -15,7 +15,7 @@ from array import array
 #: Cuts are made only where neither side is white space by Unicode's rules or Python's.
 SAFE = re.compile(r"(?<=\S) (?=\S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
 VOCABULARY = "byte_bpe_50k.json"
-MOST_PIECES = 500_000
+MOST_PIECES = 250_000
 TAIL = ".,;:!?"
 
 
