@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -174,3 +175,45 @@ def co_authors(message: Column) -> Column:
 def requirement_sentences(x: Column) -> Column:
     """Sentences that say what must, shall or should be."""
     return F.filter(F.split(x, r"(?<=[.!?])\s+"), lambda s: s.rlike(r"(?i)\b(must|shall|should|required to|needs to)\b"))
+
+
+def glob_pattern(glob: str) -> str:
+    """Regular expression of a path pattern: ** any depth, * within a segment, ? one character."""
+    parts = re.split(r"(\*\*/?|\*|\?)", glob)
+    shown = {"**": ".*", "**/": ".*", "*": "[^/]*", "?": "[^/]"}
+    return "^" + "".join(shown[p] if p in shown else re.escape(p) for p in parts) + "$"
+
+
+def item_slug(title: Column, item: Column) -> Column:
+    """Lower-case words of ASCII letters, digits and underscores joined by hyphens, at most 40 characters; else the start of the identifier."""
+    words = F.regexp_replace(F.regexp_replace(F.lower(F.trim(title)), r"[^A-Za-z0-9_\s-]", ""), r"[\s-]+", "-")
+    cut = F.regexp_replace(F.substring(F.regexp_replace(words, r"^-+|-+$", ""), 1, 40), r"-+$", "")
+    return F.coalesce(F.nullif(cut, F.lit("")), F.substring(item, 1, 8))
+
+
+def source_branch(subject: Column) -> Column:
+    """The branch that a merge's subject names, without the owner of a pull request or the name of a remote."""
+    pull = F.regexp_extract(subject, r"^Merge pull request #\d+ from (?:[^\s/]*/)?(\S+)", 1)
+    remote = F.regexp_extract(subject, r"^Merge remote-tracking branch '(?:[^'/]*/)?([^']+)'", 1)
+    plain = F.regexp_extract(subject, r"^Merge branch '([^']+)'", 1)
+    return F.coalesce(*(F.nullif(x, F.lit("")) for x in (pull, remote, plain)))
+
+
+def identifier_counts(code: Column) -> Column:
+    """Map from each identifier of a text to how often it occurs."""
+    found = F.array_sort(F.regexp_extract_all(code, F.lit(r"([A-Za-z_$][A-Za-z0-9_$]*)"), F.lit(1)))
+    names = F.array_distinct(found)
+    return F.map_from_entries(F.transform(names, lambda n: F.struct(n, F.size(F.filter(found, lambda x: x == n)).cast("long"))))
+
+
+def import_weight(symbols: Column, counts: Column, most: int = 10) -> Column:
+    """Uses of imported names beyond the import itself, 1 at least and ``most`` at most; 1 if none is counted."""
+    named = F.filter(symbols, lambda s: ~s.isin("*", "default") & F.map_contains_key(counts, s))
+    total = F.aggregate(named, F.lit(0).cast("long"), lambda a, s: a + F.greatest(F.lit(0).cast("long"), F.element_at(counts, s) - 1))
+    return F.least(F.lit(most).cast("long"), F.greatest(F.lit(1).cast("long"), total))
+
+
+def counted_map(values: Column) -> Column:
+    """Map from each value of an array to how often it occurs, in the values' order."""
+    names = F.array_sort(F.array_distinct(values))
+    return F.map_from_entries(F.transform(names, lambda n: F.struct(n, F.size(F.filter(values, lambda x: x == n)).cast("long"))))

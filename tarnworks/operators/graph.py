@@ -192,38 +192,60 @@ def neighbour_moves(edges: DataFrame, places: DataFrame, share: float = 0.8, lea
     return counted.join(places, "path").where((F.col("there") != F.col("directory")) & (F.col("n") >= least) & (F.col("n") > share * F.col("all"))).select("path", "directory", "there", "n", "all")
 
 
-def louvain(edges: DataFrame, group: str, resolution: float = 1.0, passes: int = 100) -> DataFrame:
+def neighbours(part: pd.DataFrame) -> dict[str, dict[str, float]]:
+    """Weights by node and neighbour, of edges (src, dst, w) in both directions."""
+    near: dict[str, dict[str, float]] = {}
+    for a, b, w in zip(part["src"], part["dst"], part["w"]):
+        near.setdefault(a, {})[b] = near.get(a, {}).get(b, 0.0) + w
+    return near
+
+
+def local_moves(near: dict[str, dict[str, float]], resolution: float, passes: int, total: float | None = None, start: dict[str, str] | None = None) -> dict[str, str]:
+    """Community of each node after passes of moves, until one moves none."""
+    degree = {n: sum(x.values()) for n, x in near.items()}
+    total = sum(degree.values()) if total is None else total
+    home = {n: (start or {}).get(n, n) for n in near}
+    held: dict[str, float] = {}
+    for n, c in home.items():
+        held[c] = held.get(c, 0.0) + degree[n]
+    for _ in range(passes if total else 0):
+        moved = False
+        for n in sorted(near):
+            links: dict[str, float] = {}
+            for other, w in near[n].items():
+                if other != n and other in home:
+                    links[home[other]] = links.get(home[other], 0.0) + w
+            own = home[n]
+            rest = held[own] - degree[n]
+            best, gain = own, 0.0
+            for c in sorted(links):
+                if c != own and (g := (links[c] - links.get(own, 0.0)) / total - 2 * resolution * degree[n] * (held[c] - rest) / total**2) > gain:
+                    best, gain = c, g
+            if best != own:
+                held[own] -= degree[n]
+                held[best] += degree[n]
+                home[n], moved = best, True
+        if not moved:
+            break
+    return home
+
+
+def louvain(edges: DataFrame, group: str, resolution: float = 1.0, passes: int = 100, most_nodes: int = 1_000_000) -> DataFrame:
     """Communities by sequential local moves, exactly, for one bounded graph (a connected component) per ``group``.
 
     Nodes go in order of name and move to the neighbouring community of greatest gain, the lesser name on a tie,
-    until a pass moves none. The gain of a move is (w_c - w_own) / m2 - 2 γ k (S_c - S_own) / m2².
+    until a pass moves none. The gain of a move is (w_c - w_own) / m2 - 2 γ k (S_c - S_own) / m2², where m2 is the
+    weight of the group, or of the whole graph if ``edges`` have it as a column m2. A node starts in the community
+    that a column ``start`` of its edges names, else in its own. A group of more nodes than ``most_nodes`` raises an
+    error; ``propagated_labels`` is for those.
     """
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        near: dict[str, dict[str, float]] = {}
-        for a, b, w in zip(part["src"], part["dst"], part["w"]):
-            near.setdefault(a, {})[b] = near.get(a, {}).get(b, 0.0) + w
-        degree = {n: sum(x.values()) for n, x in near.items()}
-        total, home, held = sum(degree.values()), {n: n for n in near}, dict(degree)
-        for _ in range(passes if total else 0):
-            moved = False
-            for n in sorted(near):
-                links: dict[str, float] = {}
-                for other, w in near[n].items():
-                    if other != n and other in home:
-                        links[home[other]] = links.get(home[other], 0.0) + w
-                own = home[n]
-                rest = held[own] - degree[n]
-                best, gain = own, 0.0
-                for c in sorted(links):
-                    if c != own and (g := (links[c] - links.get(own, 0.0)) / total - 2 * resolution * degree[n] * (held[c] - rest) / total**2) > gain + 1e-12:
-                        best, gain = c, g
-                if best != own:
-                    held[own] -= degree[n]
-                    held[best] += degree[n]
-                    home[n], moved = best, True
-            if not moved:
-                break
+        near = neighbours(part)
+        if len(near) > most_nodes:
+            raise ValueError(f"a group has {len(near)} nodes, more than {most_nodes}")
+        total = float(part["m2"].iloc[0]) if "m2" in part else None
+        home = local_moves(near, resolution, passes, total, dict(zip(part["src"], part["start"])) if "start" in part else None)
         return pd.DataFrame({group: part[group].iloc[0], "node": list(home), "community": list(home.values())})
 
     kind = edges.schema[group].dataType.simpleString()
@@ -236,21 +258,10 @@ def propagated_labels(edges: DataFrame, rounds: int) -> DataFrame:
     labels = edges.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node"))
     for _ in range(rounds):
         around = edges.join(labels.select(F.col("node").alias("dst"), "community"), "dst").groupBy(F.col("src").alias("node"), "community").agg(F.sum("w").alias("w"))
-        labels = around.groupBy("node").agg(F.max_by("community", F.struct("w", F.struct((-F.xxhash64("community")).alias("h")))).alias("community"))
+        labels = cut_afresh(around.groupBy("node").agg(F.max_by("community", F.struct("w", F.struct((-F.xxhash64("community")).alias("h")))).alias("community")))
     return labels
 
 
-def merge_small(members: DataFrame, flows: DataFrame, least: int = 3) -> DataFrame:
-    """Communities under a size join the neighbour that they share most weight with, the lesser name on a tie.
-
-    ``members``: node, community; ``flows``: a, b, w between communities, in both directions.
-    """
-    small = members.groupBy("community").count().where(F.col("count") < least).select(F.col("community").alias("a"))
-    best = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("w"), "b"))
-    into = flows.join(small, "a").where("a != b").withColumn("rn", best).where("rn = 1").select(F.col("a").alias("community"), F.col("b").alias("into"))
-    return members.join(into, "community", "left").select("node", F.coalesce("into", "community").alias("community"))
-
-
 def partition_similarity(a: DataFrame, b: DataFrame) -> DataFrame:
     """Mean over the zones of ``a`` of the best Jaccard with a zone of ``b``; only zones that share files are compared."""
     size = lambda t, n: t.groupBy("zone").agg(F.count("*").alias(n))

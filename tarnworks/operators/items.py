@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnworks.functions.scalars import half_up
-from tarnworks.functions.text import facet_value, is_facet, keywords
+from tarnworks.functions.scalars import half_up, priority_rank
+from tarnworks.functions.text import facet_value, is_facet, keywords, matched_keywords
 
 #: Rank of how much a change means.
 SIGNIFICANCE = {"patch": 0, "minor": 1, "major": 2}
@@ -107,12 +107,12 @@ def pending_leaves(items: DataFrame) -> DataFrame:
 
 
 def requirement_scores(pairs: DataFrame, requirements: DataFrame, tolerance: str = "medium") -> DataFrame:
-    """Per item: what its own and inherited requirements add, each once: 1, and more by priority and category.
+    """Per item: what its own and inherited requirements add, each once: 1, and more by priority (medium if none) and category.
 
     requirements: id, requirement, priority, category. The less risk is tolerated, the more those weigh.
     """
     m = RISK_MULTIPLIERS[tolerance]
-    p, c = F.col("priority"), F.col("category")
+    p, c = F.coalesce("priority", F.lit("medium")), F.col("category")
     worth = 1 + F.when(p == "critical", 3 * m).when(p == "high", 2 * m).when(p == "medium", 1).otherwise(0) + F.when(c == "security", 2 * m).when(c == "performance", m).otherwise(0)
     rows = pairs.join(requirements.withColumnRenamed("id", "ancestor"), "ancestor")
     nearest = rows.groupBy("id", "requirement").agg(F.min_by(F.struct("priority", "category"), "distance").alias("r")).select("id", "r.priority", "r.category")
@@ -139,3 +139,29 @@ def survivors(rows: DataFrame) -> DataFrame:
     filled = sum((F.col(c).isNotNull().cast("int") for c in ("description", "priority", "title")), F.lit(0)) + F.size("tags")
     order = F.struct((-filled).alias("filled"), (-F.length(F.coalesce("description", F.lit("")))).alias("length"), "id")
     return rows.groupBy("cluster").agg(F.min_by("id", order).alias("id"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("tags")))).alias("tags"), F.count("*").alias("merged"))
+
+
+def branch_scope(items: DataFrame, created_at: Column) -> DataFrame:
+    """Items with included, and why not: not completed, or completed before the branch began."""
+    inside = within_branch(F.col("completed_at"), created_at)
+    why = F.when(inside, None).when(F.col("completed_at").isNull(), "not completed").otherwise("before the branch")
+    return items.withColumns({"included": inside, "reason": why})
+
+
+def tasks_by_keywords(items: DataFrame, wanted: Column) -> DataFrame:
+    """id, score: items by how many of the words their title and description contain, then by priority."""
+    score = matched_keywords(wanted, F.concat_ws(" ", "title", "description"))
+    return items.withColumn("score", score.cast("long")).where("score > 0").orderBy(F.desc("score"), priority_rank(F.col("priority")), "id").select("id", "score")
+
+
+def merged_fields(rows: DataFrame) -> DataFrame:
+    """cluster, tags, acceptance: what the items of a cluster have, each once, in order."""
+    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    return rows.groupBy("cluster").agg(union("tags"), union("acceptance"))
+
+
+def requirement_coverage(pairs: DataFrame, items: DataFrame, requirements: DataFrame) -> DataFrame:
+    """level, own, inherited, none: work items with requirements of their own, only above them, and without any."""
+    held = pairs.join(requirements.select(F.col("id").alias("ancestor")).distinct(), "ancestor").groupBy("id").agg(F.min("distance").alias("nearest"))
+    work = items.where("status != 'deleted'").join(held, "id", "left")
+    return work.groupBy("level").agg(F.count_if(F.col("nearest") == 0).alias("own"), F.count_if(F.col("nearest") > 0).alias("inherited"), F.count_if(F.col("nearest").isNull()).alias("none"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 #: What a match in each field is worth.
 FIELD_WEIGHTS = {"title": 10, "tags": 6, "description": 3, "acceptance": 2}
-#: Words that queries and fields leave out.
+#: Words that queries leave out; fields keep theirs, so a part of a query word may still meet them.
 SEARCH_STOP_WORDS = (
     "a", "an", "the", "is", "are", "was", "were", "be", "been", "being",
     "have", "has", "had", "do", "does", "did", "will", "would", "shall",
@@ -48,9 +48,26 @@ def fields_of(items: DataFrame) -> DataFrame:
 
 def postings(items: DataFrame) -> DataFrame:
     """term, id, field, position: the inverted index, for many queries over one corpus."""
-    words = F.split(F.regexp_replace("text", r"[^a-z0-9\s\-_]", " "), r"\s+")
-    kept = F.filter(words, lambda w: (w != "") & ~w.isin(*SEARCH_STOP_WORDS))
-    return fields_of(items).select("id", "field", F.posexplode(kept).alias("position", "term"))
+    return fields_of(items).select("id", "field", F.posexplode(field_words()).alias("position", "term"))
+
+
+def field_words():
+    return F.filter(F.split(F.regexp_replace("text", r"[^a-z0-9\s\-_]", " "), r"\s+"), lambda w: w != "")
+
+
+def matches(index: DataFrame, terms: DataFrame) -> DataFrame:
+    """query, id, field for each of ``terms`` (query, a word) that an index of postings holds; once a field.
+
+    The terms meet the distinct words of the index, not the postings: by the word itself, by its starts of three
+    letters or more, and by its runs of four or more letters, so that every join is by equality.
+    """
+    known = index.select("term").distinct()
+    n = F.length("term")
+    starts = F.when(n >= 3, F.transform(F.sequence(F.lit(3), F.greatest(n, F.lit(3))), lambda k: F.substring("term", F.lit(1), k))).otherwise(F.array("term"))
+    of_length = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - k + 1)), lambda i: F.substring("term", i, k))
+    runs = F.when(n >= 4, F.flatten(F.transform(F.sequence(F.lit(4), F.greatest(n, F.lit(4))), of_length))).otherwise(F.array().cast("array<string>"))
+    keys = known.select("term", F.explode(F.array_distinct(F.concat(F.array("term"), starts, runs))).alias("query"))
+    return keys.join(terms.select("query").distinct(), "query").join(index, "term").select("query", "id", "field").distinct()
 
 
 def search(items: DataFrame, raw: str, limit: int = 50) -> DataFrame:
@@ -62,7 +79,7 @@ def search(items: DataFrame, raw: str, limit: int = 50) -> DataFrame:
     """
     query = parsed(raw)
     rows = fields_of(items)
-    words = F.filter(F.split(F.regexp_replace("text", r"[^a-z0-9\s\-_]", " "), r"\s+"), lambda w: (w != "") & ~w.isin(*SEARCH_STOP_WORDS))
+    words = field_words()
     weight = F.when(F.lit(False), 0)
     for name, w in FIELD_WEIGHTS.items():
         weight = weight.when(F.col("field") == name, w)

@@ -171,3 +171,93 @@ def best_matches(proposals: DataFrame, items: DataFrame, threshold: float = 0.7)
     kept = kept.where(F.col("score") >= threshold)
     best = kept.groupBy("p").agg(F.max("score").alias("score"))
     return kept.join(best, ["p", "score"]).groupBy(F.col("p").alias("proposal"), "score").agg(F.min("i").alias("item"))
+
+
+def blended(name_score: Column, description_score: Column) -> Column:
+    """Score of two results with descriptions; very like descriptions count most, somewhat like ones in part."""
+    mixed = F.when(description_score >= 0.8, description_score * 0.9 + name_score * 0.1).when(description_score >= 0.5, name_score * 0.6 + description_score * 0.4)
+    return F.greatest(name_score, F.coalesce(mixed, name_score))
+
+
+#: Weights of title, description, tags and children's titles.
+CORRELATION_WEIGHTS = {"title": 0.45, "description": 0.25, "tags": 0.10, "children": 0.20}
+
+
+def combined(title: Column, description: Column, tags: Column, children: Column) -> Column:
+    """Weighted score; without a likeness of descriptions its weight is the title's."""
+    w = CORRELATION_WEIGHTS
+    described = description > 0
+    return title * F.when(described, w["title"]).otherwise(w["title"] + w["description"]) + F.when(described, description * w["description"]).otherwise(0.0) + tags * w["tags"] + children * w["children"]
+
+
+def node_score(title_score: Column, content_score: Column) -> Column:
+    """Score of a proposal's node and an item of its level with unequal titles."""
+    return F.greatest(title_score, title_score * 0.75 + content_score * 0.25, content_score * 0.7)
+
+
+def epics_of_features(features: DataFrame, epics: DataFrame, least: float = 0.15, most: int = 5) -> DataFrame:
+    """feature, epic, score: for each feature (id, title, description, tags, children) the best epics, at or above a score.
+
+    ``epics`` are the few roots of a tree, and a score this low is reached by most pairs, so all pairs are scored: as a
+    query set against a table, in tasks of the features. More epics than 10,000 raise an error.
+    """
+    if epics.count() > 10_000:
+        raise ValueError("too many epics to score each against every feature")
+    lower = lambda c: F.array_distinct(F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), F.lower))
+    side = lambda t, p: t.select(F.col("id").alias(p), F.col("title").alias(f"{p}_t"), F.col("description").alias(f"{p}_d"), lower("tags").alias(f"{p}_g"), F.col("children").alias(f"{p}_c"))
+    pairs = side(features, "feature").crossJoin(F.broadcast(side(epics, "epic")))
+    like = lambda c: F.when((F.coalesce(F.col(f"feature_{c}"), F.lit("")) != "") & (F.coalesce(F.col(f"epic_{c}"), F.lit("")) != ""), similarity(normalize(F.col(f"feature_{c}")), normalize(F.col(f"epic_{c}")))).otherwise(0.0)
+    union = F.size(F.array_union("feature_g", "epic_g"))
+    tags = F.when(union > 0, F.size(F.array_intersect("feature_g", "epic_g")) / union).otherwise(0.0)
+    scored = pairs.withColumns({"s": like("t"), "d": like("d"), "k": like("c"), "g": tags})
+    scored = scored.select("feature", "epic", combined(F.col("s"), F.col("d"), F.col("g"), F.col("k")).alias("score")).where(F.col("score") >= least)
+    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "epic"))), 1, most)
+    return scored.groupBy("feature").agg(best.alias("x")).select("feature", F.explode("x").alias("x")).select("feature", F.col("x.epic").alias("epic"), (-F.col("x.o")).alias("score"))
+
+
+def matched_nodes(nodes: DataFrame, items: DataFrame) -> DataFrame:
+    """node, item, score, reason: each proposal's node (id, level, title) with the best item of its level.
+
+    Equal titles score 1, one that holds the other (5 letters or more) 0.95, else their similarity from 0.7 on; ties to
+    the lesser identifier. Titles meet as ``similar_pairs`` has them, which finds every holding one.
+    """
+    a, b = (t.select("id", "level", normalize(F.col("title")).alias("t")) for t in (nodes, items))
+    alike = cut(similar_pairs(a.select(F.col("t").alias("name")).union(b.select("t")), 0.7))
+    both = alike.select("a", "b").union(alike.select("b", "a")).union(a.select(F.col("t").alias("a"), F.col("t").alias("b")).distinct())
+    rows = a.select(F.col("id").alias("node"), "level", F.col("t").alias("a")).join(both, "a").join(b.select(F.col("id").alias("item"), "level", F.col("t").alias("b")), ["level", "b"])
+    holds = (F.length("a") >= 5) & (F.length("b") >= 5) & (F.contains("a", F.col("b")) | F.contains("b", F.col("a")))
+    score = F.when(F.col("a") == F.col("b"), 1.0).when(holds, 0.95).otherwise(similarity("a", "b"))
+    rows = rows.withColumn("score", score).where("score >= 0.7")
+    reason = F.when(F.col("score") == 1, "exact_title").otherwise("semantic_title")
+    best = rows.groupBy("node").agg(F.min_by("item", F.struct((-F.col("score")).alias("o"), "item")).alias("item"), F.max("score").alias("score"))
+    return best.select("node", "item", "score", reason.alias("reason"))
+
+
+def conflicts(recommendations: DataFrame, items: DataFrame, in_tree: float = 0.7, in_batch: float = 0.95) -> DataFrame:
+    """id, other, score, kind: recommendations (id, title) that repeat an open item, or an earlier one of the batch."""
+    title = lambda t, c: t.select(F.col("id").alias(c), normalize(F.col("title")).alias(f"{c}_t"))
+    new, old = title(recommendations, "id"), title(items.where("status != 'completed'"), "other")
+    tree = best_matches(new.select(F.col("id_t").alias("name")).distinct(), old.select(F.col("other_t").alias("name")).distinct(), in_tree)
+    first = old.groupBy("other_t").agg(F.min("other").alias("other"))
+    tree = tree.join(new, F.col("proposal") == F.col("id_t")).join(first, F.col("item") == F.col("other_t")).select("id", "other", "score", F.lit("tree").alias("kind"))
+    alike = similar_pairs(new.select(F.col("id_t").alias("name")), in_batch)
+    alike = alike.union(alike.select("b", "a", "score")).union(new.select(F.col("id_t").alias("a"), F.col("id_t").alias("b"), F.lit(1.0).alias("score")).distinct())
+    least = new.groupBy(F.col("id_t").alias("b")).agg(F.min("id").alias("other"))  # the earliest of a title stands for it
+    batch = new.join(alike, F.col("id_t") == F.col("a")).join(least, "b").where("other < id").groupBy("id").agg(F.min("other").alias("other"), F.min_by("score", "other").alias("score"))
+    return tree.unionByName(batch.select("id", "other", "score", F.lit("batch").alias("kind")))
+
+
+def sibling_duplicates(items: DataFrame, least: float = 0.75) -> DataFrame:
+    """a, b, score: open siblings of one level with like titles, each pair once; titles meet as ``similar_pairs`` has them."""
+    own = items.where("status not in ('deleted', 'completed')").select("id", "parent_id", "level", normalize(F.col("title")).alias("t"))
+    alike = cut(similar_pairs(own.select(F.col("t").alias("name")), least))
+    both = alike.union(alike.select("b", "a", "score")).union(own.select(F.col("t").alias("a"), F.col("t").alias("b"), F.lit(1.0).alias("score")).distinct())
+    other = own.select(F.col("id").alias("other"), F.col("parent_id").alias("p"), F.col("level").alias("l"), F.col("t").alias("b"))
+    pairs = own.join(both, F.col("t") == F.col("a")).join(other, "b").where(F.col("parent_id").eqNullSafe(F.col("p")) & (F.col("level") == F.col("l")) & (F.col("id") < F.col("other")))
+    return pairs.select(F.col("id").alias("a"), F.col("other").alias("b"), "score")
+
+
+def unmatched(proposals: DataFrame, items: DataFrame, least: float = 0.7) -> DataFrame:
+    """Proposals (name) that no item (name) is like."""
+    found = best_matches(proposals, items, least).select("proposal")
+    return proposals.withColumn("_n", normalize(F.col("name"))).join(found.select(F.col("proposal").alias("_n")), "_n", "left_anti").drop("_n")

@@ -1,6 +1,6 @@
 """Work-item trees kept as an adjacency table: id, parent_id, level, status, priority and what else a check needs.
 
-``closure`` gives every (ancestor, item) pair by joining one level at a time; roll-ups, inherited values, searches
+``lineage`` gives each item its ancestors, by one join a level; ``closure`` is every (ancestor, item) pair; roll-ups, inherited values, searches
 with their ancestors and pruning are groupings or joins over it. Its size is the sum of depths, not of squares.
 """
 
@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnworks.functions.scalars import half_up, priority_rank, total_interval_ms
+from tarnworks.operators.graph import nodes_on_cycles
+from tarnworks.operators.items import requirement_scores
 from tarnworks.session import cut
 
 CONTAINERS, WORK_ITEMS = ("epic", "feature"), ("task", "subtask")
@@ -24,36 +26,44 @@ STATUSES = ("completed", "in_progress", "pending", "deferred", "blocked")
 def closure(items: DataFrame, most_levels: int = 32) -> DataFrame:
     """ancestor, id, distance for every item and each of its ancestors, itself included.
 
-    The distance doubles in each join, so five joins reach 32 levels; an empty step ends it.
+    The distance doubles in each join, so five joins reach 32 levels; an empty step ends it. A deeper tree, or a
+    cycle of parents, raises an error.
     """
     pairs = items.select(F.col("id").alias("ancestor"), "id", F.lit(0).alias("distance"))
     parents = items.where("parent_id is not null").select(F.col("parent_id").alias("ancestor"), "id", F.lit(1).alias("distance"))
     known, reach = cut(pairs.union(parents)), 1
-    while reach < most_levels:
+    while True:
         upper = known.where("distance > 0").select(F.col("ancestor").alias("top"), F.col("id").alias("middle"), F.col("distance").alias("d"))
         longer = cut(known.where(F.col("distance") == reach).join(upper, F.col("ancestor") == F.col("middle")).select(F.col("top").alias("ancestor"), "id", (F.col("distance") + F.col("d")).alias("distance")))
         if longer.isEmpty():
-            break
+            return known
+        if reach >= most_levels:
+            raise ValueError(f"items lie more than {most_levels} levels deep")
         known, reach = known.union(longer), reach * 2
-    return known
 
 
-def closure_of_levels(items: DataFrame, levels: int) -> DataFrame:
-    """``closure`` for a tree of known depth, without looking at data: one self join a level."""
+def lineage(items: DataFrame, levels: int) -> DataFrame:
+    """id and up: the item and its ancestors, nearest first, for a tree of at most ``levels`` levels.
+
+    One join a level, and each carries one row an item; an item below the last level raises an error.
+    """
     parent = items.select(F.col("id").alias("p"), F.col("parent_id").alias("above"))
-    step = items.select(F.col("id").alias("ancestor"), "id", F.col("parent_id").alias("next"), F.lit(0).alias("distance"))
-    out = step
-    for distance in range(1, levels):
-        step = step.where("next is not null").join(parent, F.col("next") == F.col("p")).select(F.col("p").alias("ancestor"), "id", F.col("above").alias("next"), F.lit(distance).alias("distance"))
-        out = out.union(step)
-    return out.select("ancestor", "id", "distance")
+    out = items.select("id", F.array("id").alias("up"), F.col("parent_id").alias("next"))
+    for _ in range(1, levels):
+        step = F.when(F.col("p").isNotNull(), F.array_append("up", F.col("p"))).otherwise(F.col("up"))
+        out = out.join(parent, F.col("next") == F.col("p"), "left").select("id", step.alias("up"), F.col("above").alias("next"))
+    deeper = F.raise_error(F.concat(F.lit(f"below level {levels}: "), F.col("id").cast("string")))
+    return out.select("id", F.when(F.col("next").isNull(), F.col("up")).otherwise(deeper).alias("up"))
+
+
+def closure_of_levels(items: DataFrame, levels: int) -> DataFrame:
+    """``closure`` for a tree of known depth, without looking at data: ``lineage`` unfolded."""
+    return lineage(items, levels).select(F.posexplode("up").alias("distance", "ancestor"), "id").select("ancestor", "id", "distance")
 
 
 def walk(items: DataFrame, levels: int) -> DataFrame:
     """Each item with its depth and the path from its root."""
-    up = closure_of_levels(items, levels)
-    path = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("o"), "ancestor"))), lambda x: x["ancestor"]), "/")
-    return up.groupBy("id").agg(F.max("distance").alias("depth"), path.alias("path"))
+    return lineage(items, levels).select("id", (F.size("up") - 1).alias("depth"), F.array_join(F.reverse("up"), "/").alias("path"))
 
 
 def rollup(pairs: DataFrame, facts: DataFrame, *values: str) -> DataFrame:
@@ -138,44 +148,64 @@ def actionable(items: DataFrame, blocked_by: DataFrame | None = None) -> DataFra
     return out
 
 
-def ranked(candidates: DataFrame, pairs: DataFrame, items: DataFrame, n: int) -> DataFrame:
-    """The best ``n``: failing, then in progress; priority; the best priority above; siblings done; then identifier."""
+def ranked(candidates: DataFrame, pairs: DataFrame, items: DataFrame, n: int, requirements: DataFrame | None = None, blocked_by: DataFrame | None = None, tolerance: str = "medium") -> DataFrame:
+    """The best ``n``: failing, then in progress; priority; requirements' score; the best priority above; siblings
+    done; how many items wait for it; title in a reader's order, and the identifier.
+
+    ``requirements``: id, requirement, priority, category; ``blocked_by``: (id, blocker).
+    """
     urgency = F.when(F.col("status") == "failing", 0).when(F.col("status") == "in_progress", 1).otherwise(2)
     above = pairs.where("distance > 0").join(items.select(F.col("id").alias("ancestor"), priority_rank(F.col("priority")).alias("rank")), "ancestor").groupBy("id").agg(F.min("rank").alias("above"))
     siblings = sibling_completion(items).select("id", "sibling_ratio")
     rows = candidates.join(above, "id", "left").join(siblings, "id")
-    rows = rows.select("id", "status", "priority", urgency.alias("urgency"), priority_rank(F.col("priority")).alias("rank"), F.coalesce("above", F.lit(2)).alias("above"), "sibling_ratio")
-    return rows.orderBy("urgency", "rank", "above", F.desc("sibling_ratio"), "id").limit(n)
+    zero = F.lit(0).cast("long")
+    rows = rows.join(requirement_scores(pairs, requirements, tolerance), "id", "left") if requirements is not None else rows.withColumn("score", zero)
+    rows = rows.join(blocked_by.groupBy(F.col("blocker").alias("id")).agg(F.count("*").alias("waiting")), "id", "left") if blocked_by is not None else rows.withColumn("waiting", zero)
+    rows = rows.select("id", "status", "priority", "title", urgency.alias("urgency"), priority_rank(F.col("priority")).alias("rank"), F.coalesce("score", zero).alias("score"), F.coalesce("above", F.lit(2)).alias("above"), "sibling_ratio", F.coalesce("waiting", zero).alias("waiting"))
+    return rows.orderBy("urgency", "rank", F.desc("score"), "above", F.desc("sibling_ratio"), F.desc("waiting"), F.collate("title", "UNICODE"), "id").limit(n)
 
 
-def structure_checks(items: DataFrame, now: str, stuck_hours: int = 48, most_children: int = 20, least_children: int = 2) -> DataFrame:
-    """check, id: empty containers, stuck items, misplaced levels, unsound timestamps, dangling parents, sizes."""
-    kids = live_children(items)
-    held = items.join(kids, "id", "left")
+def structure_checks(items: DataFrame, now: str, stuck_hours: int = 48, most_children: int = 20, least_children: int = 2, blocked_by: DataFrame | None = None, pairs: DataFrame | None = None, most_levels: int = 5, most_roots: int = 15) -> DataFrame:
+    """check, id: empty containers, stuck items, misplaced levels, unsound timestamps, dangling parents, sizes.
+
+    With ``blocked_by`` (id, blocker) also blocked items that nothing blocks, and cycles of blockers; with ``pairs``
+    also items deeper than ``most_levels``; and one row without id if there are too many live roots. The checks of an
+    item are made together, over one join with its children's counts and one with its parent.
+    """
     up = items.select(F.col("id").alias("parent_id"), F.col("level").alias("parent_level"), F.col("status").alias("parent_status"))
-    placed = items.join(up, "parent_id", "left")
+    rows = items.join(live_children(items).select("id", "live"), "id", "left").join(up, "parent_id", "left")
+    if blocked_by is not None:
+        rows = rows.join(blocked_by.select("id", F.lit(True).alias("waits")).distinct(), "id", "left")
+    if pairs is not None:
+        rows = rows.join(pairs.groupBy("id").agg((F.max("distance") + 1).alias("levels")), "id", "left")
     misplaced = F.lit(False)
     for level, holders in LATTICE.items():
         fits = F.col("parent_level").isNull() & F.col("parent_id").isNull() if None in holders else F.coalesce(F.col("parent_level").isin(*[h for h in holders if h]), F.lit(False))
         misplaced = misplaced | ((F.col("level") == level) & ~fits)
-    started = F.unix_seconds(F.col("started_at").cast("timestamp"))
-    old = F.unix_seconds(F.lit(now).cast("timestamp")) - started > stuck_hours * 3600
-    container = F.col("level").isin(*CONTAINERS)
-    live = F.coalesce("live", F.lit(0))
-    found = {
-        "empty_container": held.where(container & (live == 0) & ~F.col("status").isin(*DONE, "deleted")),
-        "stuck": items.where((F.col("status") == "in_progress") & (F.col("started_at").isNull() | old)),
-        "misplaced": placed.where(misplaced),
-        "dangling_parent": placed.where(F.col("parent_id").isNotNull() & F.col("parent_level").isNull()),
-        "completed_before_start": items.where(F.col("completed_at") < F.col("started_at")),
-        "done_parent_open_child": placed.where((F.col("parent_status") == "completed") & F.col("status").isin("pending", "in_progress")),
-        "too_many_children": held.where(container & (live > most_children)),
-        "too_few_children": held.where(container & (live > 0) & (live < least_children)),
+    old = F.unix_seconds(F.lit(now).cast("timestamp")) - F.unix_seconds(F.col("started_at").cast("timestamp")) > stuck_hours * 3600
+    container, live = F.col("level").isin(*CONTAINERS), F.coalesce("live", F.lit(0))
+    checks = {
+        "empty_container": container & (live == 0) & ~F.col("status").isin(*DONE, "deleted"),
+        "stuck": (F.col("status") == "in_progress") & (F.col("started_at").isNull() | old),
+        "misplaced": misplaced,
+        "dangling_parent": F.col("parent_id").isNotNull() & F.col("parent_level").isNull(),
+        "completed_before_start": F.col("completed_at") < F.col("started_at"),
+        "done_parent_open_child": (F.col("parent_status") == "completed") & F.col("status").isin("pending", "in_progress"),
+        "too_many_children": container & (live > most_children),
+        "too_few_children": container & (live > 0) & (live < least_children),
     }
-    out = None
-    for check, rows in found.items():
-        part = rows.select(F.lit(check).alias("check"), "id")
-        out = part if out is None else out.unionByName(part)
+    if blocked_by is not None:
+        checks["blocked_by_nothing"] = (F.col("status") == "blocked") & F.col("waits").isNull()
+    if pairs is not None:
+        checks["too_deep"] = (F.col("levels") > most_levels) & (F.col("status") != "deleted")
+    named = F.array_compact(F.array(*(F.when(test, F.lit(name)) for name, test in checks.items())))
+    out = rows.select(F.explode(named).alias("check"), "id")
+    roots = items.where("parent_id is null and status != 'deleted'").agg(F.count("*").alias("n")).where(F.col("n") > most_roots)
+    out = out.unionByName(roots.select(F.lit("too_many_roots").alias("check"), F.lit(None).cast(items.schema["id"].dataType).alias("id")))
+    if blocked_by is not None:
+        cycles = nodes_on_cycles(blocked_by.select(F.col("id").alias("from"), F.col("blocker").alias("to")))
+        if cycles is not None:
+            out = out.unionByName(cycles.select(F.lit("blocker_cycle").alias("check"), F.col("node").alias("id")))
     return out
 
 
@@ -187,11 +217,33 @@ def prunable(pairs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def auto_completable(pairs: DataFrame, items: DataFrame) -> DataFrame:
-    """Open items with children below which every leaf is done: they would complete by themselves, at any depth."""
+    """Open items with children that would complete by themselves, bottom-up: all children finished, deleted or such items.
+
+    An unfinished item that can't complete so (a leaf, or blocked or failing) holds back its ancestors, as far up as
+    the first that is finished itself, which hides what lies below it.
+    """
     kids = items.where("parent_id is not null").select(F.col("parent_id").alias("id")).distinct()
-    leaves = items.where("status != 'deleted'").join(kids, "id", "left_anti").select("id", F.col("status").isin(*DONE).alias("done"))
-    state = pairs.where("distance > 0").join(leaves, "id").groupBy(F.col("ancestor").alias("id")).agg(F.bool_and("done").alias("done"))
-    return items.where(F.col("status").isin("pending", "in_progress")).join(state.where("done"), "id").select("id")
+    state = items.join(kids.withColumn("has_kids", F.lit(True)), "id", "left").withColumns({"over": F.col("status").isin(*DONE, "deleted"), "open": F.col("status").isin("pending", "in_progress") & F.col("has_kids").isNotNull()})
+    holds = state.where(~F.col("over") & ~F.col("open")).select("id")
+    above = pairs.where("distance > 0").join(holds, "id")
+    over = state.where("over").select(F.col("id").alias("ancestor"))
+    hidden = above.join(over, "ancestor").groupBy("id").agg(F.min("distance").alias("upto"))
+    held_back = above.join(hidden, "id", "left").where("upto is null or distance < upto").select(F.col("ancestor").alias("id")).distinct()
+    return state.where("open").join(held_back, "id", "left_anti").select("id")
+
+
+def completable_parents(items: DataFrame) -> DataFrame:
+    """Open items all of whose children are finished: one level of ``auto_completable``."""
+    done = items.where("parent_id is not null").groupBy(F.col("parent_id").alias("id")).agg(F.bool_and(F.col("status").isin(*DONE)).alias("done"))
+    return items.where(F.col("status").isin("pending", "in_progress")).join(done.where("done"), "id").select("id")
+
+
+def parent_resets(pairs: DataFrame, items: DataFrame, parents: DataFrame) -> DataFrame:
+    """parent, id: completed items to open again from each of ``parents`` (id) upward, which got a new child; the first
+    that isn't completed ends the walk."""
+    chain = pairs.join(parents.select("id").distinct(), "id").join(items.select(F.col("id").alias("ancestor"), "status"), "ancestor")
+    stop = chain.where("status != 'completed'").groupBy("id").agg(F.min("distance").alias("upto"))
+    return chain.join(stop, "id", "left").where("upto is null or distance < upto").select(F.col("id").alias("parent"), F.col("ancestor").alias("id"))
 
 
 def visible(pairs: DataFrame, items: DataFrame, matches: Column) -> DataFrame:
@@ -274,3 +326,85 @@ def selection_reasons(items: DataFrame, blocked_by: DataFrame) -> DataFrame:
     status = F.col("status")
     why = F.when(status == "completed", "completed").when(status == "deferred", "deferred").when(status == "blocked", "blocked").when(F.coalesce("unmet", F.lit(False)), "unresolved").when(status == "in_progress", "in_progress").otherwise("actionable")
     return rows.groupBy(why.alias("reason")).agg(F.count("*").alias("items"))
+
+
+def resolved_items(items: DataFrame, wanted: DataFrame, levels: int) -> DataFrame:
+    """wanted, id: the item that has each text as its identifier, else the first in the tree's order with that title."""
+    texts = wanted.select("wanted").distinct()
+    by_id = texts.join(items.select(F.col("id").alias("wanted"), "id"), "wanted")
+    paths = walk(items, levels).select("id", "path")
+    titled = items.select("id", F.lower(F.trim("title")).alias("t")).join(paths, "id")
+    by_title = texts.join(by_id.select("wanted"), "wanted", "left_anti").withColumn("t", F.lower(F.trim("wanted"))).join(titled, "t").groupBy("wanted").agg(F.min_by("id", "path").alias("id"))
+    return by_id.unionByName(by_title)
+
+
+def inserted(items: DataFrame, new: DataFrame) -> DataFrame:
+    """Items and new ones (with the same columns) whose level their parent may hold; others are left out."""
+    up = items.select(F.col("id").alias("parent_id"), F.col("level").alias("_up"))
+    rows = new.join(up, "parent_id", "left").join(items.select(F.col("id")), "id", "left_anti")
+    fits = F.lit(False)
+    for level, holders in LATTICE.items():
+        fits = fits | ((F.col("level") == level) & (F.col("parent_id").isNull() if holders == (None,) else F.coalesce(F.col("_up").isin(*holders), F.lit(False))))
+    return items.unionByName(rows.where(fits).select(items.columns))
+
+
+def updated(items: DataFrame, changes: DataFrame, *fields: str) -> DataFrame:
+    """Items with the fields of ``changes`` (id and fields) where these aren't null."""
+    new = changes.select("id", *(F.col(f).alias(f"_{f}") for f in fields))
+    return items.join(new, "id", "left").withColumns({f: F.coalesce(f"_{f}", f) for f in fields}).drop(*(f"_{f}" for f in fields))
+
+
+def reorganisations(items: DataFrame, most: int = 15, least: int = 2) -> DataFrame:
+    """kind, id, other, confidence: what a tree's shape suggests.
+
+    move: a feature without a parent; split: a container of more live children than ``most``; merge: one of fewer than
+    ``least`` (but some) into its largest sibling of the level; collapse: a feature whose only child is of its level's kind
+    below. Pairs of like titles among siblings come from ``sibling_duplicates``.
+    """
+    kids = live_children(items)
+    live = items.where("status != 'deleted'").join(kids.select("id", "live"), "id", "left").withColumn("live", F.coalesce("live", F.lit(0)))
+    box, none = F.col("level").isin(*CONTAINERS), F.lit(None).cast("string")
+    move = live.where((F.col("level") == "feature") & F.col("parent_id").isNull()).select(F.lit("move").alias("kind"), "id", none.alias("other"), F.lit(0.8).alias("confidence"))
+    split = live.where(box & (F.col("live") > most)).select(F.lit("split"), "id", none, F.lit(0.6))
+    under = live.where(box & (F.col("live") > 0) & (F.col("live") < least) & (F.col("status") != "completed"))
+    largest = live.where(box).groupBy("parent_id", "level").agg(F.max(F.struct("live", (F.struct("id")).alias("x"))).alias("top"))
+    top = largest.select(F.col("parent_id").alias("p"), F.col("level").alias("l"), F.col("top.x.id").alias("other"))
+    merge = under.join(top, F.col("parent_id").eqNullSafe(F.col("p")) & (F.col("level") == F.col("l"))).where("id != other").select(F.lit("merge"), "id", "other", F.lit(0.5))
+    only = live.where("parent_id is not null").groupBy(F.col("parent_id").alias("id")).agg(F.min("id").alias("other"), F.count("*").alias("n")).where("n = 1")
+    collapse = live.where("level = 'feature'").join(only, "id").select(F.lit("collapse"), "id", "other", F.lit(0.7))
+    return move.union(split).union(merge).union(collapse)
+
+
+def reshaped(items: DataFrame, actions: DataFrame) -> DataFrame:
+    """Items after actions (kind, id, to): move to another parent, merge into an item, delete, each item by one at most.
+
+    A merged item's children go to its survivor; a deleted one's subtree stays under no one and is marked too, as
+    ``without_subtrees`` leaves it out. Chains of merges are followed by repeated calls.
+    """
+    act = actions.groupBy("id").agg(F.min(F.struct("kind", "to")).alias("a")).select("id", "a.kind", "a.to")
+    into = act.where("kind = 'merge'").select(F.col("id").alias("parent_id"), F.col("to").alias("survivor"))
+    rows = items.join(act, "id", "left").join(into, "parent_id", "left")
+    parent = F.when(F.col("kind") == "move", F.col("to")).otherwise(F.coalesce("survivor", "parent_id"))
+    status = F.when(F.col("kind").isin("merge", "delete"), "deleted").otherwise(F.col("status"))
+    return rows.withColumns({"parent_id": parent, "status": status}).select(items.columns)
+
+
+def proposals_of_scan(rows: DataFrame) -> DataFrame:
+    """epic, feature, task: scan rows (kind, name, file, source) placed under a feature and an epic.
+
+    A row's feature is itself if it is one, else the feature of its file, else of its source, else one named after its
+    directory; a feature's epic is its source's, else one named after the source.
+    """
+    first = lambda kind, key: rows.where(F.col("kind") == kind).groupBy(key).agg(F.min("name").alias(f"{kind}_by_{key}"))
+    placed = rows.join(first("feature", "file"), "file", "left").join(first("feature", "source"), "source", "left").join(first("epic", "source"), "source", "left")
+    directory = F.coalesce(F.nullif(F.regexp_extract("file", r"^([^/]+)/", 1), F.lit("")), F.lit("general"))
+    feature = F.when(F.col("kind") == "feature", F.col("name")).otherwise(F.coalesce("feature_by_file", "feature_by_source", directory))
+    return placed.where("kind != 'epic'").select(F.coalesce("epic_by_source", "source").alias("epic"), feature.alias("feature"), F.when(F.col("kind") == "task", F.col("name")).alias("task"))
+
+
+def items_in_order(items: DataFrame, levels: int) -> DataFrame:
+    """Items with their place in the tree's canonical order: siblings by priority, then title, parents before children."""
+    key = items.select("id", F.struct(priority_rank(F.col("priority"), 4).alias("rank"), F.coalesce("title", F.lit("")).alias("title"), "id").alias("key"))
+    rows = closure_of_levels(items, levels).join(key.select(F.col("id").alias("ancestor"), "key"), "ancestor")
+    path = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("o"), "key"))), lambda x: x["key"])
+    return items.join(rows.groupBy("id").agg(path.alias("order")), "id")

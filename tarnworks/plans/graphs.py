@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarnworks.operators import graph as op
-from tarnworks.operators import sync
+from tarnworks.operators import sync, zoning
 from tarnworks.plans.tables import HEAVY, SUPPLY, TRADE, ZONES, heavy_trade, supply, table, trade, zones
 
 QUERIES, SQL = {}, {}
@@ -106,7 +106,7 @@ def dependency_graph(spark, sf_dir):
     return op.dependency_report(deps(spark, sf_dir), table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")))
 
 
-@query(f"WITH RECURSIVE {DEPS}, c(id, cur, length) AS (SELECT id, blocker, 1 FROM deps UNION ALL SELECT c.id, d.blocker, length + 1 FROM c JOIN deps d ON d.id = c.cur WHERE length < 16) SELECT id, max(length) AS length FROM c GROUP BY 1 ORDER BY length DESC, id LIMIT 10")
+@query(f"WITH RECURSIVE {DEPS}, c(id, cur, length) AS (SELECT id, blocker, 1 FROM deps UNION ALL SELECT c.id, d.blocker, length + 1 FROM c JOIN deps d ON d.id = c.cur) SELECT id, max(length) AS length FROM c GROUP BY 1 ORDER BY length DESC, id LIMIT 10")
 def longest_chains(spark, sf_dir):
     return op.chain_lengths(deps(spark, sf_dir)).orderBy(F.desc("length"), "id").limit(10)
 
@@ -125,12 +125,14 @@ def proximity_edges(spark, sf_dir):
     return op.proximity_edges(part.select(key(F.col("p_partkey")).alias("path"), F.col("p_brand").alias("directory")), known)
 
 
-@query(f"""WITH {SUPPLY}, places AS (SELECT 'P' || p_partkey AS path, 'd' || (p_partkey % 3) AS directory FROM part UNION ALL SELECT 'S' || s_suppkey, 'd' || (s_suppkey % 3) FROM supplier), u AS (SELECT DISTINCT src AS path, dst AS other FROM supply UNION SELECT dst, src FROM supply),
- c AS (SELECT u.path, o.directory AS there, count(*) AS n FROM u JOIN places o ON o.path = other GROUP BY 1, 2), s AS (SELECT *, CAST(sum(n) OVER (PARTITION BY path) AS BIGINT) AS "all" FROM c)
+@query("""WITH e AS (SELECT DISTINCT 'C' || o_custkey AS src, 'S' || l_suppkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_linenumber = 1 AND l_quantity >= 35), places AS (SELECT 'C' || c_custkey AS path, 'd' || (c_custkey % 2) AS directory FROM customer UNION ALL SELECT 'S' || s_suppkey, 'd' || (s_suppkey % 2) FROM supplier),
+ u AS (SELECT src AS path, dst AS other FROM e UNION SELECT dst, src FROM e), c AS (SELECT u.path, o.directory AS there, count(*) AS n FROM u JOIN places o ON o.path = other GROUP BY 1, 2), s AS (SELECT *, CAST(sum(n) OVER (PARTITION BY path) AS BIGINT) AS "all" FROM c)
 SELECT path, directory, there, n, "all" FROM s JOIN places USING (path) WHERE there <> directory AND n >= 2 AND n > 0.8 * "all" """)
 def neighbour_moves(spark, sf_dir):
-    place = lambda t, p, k: table(spark, sf_dir, t).select(F.concat(F.lit(p), F.col(k)).alias("path"), F.concat(F.lit("d"), F.col(k) % 3).alias("directory"))
-    return op.neighbour_moves(supply(spark, sf_dir), place("part", "P", "p_partkey").union(place("supplier", "S", "s_suppkey")))
+    place = lambda t, p, k: table(spark, sf_dir, t).select(F.concat(F.lit(p), F.col(k)).alias("path"), F.concat(F.lit("d"), F.col(k) % 2).alias("directory"))
+    bought = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem").where("l_linenumber = 1 and l_quantity >= 35"), F.col("o_orderkey") == F.col("l_orderkey"))
+    edges = bought.select(F.concat(F.lit("C"), F.col("o_custkey")).alias("from"), F.concat(F.lit("S"), F.col("l_suppkey")).alias("to"))
+    return op.neighbour_moves(edges, place("customer", "C", "c_custkey").union(place("supplier", "S", "s_suppkey")))
 
 
 @query("""WITH e AS (SELECT s_nationkey AS f, l_partkey % 50 AS t, l_returnflag AS y, l_linestatus AS s FROM lineitem JOIN supplier ON l_suppkey = s_suppkey) SELECT CAST(f AS VARCHAR) AS "from", CAST(t AS VARCHAR) AS "to", y AS type, array_to_string(list_sort(list_distinct(list(s))), ',') AS symbols FROM e GROUP BY 1, 2, 3""")
@@ -150,8 +152,7 @@ def partition_similarity(spark, sf_dir):
 
 @query()
 def communities(spark, sf_dir):
-    edges = op.undirected(trade(spark, sf_dir).withColumn("weight", F.lit(1.0)))
-    return op.louvain(edges.withColumn("graph", F.lit("trade")), "graph")
+    return zoning.communities(op.undirected(trade(spark, sf_dir).withColumn("weight", F.lit(1.0))))
 
 
 @query()

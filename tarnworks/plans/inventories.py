@@ -107,7 +107,7 @@ def pending_leaves(spark, sf_dir):
 
 
 @query(f"""WITH {CLOSURE}, q AS (SELECT id, priority, CASE WHEN length(title) % 3 = 0 THEN 'security' ELSE 'other' END AS category FROM items WHERE level <> 'subtask')
-SELECT c.id, CAST(sum(1 + CASE q.priority WHEN 'critical' THEN 6 WHEN 'high' THEN 4 WHEN 'medium' THEN 1 ELSE 0 END + CASE WHEN category = 'security' THEN 4 ELSE 0 END) AS BIGINT) AS score FROM closure c JOIN q ON q.id = c.ancestor GROUP BY 1""")
+SELECT c.id, CAST(sum(1 + CASE coalesce(q.priority, 'medium') WHEN 'critical' THEN 6 WHEN 'high' THEN 4 WHEN 'medium' THEN 1 ELSE 0 END + CASE WHEN category = 'security' THEN 4 ELSE 0 END) AS BIGINT) AS score FROM closure c JOIN q ON q.id = c.ancestor GROUP BY 1""")
 def requirement_scores(spark, sf_dir):
     pairs, rows = closed(spark, sf_dir)
     category = F.when(F.length("title") % 3 == 0, "security").otherwise("other")

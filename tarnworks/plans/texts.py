@@ -30,33 +30,21 @@ def names(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct()
 
 
-def gram_pairs(n, measure):
-    def f(spark, sf_dir):
-        rows = names(spark, sf_dir).withColumn("g", fn.grams(F.col("name"), n))
-        first = F.split("name", " ")[0]
-        rows = rows.withColumn("w", first)  # compared within the first word, so pairs stay few
-        a, b = rows.toDF("a", "ga", "w"), rows.toDF("b", "gb", "w")
-        return a.join(b, "w").where("a < b").select("a", "b", measure(F.col("ga"), F.col("gb")).alias("score"))
+GRAMS = "g AS (SELECT name, list_distinct(list_transform(range(1, greatest(1, length(name) - {n} + 2)), lambda i: substring(name, CAST(i AS BIGINT), {n}))) AS g FROM n)"
+DICE, JACCARD = "2.0 * len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g))", "len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g)))"
 
-    return f
 
+def all_gram_pairs(n, measure, least, shared):
+    return lambda spark, sf_dir: op.gram_pairs(names(spark, sf_dir), n, measure, least, shared)
 
-GRAMS = "g AS (SELECT name, list_distinct(list_transform(range(1, greatest(1, length(name) - {n} + 2)), lambda i: substring(name, CAST(i AS BIGINT), {n}))) AS g, split_part(name, ' ', 1) AS w FROM n)"
-PAIR = "FROM g x JOIN g y ON x.w = y.w AND x.name < y.name"
-QUERIES["dice_bigrams"], SQL["dice_bigrams"] = gram_pairs(2, fn.dice), f"WITH {NAMES}, {GRAMS.format(n=2)} SELECT x.name AS a, y.name AS b, 2.0 * len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g)) AS score {PAIR}"
-QUERIES["trigram_jaccard"], SQL["trigram_jaccard"] = gram_pairs(3, fn.jaccard), f"WITH {NAMES}, {GRAMS.format(n=3)} SELECT x.name AS a, y.name AS b, len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g))) AS score {PAIR}"
 
-#: Score from which the queries over all names, whatever their first word, give a pair.
-LEAST = 0.5
+def all_gram_pairs_sql(n, score, least):
+    return f"WITH {NAMES}, {GRAMS.format(n=n)}, s AS (SELECT x.name AS a, y.name AS b, {score} AS score FROM g x JOIN g y ON x.name < y.name) SELECT * FROM s WHERE score >= {least}"
 
 
-def all_gram_pairs(n, measure, shared):
-    return lambda spark, sf_dir: op.gram_pairs(names(spark, sf_dir), n, measure, LEAST, shared)
-
-
-ANY_PAIR = f"FROM g x JOIN g y ON x.name < y.name) SELECT * FROM s WHERE score >= {LEAST}"
-QUERIES["dice_bigrams_all"], SQL["dice_bigrams_all"] = all_gram_pairs(2, fn.dice, LEAST / (2 - LEAST)), f"WITH {NAMES}, {GRAMS.format(n=2)}, s AS (SELECT x.name AS a, y.name AS b, 2.0 * len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g)) AS score {ANY_PAIR}"
-QUERIES["trigram_jaccard_all"], SQL["trigram_jaccard_all"] = all_gram_pairs(3, fn.jaccard, LEAST), f"WITH {NAMES}, {GRAMS.format(n=3)}, s AS (SELECT x.name AS a, y.name AS b, len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g))) AS score {ANY_PAIR}"
+for _suffix, _least in (("", 0.7), ("_all", 0.5)):  # over all names, whatever their first word
+    QUERIES[f"dice_bigrams{_suffix}"], SQL[f"dice_bigrams{_suffix}"] = all_gram_pairs(2, fn.dice, _least, _least / (2 - _least)), all_gram_pairs_sql(2, DICE, _least)
+    QUERIES[f"trigram_jaccard{_suffix}"], SQL[f"trigram_jaccard{_suffix}"] = all_gram_pairs(3, fn.jaccard, _least, _least), all_gram_pairs_sql(3, JACCARD, _least)
 
 
 @query("SELECT doc_id, substr(sha256(lower(regexp_replace(source || '|' || lang || '|' || n_chars, '[0-9]+', 'N', 'g'))), 1, 12) AS hash FROM documents")
@@ -111,6 +99,14 @@ def search_topk(spark, sf_dir):
     return find.search(rows, 'ring sma "small ring"')
 
 
+@query("""WITH f AS (SELECT p_partkey AS id, 'title' AS field, lower(p_name) AS text FROM part UNION ALL SELECT p_partkey, 'tags', lower(p_type) FROM part), w AS (SELECT id, field, unnest(string_split(text, ' ')) AS word FROM f),
+ q AS (SELECT unnest(['ring', 'in', 'mal', 'cono', 'sma', 'widgets']) AS query) SELECT DISTINCT query, id, field FROM w JOIN q ON word = query OR length(query) >= 3 AND starts_with(word, query) OR length(query) >= 4 AND contains(word, query)""")
+def search_matches(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_type").alias("tags"))
+    terms = spark.createDataFrame([(q,) for q in ("ring", "in", "mal", "cono", "sma", "widgets")], "query string")
+    return find.matches(find.postings(rows), terms)
+
+
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def unlabelled_documents(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")

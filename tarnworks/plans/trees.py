@@ -62,10 +62,19 @@ def level_breakdown(spark, sf_dir):
     return op.level_breakdown(items(spark, sf_dir))
 
 
-@query("""WITH l AS (SELECT 'C:' || o_custkey AS c, sum(CASE WHEN l_shipdate > o_orderdate THEN epoch_ms(l_shipdate) - epoch_ms(o_orderdate) ELSE 0 END) AS ms FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1)
-SELECT 'N:' || c_nationkey AS id, CAST(coalesce(sum(ms), 0) AS BIGINT) AS total_ms, false AS is_running FROM customer LEFT JOIN l ON c = 'C:' || c_custkey GROUP BY 1""")
+@query(f"""WITH {CLOSURE}, own AS (SELECT 'O:' || o_orderkey AS id, CAST(sum(CASE WHEN l_linenumber = 2 AND o_orderkey % 5 = 0 THEN greatest(0, epoch_ms(TIMESTAMP '{TREE_NOW}') - epoch_ms(o_orderdate)) WHEN l_linenumber = 3 THEN greatest(0, epoch_ms(o_orderdate) - epoch_ms(l_shipdate)) ELSE greatest(0, epoch_ms(l_shipdate) - epoch_ms(o_orderdate)) END) AS BIGINT) AS ms,
+ bool_or(l_linenumber = 2 AND o_orderkey % 5 = 0) AS running FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1)
+SELECT ancestor AS id, CAST(coalesce(sum(ms), 0) AS BIGINT) AS total_ms, coalesce(bool_or(running), false) AS is_running FROM closure LEFT JOIN own USING (id) GROUP BY 1""")
 def duration_rollup(spark, sf_dir):
-    return item_durations(spark, sf_dir).where("id like 'N:%'")
+    """Every item; some intervals are open, some run backward."""
+    pairs, rows = closed(spark, sf_dir)
+    spans = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    line, begun, shipped = F.col("l_linenumber"), F.col("o_orderdate"), F.col("l_shipdate")
+    start, end = F.when(line == 3, shipped).otherwise(begun), F.when((line == 2) & (F.col("o_orderkey") % 5 == 0), None).when(line == 3, begun).otherwise(shipped)
+    spans = spans.groupBy(F.concat(F.lit("O:"), F.col("o_orderkey")).alias("id")).agg(F.collect_list(F.struct(start.alias("start"), end.alias("end"))).alias("intervals"))
+    none = F.array().cast("array<struct<start:timestamp,end:timestamp>>")
+    held = rows.join(spans, "id", "left").withColumn("intervals", F.coalesce("intervals", none))
+    return op.duration_rollup(pairs, held, F.lit(TREE_NOW).cast("timestamp"))
 
 
 @query(f"""WITH {CLOSURE}, own AS (SELECT 'O:' || o_orderkey AS id, sum(CASE WHEN l_shipdate > o_orderdate THEN epoch_ms(l_shipdate) - epoch_ms(o_orderdate) ELSE 0 END) AS ms FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1)
@@ -82,21 +91,40 @@ def item_durations(spark, sf_dir):
 RANK = "CASE {c} WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 2 END"
 
 
-@query(f"""WITH {CLOSURE}, kids AS (SELECT parent_id AS id, bool_and(status IN ('completed', 'deferred', 'deleted')) AS all_done FROM items WHERE parent_id IS NOT NULL GROUP BY 1),
- a AS (SELECT i.* FROM items i LEFT JOIN kids USING (id) WHERE status NOT IN ('completed', 'deferred', 'blocked', 'deleted') AND coalesce(all_done, true)),
+BLOCKERS = "blocked AS (SELECT 'O:' || o_orderkey AS id, 'O:' || (o_orderkey - o_orderkey % 7) AS blocker FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 7 <> 0)"
+HELD_TO = "q AS (SELECT id, priority, CASE WHEN length(title) % 3 = 0 THEN 'security' ELSE 'other' END AS category FROM items WHERE level <> 'subtask' OR right(id, 1) = '4')"
+
+
+def blockers(spark, sf_dir):
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").where((k % 3 == 0) & (k % 7 != 0)).select(F.concat(F.lit("O:"), k).alias("id"), F.concat(F.lit("O:"), k - k % 7).alias("blocker"))
+
+
+def held_to(rows):
+    category = F.when(F.length("title") % 3 == 0, "security").otherwise("other")
+    return rows.where("level != 'subtask' or id like '%4'").select("id", F.col("id").alias("requirement"), "priority", category.alias("category"))
+
+
+@query(f"""WITH {CLOSURE}, {BLOCKERS}, {HELD_TO}, kids AS (SELECT parent_id AS id, bool_and(status IN ('completed', 'deferred', 'deleted')) AS all_done FROM items WHERE parent_id IS NOT NULL GROUP BY 1),
+ unmet AS (SELECT DISTINCT id FROM blocked WHERE blocker NOT IN (SELECT id FROM items WHERE status = 'completed')),
+ a AS (SELECT i.* FROM items i LEFT JOIN kids USING (id) WHERE status NOT IN ('completed', 'deferred', 'blocked', 'deleted') AND coalesce(all_done, true) AND i.id NOT IN (SELECT id FROM unmet)),
  up AS (SELECT c.id, min({RANK.format(c='p.priority')}) AS above FROM closure c JOIN items p ON p.id = c.ancestor WHERE distance > 0 GROUP BY 1),
+ req AS (SELECT c.id, CAST(sum(1 + CASE coalesce(q.priority, 'medium') WHEN 'critical' THEN 6 WHEN 'high' THEN 4 WHEN 'medium' THEN 1 ELSE 0 END + CASE WHEN category = 'security' THEN 4 ELSE 0 END) AS BIGINT) AS score FROM closure c JOIN q ON q.id = c.ancestor GROUP BY 1),
+ dep AS (SELECT blocker AS id, count(*) AS waiting FROM blocked GROUP BY 1),
  sib AS (SELECT id, CASE WHEN count(*) FILTER (status <> 'deleted') OVER w > 1 THEN count(*) FILTER (status IN ('completed', 'deferred')) OVER w / count(*) FILTER (status <> 'deleted') OVER w ELSE 0.0 END AS sibling_ratio FROM items WINDOW w AS (PARTITION BY parent_id))
-SELECT a.id, status, priority, CASE status WHEN 'failing' THEN 0 WHEN 'in_progress' THEN 1 ELSE 2 END AS urgency, {RANK.format(c='priority')} AS rank, coalesce(above, 2) AS above, CAST(sibling_ratio AS DOUBLE) AS sibling_ratio
-FROM a LEFT JOIN up USING (id) JOIN sib USING (id) ORDER BY urgency, rank, above, sibling_ratio DESC, id LIMIT 20""")
+SELECT a.id, status, priority, title, CASE status WHEN 'failing' THEN 0 WHEN 'in_progress' THEN 1 ELSE 2 END AS urgency, {RANK.format(c='priority')} AS rank, coalesce(score, 0) AS score, coalesce(above, 2) AS above, CAST(sibling_ratio AS DOUBLE) AS sibling_ratio, coalesce(waiting, 0) AS waiting
+FROM a LEFT JOIN up USING (id) LEFT JOIN req USING (id) LEFT JOIN dep USING (id) JOIN sib USING (id) ORDER BY urgency, rank, score DESC, above, sibling_ratio DESC, waiting DESC, title, id LIMIT 20""")
 def actionable_top20(spark, sf_dir):
     pairs, rows = closed(spark, sf_dir)
-    return op.ranked(op.actionable(rows), pairs, rows, 20)
+    waits = blockers(spark, sf_dir)
+    return op.ranked(op.actionable(rows, waits), pairs, rows, 20, held_to(rows), waits)
 
 
 @query(SQL["actionable_top20"].replace("LIMIT 20", "LIMIT 1"))
 def next_task(spark, sf_dir):
     pairs, rows = closed(spark, sf_dir)
-    return op.ranked(op.actionable(rows), pairs, rows, 1)
+    waits = blockers(spark, sf_dir)
+    return op.ranked(op.actionable(rows, waits), pairs, rows, 1, held_to(rows), waits)
 
 
 @query(f"""WITH {ITEMS}, live AS (SELECT parent_id AS id, count(*) AS live FROM items WHERE parent_id IS NOT NULL AND status <> 'deleted' GROUP BY 1), h AS (SELECT i.*, coalesce(live, 0) AS live, p.status AS ps, p.level AS pl FROM items i LEFT JOIN live USING (id) LEFT JOIN items p ON i.parent_id = p.id)
@@ -109,16 +137,75 @@ def structure_checks(spark, sf_dir):
     return op.structure_checks(items(spark, sf_dir).withColumn("completed_at", F.lit(None).cast("timestamp")), TREE_NOW)
 
 
+#: The tree with faults: orders without a customer, customers under regions and at the top, orders completed too early, cycles of blockers.
+FAULTY = ITEMS + """, faulty AS (SELECT id, CASE WHEN level = 'task' AND right(id, 2) = '03' THEN 'R:1' WHEN level = 'task' AND right(id, 2) = '05' THEN NULL WHEN level = 'subtask' AND right(id, 3) = '007' THEN 'C:none' WHEN level = 'subtask' AND right(id, 3) = '008' THEN 'N:1' ELSE parent_id END AS parent_id,
+ level, CASE WHEN right(id, 3) = '009' THEN 'blocked' ELSE status END AS status, title, priority, started_at, CASE WHEN right(id, 2) = '11' THEN started_at - INTERVAL 1 DAY END AS completed_at FROM items),
+ waits AS (SELECT 'O:' || o_orderkey AS id, 'O:' || CASE o_orderkey % 100 WHEN 1 THEN o_orderkey + 1 WHEN 2 THEN o_orderkey - 1 WHEN 9 THEN o_orderkey ELSE o_orderkey + 100 END AS blocker FROM orders WHERE o_orderkey % 100 IN (1, 2, 6, 9) AND o_orderkey % 1000 <> 9)"""
+
+
+@query(f"""WITH {FAULTY}, h AS (SELECT f.*, p.level AS pl FROM faulty f LEFT JOIN faulty p ON f.parent_id = p.id)
+SELECT 'misplaced' AS check, id FROM h WHERE level = 'epic' AND parent_id IS NOT NULL OR level = 'feature' AND coalesce(pl, '') <> 'epic' OR level = 'task' AND coalesce(pl, '') NOT IN ('feature', 'epic') OR level = 'subtask' AND coalesce(pl, '') NOT IN ('task', 'subtask')
+UNION ALL SELECT 'dangling_parent', id FROM h WHERE parent_id IS NOT NULL AND pl IS NULL
+UNION ALL SELECT 'completed_before_start', id FROM h WHERE completed_at < started_at
+UNION ALL SELECT 'blocked_by_nothing', id FROM h WHERE status = 'blocked' AND id NOT IN (SELECT id FROM waits)
+UNION ALL SELECT 'too_many_roots', NULL FROM faulty WHERE parent_id IS NULL AND status <> 'deleted' HAVING count(*) > 8
+UNION ALL SELECT 'blocker_cycle', a.id FROM waits a JOIN waits b ON a.blocker = b.id AND b.blocker = a.id""")
+def structure_faults(spark, sf_dir):
+    rows, k = items(spark, sf_dir), F.col("o_orderkey")
+    ends = lambda s: F.endswith("id", F.lit(s))
+    task, sub = F.col("level") == "task", F.col("level") == "subtask"
+    parent = F.when(task & ends("03"), "R:1").when(task & ends("05"), None).when(sub & ends("007"), "C:none").when(sub & ends("008"), "N:1").otherwise(F.col("parent_id"))
+    rows = rows.withColumns({"parent_id": parent, "status": F.when(ends("009"), "blocked").otherwise(F.col("status")), "completed_at": F.when(ends("11"), F.col("started_at") - F.expr("interval 1 day"))})
+    other = F.when(k % 100 == 1, k + 1).when(k % 100 == 2, k - 1).when(k % 100 == 9, k).otherwise(k + 100)
+    waits = table(spark, sf_dir, "orders").where((k % 100).isin(1, 2, 6, 9) & (k % 1000 != 9)).select(F.concat(F.lit("O:"), k).alias("id"), F.concat(F.lit("O:"), other).alias("blocker"))
+    found = op.structure_checks(rows, TREE_NOW, blocked_by=waits, most_roots=8)
+    return found.where(F.col("check").isin("misplaced", "dangling_parent", "completed_before_start", "blocked_by_nothing", "too_many_roots", "blocker_cycle"))
+
+
+@query(f"WITH {CLOSURE} SELECT 'too_deep' AS check, id FROM closure JOIN items USING (id) WHERE status <> 'deleted' GROUP BY id HAVING max(distance) + 1 > 3")
+def deep_items(spark, sf_dir):
+    pairs, rows = closed(spark, sf_dir)
+    return op.structure_checks(rows.withColumn("completed_at", F.lit(None).cast("timestamp")), TREE_NOW, pairs=pairs, most_levels=3).where(F.col("check") == "too_deep")
+
+
 @query(f"""WITH {CLOSURE}, s AS (SELECT ancestor AS id, bool_and(status IN ('completed', 'deleted')) AS done, count(*) AS size FROM closure JOIN items USING (id) GROUP BY 1), w AS (SELECT s.id, size, parent_id FROM s JOIN items USING (id) WHERE done AND status = 'completed')
 SELECT id, size FROM w WHERE parent_id IS NULL OR parent_id NOT IN (SELECT id FROM w)""")
 def prunable(spark, sf_dir):
     return op.prunable(*closed(spark, sf_dir))
 
 
-@query(f"""WITH {CLOSURE}, leaf AS (SELECT id, status IN ('completed', 'deferred') AS done FROM items WHERE id NOT IN (SELECT parent_id FROM items WHERE parent_id IS NOT NULL)),
- s AS (SELECT ancestor AS id FROM closure JOIN leaf USING (id) WHERE distance > 0 GROUP BY 1 HAVING bool_and(done)) SELECT id FROM items JOIN s USING (id) WHERE status IN ('pending', 'in_progress')""")
+#: The tree with most orders completed, so that some parents complete by themselves; some customers are blocked, and one region's nations deferred.
+RIPE = ITEMS + """, ripe AS (SELECT id, parent_id, level, CASE WHEN level = 'subtask' AND right(id, 2) NOT IN ('17', '40') THEN 'completed' WHEN level = 'subtask' THEN 'pending' WHEN level = 'task' AND right(id, 2) = '29' THEN 'blocked' WHEN level = 'task' THEN 'in_progress' WHEN level = 'feature' AND parent_id IN ('R:1', 'R:3') THEN 'deferred' WHEN id = 'R:3' THEN 'completed' ELSE status END AS status FROM items)"""
+LEVELS_UP = "d1 AS (SELECT id, status IN ('completed', 'deferred', 'deleted') AS over, level IN ('epic', 'feature', 'task') AND status IN ('pending', 'in_progress') AND id IN (SELECT parent_id FROM ripe WHERE parent_id IS NOT NULL) AS open, parent_id, level FROM ripe)"
+
+
+def ripe(spark, sf_dir):
+    rows, level = items(spark, sf_dir), F.col("level")
+    left = F.substring(F.concat(F.lit("  "), F.col("id")), -2, 2).isin("17", "40")
+    status = F.when((level == "subtask") & ~left, "completed").when(level == "subtask", "pending").when((level == "task") & F.endswith("id", F.lit("29")), "blocked").when(level == "task", "in_progress")
+    return rows.withColumn("status", status.when((level == "feature") & F.col("parent_id").isin("R:1", "R:3"), "deferred").when(F.col("id") == "R:3", "completed").otherwise(F.col("status")))
+
+
+@query(f"""WITH {RIPE}, {LEVELS_UP}, vt AS (SELECT id, over OR open AND NOT EXISTS (SELECT 1 FROM d1 c WHERE c.parent_id = d1.id AND NOT c.over) AS done, open, over, parent_id FROM d1 WHERE level = 'task'),
+ vf AS (SELECT id, over OR open AND NOT EXISTS (SELECT 1 FROM vt c WHERE c.parent_id = d1.id AND NOT c.done) AS done, open, over, parent_id FROM d1 WHERE level = 'feature'),
+ ve AS (SELECT id, over OR open AND NOT EXISTS (SELECT 1 FROM vf c WHERE c.parent_id = d1.id AND NOT c.done) AS done, open, over, parent_id FROM d1 WHERE level = 'epic')
+SELECT id FROM (SELECT * FROM vt UNION ALL SELECT * FROM vf UNION ALL SELECT * FROM ve) WHERE open AND NOT over AND done""")
 def auto_completable(spark, sf_dir):
-    return op.auto_completable(*closed(spark, sf_dir))
+    rows = ripe(spark, sf_dir)
+    return op.auto_completable(op.closure_of_levels(rows, TREE_LEVELS), rows)
+
+
+@query(f"WITH {RIPE} SELECT p.id FROM ripe p JOIN ripe c ON c.parent_id = p.id WHERE p.status IN ('pending', 'in_progress') GROUP BY 1 HAVING bool_and(c.status IN ('completed', 'deferred'))")
+def completable_parents(spark, sf_dir):
+    return op.completable_parents(ripe(spark, sf_dir))
+
+
+@query(f"""WITH {RIPE}, chain AS (SELECT t.id AS parent, t.id, 0 AS n, t.status FROM ripe t WHERE level = 'subtask' UNION ALL SELECT t.id, p.id, 1, p.status FROM ripe t JOIN ripe p ON p.id = t.parent_id WHERE t.level = 'subtask'
+ UNION ALL SELECT t.id, g.id, 2, g.status FROM ripe t JOIN ripe p ON p.id = t.parent_id JOIN ripe g ON g.id = p.parent_id WHERE t.level = 'subtask'), stop AS (SELECT parent, min(n) AS upto FROM chain WHERE status <> 'completed' GROUP BY 1)
+SELECT parent, id FROM chain LEFT JOIN stop USING (parent) WHERE upto IS NULL OR n < upto""")
+def parent_resets(spark, sf_dir):
+    rows = ripe(spark, sf_dir)
+    return op.parent_resets(op.closure_of_levels(rows, TREE_LEVELS).where("distance < 3"), rows, rows.where("level = 'subtask'"))
 
 
 @query(f"WITH {CLOSURE} SELECT DISTINCT ancestor AS id FROM closure JOIN items USING (id) WHERE priority = 'critical' AND status = 'in_progress'")
