@@ -126,3 +126,47 @@ def duplicate_clusters(spark, sf_dir):
 def entity_matches(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     return op.best_matches(part.where("p_partkey % 2 = 0").select(F.concat(F.lit("add "), "p_name").alias("name")), part.where("p_partkey % 2 = 1").select(F.col("p_name").alias("name")))
+
+
+@query()
+def matched_nodes(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    row = lambda k, title: part.where(f"p_partkey % 3 = {k}").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("level"), title.alias("title"))
+    return op.matched_nodes(row(0, F.concat(F.lit("the "), "p_name")), row(1, F.col("p_name")))
+
+
+@query()
+def recommendation_conflicts(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    new = part.where("p_partkey % 7 = 0").select(F.col("p_partkey").alias("id"), F.concat(F.lit("add "), "p_name").alias("title"))
+    return op.conflicts(new, part.where("p_partkey % 7 = 1").select(F.col("p_partkey").alias("id"), F.concat(F.lit("build "), "p_name").alias("title"), F.when(F.col("p_size") > 25, "completed").otherwise("pending").alias("status")))
+
+
+@query()
+def unmatched_proposals(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    return op.unmatched(part.select(F.concat(F.lit("fix "), "p_name").alias("name")).distinct(), part.where("p_name like 'small%'").select(F.col("p_name").alias("name")).distinct())
+
+
+@query()
+def epics_of_features(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    row = lambda t: t.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_type")).alias("description"), F.array("p_type", F.lower("p_brand")).alias("tags"), F.col("p_brand").alias("children"))
+    return op.epics_of_features(row(part), row(part.where("p_partkey < 20")))
+
+
+@query()
+def sibling_duplicates(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 50).alias("parent_id"), F.lit("task").alias("level"), F.lit("pending").alias("status"), F.col("p_name").alias("title"))
+    return op.sibling_duplicates(rows)
+
+
+BLENDS = "WITH b AS (SELECT p_partkey, (p_partkey % 101) / 100.0 AS n, (p_partkey % 37) / 36.0 AS d, (p_partkey % 5) / 4.0 AS g FROM part) SELECT p_partkey, floor(greatest(n, CASE WHEN d >= 0.8 THEN d * 0.9 + n * 0.1 WHEN d >= 0.5 THEN n * 0.6 + d * 0.4 ELSE n END) * 1000000 + 0.5) / 1000000 AS blended, floor((n * CASE WHEN d > 0 THEN 0.45 ELSE 0.7 END + d * 0.25 + g * 0.1 + n * 0.2) * 1000000 + 0.5) / 1000000 AS combined, floor(greatest(n, n * 0.75 + d * 0.25, d * 0.7) * 1000000 + 0.5) / 1000000 AS node FROM b"
+
+
+@query(BLENDS)
+def blended_scores(spark, sf_dir):
+    k = F.col("p_partkey")
+    n, d, g = (k % 101) / 100.0, (k % 37) / 36.0, (k % 5) / 4.0
+    shown = lambda c: F.floor(c * 1000000 + 0.5) / 1000000
+    return table(spark, sf_dir, "part").select("p_partkey", shown(op.blended(n, d)).alias("blended"), shown(op.combined(n, d, g, n)).alias("combined"), shown(op.node_score(n, d)).alias("node"))

@@ -140,7 +140,7 @@ def structure_checks(spark, sf_dir):
 #: The tree with faults: orders without a customer, customers under regions and at the top, orders completed too early, cycles of blockers.
 FAULTY = ITEMS + """, faulty AS (SELECT id, CASE WHEN level = 'task' AND right(id, 2) = '03' THEN 'R:1' WHEN level = 'task' AND right(id, 2) = '05' THEN NULL WHEN level = 'subtask' AND right(id, 3) = '007' THEN 'C:none' WHEN level = 'subtask' AND right(id, 3) = '008' THEN 'N:1' ELSE parent_id END AS parent_id,
  level, CASE WHEN right(id, 3) = '009' THEN 'blocked' ELSE status END AS status, title, priority, started_at, CASE WHEN right(id, 2) = '11' THEN started_at - INTERVAL 1 DAY END AS completed_at FROM items),
- waits AS (SELECT 'O:' || o_orderkey AS id, 'O:' || CASE o_orderkey % 100 WHEN 1 THEN o_orderkey + 1 WHEN 2 THEN o_orderkey - 1 WHEN 9 THEN o_orderkey ELSE o_orderkey + 100 END AS blocker FROM orders WHERE o_orderkey % 100 IN (1, 2, 6, 9) AND o_orderkey % 1000 <> 9)"""
+ waits AS (SELECT 'O:' || o_orderkey AS id, 'O:' || CASE o_orderkey % 100 WHEN 1 THEN o_orderkey + 1 WHEN 2 THEN o_orderkey - 1 WHEN 9 THEN o_orderkey ELSE o_orderkey + 1 END AS blocker FROM orders WHERE o_orderkey % 100 IN (1, 2, 6, 9) AND o_orderkey % 1000 <> 9)"""
 
 
 @query(f"""WITH {FAULTY}, h AS (SELECT f.*, p.level AS pl FROM faulty f LEFT JOIN faulty p ON f.parent_id = p.id)
@@ -156,7 +156,7 @@ def structure_faults(spark, sf_dir):
     task, sub = F.col("level") == "task", F.col("level") == "subtask"
     parent = F.when(task & ends("03"), "R:1").when(task & ends("05"), None).when(sub & ends("007"), "C:none").when(sub & ends("008"), "N:1").otherwise(F.col("parent_id"))
     rows = rows.withColumns({"parent_id": parent, "status": F.when(ends("009"), "blocked").otherwise(F.col("status")), "completed_at": F.when(ends("11"), F.col("started_at") - F.expr("interval 1 day"))})
-    other = F.when(k % 100 == 1, k + 1).when(k % 100 == 2, k - 1).when(k % 100 == 9, k).otherwise(k + 100)
+    other = F.when(k % 100 == 1, k + 1).when(k % 100 == 2, k - 1).when(k % 100 == 9, k).otherwise(k + 1)
     waits = table(spark, sf_dir, "orders").where((k % 100).isin(1, 2, 6, 9) & (k % 1000 != 9)).select(F.concat(F.lit("O:"), k).alias("id"), F.concat(F.lit("O:"), other).alias("blocker"))
     found = op.structure_checks(rows, TREE_NOW, blocked_by=waits, most_roots=8)
     return found.where(F.col("check").isin("misplaced", "dangling_parent", "completed_before_start", "blocked_by_nothing", "too_many_roots", "blocker_cycle"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,6 +16,13 @@ def own_folder(master: str) -> str:
     return tempfile.mkdtemp(prefix="tarnworks-")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's address below the one that the session names in spark.checkpoint.dir."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or own_folder(spark.sparkContext.master)
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}")
+    return re.sub(r"^file:/+", "file:///", at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString())
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` without its lineage, from the folder that the session names in spark.checkpoint.dir.
 

@@ -7,11 +7,15 @@ from __future__ import annotations
 
 import json
 import re
+from functools import reduce
+from urllib.parse import unquote
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tarnworks.functions.text import glob_pattern
+
 LOG_SCHEMA = "timestamp string, event string, itemId string, detail string, _corrupt string"
 TOKENS = "struct<input:bigint,output:bigint,cacheCreationInput:bigint,cacheReadInput:bigint>"
 RUN_SCHEMA = (
@@ -68,19 +72,67 @@ def events_of_log(entries: DataFrame) -> DataFrame:
     return rows.select(F.col("timestamp").alias("ts"), command.alias("command"), F.lit("log").alias("package"), zero("d.inputTokens").alias("input"), zero("d.outputTokens").alias("output"), F.lit(0).cast("long").alias("cache_creation"), F.lit(0).cast("long").alias("cache_read"), zero("d.calls").alias("calls"), named("d.vendor").alias("vendor"), named("d.model").alias("model"))
 
 
-def inventory(spark: SparkSession, path: str, ignore: tuple[str, ...] = ("node_modules", ".git", "dist")) -> DataFrame:
-    """path, size, modified, hash, lines, language of every file below a folder; binary files have no lines.
+def ignored(path: Column, rules: list[str]) -> Column:
+    """Whether a path is ignored by the lines of an ignore file, the last that fits deciding.
+
+    A line is a path pattern; one with a slash before its end is tied to the top, others fit at any depth; a slash at
+    the end means folders, and all below a folder that fits is ignored; ! brings back; # starts a comment.
+    """
+    out = F.lit(False)
+    for line in rules:
+        rule = line.strip()
+        if not rule or rule.startswith("#"):
+            continue
+        back, rule = rule.startswith("!"), rule.removeprefix("!")
+        folder, rule = rule.endswith("/"), rule.rstrip("/")
+        lead = "^" if "/" in rule else "(^|/)"
+        pattern = lead + glob_pattern(rule.lstrip("/"))[1:-1] + ("/" if folder else "(/|$)")
+        out = F.when(path.rlike(pattern), not back).otherwise(out)
+    return out
+
+
+def inventory(spark: SparkSession, path: str, ignore: tuple[str, ...] = ("node_modules", ".git", "dist"), rules: list[str] | None = None, before: DataFrame | None = None) -> DataFrame:
+    """path, size, modified, hash, lines, language of every file below a folder; binary and empty files have no lines.
 
-    The session's reader leaves out files of no bytes."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    kept = rows.where(~F.col("path").rlike("/(" + "|".join(map(re.escape, ignore)) + ")/"))
+    ``rules``: lines of an ignore file, for paths from the folder on. With ``before``, an earlier inventory, files of
+    the same size and time keep its row, and their content isn't read again. The reader leaves out files of no bytes, so
+    these come from its listing.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    rows = reader.load(path)
+    listed = spark.createDataFrame([(re.sub("^file:/+", "file:/", unquote(f)),) for f in rows.inputFiles()] or [("",)], "path string")
+    there = rows.select("path", "length", "modificationTime")
+    empty = listed.where("path != ''").join(there.select("path"), "path", "left_anti").select("path", F.lit(0).cast("long").alias("length"), F.lit(None).cast("timestamp").alias("modificationTime"), F.lit(b"").alias("content"))
+    top = F.regexp_replace("path", "^.*?" + re.escape(path.rstrip("/").split("://")[-1]) + "/", "")
+    skip = F.col("path").rlike("/(" + "|".join(map(re.escape, ignore)) + ")/") | ignored(top, rules or [])
+    known = None
+    if before is not None:
+        same = before.select("path", F.col("size").alias("length"), F.col("modified").alias("modificationTime"))
+        known = before.join(there, "path").where("size = length and modified = modificationTime").select(before.columns)
+        rows = rows.join(there.join(same, ["path", "length", "modificationTime"], "left_anti").select("path"), "path", "left_semi")
+    kept = rows.unionByName(empty).where(~skip)
     text = F.decode("content", "ISO-8859-1")
     binary = F.instr(F.substring(text, 1, 8192), "\0") > 0
     newlines = F.length(text) - F.length(F.translate(text, "\n", ""))
     lines = F.when(binary | (F.length("content") == 0), 0).otherwise(newlines + F.when(F.endswith(text, F.lit("\n")), 0).otherwise(1))
     extension = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     language = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in LANGUAGES.items() for x in kv)), extension), F.lit("Other"))
-    return kept.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("hash"), lines.cast("long").alias("lines"), language.alias("language"))
+    out = kept.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("hash"), lines.cast("long").alias("lines"), language.alias("language"))
+    return out if known is None else out.unionByName(known.select(out.columns))
+
+
+def manifest_event(manifests: DataFrame, now: str) -> DataFrame:
+    """Usage events of manifests (a column ``text`` of JSON), one of each that has usage; ``now`` where it has no time."""
+    m = F.from_json("text", "generatedAt string, tokenUsage struct<calls:bigint,inputTokens:bigint,outputTokens:bigint>")
+    rows = manifests.select(m.alias("m")).where("m.tokenUsage is not null")
+    zero = lambda c: F.coalesce(F.col(f"m.tokenUsage.{c}"), F.lit(0).cast("long"))
+    return rows.select(F.coalesce("m.generatedAt", F.lit(now)).alias("ts"), F.lit("analyze").alias("command"), F.lit("manifest").alias("package"), zero("inputTokens").alias("input"), zero("outputTokens").alias("output"), zero("calls").alias("calls"))
+
+
+def scan_results(**scans: DataFrame) -> DataFrame:
+    """source, name, kind, file, detail: what several scanners found, in one table."""
+    text = lambda t, c: (F.col(c) if c in t.columns else F.lit(None)).cast("string").alias(c)
+    return reduce(DataFrame.unionByName, (t.select(F.lit(name).alias("source"), *(text(t, c) for c in ("name", "kind", "file", "detail"))) for name, t in scans.items()))
 
 
 def merge_commits(log: DataFrame, record: str = "\x1e", field: str = "\x1f") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,3 +40,23 @@ def numbered_duplicates(rows: DataFrame, group: str, name: str, order: str) -> D
     """Names made unique within their group: the first stays, later ones get -2, -3 and so on."""
     rn = F.row_number().over(Window.partitionBy(group, name).orderBy(order))
     return rows.withColumn("rn", rn).withColumn(name, F.when(F.col("rn") == 1, F.col(name)).otherwise(F.concat_ws("-", name, "rn"))).drop("rn")
+
+
+def text_files(rows: DataFrame, root: str) -> int:
+    """Write each row (path, text) as a file of its own below ``root``, which all tasks see; returns how many.
+
+    A file is written under another name and renamed, so that a repeated task leaves a whole one.
+    """
+
+    def save(batches):
+        fs, base = pafs.FileSystem.from_uri(root)
+        for batch in batches:
+            for path, text in zip(batch["path"], batch["text"]):
+                folder, _, name = f"{base}/{path}".rpartition("/")
+                fs.create_dir(folder, recursive=True)
+                with fs.open_output_stream(f"{folder}/.{name}.part") as sink:
+                    sink.write(text.encode())
+                fs.move(f"{folder}/.{name}.part", f"{folder}/{name}")
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    return rows.select("path", "text").mapInPandas(save, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

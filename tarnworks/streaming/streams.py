@@ -117,3 +117,34 @@ def upserting(path: str, key: str, values: tuple[str, ...]):
         new.write.mode("overwrite").parquet(f"{path}/v{number}")  # a repeated batch writes the same version again
 
     return save
+
+
+def drained(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """What a stream gives for all that is there now, as a table below ``folder``.
+
+    A batch is written under its number, so a repeated one replaces itself; in complete mode the last batch is all.
+    """
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/{'batch=0' if mode == 'complete' else f'batch={number}'}")
+
+    stream.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.parquet(f"{folder}/rows").drop("batch")
+
+
+def connection_events(events: DataFrame, least: int = 500) -> DataFrame:
+    """Per connection kind: opened, closed by reason, and the mean duration of its last closings (ST-19's counters).
+
+    ``events``: kind, type (open or close), reason, ts, ms. A batch or a stream in complete mode.
+    """
+    closing = F.col("type") == "close"
+    return events.groupBy("kind").agg(F.count_if(~closing).alias("opened"), F.count_if(closing).alias("closed"), F.count_if(closing & (F.col("reason") == "error")).alias("failed"), F.avg(F.when(closing, F.col("ms"))).alias("mean_ms"))
+
+
+def vendor_lines(lines: DataFrame) -> DataFrame:
+    """run, type, tool, input, output of JSON lines (run, text) of a vendor whose usage lies in an item or at the top; others pass as text."""
+    at = lambda p: F.get_json_object("text", p)
+    number = lambda *ps: F.coalesce(*(at(p).cast("bigint") for p in ps), F.lit(0).cast("bigint"))
+    kind = F.coalesce(at("$.item.type"), at("$.type"), F.lit("text"))
+    kind = F.when(kind.isin("command_execution", "function_call"), "tool_use").when(kind.isin("command_output", "function_call_output"), "tool_result").when(kind.isin("agent_message", "message"), "message").when(kind.isin("turn.completed", "usage"), "usage").otherwise(kind)
+    return lines.select("run", kind.alias("type"), F.coalesce(at("$.item.name"), at("$.item.command")).alias("tool"), number("$.usage.input_tokens", "$.usage.prompt_tokens").alias("input"), number("$.usage.output_tokens", "$.usage.completion_tokens").alias("output"))

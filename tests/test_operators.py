@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnworks.functions import scalars, text
-from tarnworks.operators import graph, search, similarity, tree
+from tarnworks.operators import graph, search, similarity, tree, zoning
+from tarnworks.sources import readers
 
 
 def value(spark, column):
@@ -186,3 +187,214 @@ def test_suggestions_from_many_commands(spark):
     typed = spark.createDataFrame([(f"command{k:03d}",) for k in range(300)], "typed string").coalesce(1)
     got = items.suggestions(typed, commands, 1).collect()
     assert {(r.typed, r.command) for r in got} >= {(f"command{k:03d}", f"command{k:03d}x") for k in range(300)}
+
+
+def node_level(edges, home, rule):
+    """A rule of ``zoning`` by its words, node by node: weights are summed anew from the edges before each merge."""
+    home = dict(home)
+
+    def sizes():
+        out = {}
+        for c in home.values():
+            out[c] = out.get(c, 0) + 1
+        return out
+
+    def flows(c, count=False):
+        out = {}
+        for (a, b), w in edges.items():
+            if home[a] == c:
+                out[home[b]] = out.get(home[b], 0) + (1 if count else w)
+        return out
+
+    def strongest(c):
+        near = [(-w, o) for o, w in flows(c).items() if o != c]
+        return min(near)[1] if near else None
+
+    def join(gone, into):
+        for n, c in home.items():
+            if c == gone:
+                home[n] = into
+
+    if rule == "small":
+        while True:
+            merged = False
+            for c in sorted(c for c, n in sizes().items() if n < 3):
+                if 0 < sizes().get(c, 0) < 3 and (into := strongest(c)):
+                    join(c, into)
+                    merged = True
+            if not merged:
+                return home
+    if rule == "satellites":
+        for _ in range(10):
+            merged = False
+            for c in sorted(c for c, n in sizes().items() if n <= 8):
+                f = flows(c)
+                inside, outside = f.get(c, 0) / 2, sum(w for o, w in f.items() if o != c)
+                if c in sizes() and inside + outside and outside / (inside + outside) >= 0.3 and (into := strongest(c)):
+                    join(c, into)
+                    merged = True
+            if not merged:
+                break
+        return home
+    if rule == "both":
+        own = {c: flows(c, True).get(c, 0) / 2 for c in sizes()}
+        pairs = sorted((-w / min(own[a], own[b]), a, b) for a in own for b, w in flows(a, True).items() if a < b and min(own[a], own[b]) and w / min(own[a], own[b]) >= 0.4)
+        gone = set()
+        for _, a, b in pairs:
+            if not {a, b} & gone:
+                n = sizes()
+                source, into = (a, b) if n[a] < n[b] else (b, a)
+                join(source, into)
+                gone.add(source)
+        return home
+    while len(n := sizes()) > 4:
+        pairs = [(-2 * w, a, b) for a in n for b, w in flows(a).items() if a < b]
+        if pairs:
+            _, a, b = min(pairs)
+            join(*((a, b) if n[a] < n[b] else (b, a)))
+        else:
+            b, a = sorted(n, key=lambda c: (n[c], c))[:2]
+            join(b, a)
+    return home
+
+
+def random_graph(rng, nodes, links):
+    out = {}
+    for _ in range(links):
+        a, b = rng.sample(range(nodes), 2)
+        w = float(rng.randint(1, 4))
+        for x, y in ((a, b), (b, a)):
+            out[f"n{x:03d}", f"n{y:03d}"] = out.get((f"n{x:03d}", f"n{y:03d}"), 0.0) + w
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_zone_rules_equal_node_by_node(spark, seed):
+    rng = random.Random(seed)
+    edges = random_graph(rng, 60, 90)
+    nodes = sorted({a for a, _ in edges})
+    home = {n: f"c{rng.randrange(22):02d}" for n in nodes}
+    parts = {}
+
+    def root(n):
+        while parts.setdefault(n, n) != n:
+            n = parts[n]
+        return n
+
+    for a, b in edges:
+        parts[root(a)] = root(b)
+    for c in set(home.values()):  # a community lies in one component
+        first = root(next(n for n in nodes if home[n] == c))
+        for n in nodes:
+            if home[n] == c and root(n) != first:
+                home[n] = f"{c}-{root(n)}"
+    members = spark.createDataFrame([(root(n), n, c) for n, c in home.items()], "component string, node string, community string")
+    frame = spark.createDataFrame([(a, b, w) for (a, b), w in edges.items()], "src string, dst string, w double")
+    rules = {"small": (zoning.small, "w", True), "satellites": (zoning.satellites, "w", True), "both": (zoning.tied_both_ways, "n", True), "cap": (lambda g: zoning.capped(g, 4), "w", False)}
+    for name, (rule, value, local) in rules.items():
+        got = {r.node: r.community for r in zoning.regrouped(members, frame, rule, value, local).collect()}
+        assert got == node_level(edges, home, name), name
+
+
+def test_communities_by_component_equal_the_whole_graph(spark):
+    rng = random.Random(5)
+    edges = random_graph(rng, 40, 45)
+    frame = spark.createDataFrame([(a, b, w) for (a, b), w in edges.items()], "src string, dst string, w double")
+    near = {}
+    for (a, b), w in edges.items():
+        near.setdefault(a, {})[b] = w
+    whole = graph.local_moves(near, 1.0, 100)
+    assert {r.node: r.community for r in zoning.communities(frame).collect()} == whole
+    started = {n: f"s{int(n[1:]) % 4}" for n in near}
+    start = spark.createDataFrame(list(started.items()), "node string, community string")
+    rows = zoning.communities(frame, start=start).collect()
+    assert len(rows) == len(near) and {r.community for r in rows} <= set(started.values()) | set(near)
+    with pytest.raises(Exception, match="more than 3"):
+        graph.louvain(frame.withColumn("g", F.lit("x")), "g", most_nodes=3).collect()
+
+
+def test_large_communities_are_split(spark):
+    cliques = [[f"d{k}/sub{k}/f{i}" for i in range(8)] for k in range(3)]
+    edges = [(a, b, 1.0) for c in cliques for a in c for b in c if a != b] + [(cliques[k][0], cliques[k + 1][0], 1.0) for k in range(2)] + [(cliques[k + 1][0], cliques[k][0], 1.0) for k in range(2)]
+    members = spark.createDataFrame([("p", n, "all") for c in cliques for n in c], "component string, node string, community string")
+    got = {r.node: r.community for r in zoning.split_large(members, spark.createDataFrame(edges, "src string, dst string, w double"), 10).collect()}
+    assert len(set(got.values())) == 3 and all(len({got[n] for n in c}) == 1 for c in cliques)
+    assert zoning.by_directory(["a/b/x", "a/b/y", "a/c/x", "a/c/y"]) == {"a/b/x": "dir-0", "a/b/y": "dir-0", "a/c/x": "dir-1", "a/c/y": "dir-1"}
+    assert zoning.by_directory(["x", "y"]) == {} and zoning.limits(100) == (15, 8)
+
+
+def test_zones_of_a_repository(spark):
+    edges = [(f"{d}/a{i}.ts", f"{d}/a{j}.ts", 2.0) for d in ("web", "core", "cli") for i in range(6) for j in range(i)] + [("web/a0.ts", "core/a0.ts", 1.0)]
+    files = sorted({f for a, b, _ in edges for f in (a, b)} | {"web/lonely.ts", "docs/x.md"})
+    frame = spark.createDataFrame(edges, "from string, to string, weight double")
+    paths = spark.createDataFrame([(f,) for f in files], "path string")
+    zones = {r.path: r.zone for r in zoning.zones_of(frame, paths, percent=50.0).collect()}
+    assert sorted(zones) == files
+    assert all(len({zones[f] for f in files if f.startswith(d + "/a")}) == 1 for d in ("web", "core", "cli"))
+    assert len({zones[f"{d}/a1.ts"] for d in ("web", "core", "cli")}) == 3 and zones["web/lonely.ts"] == zones["web/a1.ts"]
+    pins = spark.createDataFrame([("web/a1.ts", "mine")], "path string, zone string")
+    again = {r.path: r.zone for r in zoning.zones_of(frame, paths, before=spark.createDataFrame(list(zones.items()), "node string, zone string"), pins=pins, percent=50.0).collect()}
+    assert again["web/a1.ts"] == "mine" and again["core/a1.ts"] == again["core/a2.ts"]
+
+
+def test_long_chains_and_deep_trees(spark):
+    pairs = spark.createDataFrame([(f"n{k:03d}", f"n{k + 1:03d}") for k in range(46)], "a string, b string")
+    assert {r.cluster for r in similarity.clusters(pairs).collect()} == {"n000"}
+    deps = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (101, 100), (99, 100)], "id long, blocker long")
+    lengths = {r.id: r.length for r in graph.chain_lengths(deps).collect()}
+    assert lengths[0] == 40 and lengths[39] == 1 and lengths[99] == 1 and 100 not in lengths
+    rows = spark.createDataFrame([(f"i{k}", f"i{k - 1}" if k else None) for k in range(6)], "id string, parent_id string")
+    assert {(r.ancestor, r.id, r.distance) for r in tree.closure_of_levels(rows, 6).collect()} == {(r.ancestor, r.id, r.distance) for r in tree.closure(rows).collect()}
+    with pytest.raises(Exception, match="below level 4"):
+        tree.closure_of_levels(rows, 4).collect()
+    with pytest.raises(ValueError, match="levels deep"):
+        tree.closure(rows, 2)
+
+
+def test_completion_stops_at_what_cannot_complete(spark):
+    rows = [
+        ("e", None, "pending"), ("f1", "e", "pending"), ("t1", "f1", "completed"), ("f2", "e", "blocked"), ("t2", "f2", "completed"),
+        ("g", None, "in_progress"), ("g1", "g", "pending"), ("g2", "g1", "completed"), ("g3", "g", "completed"), ("g4", "g3", "pending"),
+        ("leaf", None, "pending"), ("h", None, "pending"), ("h1", "h", "deleted"),
+    ]
+    items = spark.createDataFrame(rows, "id string, parent_id string, status string")
+    assert {r.id for r in tree.auto_completable(tree.closure(items), items).collect()} == {"f1", "g", "g1", "h"}
+    resets = tree.parent_resets(tree.closure(items), items, items.where("id in ('g4', 'g2')"))
+    assert {(r.parent, r.id) for r in resets.collect()} == {("g2", "g2")}
+
+
+def test_search_keeps_stop_words_in_fields(spark):
+    items = spark.createDataFrame([("1", "It should work", None), ("2", "shout", None)], "id string, title string, description string")
+    assert {r.id for r in search.search(items, "shou").collect()} == {"1", "2"}
+    assert search.search(items, "should").count() == 0  # no term is left of the query
+
+
+def test_matches_conflicts_and_epics(spark):
+    nodes = spark.createDataFrame([(1, "task", "Add login flow"), (2, "task", "login"), (3, "epic", "login page"), (4, "task", "zzz")], "id long, level string, title string")
+    items = spark.createDataFrame([(10, "task", "add login  flow", "pending"), (11, "task", "the login flow", "pending"), (12, "task", "billing", "completed")], "id long, level string, title string, status string")
+    got = {r.node: (r.item, r.score, r.reason) for r in similarity.matched_nodes(nodes, items).collect()}
+    assert got == {1: (10, 1.0, "exact_title"), 2: (10, 0.95, "semantic_title")}
+    new = spark.createDataFrame([(20, "login flow"), (21, "Login flow"), (22, "billing"), (23, "other words")], "id long, title string")
+    found = {(r.id, r.other, r.kind) for r in similarity.conflicts(new, items).collect()}
+    assert found == {(20, 10, "tree"), (21, 10, "tree"), (21, 20, "batch")} or found == {(20, 11, "tree"), (21, 11, "tree"), (21, 20, "batch")}
+    left = similarity.unmatched(new.select(F.col("title").alias("name")), items.select(F.col("title").alias("name")))
+    assert {r.name for r in left.collect()} == {"other words"}
+    side = "id long, title string, description string, tags array<string>, children string"
+    features = spark.createDataFrame([(1, "login page", "users sign in", ["Auth"], "form")], side)
+    epics = spark.createDataFrame([(5, "login", None, ["auth"], ""), (6, "payments", "users sign in", [], "form"), (7, "xyz", None, None, None)], side)
+    best = [(r.epic, round(r.score, 4)) for r in similarity.epics_of_features(features, epics).orderBy(F.desc("score")).collect()]
+    expected = sorted(((5, 0.7 * similarity.plain_similarity("login page", "login") + 0.1), (6, 0.45 * similarity.plain_similarity("login page", "payments") + 0.25 + 0.2)), key=lambda x: -x[1])
+    assert best == [(k, round(v, 4)) for k, v in expected if v >= 0.15]
+
+
+def test_inventory_reuses_rows_and_keeps_empty_files(spark, tmp_path):
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "a.py").write_text("x = 1\n")
+    (tmp_path / "src" / "empty.py").write_text("")
+    (tmp_path / "b.log").write_text("x")
+    first = readers.inventory(spark, str(tmp_path), rules=["*.log"])
+    rows = {r.path.rsplit("/", 1)[1]: r for r in first.collect()}
+    assert set(rows) == {"a.py", "empty.py"} and rows["empty.py"].size == rows["empty.py"].lines == 0 and rows["a.py"].lines == 1
+    known = spark.createDataFrame([(*rows["a.py"][:3], "kept", 7, "Python")], first.schema)
+    again = {r.path.rsplit("/", 1)[1]: r for r in readers.inventory(spark, str(tmp_path), rules=["*.log"], before=known).collect()}
+    assert again["a.py"].hash == "kept" and again["a.py"].lines == 7 and set(again) == set(rows)
