@@ -11,6 +11,8 @@ fingerprinted; that skips no match. Items lie in blocks of bounded size, each wi
 so what is sent to the executors is bounded however large the benchmark.
 
 Null, empty and blank texts and items match nothing; an item under five words is one run. Equal items match alike.
+Texts of any length are searched whole; repeated documents match each; an empty table of documents gives no rows, and
+an empty benchmark lets all documents pass.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from tarnworks.llm.shingles import runs, word_hashes
+from tarnworks.llm.shingles import hashed, runs, word_hashes
 
 WORDS, LEAST = 5, 0.8
 BLOCKS, BLOCK_RADIUS = 8, 2
@@ -102,9 +104,9 @@ class Items:
             out[at] = self.every[place] == hashes[at]
         return out
 
-    def search(self, text: str | None) -> list[tuple[int, int, int, float]]:
-        """(item, first word, words, similarity) of the best window for each item that the text holds."""
-        words, best = word_hashes(text), {}
+    def search(self, words: np.ndarray) -> list[tuple[int, int, int, float]]:
+        """(item, first word, words, similarity) of the best window for each item that the text of these words holds."""
+        best: dict[int, tuple[float, int]] = {}
         for width in {min(WORDS, n) for n in self.n_words}:
             if len(words) < width:
                 continue
@@ -151,7 +153,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, most_runs: int = MOST_RUNS
 
         def run(batches, items=items):
             for batch in batches:
-                rows = [(doc_id, *hit) for doc_id, text in zip(batch["doc_id"], batch["text"]) for hit in items.search(text)]
+                rows = [(doc_id, *hit) for doc_id, words in zip(batch["doc_id"], hashed(batch["text"])) for hit in items.search(words)]
                 if rows:
                     yield pd.DataFrame(rows, columns=["doc_id", "item_id", "start_word", "n_words", "similarity"]).astype({"doc_id": "Int64", "item_id": "Int64"})
 
@@ -166,7 +168,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, most_runs: int = MOST_R
 
         def run(batches, items=items):
             for batch in batches:
-                yield batch[[not items.search(t) for t in batch["text"]]]
+                yield batch[[not items.search(words) for words in hashed(batch["text"])]]
 
         docs = docs.mapInPandas(run, docs.schema)
     return docs

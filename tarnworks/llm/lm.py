@@ -23,9 +23,6 @@ Repeated rows count and are scored each. An empty table gives no rows.
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterable, Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -35,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnworks.llm.common import Work
-from tarnworks.llm.shingles import LOWER, mixed
+from tarnworks.llm.shingles import hashed, word_hashes
 
 GROUPS, PER_GROUP, SIDE, HIDDEN = 32, 32, 3, 32
 SHARED = 32
@@ -50,87 +47,6 @@ MOST_COUNTED = 2_000_000
 BLOCK_WORDS, BLOCK_DOCS = 1_000_000, 20_000
 
 
-def powers(base: int, count: int) -> np.ndarray:
-    out = np.full(count, base, dtype=np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-#: Bytes that are hashed at a time; longer words have a hash of another kind, wherever they stand.
-SPAN, LONG = 1 << 18, 1 << 12
-WHITE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
-#: A number for each byte, the same for A to Z and a to z, none for white space; and powers of an odd number and of its inverse.
-LETTERS = np.random.default_rng(23).integers(1, 1 << 63, 256, dtype=np.uint64)[np.frombuffer(LOWER, dtype=np.uint8)] * ~WHITE
-BASE = 0x9E3779B97F4A7C15
-POWERS, INVERSES = powers(BASE, SPAN + 1), powers(pow(BASE, -1, 1 << 64), SPAN + 1)
-
-
-def split(text: str | None) -> list[bytes]:
-    return (text or "").encode().translate(LOWER).split()
-
-
-def of_long(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word.translate(LOWER), 42)
-
-
-def in_span(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word of up to ``SPAN`` bytes, and where it starts: sums of letters times powers, told apart by sums so far."""
-    raw = np.frombuffer(data, dtype=np.uint8)
-    edge = np.flatnonzero(np.diff(WHITE[raw], prepend=True, append=True))
-    starts, stops = edge[::2], edge[1::2]
-    sums = np.zeros(len(raw) + 1, dtype=np.uint64)
-    np.cumsum(LETTERS[raw] * POWERS[: len(raw)], out=sums[1:])
-    words = mixed((sums[stops] - sums[starts]) * INVERSES[starts])
-    for k in np.flatnonzero(stops - starts > LONG):
-        words[k] = of_long(data[starts[k] : stops[k]])
-    return words.view(np.int64), starts
-
-
-def in_long(data: bytes) -> np.ndarray:
-    """Hash of each word of a text of any length, span by span, cut at white space."""
-    out, at = [], 0
-    while at < len(data):
-        stop = at + SPAN
-        if stop < len(data):
-            gaps = np.flatnonzero(WHITE[np.frombuffer(data, dtype=np.uint8, count=SPAN, offset=at)])
-            stop = at + int(gaps[-1]) + 1 if len(gaps) else at
-        if stop == at:  # a word longer than a span
-            found = re.search(rb"[\x20\x09-\x0D]", data[at:])
-            stop = at + found.start() if found else len(data)
-            out.append(np.array([of_long(data[at:stop])], dtype=np.uint64).view(np.int64))
-        else:
-            out.append(in_span(data[at:stop])[0])
-        at = stop
-    return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
-
-
-def hashed(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
-    """Hash of each word of each text, in order; short texts are handled together."""
-    held, size = [], 0
-
-    def together():
-        words, starts = in_span(b" ".join(held))
-        ends = np.cumsum([len(d) + 1 for d in held])
-        return np.split(words, np.searchsorted(starts, ends[:-1]))
-
-    for text in texts:
-        data = (text or "").encode()
-        if held and size + len(data) >= SPAN:
-            yield from together()
-            held, size = [], 0
-        if len(data) >= SPAN:
-            yield in_long(data)
-        else:
-            held.append(data)
-            size += len(data) + 1
-    if held:
-        yield from together()
-
-
-def hashes(text: str | None) -> np.ndarray:
-    return next(hashed([text]))
-
-
 def counted(docs: DataFrame) -> DataFrame:
     """word (its hash) and n of every distinct word of the documents."""
 
@@ -142,7 +58,7 @@ def counted(docs: DataFrame) -> DataFrame:
             return pd.DataFrame({"word": words, "n": n})
 
         for own in hashed(t for batch in batches for t in batch["text"]):
-            held.append(own)
+            held.append(own.view(np.int64))
             size += len(own)
             if size > MOST_COUNTED:
                 yield distinct()
@@ -180,7 +96,7 @@ class Numbers:
         return out
 
     def of(self, text: str | None) -> np.ndarray:
-        return self.of_hashes(hashes(text))
+        return self.of_hashes(word_hashes(text).view(np.int64))
 
 
 def fresh(seed: int = SEED) -> dict[str, np.ndarray]:
@@ -308,7 +224,7 @@ def fit_to(net: dict, texts, numbers: Numbers) -> tuple[dict, int]:
             step(net, memory, padded, start, min(start + STEP, len(padded) - 2 * SIDE))
 
     for words in hashed(texts):
-        own = numbers.of_hashes(words)
+        own = numbers.of_hashes(words.view(np.int64))
         total += len(own)
         held += [own, gap]
         size += len(own)
@@ -431,7 +347,7 @@ def in_blocks(known: np.ndarray, net: dict[str, np.ndarray]):
             while start < len(ids):
                 words, held, size = [], [], 0
                 while start + len(held) < len(ids) and size < 16 * SLICE:
-                    words.append(next(texts))
+                    words.append(next(texts).view(np.int64))
                     held.append(numbers.of_hashes(words[-1]))
                     size += len(held[-1])
                 block.add(ids[start : start + len(held)], words, held, scored(net, held))

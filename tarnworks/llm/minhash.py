@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tarnworks.llm.common import Work
 from tarnworks.llm.components import connected_components
-from tarnworks.llm.shingles import shingle_set
+from tarnworks.llm.shingles import shingle_sets
 
 BANDS, CHUNK, SLICE = 32, 96, 4096
 #: Shingles that are hashed at a time.
@@ -61,8 +61,7 @@ def signed(docs: DataFrame, k: int, depth: int, bands: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                s = shingle_set(text, k)
+            for doc_id, s in zip(batch["doc_id"], shingle_sets(batch["text"], k)):
                 linked = len(s) and not pd.isna(doc_id)
                 rows.append((doc_id, len(s), xxhash.xxh3_128_digest(s.tobytes()) if linked else None, band_hashes(s, factors, bands) if linked else None))
             yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "key", "bands"]).astype({"doc_id": "Int64"})
@@ -115,7 +114,7 @@ def confirmed(docs: DataFrame, groups: DataFrame, work: Work, k: int, most: int,
 
     def sets(batches):
         for batch in batches:
-            batch["shingles"] = [shingle_set(t, k).tobytes() for t in batch["text"]]
+            batch["shingles"] = [s.tobytes() for s in shingle_sets(batch["text"], k)]
             yield batch[["id", "component", "g", "c", "shingles"]]
 
     members = texts.mapInPandas(sets, "id long, component long, g int, c int, shingles binary")

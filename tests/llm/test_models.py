@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tarnworks.llm import cnn, htmltext, lm
+from tarnworks.llm import cnn, htmltext, lm, shingles
 from tarnworks.llm.common import read
 
 from . import docs
@@ -96,9 +96,9 @@ def test_rare_words_are_scored_as_words(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).cache()
     counts: dict[bytes, int] = {}
     for _, text in rows:
-        for w in lm.split(text):
+        for w in shingles.split(text):
             counts[w] = counts.get(w, 0) + 1
-    hashed = {w: int(lm.hashes(w.decode())[0]) for w in counts}
+    hashed = {w: int(shingles.word_hashes(w.decode()).view(np.int64)[0]) for w in counts}
     assert len(set(hashed.values())) == len(counts)
     top = sorted(counts, key=lambda w: (-counts[w], hashed[w]))[: lm.WORDS - lm.SHARED]
     known, shares = lm.vocabulary(lm.counted(frame).cache())
@@ -114,20 +114,20 @@ def test_rare_words_are_scored_as_words(spark):
     assert {r.word: (r.log_share, r.once) for r in shares.collect()} == {hashed[w]: (pytest.approx(x), counts[w] == 1) for w, x in expected.items()}
     net = lm.trained(frame, known)
     base = lm.scored(net, [numbers.of(text) for _, text in rows])
-    wanted = {k: b + sum(expected.get(w, 0.0) for w in lm.split(text)) for (k, text), b in zip(rows, base)}
+    wanted = {k: b + sum(expected.get(w, 0.0) for w in shingles.split(text)) for (k, text), b in zip(rows, base)}
     got = lm.lm_scores(frame).collect()
     assert {r.doc_id: r.log_prob for r in got} == pytest.approx(wanted, rel=1e-5)
-    assert {r.doc_id: r.n_unseen for r in got} == {k: sum(counts[w] == 1 for w in lm.split(text)) for k, text in rows}
+    assert {r.doc_id: r.n_unseen for r in got} == {k: sum(counts[w] == 1 for w in shingles.split(text)) for k, text in rows}
 
 
 def test_hashes_of_words(monkeypatch):
     rng = random.Random(3)
-    monkeypatch.setattr(lm, "SPAN", 64)
-    monkeypatch.setattr(lm, "LONG", 20)
+    monkeypatch.setattr(shingles, "SPAN", 64)
+    monkeypatch.setattr(shingles, "LONG", 20)
     texts = ["".join(rng.choice("abAB \n\té ") for _ in range(rng.choice([0, 3, 30, 200, 900]))) for _ in range(400)] + ["x" * 50, "y" * 300 + " b", " " + "z" * 100 + " ", "X" * 50, None, "x" * 20]
     seen: dict[bytes, int] = {}
-    for text, got in zip(texts, lm.hashed(texts), strict=True):
-        words = lm.split(text)
+    for text, got in zip(texts, shingles.hashed(texts), strict=True):
+        words = shingles.split(text)
         assert len(words) == len(got)
         for w, h in zip(words, got.tolist()):
             assert seen.setdefault(w, h) == h
@@ -186,7 +186,7 @@ def test_documents_that_occur_twice_are_scored_apart(spark):
 def test_training_steps_of_4096_words(monkeypatch):
     seen = []
     monkeypatch.setattr(lm, "step", lambda net, memory, padded, start, stop: seen.append(stop - start))
-    lm.fit_to(lm.fresh(), ["a " * 50_000], lm.Numbers(lm.hashes("a")))
+    lm.fit_to(lm.fresh(), ["a " * 50_000], lm.Numbers(shingles.word_hashes("a").view(np.int64)))
     assert max(seen) == 4096 and sum(seen) >= 50_000
 
 
