@@ -45,7 +45,10 @@ class Pieces(dict):
 
     def merged(self, piece: str) -> bytes:
         """Ids of what the pre-tokenizer would not cut: letters with or without a space, or punctuation."""
-        mapped = piece.encode().decode("latin-1").translate(self.letters)
+        if piece.isascii():  # such letters stand for themselves
+            mapped = self.letters[32] + piece[1:] if piece[:1] == " " else piece
+        else:
+            mapped = piece.encode().decode("latin-1").translate(self.letters)
         return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
     def whole(self, text: str) -> bytes:
