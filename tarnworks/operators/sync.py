@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -64,3 +65,39 @@ def applied_deltas(totals: DataFrame, removed: DataFrame, added: DataFrame, key:
 def refreshed_edges(edges: DataFrame, changed: DataFrame, recomputed: DataFrame) -> DataFrame:
     """Edges of unchanged files and the new ones of changed files."""
     return edges.join(changed.select(F.col("path").alias("from")), "from", "left_anti").select(recomputed.columns).unionByName(recomputed)
+
+
+def fingerprint(listing: DataFrame, *columns: str) -> str:
+    """A digest of a listing's rows, whatever their order; two sums of hashes, made where the rows are."""
+    parts = [F.sum(F.xxhash64(F.lit(salt), *columns).cast("decimal(38,0)")) for salt in (1, 2)]
+    return "-".join(str(x) for x in listing.agg(F.count("*"), *parts).first())
+
+
+def remembered(folder: str, name: str, print_: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The result of ``build`` as it was kept for this fingerprint of its inputs, or built and kept now.
+
+    A result is a Parquet table named by both; one that another job is still writing isn't complete and is built anew.
+    """
+    path = f"{folder}/{name}-{print_}"
+    spark = SparkSession.getActiveSession()
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+#: Orders in which tables are written, so that equal ones give equal files.
+CANONICAL = {
+    "files": ("path",),
+    "edges": ("from", "to", "type"),
+    "crossings": ("from_zone", "to_zone", "from", "to"),
+    "zones": ("zone",),
+    "externals": ("package",),
+    "calls": ("caller_file", "caller", "callee_file", "callee"),
+    "functions": ("file", "line", "name"),
+}
+
+
+def canonical(rows: DataFrame, kind: str) -> DataFrame:
+    """Rows of a kind of table in its canonical order, by bytes, as far as they have its columns."""
+    return rows.orderBy(*(c for c in CANONICAL[kind] if c in rows.columns))

@@ -197,3 +197,9 @@ def queue_order(requests: DataFrame) -> DataFrame:
     """Place of each waiting request: by priority, then first come."""
     w = Window.partitionBy("queue").orderBy(priority_rank(F.col("priority")), "enqueued_at", "id")
     return requests.withColumn("place", F.row_number().over(w))
+
+
+def weekly_spend(events: DataFrame, now: str, vendor: str) -> DataFrame:
+    """One row: tokens and runs of a vendor in the ISO week of ``now``."""
+    week = period_key(F.col("ts"), "week") == period_key(F.lit(now).cast("timestamp"), "week")
+    return events.where(week & (F.col("vendor") == vendor)).agg(F.coalesce(F.sum(F.col("input") + F.col("output")), F.lit(0).cast("long")).alias("tokens"), F.count("*").alias("events"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tarnworks.operators import graph as op
 from tarnworks.operators import sync, zoning
 from tarnworks.plans.tables import HEAVY, SUPPLY, TRADE, ZONES, heavy_trade, supply, table, trade, zones
+from tarnworks.session import scratch
 
 QUERIES, SQL = {}, {}
 
@@ -215,3 +217,26 @@ def incremental_task_usage(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("task"), "event_type", F.floor("value").cast("long").alias("tokens"))
     totals = e.groupBy("task").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("runs"))
     return sync.applied_deltas(totals, e.where("task % 3 = 0 or event_type = 'error'"), e.limit(0), "task", "tokens")
+
+
+@query(f"""WITH {SUPPLY} SELECT src AS "from", dst AS "to", row_number() OVER (ORDER BY src, dst) AS place FROM (SELECT DISTINCT src, dst FROM supply) ORDER BY 1, 2 LIMIT 200""")
+def edges_in_order(spark, sf_dir):
+    rows = sync.canonical(supply(spark, sf_dir).distinct(), "edges").limit(200)
+    return rows.withColumn("place", F.row_number().over(Window.orderBy("from", "to")).cast("long"))
+
+
+@query("SELECT user_id, count(*) AS n FROM events GROUP BY 1")
+def remembered_result(spark, sf_dir):
+    """Counts kept by a fingerprint of the events; the second call reads what the first kept."""
+    events, folder = table(spark, sf_dir, "events"), scratch(spark, "remembered")
+    made = []
+
+    def build():
+        made.append(1)
+        return events.groupBy("user_id").agg(F.count("*").alias("n"))
+
+    for _ in range(2):
+        out = sync.remembered(folder, "counts", sync.fingerprint(events, "event_id", "user_id"), build)
+    if len(made) != 1:
+        raise AssertionError("built again")
+    return out

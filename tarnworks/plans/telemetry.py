@@ -207,3 +207,8 @@ def cumulative_shares(spark, sf_dir):
     g = token_events(spark, sf_dir).groupBy("model").agg(F.sum("input").alias("w"))  # a row for each model
     upto, all_ = F.sum("w").over(Window.orderBy(F.desc("w"), "model").rowsBetween(Window.unboundedPreceding, 0)), F.sum("w").over(Window.partitionBy(F.lit(1)))
     return g.select("model", half_up((upto - F.col("w")) / all_, 4).alias("start_share"), half_up(upto / all_, 4).alias("end_share"))
+
+
+@query(f"WITH {TOKEN_EVENTS} SELECT CAST(sum(input + output) AS BIGINT) AS tokens, count(*) AS events FROM token_events WHERE vendor = 'alpha' AND isoyear(ts) = 2024 AND week(ts) = 3")
+def weekly_spend(spark, sf_dir):
+    return op.weekly_spend(token_events(spark, sf_dir), "2024-01-18 12:00:00", "alpha")
