@@ -123,9 +123,29 @@ def scope_creep(before: Column, now: Column, share: float = 0.5) -> Column:
     return F.coalesce((now - before) / F.nullif(before, F.lit(0)) > share, F.lit(False))
 
 
+def with_deletions(x: Column, most: int) -> Column:
+    """A text and all that is left of it after deleting up to ``most`` characters, each once."""
+
+    def without_one(c):
+        cut = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c))), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))
+        return F.when(F.length(c) > 0, cut).otherwise(F.array().cast("array<string>"))
+
+    found = level = F.array(x)
+    for _ in range(most):
+        level = F.array_distinct(F.flatten(F.transform(level, without_one)))
+        found = F.concat(found, level)
+    return F.array_distinct(found)
+
+
 def suggestions(typed: DataFrame, commands: DataFrame, most: int = 2) -> DataFrame:
-    """typed, command, distance: commands one or two edits away, of all ``commands``; meant for a short fixed list, as all pairs are compared."""
-    pairs = typed.crossJoin(commands)
+    """typed, command, distance: commands up to ``most`` edits away, of all ``commands``.
+
+    Texts within so many edits have a common rest after as many deletions in each, so they meet by equality of rests,
+    whatever the number of commands.
+    """
+    a = typed.select("typed").distinct().withColumn("rest", F.explode(with_deletions(F.col("typed"), most)))
+    b = commands.select("command").distinct().withColumn("rest", F.explode(with_deletions(F.col("command"), most)))
+    pairs = a.join(b, "rest").select("typed", "command").distinct()
     return pairs.withColumn("distance", F.levenshtein("typed", "command")).where((F.col("distance") >= 1) & (F.col("distance") <= most)).orderBy("typed", "distance", "command")
 
 

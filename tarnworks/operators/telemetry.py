@@ -84,10 +84,15 @@ def trend_halves(runs: DataFrame, newest: int) -> DataFrame:
 
 
 def failure_streaks(runs: DataFrame, threshold: int = 1) -> DataFrame:
-    """Length of each task's streak of failures, from its newest run backward, if at least the threshold."""
-    newest = Window.partitionBy("task").orderBy(F.desc("ts"), F.desc("run_id")).rowsBetween(Window.unboundedPreceding, 0)
-    others = F.sum((F.col("status") != "failed").cast("int")).over(newest)
-    return runs.withColumn("others", others).where("others = 0").groupBy("task").agg(F.count("*").alias("streak")).where(F.col("streak") >= threshold)
+    """Length of each task's streak of failures, from its newest run backward, if at least the threshold.
+
+    That is, failures after the last run that was none: a maximum and a count by task, which tasks combine before the
+    shuffle, so a task of very many runs isn't sorted anywhere.
+    """
+    at = F.struct("ts", "run_id")
+    last = runs.where("status != 'failed'").groupBy("task").agg(F.max(at).alias("last"))
+    failed = runs.where("status = 'failed'").join(last, "task", "left").where(F.col("last").isNull() | (at > F.col("last")))
+    return failed.groupBy("task").agg(F.count("*").alias("streak")).where(F.col("streak") >= threshold)
 
 
 def longest_islands(rows: DataFrame, key: str, order: list[str], flag: Column) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tarnworks.functions import scalars, text
 from tarnworks.operators import graph, search, similarity, tree, zoning
+from tarnworks.operators import items as work_items
 from tarnworks.sources import readers
 
 
@@ -185,7 +186,7 @@ def test_suggestions_from_many_commands(spark):
 
     commands = spark.createDataFrame([(f"command{k:03d}x",) for k in range(300)], "command string").coalesce(1)
     typed = spark.createDataFrame([(f"command{k:03d}",) for k in range(300)], "typed string").coalesce(1)
-    got = items.suggestions(typed, commands, 1).collect()
+    got = work_items.suggestions(typed, commands, 1).collect()
     assert {(r.typed, r.command) for r in got} >= {(f"command{k:03d}", f"command{k:03d}x") for k in range(300)}
 
 
@@ -398,3 +399,20 @@ def test_inventory_reuses_rows_and_keeps_empty_files(spark, tmp_path):
     known = spark.createDataFrame([(*rows["a.py"][:3], "kept", 7, "Python")], first.schema)
     again = {r.path.rsplit("/", 1)[1]: r for r in readers.inventory(spark, str(tmp_path), rules=["*.log"], before=known).collect()}
     assert again["a.py"].hash == "kept" and again["a.py"].lines == 7 and set(again) == set(rows)
+
+
+def test_suggestions_equal_all_pairs(spark):
+    rng = random.Random(12)
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(0, 6))) for _ in range(120)})
+    typed, commands = words[::2], words[1::2] + words[:10]
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, before = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+        return row[-1]
+
+    got = work_items.suggestions(spark.createDataFrame([(t,) for t in typed], "typed string"), spark.createDataFrame([(c,) for c in commands], "command string")).collect()
+    assert {(r.typed, r.command, r.distance) for r in got} == {(t, c, d) for t in typed for c in set(commands) if 1 <= (d := edits(t, c)) <= 2}
