@@ -67,10 +67,11 @@ def change_summary(files: DataFrame) -> DataFrame:
     return files.groupBy("sha").agg(*(F.count_if(F.col("change") == c).alias(c) for c in CHANGES), F.count_if(~F.col("change").isin(*CHANGES) | F.col("change").isNull()).alias("other"), F.count("*").alias("total"))
 
 
-def written_category(path: Column) -> Column:
-    """metadata, test, docs, config or code, the first that fits."""
+def written_category(path: Column, document: str = "prd.json", folder: str | None = None) -> Column:
+    """metadata, test, docs, config or code, the first that fits; metadata: the document of items and what its folder holds."""
+    own = F.endswith(path, F.lit(document))
     return (
-        F.when(F.endswith(path, F.lit("prd.json")) | F.contains(path, F.lit(".rex/")), "metadata")
+        F.when(own | F.contains(path, F.lit(f"{folder}/")) if folder else own, "metadata")
         .when(path.rlike(r"\.(test|spec)\.[jt]sx?$|__tests__/|/tests/|^tests/"), "test")
         .when(path.rlike(r"(?i)\.(md|mdx|txt|rst)$"), "docs")
         .when(path.rlike(r"(?i)\.(json|ya?ml|toml|ini)$|\.env|\.config\.[jt]s$"), "config")
@@ -78,10 +79,13 @@ def written_category(path: Column) -> Column:
     )
 
 
-def written_files(calls: DataFrame) -> DataFrame:
-    """run, category, path: distinct files that tool calls (run, tool, path) wrote; changes of items count as their document."""
-    path = F.when(F.col("tool") == "write_file", F.nullif(F.col("path"), F.lit(""))).when(F.col("tool").isin("rex_update", "rex_add"), "prd.json")
-    return calls.select("run", path.alias("path")).where("path is not null").distinct().select("run", written_category(F.col("path")).alias("category"), "path")
+def written_files(calls: DataFrame, writers: tuple[str, ...] = ("write_file",), item_tools: tuple[str, ...] = ("update_item", "add_item"), document: str = "prd.json", folder: str | None = None) -> DataFrame:
+    """run, category, path: distinct files that tool calls (run, tool, path) wrote; changes of items count as their document.
+
+    Which tools write and which change items, and where items are kept, are parameters.
+    """
+    path = F.when(F.col("tool").isin(*writers), F.nullif(F.col("path"), F.lit(""))).when(F.col("tool").isin(*item_tools), document)
+    return calls.select("run", path.alias("path")).where("path is not null").distinct().select("run", written_category(F.col("path"), document, folder).alias("category"), "path")
 
 
 def by_file(items: DataFrame, owners: DataFrame, default: str) -> DataFrame:

@@ -235,12 +235,12 @@ def usage_envelopes(spark, sf_dir):
     return out
 
 
-@query("""WITH r AS (SELECT user_id, CASE user_id % 3 WHEN 0 THEN 'codex' WHEN 1 THEN 'google' ELSE 'claude' END AS vendor, CASE WHEN user_id % 7 = 0 THEN 0 ELSE CAST(sum(floor(value)) AS BIGINT) END AS i, CASE WHEN user_id % 5 = 0 THEN 0 ELSE count(*) END AS o, count(*) AS turns, count(*) FILTER (event_type = 'error') AS silent FROM events GROUP BY user_id)
+@query("""WITH r AS (SELECT user_id, CASE user_id % 3 WHEN 0 THEN 'codex' WHEN 1 THEN 'google' ELSE 'other' END AS vendor, CASE WHEN user_id % 7 = 0 THEN 0 ELSE CAST(sum(floor(value)) AS BIGINT) END AS i, CASE WHEN user_id % 5 = 0 THEN 0 ELSE count(*) END AS o, count(*) AS turns, count(*) FILTER (event_type = 'error') AS silent FROM events GROUP BY user_id)
 SELECT user_id, array_to_string(list_filter([CASE WHEN vendor IN ('codex', 'google') AND i = 0 AND o = 0 THEN 'no_tokens' END, CASE WHEN vendor = 'codex' AND i = 0 THEN 'no_input' END, CASE WHEN vendor = 'codex' AND o = 0 THEN 'no_output' END, CASE WHEN i > 0 AND (i < 2000 * 0.75 OR i > 2000 * 1.25) THEN 'odd_input' END, CASE WHEN o > 0 AND (o < 200 * 0.75 OR o > 200 * 1.25) THEN 'odd_output' END, CASE WHEN silent > 0 AND silent < turns THEN 'silent_turns' END], lambda x: x IS NOT NULL), ',') AS issues FROM r""")
 def usage_issues(spark, sf_dir):
     u = F.col("user_id")
     rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.sum(F.floor("value")).cast("long").alias("i"), F.count("*").alias("turns"), F.count_if(F.col("event_type") == "error").alias("silent"))
-    vendor = F.when(u % 3 == 0, "codex").when(u % 3 == 1, "google").otherwise("claude")
+    vendor = F.when(u % 3 == 0, "codex").when(u % 3 == 1, "google").otherwise("other")
     i, o = F.when(u % 7 == 0, 0).otherwise(F.col("i")), F.when(u % 5 == 0, 0).otherwise(F.col("turns"))
     return rows.select("user_id", F.array_join(envelopes.usage_issues(vendor, i, o, F.col("turns"), F.col("silent"), F.lit(2000), F.lit(200), F.lit(50)), ",").alias("issues"))
 

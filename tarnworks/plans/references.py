@@ -416,10 +416,10 @@ def items_by_file(spark, sf_dir):
     return hs.by_file(rows, owners, "default.md").groupBy("file").agg(F.count("*").alias("items"))
 
 
-@query(f"WITH c AS (SELECT conv_id AS run, {picked_sql('turn', 'write_file', 'rex_update', 'read', 'write_file')} AS tool, {picked_sql('(turn + conv_id)', 'src/a.ts', 'tests/b.py', 'docs/c.MD', 'x.yaml', '', 'lib/d.spec.tsx')} AS path FROM conversations), w AS (SELECT DISTINCT run, CASE WHEN tool = 'write_file' THEN nullif(path, '') WHEN tool = 'rex_update' THEN 'prd.json' END AS path FROM c)" + """
+@query(f"WITH c AS (SELECT conv_id AS run, {picked_sql('turn', 'write_file', 'update_item', 'read', 'write_file')} AS tool, {picked_sql('(turn + conv_id)', 'src/a.ts', 'tests/b.py', 'docs/c.MD', 'x.yaml', '', 'lib/d.spec.tsx')} AS path FROM conversations), w AS (SELECT DISTINCT run, CASE WHEN tool = 'write_file' THEN nullif(path, '') WHEN tool = 'update_item' THEN 'prd.json' END AS path FROM c)" + """
 SELECT run, CASE path WHEN 'prd.json' THEN 'metadata' WHEN 'tests/b.py' THEN 'test' WHEN 'lib/d.spec.tsx' THEN 'test' WHEN 'docs/c.MD' THEN 'docs' WHEN 'x.yaml' THEN 'config' ELSE 'code' END AS category, path FROM w WHERE path IS NOT NULL""")
 def written_files(spark, sf_dir):
-    calls = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("run"), picked(F.col("turn"), "write_file", "rex_update", "read", "write_file").alias("tool"), picked(F.col("turn") + F.col("conv_id"), "src/a.ts", "tests/b.py", "docs/c.MD", "x.yaml", "", "lib/d.spec.tsx").alias("path"))
+    calls = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("run"), picked(F.col("turn"), "write_file", "update_item", "read", "write_file").alias("tool"), picked(F.col("turn") + F.col("conv_id"), "src/a.ts", "tests/b.py", "docs/c.MD", "x.yaml", "", "lib/d.spec.tsx").alias("path"))
     return hs.written_files(calls)
 
 
