@@ -85,7 +85,7 @@ def known_by_text(findings: DataFrame, known: DataFrame, least: float = 0.65) ->
     type and scope. Texts meet through bigrams rare enough that any pair above the threshold shares one."""
     by_hash = findings.join(known.select("hash").distinct(), "hash", "left_semi").select("id")
     texts = lambda t, *keep: t.select(*keep, "type", "scope", normalize(F.col("text")).alias("t")).withColumn("g", grams(F.col("t"), 2))
-    a, b = texts(findings, "id"), texts(known).distinct().withColumn("known", F.monotonically_increasing_id())
+    a, b = texts(findings, "id"), texts(known).distinct().withColumn("known", F.sha2(F.concat_ws("\n", "type", "scope", "t"), 256))
     every = b.select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
 
     def rare(rows, key):
