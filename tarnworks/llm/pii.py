@@ -26,6 +26,7 @@ RANK = {kind: k for k, kind in enumerate(KINDS)}
 
 ALNUM = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
 DIGITS = frozenset("0123456789")
+LETTER_VALUES = {c: int(c, 36) for c in ALNUM}
 LOCAL = ALNUM | frozenset("._%+-")
 LABEL = ALNUM | frozenset("-")
 PHONE = DIGITS | frozenset(" ().-")
@@ -137,13 +138,23 @@ def iban(text: str, at: int) -> tuple[int, int] | None:
     start = at
     while start < min(len(text), at + 12) and text[start] not in ALNUM:
         start += 1
-    end, code = start, ""
-    while end < len(text) and len(code) < 34 and (text[end] in ALNUM or text[end] == " " and end + 1 < len(text) and text[end + 1] in ALNUM):
-        code += text[end].strip().upper()
+    end, head, rest, count = start, 0, 0, 0  # country and check digits as a number; the others' remainder by 97
+    while end < len(text) and count < 34:
+        c = text[end]
+        if c in ALNUM:
+            count += 1
+            value = LETTER_VALUES[c]
+            if count > 4:
+                rest = (rest * (100 if value > 9 else 10) + value) % 97
+            elif (count <= 2) == (value > 9):
+                head = head * (100 if value > 9 else 10) + value
+            else:
+                return None
+        elif c != " " or end + 1 == len(text) or text[end + 1] not in ALNUM:
+            return None
         end += 1
-        if len(code) >= 15 and (end == len(text) or text[end] not in ALNUM) and code[:2].isalpha() and code[2:4].isdigit():
-            if int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1:
-                return start, end
+        if count >= 15 and (end == len(text) or text[end] not in ALNUM) and (rest * 1_000_000 + head) % 97 == 1:
+            return start, end
     return None
 
 
