@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnworks.functions.scalars import half_up
+from tarnworks.session import cut, cut_afresh
 
 #: Kinds of import that the health score counts.
 IMPORT_TYPES = ("static", "dynamic", "require", "type", "reexport")
@@ -176,15 +177,35 @@ def derived_zone_names(members: DataFrame) -> DataFrame:
     return best.withColumn("rn", rn).select("community", F.when(F.col("rn") == 1, F.col("zone")).otherwise(F.concat_ws("-", "zone", "rn")).alias("zone"))
 
 
-def assigned_by_proximity(loose: DataFrame, zoned: DataFrame) -> DataFrame:
-    """path, zone for files without one: the commonest zone in the nearest directory above that has any."""
-    def above(rows):
-        parts = F.split("path", "/")
-        return rows.withColumn("dir", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(parts) - 1)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))))
+def assigned_by_proximity(loose: DataFrame, zoned: DataFrame, most: int | None = None) -> DataFrame:
+    """path, zone for files without one: the commonest zone of the nearest directory above that itself holds zoned files.
 
-    counted = above(zoned).groupBy("dir", "zone").agg(F.count("*").alias("n"))
-    best = counted.groupBy("dir").agg(F.min_by("zone", F.struct((-F.col("n")).alias("n"), "zone")).alias("zone"))
-    return above(loose).join(best, "dir").groupBy("path").agg(F.max_by("zone", F.length("dir")).alias("zone"))
+    Ties go to the lesser zone; files below no such directory get none. With ``most``, a zone takes files, by path, until
+    it has so many; the others ask the next zone of their directory, then those of directories further up. Each round
+    every file asks one zone, so the result is that of dealing the files one by one.
+    """
+    segments = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(segments)), lambda k: F.array_join(F.slice(segments, F.lit(1), k), "/"))
+    asked = loose.select("path").distinct().select("path", F.explode(F.slice(above, F.lit(1), F.size(segments) - 1)).alias("dir"))
+    here = F.array_join(F.slice(segments, F.lit(1), F.size(segments) - 1), "/")
+    order = F.struct((-F.length("dir")).alias("d"), (-F.col("n")).alias("n"), "zone")
+    options = asked.join(zoned.groupBy(here.alias("dir"), "zone").agg(F.count("*").alias("n")), "dir")
+    if most is None:
+        return options.groupBy("path").agg(F.min_by("zone", order).alias("zone"))
+    room = cut(zoned.groupBy("zone").agg((F.lit(most) - F.count("*")).alias("room")))
+    choices = options.groupBy("path").agg(F.array_sort(F.collect_list(order)).alias("x"))
+    held = cut(choices.select("path", F.array_distinct("x.zone").alias("zones"), F.lit(1).alias("at")))
+    by_path = Window.partitionBy("zone").orderBy("path")
+    while True:
+        wanted = held.where(F.col("at") <= F.size("zones")).withColumn("zone", F.element_at("zones", F.col("at")))
+        ranked = wanted.select("zone", "path", F.row_number().over(by_path).alias("k")).where(F.col("k") <= most)
+        last = ranked.join(room, "zone").where("k = room").select("zone", F.col("path").alias("last"))
+        limits = room.join(last, "zone", "left")
+        full = (F.col("room") <= 0) | F.coalesce(F.col("path") > F.col("last"), F.lit(False))
+        asking = cut_afresh(wanted.join(limits, "zone").select("path", "zones", "at", "zone", full.alias("refused")))
+        if asking.where("refused").isEmpty():
+            return asking.select("path", "zone")
+        held = asking.select("path", "zones", (F.col("at") + F.col("refused").cast("int")).alias("at"))
 
 
 def pinned(zones: DataFrame, pins: DataFrame) -> DataFrame:

@@ -269,7 +269,7 @@ def zones_of(edges: DataFrame, files: DataFrame, before: DataFrame | None = None
     """path, zone of every file (path): communities of imports (from, to, weight), merged, capped, split, named, pinned.
 
     ``before``: node, zone of the last run, which new zones lean to; ``pins``: path, zone that overrule all. Files
-    without an edge go with the commonest zone of the nearest directory, or into one of their directory's name.
+    without an edge go with the commonest zone of the nearest directory that has room, or into one of their directory's name.
     """
     real = cut(undirected(edges))
     near = proximity_edges(files.select("path", directory_of(F.col("path")).alias("directory")), edges)
@@ -291,7 +291,7 @@ def zones_of(edges: DataFrame, files: DataFrame, before: DataFrame | None = None
     named = derived_zone_names(members.select("community", F.coalesce(F.nullif(directory_of(F.col("node")), F.lit("")), F.lit("root")).alias("directory")))
     zoned = cut(members.join(named, "community").select(F.col("node").alias("path"), "zone"))
     loose = cut(files.join(zoned, "path", "left_anti").select("path"))
-    out = zoned.unionByName(assigned_by_proximity(loose, zoned))
+    out = zoned.unionByName(assigned_by_proximity(loose, zoned, most_files if percent < 100 else None))
     rest = files.join(out, "path", "left_anti").select("path", F.coalesce(F.nullif(directory_of(F.col("path")), F.lit("")), F.lit("root")).alias("zone"))
     out = out.unionByName(rest)
     return pinned(out, pins) if pins is not None else out

@@ -250,16 +250,21 @@ def pinned_files(spark, sf_dir):
     return rows.join(part.select(F.col("p_partkey").alias("path"), "p_brand"), "path").groupBy(F.concat(F.lit("a/"), "p_brand").alias("path")).agg(F.min("zone").alias("zone"))
 
 
-PLACED = "z AS (SELECT 'r/' || p_type || '/' || p_brand || '/' || p_partkey AS path, p_partkey FROM part)"
+#: Every fifth part lies in its type's directory, the others a level deeper, every 35th at the root; two of three have zones.
+FILED = """p AS (SELECT CASE WHEN p_partkey % 35 = 0 THEN p_partkey::VARCHAR ELSE 'r/' || p_type || CASE WHEN p_partkey % 5 = 0 THEN '/' ELSE '/' || p_brand || '/' END || p_partkey END AS path, p_partkey AS k FROM part),
+ h AS (SELECT parse_dirpath(path) AS dir, 'Z' || (k % 4) AS zone, count(*) AS n FROM p WHERE k % 3 <> 0 GROUP BY 1, 2), b AS (SELECT dir, arg_min(zone, (-n, zone)) AS zone FROM h GROUP BY 1)"""
 
 
-@query(f"""WITH {PLACED}, h AS (SELECT path, 'Z' || (p_partkey % 4) AS zone FROM z WHERE p_partkey % 3 <> 0), l AS (SELECT path FROM z WHERE p_partkey % 3 = 0),
- d AS (SELECT zone, regexp_extract(path, '^(r/[^/]+/[^/]+)', 1) AS d2, regexp_extract(path, '^(r/[^/]+)', 1) AS d1 FROM h), n2 AS (SELECT d2, arg_min(zone, (-n, zone)) AS zone FROM (SELECT d2, zone, count(*) AS n FROM d GROUP BY 1, 2) GROUP BY 1), n1 AS (SELECT d1, arg_min(zone, (-n, zone)) AS zone FROM (SELECT d1, zone, count(*) AS n FROM d GROUP BY 1, 2) GROUP BY 1)
-SELECT path, coalesce(n2.zone, n1.zone) AS zone FROM l LEFT JOIN n2 ON n2.d2 = regexp_extract(path, '^(r/[^/]+/[^/]+)', 1) LEFT JOIN n1 ON n1.d1 = regexp_extract(path, '^(r/[^/]+)', 1)""")
-def zones_by_proximity(spark, sf_dir):
+def filed(spark, sf_dir):
     k = F.col("p_partkey")
-    rows = table(spark, sf_dir, "part").select(F.concat_ws("/", F.lit("r"), "p_type", "p_brand", k).alias("path"), k)
-    return inv.assigned_by_proximity(rows.where("p_partkey % 3 = 0").select("path"), rows.where("p_partkey % 3 != 0").select("path", F.concat(F.lit("Z"), k % 4).alias("zone")))
+    folder = F.concat_ws("/", F.lit("r"), "p_type", F.when(k % 5 != 0, F.col("p_brand")), k)
+    rows = table(spark, sf_dir, "part").select(F.when(k % 35 == 0, k.cast("string")).otherwise(folder).alias("path"), k)
+    return rows.where("p_partkey % 3 = 0").select("path"), rows.where("p_partkey % 3 != 0").select("path", F.concat(F.lit("Z"), k % 4).alias("zone"))
+
+
+@query(f"""WITH {FILED} SELECT path, coalesce(near.zone, up.zone) AS zone FROM p LEFT JOIN b near ON near.dir = parse_dirpath(path) AND near.dir <> '' LEFT JOIN b up ON up.dir = parse_dirpath(parse_dirpath(path)) AND up.dir <> '' WHERE k % 3 = 0 AND coalesce(near.zone, up.zone) IS NOT NULL""")
+def zones_by_proximity(spark, sf_dir):
+    return inv.assigned_by_proximity(*filed(spark, sf_dir))
 
 
 @query("""WITH r AS (SELECT p_partkey AS id, p_name AS cluster, CASE WHEN p_partkey % 3 = 0 THEN p_type END AS description, CASE WHEN p_partkey % 4 <> 0 THEN 'high' END AS priority, [p_brand] AS tags FROM part)

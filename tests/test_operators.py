@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnworks.functions import scalars, text
-from tarnworks.operators import graph, search, similarity, tree, zoning
+from tarnworks.operators import graph, inventory, search, similarity, tree, zoning
 from tarnworks.operators import items as work_items
 from tarnworks.sources import readers
 
@@ -338,6 +338,30 @@ def test_zones_of_a_repository(spark):
     assert again["web/a1.ts"] == "mine" and again["core/a1.ts"] == again["core/a2.ts"]
 
 
+@pytest.mark.parametrize("most", [None, 1, 4, 9])
+def test_proximity_equals_dealing_one_by_one(spark, most):
+    rng = random.Random(11)
+    folder = lambda: "/".join(rng.choice("abc") for _ in range(rng.randint(0, 3)))
+    named = lambda n, k: sorted({f"{f}/{n}{i}" if (f := folder()) else f"{n}{i}" for i in range(k)})
+    zoned, loose = [(f, rng.choice("XYZW")) for f in named("z", 24)], named("l", 40)
+    sizes, counts, expected = {}, {}, {}
+    for path, zone in zoned:
+        sizes[zone] = sizes.get(zone, 0) + 1
+        held = counts.setdefault(path.rpartition("/")[0], {})
+        held[zone] = held.get(zone, 0) + 1
+    for path in loose:
+        at = path.rpartition("/")[0]
+        while at and path not in expected:
+            free = [(-n, z) for z, n in counts.get(at, {}).items() if most is None or sizes[z] < most]
+            if free:
+                expected[path] = min(free)[1]
+                sizes[expected[path]] += 1
+            at = at.rpartition("/")[0]
+    left, right = spark.createDataFrame([(f,) for f in loose], "path string"), spark.createDataFrame(zoned, "path string, zone string")
+    assert {r.path: r.zone for r in inventory.assigned_by_proximity(left, right, most).collect()} == expected
+    assert inventory.assigned_by_proximity(left.limit(0), right, most).count() == 0
+
+
 def test_long_chains_and_deep_trees(spark):
     pairs = spark.createDataFrame([(f"n{k:03d}", f"n{k + 1:03d}") for k in range(46)], "a string, b string")
     assert {r.cluster for r in similarity.clusters(pairs).collect()} == {"n000"}
