@@ -180,8 +180,28 @@ def merged_fields(rows: DataFrame) -> DataFrame:
     return rows.groupBy("cluster").agg(union("tags"), union("acceptance"))
 
 
+def of_live(rows: DataFrame, pairs: DataFrame, items: DataFrame) -> DataFrame:
+    """Rows (id) of items that aren't deleted and lie below none that is."""
+    gone = pairs.join(items.where("status = 'deleted'").select(F.col("id").alias("ancestor")), "ancestor").select("id").distinct()
+    return rows.join(gone, "id", "left_anti")
+
+
 def requirement_coverage(pairs: DataFrame, items: DataFrame, requirements: DataFrame) -> DataFrame:
-    """level, own, inherited, none: work items with requirements of their own, only above them, and without any."""
+    """level, own, inherited, none, percent: work items with requirements of their own, only above them, and without any."""
     held = pairs.join(requirements.select(F.col("id").alias("ancestor")).distinct(), "ancestor").groupBy("id").agg(F.min("distance").alias("nearest"))
-    work = items.where("status != 'deleted'").join(held, "id", "left")
-    return work.groupBy("level").agg(F.count_if(F.col("nearest") == 0).alias("own"), F.count_if(F.col("nearest") > 0).alias("inherited"), F.count_if(F.col("nearest").isNull()).alias("none"))
+    near = F.col("nearest")
+    out = of_live(items, pairs, items).join(held, "id", "left").groupBy("level").agg(F.count_if(near == 0).alias("own"), F.count_if(near > 0).alias("inherited"), F.count_if(near.isNull()).alias("none"))
+    covered = F.col("own") + F.col("inherited")
+    return out.withColumn("percent", half_up(covered / (covered + F.col("none")) * 100))
+
+
+def requirement_breakdown(pairs: DataFrame, items: DataFrame, requirements: DataFrame) -> DataFrame:
+    """by, value, n: distinct requirements of live items by category, kind of validation and priority.
+
+    ``requirements``: id, place, requirement, category, validation_type, priority. What a repeated requirement is, its
+    first place decides; one without a priority is unset.
+    """
+    kinds = ("category", "validation_type", "priority")
+    first = of_live(requirements, pairs, items).groupBy("requirement").agg(F.min_by(F.struct("category", "validation_type", F.coalesce("priority", F.lit("unset")).alias("priority")), "place").alias("x"))
+    rows = first.select(F.explode(F.array(*(F.struct(F.lit(k).alias("by"), F.col(f"x.{k}").alias("value")) for k in kinds))).alias("x"))
+    return rows.groupBy("x.by", "x.value").agg(F.count("*").alias("n"))

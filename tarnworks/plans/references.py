@@ -16,6 +16,8 @@ from tarnworks.plans.tables import CLOSURE, ITEMS, TREE_LEVELS, items, table
 from tarnworks.plans.trees import closed
 
 QUERIES, SQL = {}, {}
+#: Items that are deleted or lie below one that is.
+GONE = "SELECT c.id FROM closure c JOIN items a ON a.id = c.ancestor WHERE a.status = 'deleted'"
 
 
 def query(sql: str | None = None):
@@ -282,13 +284,22 @@ def merged_fields(spark, sf_dir):
 
 
 @query(f"""WITH {CLOSURE}, r AS (SELECT id FROM items WHERE level = 'feature' AND right(id, 1) IN ('1', '2') OR level = 'subtask' AND right(id, 1) = '3'), h AS (SELECT c.id, min(distance) AS nearest FROM closure c JOIN r ON r.id = c.ancestor GROUP BY 1)
-SELECT level, count(*) FILTER (nearest = 0) AS own, count(*) FILTER (nearest > 0) AS inherited, count(*) FILTER (nearest IS NULL) AS "none" FROM items LEFT JOIN h USING (id) WHERE status <> 'deleted' GROUP BY 1""")
+SELECT level, count(*) FILTER (nearest = 0) AS own, count(*) FILTER (nearest > 0) AS inherited, count(*) FILTER (nearest IS NULL) AS "none", floor(count(nearest) / count(*) * 100 + 0.5) AS percent FROM items LEFT JOIN h USING (id) WHERE id NOT IN ({GONE}) GROUP BY 1""")
 def requirement_coverage(spark, sf_dir):
     pairs, rows = closed(spark, sf_dir)
     held = rows.where("level = 'feature' and right(id, 1) in ('1', '2') or level = 'subtask' and right(id, 1) = '3'").select("id")
     return it.requirement_coverage(pairs, rows, held)
 
 
+@query(f"""WITH {CLOSURE}, r AS (SELECT 'C:' || c_custkey AS id, c_custkey AS place, 'Q' || (c_custkey % 50) AS requirement, c_mktsegment AS category, CASE WHEN c_custkey % 3 = 0 THEN 'manual' ELSE 'automated' END AS validation_type, CASE WHEN c_custkey % 4 <> 0 THEN 'p' || (c_custkey % 4) END AS priority FROM customer),
+ f AS (SELECT arg_min(category, place) AS category, arg_min(validation_type, place) AS validation_type, arg_min(coalesce(priority, 'unset'), place) AS priority FROM r WHERE id NOT IN ({GONE}) GROUP BY requirement)
+SELECT "by", value, count(*) AS n FROM (SELECT 'category' AS "by", category AS value FROM f UNION ALL SELECT 'validation_type', validation_type FROM f UNION ALL SELECT 'priority', priority FROM f) GROUP BY 1, 2""")
+def requirement_breakdown(spark, sf_dir):
+    k = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(F.concat(F.lit("C:"), k).alias("id"), k.alias("place"), F.concat(F.lit("Q"), k % 50).alias("requirement"), F.col("c_mktsegment").alias("category"), F.when(k % 3 == 0, "manual").otherwise("automated").alias("validation_type"), F.when(k % 4 != 0, F.concat(F.lit("p"), k % 4)).alias("priority"))
+    return it.requirement_breakdown(*closed(spark, sf_dir), rows)
+
+
 @query(f"""WITH {ITEMS}, s AS (SELECT id, priority, len(list_filter(['0001', 'custom', 'order 1'], lambda w: contains(lower(title || ' ' || level), w))) AS score FROM items) SELECT id, score FROM s WHERE score > 0""")
 def tasks_by_keywords(spark, sf_dir):
     rows = items(spark, sf_dir).withColumn("description", F.col("level"))
