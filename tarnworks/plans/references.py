@@ -284,7 +284,7 @@ def merged_fields(spark, sf_dir):
 
 
 @query(f"""WITH {CLOSURE}, r AS (SELECT id FROM items WHERE level = 'feature' AND right(id, 1) IN ('1', '2') OR level = 'subtask' AND right(id, 1) = '3'), h AS (SELECT c.id, min(distance) AS nearest FROM closure c JOIN r ON r.id = c.ancestor GROUP BY 1)
-SELECT level, count(*) FILTER (nearest = 0) AS own, count(*) FILTER (nearest > 0) AS inherited, count(*) FILTER (nearest IS NULL) AS "none", floor(count(nearest) / count(*) * 100 + 0.5) AS percent FROM items LEFT JOIN h USING (id) WHERE id NOT IN ({GONE}) GROUP BY 1""")
+SELECT level, count(*) FILTER (nearest = 0) AS own, count(*) FILTER (nearest > 0) AS inherited, count(*) FILTER (nearest IS NULL) AS "none", floor(count(nearest) / count(*) * 100 + 0.5)::BIGINT AS percent FROM items LEFT JOIN h USING (id) WHERE id NOT IN ({GONE}) GROUP BY 1""")
 def requirement_coverage(spark, sf_dir):
     pairs, rows = closed(spark, sf_dir)
     held = rows.where("level = 'feature' and right(id, 1) in ('1', '2') or level = 'subtask' and right(id, 1) = '3'").select("id")
