@@ -39,14 +39,21 @@ def message_batches(messages: DataFrame, gap: str = "1 second", late: str = "10
     return messages.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "type").agg(F.count("*").alias("messages"))
 
 
+def in_order(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """A key's rows of a micro-batch by time: they come in several Arrow batches, each in any order.
+
+    Order holds within a micro-batch; ``tarnworks.streaming.ordered`` also orders rows that come later, by watermark.
+    """
+    return pd.concat(list(batches)).sort_values("ts", kind="stable")
+
+
 def ring_buffer(samples: DataFrame, key: str, value: str, size: int = 360) -> DataFrame:
     """After each micro-batch, peak, mean and count over the last ``size`` samples of each key."""
     kind = samples.schema[key].dataType.simpleString()
 
     def update(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = list(state.get[0]) if state.exists else []
-        for batch in batches:
-            held = (held + [float(v) for v in batch.sort_values("ts")[value]])[-size:]
+        held = (held + [float(v) for v in in_order(batches)[value]])[-size:]
         state.update((held,))
         yield pd.DataFrame({key: [name[0]], "peak": [max(held)], "mean": [sum(held) / len(held)], "held": [len(held)]})
 
@@ -58,16 +65,14 @@ def rate_limited(calls: DataFrame, key: str, least_ms: int = 500) -> DataFrame:
     kind = calls.schema[key].dataType.simpleString()
 
     def update(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        for batch in batches:
-            passed = []
-            for ts in batch["ts"].sort_values():
-                ms = int(ts.value // 1_000_000)
-                if last is None or ms - last >= least_ms:
-                    last = ms
-                    passed.append(ts)
-            if passed:
-                yield pd.DataFrame({key: name[0], "ts": passed})
+        last, passed = state.get[0] if state.exists else None, []
+        for ts in in_order(batches)["ts"]:
+            ms = int(ts.value // 1_000_000)
+            if last is None or ms - last >= least_ms:
+                last = ms
+                passed.append(ts)
+        if passed:
+            yield pd.DataFrame({key: name[0], "ts": passed})
         if last is not None:
             state.update((last,))
 
@@ -81,13 +86,12 @@ def capped_batches(messages: DataFrame, key: str, most: int = 50, gap_ms: int =
     def update(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         count, last = state.get if state.exists else (0, 0)
         out = []
-        for batch in batches:
-            for ts in batch["ts"].sort_values():
-                ms = int(ts.value // 1_000_000)
-                if count and (count >= most or ms - last > gap_ms):
-                    out.append(count)
-                    count = 0
-                count, last = count + 1, ms
+        for ts in in_order(batches)["ts"]:
+            ms = int(ts.value // 1_000_000)
+            if count and (count >= most or ms - last > gap_ms):
+                out.append(count)
+                count = 0
+            count, last = count + 1, ms
         state.update((count, last))
         if out:
             yield pd.DataFrame({key: name[0], "messages": out})
@@ -132,8 +136,8 @@ def drained(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     return stream.sparkSession.read.parquet(f"{folder}/rows").drop("batch")
 
 
-def connection_events(events: DataFrame, least: int = 500) -> DataFrame:
-    """Per connection kind: opened, closed by reason, and the mean duration of its last closings (ST-19's counters).
+def connection_events(events: DataFrame) -> DataFrame:
+    """Per connection kind: opened, closed, failed, and the mean duration of all closings; ``ordered.health`` keeps the last 500.
 
     ``events``: kind, type (open or close), reason, ts, ms. A batch or a stream in complete mode.
     """
