@@ -11,8 +11,9 @@ windows with one least hash are pieces of a text.
    once, the rest of them goes; so a passage that all documents share leaves each chunk once.
 3. Pieces meet by hash in groups of about ``GROUP`` bytes, where equal ones are again taken once. The suffixes of
    what is left are sorted in two stages, and common prefixes of neighbours tell the windows that occur before.
-4. A hash whose pieces would fill more than a group is dealt over several; what each leaves is at most one copy of a
-   window, and these meet by the window's own hash in a second round. No group is cut short.
+4. A hash whose pieces would fill more than a group is dealt over several. What each leaves is at most one copy of a
+   window; in a second round the windows are dealt by their own hash over as many groups, a piece going to those that
+   have windows of it. No group is cut short.
 5. Windows found go back to the chunks, where the bytes they cover are removed.
 
 Results: a null text is an empty one, and both lose nothing. Nulls among identifiers come before all others; of two
@@ -152,9 +153,10 @@ def chunk_texts(table: pa.Table) -> tuple[list[bytes], list[bytes]]:
     return digests, [held[d] for d in digests]
 
 
-#: A piece (its text, the hash that deals it out and over how many groups), or windows [start, stop) of a text that go.
-FOUND = pa.schema([("h", pa.int64()), ("salts", pa.int32()), ("doc_id", pa.int64()), ("chunk", pa.int32()), ("no", pa.int32()), ("start", pa.int64()), ("stop", pa.int64()), ("text", pa.binary())])
-FOUND_SQL = "h long, salts int, doc_id long, chunk int, no int, start long, stop long, text binary"
+#: A piece (its text, the hash that deals it out, over how many groups, and which of its windows count if not all), or
+#: windows [start, stop) of a text that go.
+FOUND = pa.schema([("h", pa.int64()), ("salts", pa.int32()), ("doc_id", pa.int64()), ("chunk", pa.int32()), ("no", pa.int32()), ("start", pa.int64()), ("stop", pa.int64()), ("text", pa.binary()), ("own", pa.binary())])
+FOUND_SQL = "h long, salts int, doc_id long, chunk int, no int, start long, stop long, text binary, own binary"
 
 
 def table_of(rows: list[tuple], schema: pa.Schema) -> pa.Table:
@@ -191,37 +193,66 @@ def pieces_of_chunk(texts: pa.Table, known: pa.Table) -> pa.Table:
         data = held[t][a : a + n + WIDTH - 1]
         copy = (value, data) in first if local else False
         if copy:
-            rows.append((value, 0, None, chunk, t, a, a + n, None))
+            rows.append((value, 0, None, chunk, t, a, a + n, None, None))
         else:
             if local:
                 first[value, data] = True
-            rows.append((value, salts.get(value, 1), ids.get(digests[t]), chunk, t, a, a + n, data))
+            rows.append((value, salts.get(value, 1), ids.get(digests[t]), chunk, t, a, a + n, data, None))
     return table_of(rows, FOUND)
 
 
+def window_hashes(raw: np.ndarray) -> np.ndarray:
+    """Hash of the ``WIDTH`` bytes from each place where as many are left."""
+    grams = gram_hashes(raw)
+    n = len(raw) - WIDTH + 1
+    h = np.zeros(n, dtype=np.uint64)
+    for at in [*range(0, WIDTH - GRAM, GRAM), WIDTH - GRAM]:
+        h = (h ^ h >> np.uint64(31)) * P1 + grams[at : at + n]
+    return h ^ h >> np.uint64(32)
+
+
+def runs(marks: np.ndarray) -> list[tuple[int, int]]:
+    edges = np.flatnonzero(np.diff(marks, prepend=False, append=False)).tolist()
+    return list(zip(edges[::2], edges[1::2]))
+
+
 def windows_before(table: pa.Table) -> pa.Table:
-    """Windows that go among a group's pieces; and where its hash is dealt over several groups, each window that stays."""
+    """Windows that go among a group's pieces; and what stays of a hash that is dealt over several groups, dealt anew."""
     gone = table.filter(pc.is_null(table.column("text"))).select(FOUND.names)
     table = table.filter(pc.is_valid(table.column("text")))
     rows = sorted(zip(*(table.column(c).to_pylist() for c in FOUND.names)), key=lambda r: (before(r[2]), *r[3:6]))
-    first, data, out = {}, [], []
+    first, out = {}, []
+
+    def windows(r):
+        n = r[6] - r[5]
+        return np.ones(n, dtype=bool) if r[8] is None else np.unpackbits(np.frombuffer(r[8], dtype=np.uint8), count=n).astype(bool)
+
+    def goes(r, marks):
+        out.extend((r[0], 0, None, r[3], r[4], r[5] + a, r[5] + b, None, None) for a, b in runs(marks))
+
     for r in rows:
-        if r[7] in first:
-            out.append((r[0], 0, None, *r[3:7], None))
-        else:
-            first[r[7]] = r
-            data.append(r[7])
-    if data:
-        ends = np.cumsum([len(d) for d in data])
-        found = repeated_windows(b"".join(data), ends, WIDTH)
-        for r, begin, end in zip(first.values(), (ends - np.array([len(d) for d in data])).tolist(), ends.tolist()):
-            own = found[begin : end - WIDTH + 1]
-            edges = np.flatnonzero(np.diff(own, prepend=False, append=False))
-            for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
-                out.append((r[0], 0, None, r[3], r[4], r[5] + a, r[5] + b, None))
+        if first.setdefault((r[7], r[8]), r) is not r:
+            goes(r, windows(r))
+    if first:
+        data = b"".join(text for text, _ in first)
+        sizes = np.array([len(text) for text, _ in first])
+        ends = np.cumsum(sizes)
+        looked_at = np.zeros(len(data), dtype=bool)
+        for r, begin in zip(first.values(), (ends - sizes).tolist()):
+            looked_at[begin : begin + r[6] - r[5]] = windows(r)
+        found = repeated_windows(data, ends, WIDTH, looked_at)
+        hashes = window_hashes(np.frombuffer(data, dtype=np.uint8)) if any(r[1] > 1 for r in first.values()) else None
+        for r, begin in zip(first.values(), (ends - sizes).tolist()):
+            place = slice(begin, begin + r[6] - r[5])
+            goes(r, found[place])
             if r[1] > 1:
-                for a in np.flatnonzero(~own).tolist():
-                    out.append((r[0], 1, r[2], r[3], r[4], r[5] + a, r[5] + a + 1, r[7][a : a + WIDTH]))
+                group = (hashes[place] % np.uint64(r[1])).astype(np.int64)
+                group[found[place]] = -1
+                for k in np.unique(group[group >= 0]).tolist():
+                    own = group == k
+                    a, b = int(own.argmax()), len(own) - int(own[::-1].argmax())  # what the group needs of the piece
+                    mark = r[0] ^ (k + 1) * int(P1) & (1 << 63) - 1
+                    out.append((mark, 1, r[2], r[3], r[4], r[5] + a, r[5] + b, r[7][a : b + WIDTH - 1], np.packbits(own[a:b]).tobytes()))
     return pa.concat_tables([gone.cast(FOUND), table_of(out, FOUND)])
 
 
@@ -280,8 +311,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     place = F.when(F.col("salts") > 1, salt).otherwise(F.pmod("h", F.lit(groups)))
     found = found.withColumn("place", place).groupBy("place").applyInArrow(windows_before, FOUND_SQL)
     if (most or 0) > 1:
-        by_window = F.coalesce(F.xxhash64("text"), F.xxhash64("h"))
-        found = found.withColumn("place", F.pmod(by_window, F.lit(16 * groups))).groupBy("place").applyInArrow(windows_before, FOUND_SQL)
+        found = found.withColumn("place", F.pmod(F.xxhash64("h"), F.lit(16 * groups))).groupBy("place").applyInArrow(windows_before, FOUND_SQL)
     gone = found.where("text is null").select("chunk", "no", "start", "stop")
     kept = sent.groupBy("chunk").cogroup(gone.groupBy("chunk")).applyInArrow(removed_from_chunk, "sha binary, n_removed long, n_spans long, kept_sha256 string")
 

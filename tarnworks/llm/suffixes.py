@@ -119,15 +119,18 @@ def suffix_array(raw: np.ndarray, depth: int, wanted: np.ndarray | None = None)
     return out
 
 
-def repeated_windows(data: bytes, ends: np.ndarray, width: int) -> np.ndarray:
+def repeated_windows(data: bytes, ends: np.ndarray, width: int, looked_at: np.ndarray | None = None) -> np.ndarray:
     """For each place of ``data``: whether the ``width`` bytes from it also start at an earlier place.
 
     ``data`` is a row of pieces that end at ``ends`` (ascending); a window lies within one piece. ``width`` is 8 or more.
+    With ``looked_at`` given, only windows at the places that it marks count.
     """
     raw = np.frombuffer(data, dtype=np.uint8)
     n = len(raw)
     found = np.zeros(n, dtype=bool)
     whole = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(n) >= width
+    if looked_at is not None:
+        whole &= looked_at
     order = suffix_array(raw, width, whole)
     order = order[whole[order]]
     if len(order) < 2:
