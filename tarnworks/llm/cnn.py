@@ -13,11 +13,10 @@ kinds the score is the share of good ones (0.5 without any).
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnworks.llm.common import per_batch
+from tarnworks.llm.common import filtered, over_batches
 
 WIDTH, FILTERS, HIDDEN, HALF = 5, 24, 16, 256
 MOST_TEXTS, MOST_BYTES, EPOCHS, BATCH, SEED = 3000, 1 << 16, 7, 32, 7
@@ -153,13 +152,10 @@ def score(docs: DataFrame, net: dict | float, columns: tuple[str, ...] = ("doc_i
     types = ", ".join(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in columns)
 
     def run(batches):
-        def scored(batch):
-            scores = [net if isinstance(net, float) else probability(t, net) for t in batch["text"]]
-            return batch[list(columns)].assign(**{SCORE: scores})
-
-        yield from per_batch(scored)(batches)
+        for batch in batches:
+            yield batch | {SCORE: [net if isinstance(net, float) else probability(t, net) for t in batch["text"]]}
 
-    return kept.mapInPandas(run, f"{types}, {SCORE} double")
+    return over_batches(kept, run, f"{types}, {SCORE} double")
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -173,8 +169,4 @@ def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of ``docs`` with a score of at least ``THRESHOLD``, with all their columns."""
     net = fit(*labelled(docs, labels))
 
-    def run(batches):
-        for batch in batches:
-            yield batch[[(net if isinstance(net, float) else probability(t, net)) >= THRESHOLD for t in batch["text"]]]
-
-    return docs.mapInPandas(run, docs.schema)
+    return filtered(docs, lambda texts: [(net if isinstance(net, float) else probability(t, net)) >= THRESHOLD for t in texts], "text")

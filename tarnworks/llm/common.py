@@ -7,8 +7,11 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: A word is a run of anything but space, tab, LF, VT, FF and CR. ``bytes.split()`` splits at exactly these.
 WHITE = r"[\x20\x09-\x0D]+"
@@ -84,12 +87,27 @@ def bound(value: Column, function: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), function)[0]
 
 
-def per_batch(function: Callable) -> Callable[[Iterator], Iterator]:
-    """A mapInPandas function from one that turns a pandas frame into another."""
+def over_batches(rows: DataFrame, function: Callable[[Iterator[dict[str, list]]], Iterator[dict[str, list]]], schema: str) -> DataFrame:
+    """What ``function`` makes of the Arrow batches of ``rows``, each as lists by column.
+
+    Values stay what they are, beside nulls too: pandas would turn integers with a null among them into floats.
+    """
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        lists = (dict(zip(batch.schema.names, (c.to_pylist() for c in batch.columns))) for batch in batches if batch.num_rows)
+        for out in function(lists):
+            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+
+    return rows.mapInArrow(run, schema)
+
+
+def filtered(rows: DataFrame, keeps: Callable[[list], list[bool]], column: str) -> DataFrame:
+    """Rows whose ``column`` values ``keeps`` marks, a batch at a time; all other columns pass as they are."""
 
     def run(batches):
         for batch in batches:
-            if len(batch):
-                yield function(batch)
+            if batch.num_rows:
+                yield batch.filter(pa.array(keeps(batch.column(batch.schema.names.index(column)).to_pylist()), pa.bool_()))
 
-    return run
+    return rows.mapInArrow(run, rows.schema)

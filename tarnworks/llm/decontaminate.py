@@ -21,9 +21,9 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
+from tarnworks.llm.common import filtered, over_batches
 from tarnworks.llm.shingles import hashed, runs, word_hashes
 
 WORDS, LEAST = 5, 0.8
@@ -155,9 +155,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, most_runs: int = MOST_RUNS
             for batch in batches:
                 rows = [(doc_id, *hit) for doc_id, words in zip(batch["doc_id"], hashed(batch["text"])) for hit in items.search(words)]
                 if rows:
-                    yield pd.DataFrame(rows, columns=["doc_id", "item_id", "start_word", "n_words", "similarity"]).astype({"doc_id": "Int64", "item_id": "Int64"})
+                    yield dict(zip(("doc_id", "item_id", "start_word", "n_words", "similarity"), zip(*rows)))
 
-        part = kept.mapInPandas(run, f"doc_id long, {HITS}")
+        part = over_batches(kept, run, f"doc_id long, {HITS}")
         found = part if found is None else found.unionByName(part)
     return docs.sparkSession.createDataFrame([], f"doc_id long, {HITS}") if found is None else found
 
@@ -165,10 +165,5 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, most_runs: int = MOST_RUNS
 def without_leaks(docs: DataFrame, benchmark: DataFrame, most_runs: int = MOST_RUNS) -> DataFrame:
     """Rows of ``docs`` that hold no item, decided as they stream by; nothing is shuffled."""
     for items in item_blocks(benchmark, most_runs):
-
-        def run(batches, items=items):
-            for batch in batches:
-                yield batch[[not items.search(words) for words in hashed(batch["text"])]]
-
-        docs = docs.mapInPandas(run, docs.schema)
+        docs = filtered(docs, lambda texts, items=items: [not items.search(words) for words in hashed(texts)], "text")
     return docs

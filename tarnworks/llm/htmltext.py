@@ -19,13 +19,13 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from bisect import bisect_right
 from functools import cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
-from tarnworks.llm.common import per_batch
+from tarnworks.llm.common import over_batches
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|[^<]+|<", re.DOTALL)
 ATTRIBUTE = re.compile(r"\b(?:class|id|role|itemprop|aria-label|name)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
@@ -79,9 +79,52 @@ def stems_of(attributes: str) -> int:
     return found
 
 
+class Open:
+    """Open elements, innermost last, and where each kind of them stands, so that none is looked for."""
+
+    def __init__(self):
+        self.nodes, self.tags, self.blocks = [0], ["body"], []
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, node: int, tag: str) -> None:
+        self.places.setdefault(tag, []).append(len(self.nodes))
+        if tag in BLOCK:
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+        self.tags.append(tag)
+
+    def cut(self, place: int) -> None:
+        """Close the element at ``place`` and all within it."""
+        while len(self.nodes) > place:
+            self.nodes.pop()
+            self.places[self.tags.pop()].pop()
+        while self.blocks and self.blocks[-1] >= place:
+            self.blocks.pop()
+
+    def last(self, tags) -> int:
+        """Place of the innermost element of any of ``tags``; 0 if there is none."""
+        return max((p[-1] for p in (self.places.get(t) for t in tags) if p), default=0)
+
+    def first_after(self, tags, place: int) -> int:
+        """Place of the outermost element of any of ``tags`` within the one at ``place``; 0 if there is none."""
+        found = (p[k] for p in (self.places.get(t) for t in tags) if p and (k := bisect_right(p, place)) < len(p))
+        return min(found, default=0)
+
+    def implied_end(self, tag: str) -> None:
+        """Close what the start of ``tag`` ends: an open paragraph, cells and rows, items, options."""
+        if tag in BLOCK and self.blocks and self.tags[self.blocks[-1]] == "p":
+            self.cut(self.blocks[-1])
+        if tag in CLOSES:
+            closed, holders = CLOSES[tag]
+            holder = self.last(holders)
+            place = self.first_after(closed, holder) if tag == "tr" else self.last(closed)
+            if place > holder:
+                self.cut(place)
+
+
 def parse(page: str) -> list[Node]:
     """Nodes in page order; a text run is a node of its own, and so is each line break."""
-    nodes, open_ = [Node("body", -1)], [0]
+    nodes, open_, runs = [Node("body", -1)], Open(), {}
 
     def add(node: Node) -> int:
         nodes[node.parent].children.append(len(nodes))
@@ -97,21 +140,17 @@ def parse(page: str) -> list[Node]:
                 if head and not m[0].strip():
                     continue
                 head = False
-                last = nodes[open_[-1]].children[-1:]
-                if last and nodes[last[0]].tag == "#text" and last[0] == len(nodes) - 1:
-                    nodes[last[0]].text += m[0]
+                last = nodes[open_.nodes[-1]].children[-1:]
+                if last and last[0] in runs and last[0] == len(nodes) - 1:
+                    runs[last[0]].append(m[0])
                 else:
-                    add(Node("#text", open_[-1], text=m[0]))
+                    runs[add(Node("#text", open_.nodes[-1]))] = [m[0]]
             continue
         tag = m[2].lower()
         if m[1]:
             head = head and tag != "head"
-            if tag in ("html", "head", "body"):
-                continue
-            for k in range(len(open_) - 1, 0, -1):
-                if nodes[open_[k]].tag == tag:
-                    del open_[k:]
-                    break
+            if tag not in ("html", "head", "body") and open_.places.get(tag):
+                open_.cut(open_.places[tag][-1])
             continue
         head = (head or tag == "head") and tag in IN_HEAD
         if tag in ("html", "head", "body") or head and tag not in RAW:
@@ -121,27 +160,12 @@ def parse(page: str) -> list[Node]:
                 end = RAW_END[tag].search(page, at)
                 at = end.end() if end else len(page)
             continue
-        if tag in BLOCK:  # an open paragraph ends here
-            for k in range(len(open_) - 1, 0, -1):
-                name = nodes[open_[k]].tag
-                if name == "p":
-                    del open_[k:]
-                    break
-                if name in BLOCK:
-                    break
-        if tag in CLOSES:
-            closed, holders = CLOSES[tag]
-            for k in range(len(open_) - 1, 0, -1):
-                name = nodes[open_[k]].tag
-                if name in holders:
-                    break
-                if name in closed:
-                    del open_[k:]
-                    if tag != "tr":
-                        break
-        node = add(Node(tag, open_[-1], stems_of(m[3]) if "=" in m[3] else 0))
+        open_.implied_end(tag)
+        node = add(Node(tag, open_.nodes[-1], stems_of(m[3]) if "=" in m[3] else 0))
         if tag not in VOID and not m[3].endswith("/"):
-            open_.append(node)
+            open_.push(node, tag)
+    for k, parts in runs.items():
+        nodes[k].text = "".join(parts)
     return nodes
 
 
@@ -408,10 +432,8 @@ def extract_text(pages: DataFrame, trees: Trees | None = None) -> DataFrame:
     model = trees or fit()
 
     def run(batches):
-        def extracted(batch):
-            texts = main_texts(list(batch["html"]), model)
-            return pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]})
-
-        yield from per_batch(extracted)(batches)
+        for batch in batches:
+            texts = main_texts(batch["html"], model)
+            yield {"page_id": batch["page_id"], "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]}
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    return over_batches(pages.select("page_id", "url", "html"), run, "page_id long, url string, text string, n_chars long")

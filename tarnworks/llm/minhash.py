@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnworks.llm.common import Work
+from tarnworks.llm.common import Work, over_batches
 from tarnworks.llm.components import connected_components
 from tarnworks.llm.shingles import shingle_sets
 
@@ -62,11 +62,11 @@ def signed(docs: DataFrame, k: int, depth: int, bands: int) -> DataFrame:
         for batch in batches:
             rows = []
             for doc_id, s in zip(batch["doc_id"], shingle_sets(batch["text"], k)):
-                linked = len(s) and not pd.isna(doc_id)
+                linked = len(s) and doc_id is not None
                 rows.append((doc_id, len(s), xxhash.xxh3_128_digest(s.tobytes()) if linked else None, band_hashes(s, factors, bands) if linked else None))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "key", "bands"]).astype({"doc_id": "Int64"})
+            yield dict(zip(("doc_id", "n_shingles", "key", "bands"), zip(*rows)))
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, key binary, bands array<long>")
+    return over_batches(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, key binary, bands array<long>")
 
 
 def forest(sets: list[np.ndarray], most: int, whole: int) -> list[tuple[int, int]]:

@@ -15,10 +15,9 @@ from __future__ import annotations
 import hashlib
 
 import ahocorasick
-import pandas as pd
 from pyspark.sql import DataFrame
 
-from tarnworks.llm.common import per_batch
+from tarnworks.llm.common import over_batches
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "iban", "account", "secret")
@@ -225,10 +224,10 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         anchors = automaton()
         for batch in batches:
             found = [find(t, anchors) for t in batch[text_col]]
-            yield pd.DataFrame({id_col: batch[id_col], "spans": [[{"start": s, "end": e, "kind": k, "value": t[s:e]} for s, e, k in x] for x, t in zip(found, batch[text_col])]})
+            yield {id_col: batch[id_col], "spans": [[{"start": s, "end": e, "kind": k, "value": t[s:e]} for s, e, k in x] for x, t in zip(found, batch[text_col])]}
 
     kept = docs.select(id_col, text_col)
-    return kept.mapInPandas(run, f"{id_col} {kept.schema[id_col].dataType.simpleString()}, spans array<struct<start:long,end:long,kind:string,value:string>>")
+    return over_batches(kept, run, f"{id_col} {kept.schema[id_col].dataType.simpleString()}, spans array<struct<start:long,end:long,kind:string,value:string>>")
 
 
 def pii_digest(docs: DataFrame) -> DataFrame:
@@ -239,10 +238,9 @@ def pii_digest(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         anchors = automaton()
-
-        def digest(batch):
+        for batch in batches:
             found = [find(t, anchors) for t in batch["text"]]
-            out = pd.DataFrame({"doc_id": batch["doc_id"]})
+            out = {"doc_id": batch["doc_id"]}
             for kind in BASE:
                 out[f"n_{kind}"] = [sum(s[2] == kind for s in x) for x in found]
             out["base_sha256"] = [hashlib.sha256(joined([s for s in x if s[2] in BASE]).encode()).hexdigest() for x in found]
@@ -250,8 +248,6 @@ def pii_digest(docs: DataFrame) -> DataFrame:
             for kind in KINDS[len(BASE) :]:
                 out[f"n_{kind}"] = [sum(s[2] == kind for s in x) for x in found]
             out["n_personal"] = [sum(s[2] != "url" for s in x) for x in found]
-            return out
-
-        yield from per_batch(digest)(batches)
+            yield out
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_url long, n_iban long, n_account long, n_secret long, n_personal long")
+    return over_batches(docs.select("doc_id", "text"), run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_url long, n_iban long, n_account long, n_secret long, n_personal long")

@@ -28,7 +28,6 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow.fs as pafs
 import xxhash
 import zstandard
@@ -36,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnworks.llm.common import Work
+from tarnworks.llm.common import Work, over_batches
 from tarnworks.llm.tokens import encoder
 
 MAGIC = b"TWSST\x00\x01\n"
@@ -206,7 +205,7 @@ def write_shards(docs: DataFrame, work: Work, vocabulary: str, shards: int | Non
         encode = encoder(vocabulary).encode
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                key = key_of(None if pd.isna(doc_id) else doc_id)
+                key = key_of(doc_id)
                 if writer is None:
                     fs, folder = pafs.FileSystem.from_uri(root)
                     fs.create_dir(folder, recursive=True)
@@ -218,11 +217,11 @@ def write_shards(docs: DataFrame, work: Work, vocabulary: str, shards: int | Non
             writer.close()
             sink.close()
             shard = TaskContext.get().partitionId()
-            yield pd.DataFrame({"shard": [shard], "path": [f"{root}/{name}"], "first": [first], "last": [key], "n_docs": [writer.n_docs], "n_tokens": [writer.n_tokens], "n_bytes": [writer.offset]})
+            yield {"shard": [shard], "path": [f"{root}/{name}"], "first": [first], "last": [key], "n_docs": [writer.n_docs], "n_tokens": [writer.n_tokens], "n_bytes": [writer.offset]}
 
     place = F.monotonically_increasing_id()  # tells apart only rows that are equal in both columns
     dealt = kept.withColumn("place", place).repartitionByRange(shards or kept.rdd.getNumPartitions(), "doc_id", "h", "place")
-    return work.cut(dealt.sortWithinPartitions("doc_id", "h").select("doc_id", "text").mapInPandas(run, MANIFEST), "manifest")
+    return work.cut(over_batches(dealt.sortWithinPartitions("doc_id", "h").select("doc_id", "text"), run, MANIFEST), "manifest")
 
 
 def shards_of(manifest: DataFrame, doc_id: int | None) -> list[str]:
@@ -250,10 +249,10 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                     yield framed(rows)
 
     def framed(rows):
-        return pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"]).astype({"doc_id": "Int64"})
+        return dict(zip(("doc_id", "start", "n_tokens", "ids_crc32"), zip(*rows)))
 
     n = manifest.sparkSession.sparkContext.defaultParallelism * 4
-    return placed.select("path", "start").repartition(n, "path").mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return over_batches(placed.select("path", "start").repartition(n, "path"), run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_output(docs: DataFrame, vocabulary: str) -> DataFrame:
