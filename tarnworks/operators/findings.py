@@ -98,19 +98,39 @@ def known_by_text(findings: DataFrame, known: DataFrame, least: float = 0.65) ->
     return by_hash.union(scored.where(dice(F.col("g"), F.col("kg")) >= least).select("id")).distinct()
 
 
+#: Related files of one finding, and a zone's lack of cohesion plus its coupling, from which on it matters more.
+MANY_RELATED, UNSOUND = 4, 1.2
+
+
+def shortened(text: Column, most: int) -> Column:
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.substring(text, 1, most - 1), F.lit("…")))
+
+
 def next_steps(findings: DataFrame, zones: DataFrame) -> DataFrame:
-    """priority, category, scope, findings, files: what to do about findings of a scope, the most urgent first.
+    """priority, category, scope, title, description, findings, impact: what to do, the most urgent first.
 
-    Critical ones are to fix; warnings of anti-patterns to refactor, of relations and patterns to extract; the rest is
-    left. Warnings rise to high if one touches more than five files or its zone (zone, cohesion, coupling) is unsound.
+    One step for the critical findings of a scope (to fix), one for its warnings of anti-patterns (to refactor), one for
+    its warnings of relations and patterns (to extract); suggestions and warnings of other types are a step each (to
+    refactor). Critical ones are high, others high if a finding has ``MANY_RELATED`` files or an ``UNSOUND`` zone, else
+    medium; suggestions that don't warn are low. Findings come in the order of ``id``; ``zones`` (zone, cohesion,
+    coupling, files) gives the files that a description names.
     """
-    kind, severity = F.col("type"), F.col("severity")
-    what = F.when(severity == "critical", "fix").when((severity == "warning") & (kind == "anti-pattern"), "refactor").when((severity == "warning") & kind.isin("relationship", "pattern"), "extract")
-    rows = findings.withColumn("category", what).where("category is not null").join(zones.select(F.col("zone").alias("scope"), ((F.col("cohesion") < 0.3) | (F.col("coupling") > 0.7)).alias("unsound")), "scope", "left")
-    wide = F.bool_or((F.coalesce(F.size("related"), F.lit(0)) > 5) | F.coalesce("unsound", F.lit(False)))
-    steps = rows.groupBy("category", "scope").agg(F.count("*").alias("findings"), F.size(F.array_distinct(F.flatten(F.collect_list("related")))).cast("long").alias("files"), wide.alias("wide"))
-    steps = steps.select(F.when((F.col("category") == "fix") | F.col("wide"), "high").otherwise("medium").alias("priority"), "category", "scope", "findings", "files")
-    return steps.orderBy(rank_in(F.col("priority"), ("high", "medium")), F.desc("files"), F.desc("findings"), "category", "scope")
+    kind, warns = F.col("type"), F.col("severity") == "warning"
+    step = F.when(F.col("severity") == "critical", "fix").when(kind == "suggestion", "suggestion").when(warns & (kind == "anti-pattern"), "refactor").when(warns & kind.isin("relationship", "pattern"), "extract").when(warns, "other")
+    penalty = 1 - F.col("cohesion") + F.col("coupling")
+    related = F.greatest(F.coalesce(F.size("related"), F.lit(0)), F.lit(0))
+    known = zones.select(F.col("zone").alias("scope"), penalty.alias("penalty"), F.slice("files", 1, 3).alias("shown"))
+    rows = findings.withColumn("step", step).where("step is not null").join(known, "scope", "left").withColumns({"impact": related + F.coalesce("penalty", F.lit(0.0)), "wide": (related >= MANY_RELATED) | (F.coalesce("penalty", F.lit(0.0)) >= UNSOUND)})
+    alone = F.when(F.col("step").isin("suggestion", "other"), F.col("id"))
+    first = F.min(F.struct("id", "text", "shown")).alias("first")
+    steps = rows.groupBy("step", "scope", alone.alias("alone")).agg(F.count("*").alias("findings"), F.sum("impact").alias("impact"), F.bool_or("wide").alias("wide"), F.bool_or(warns).alias("warns"), first)
+    text = F.col("first.text")
+    title = F.when(F.col("findings") == 1, shortened(text, 80)).otherwise(F.concat(shortened(text, 60), F.lit(" (+"), F.col("findings") - 1, F.lit(" related)")))
+    files = F.when((F.col("step") != "suggestion") & (F.size("first.shown") > 0), F.concat(F.lit(" Files: "), F.array_join("first.shown", ", "))).otherwise("")
+    priority = F.when(F.col("step") == "fix", "high").when((F.col("step") == "suggestion") & ~F.col("warns"), "low").when(F.col("wide"), "high").otherwise("medium")
+    category = F.when(F.col("step").isin("fix", "extract"), F.col("step")).otherwise("refactor")
+    out = steps.select(priority.alias("priority"), category.alias("category"), "scope", title.alias("title"), F.concat(text, files).alias("description"), "findings", "impact", rank_in(F.col("step"), ("fix", "refactor", "extract", "suggestion", "other")).alias("o"), F.col("first.id").alias("i"))
+    return out.orderBy(rank_in(F.col("priority"), ("high", "medium", "low")), F.desc("impact"), F.desc("findings"), "o", "i").drop("o", "i")
 
 
 def override_escalations(items: DataFrame, least: int = 3) -> DataFrame:

@@ -1,20 +1,20 @@
 """Names that mean the same: verb-aware similarity, candidate pairs without a cross join, clusters, best matches.
 
-Candidates come from the distinct normalised names. A pair that is similar shares a word's first two letters, or
-enough bigrams that their rarest ones meet (prefix filtering for Dice), or one holds the other and so all its
-bigrams, its rarest included. So candidates miss no pair, and no group of equal names is multiplied.
+A score is a column expression over arrays (bigrams and words of a name, and of what follows its verb). Candidates come
+from distinct normalised texts: a pair above a threshold shares one of the rarest bigrams of each, or a word of one
+that is among its rarest starts or is started by a word of the other, or one text holds the other and so the rarest
+bigram of it. Names with verbs also meet by what follows the verb, at the threshold that their score needs there. So
+candidates miss no pair, and no group of equal names is multiplied.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
-from tarnworks.functions.text import grams, normalize
+from tarnworks.functions.text import dice, grams, normalize
 from tarnworks.session import cut, cut_afresh
 
 #: Verbs that start a name, and what each counts as.
@@ -51,58 +51,101 @@ VERBS = {
 NAME_STOP_WORDS = ("the", "a", "an", "and", "or", "for", "to", "in", "of", "on", "with", "is", "be", "up", "by", "at", "as", "its", "it", "this", "that")
 
 
-def verb_and_content(name: str) -> tuple[str | None, str]:
-    words = name.split()
-    verb = VERBS.get(words[0].removesuffix(":")) if words else None
-    if verb:
-        words = words[2:] if words[0].removesuffix(":") == "set" and words[1:2] == ["up"] else words[1:]
-    return verb, " ".join(w for w in words if w not in NAME_STOP_WORDS)
-
-
-def plain_similarity(a: str, b: str) -> float:
-    """Of two normalised texts; prefixes of a word earn part credit, so the order of the two matters."""
-    if not a or not b:
-        return 0.0
-    if a == b:
-        return 1.0
-    if a in b or b in a:
-        return max(0.7, min(len(a), len(b)) / max(len(a), len(b)))
-    pairs = [{t[i : i + 2] for i in range(len(t) - 1)} for t in (a, b)]
-    by_grams = 2 * len(pairs[0] & pairs[1]) / (len(pairs[0]) + len(pairs[1])) if pairs[0] and pairs[1] else 0.0
-    own, other = set(a.split()), set(b.split())
-    exact = len(own & other)
-    partial = sum(any(y.startswith(x) or x.startswith(y) for y in other) for x in own - other)
-    by_words = (exact + 0.8 * partial) / (len(own | other) - partial) if own and other else 0.0
-    return max(by_grams, by_words)
-
-
-def name_similarity(a: str, b: str) -> float:
-    """Of two normalised names: as they are without verbs; else mostly by what follows the verb."""
-    verb_a, content_a = verb_and_content(a)
-    verb_b, content_b = verb_and_content(b)
-    if a == b:
-        return 1.0
-    if verb_a and verb_b and content_a and content_b:
-        content = plain_similarity(content_a, content_b)
-        return min(1.0, 0.85 * content + 0.15) if verb_a == verb_b else 0.85 * content
-    return plain_similarity(a, b)
-
-
-@F.pandas_udf(DoubleType())
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([name_similarity(x or "", y or "") for x, y in zip(a, b)])
-
-
-def candidate_keys(names: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(name, key) for pairs by word or rarest bigrams, and (name, key) probes of the rarest bigram."""
-    per_gram = names.select("name", F.explode(grams(F.col("name"), 2)).alias("gram"))
-    frequency = per_gram.groupBy("gram").agg(F.count("*").alias("df"))
-    ordered = per_gram.join(frequency, "gram").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("g"))
-    least = threshold / (2 - threshold)  # of a text's bigrams that a similar one shares
-    kept = F.greatest(F.lit(1), F.size("g") - F.ceil(F.size("g") * least).cast("int") + 1)
-    by_gram = ordered.select("name", F.explode(F.slice("g", F.lit(1), kept)).alias("x")).select("name", F.concat(F.lit("g:"), F.col("x.gram")).alias("key"))
-    starts = F.array_distinct(F.transform(F.split("name", " "), lambda w: F.concat(F.lit("w:"), F.substring(w, 1, 2))))
-    return by_gram.unionByName(names.select("name", F.explode(starts).alias("key"))), ordered.select("name", F.col("g")[0]["gram"].alias("gram"))
+def parts_of(text: Column) -> Column:
+    """A text with its distinct bigrams and words, which scores compare."""
+    return F.struct(text.alias("t"), grams(text, 2).alias("g"), F.array_distinct(F.filter(F.split(text, " "), lambda w: w != "")).alias("w"))
+
+
+def verb_of(name: Column) -> Column:
+    """What the verb at the start of a normalised name counts as, or null."""
+    known = F.create_map(*(F.lit(x) for kv in VERBS.items() for x in kv))
+    return F.try_element_at(known, F.regexp_replace(F.split(name, " ")[0], ":$", ""))
+
+
+def content_of(name: Column) -> Column:
+    """The words after a name's verb but for ``NAME_STOP_WORDS``; "set up" is one verb."""
+    words = F.split(name, " ")
+    pair = (F.regexp_replace(words[0], ":$", "") == "set") & (F.get(words, F.lit(1)) == "up")
+    rest = F.slice(words, F.when(F.coalesce(pair, F.lit(False)), 3).otherwise(2), F.size(words) + 1)
+    return F.array_join(F.filter(rest, lambda w: ~w.isin(*NAME_STOP_WORDS)), " ")
+
+
+def measured(name: Column) -> Column:
+    return F.struct(parts_of(name).alias("whole"), verb_of(name).alias("verb"), parts_of(content_of(name)).alias("content"))
+
+
+def plain_score(x: Column, y: Column) -> Column:
+    """Of two ``parts_of`` texts; words that start each other earn part credit, so the order of the two matters."""
+    none = lambda c: F.size(c) == 0
+    lengths = F.array_sort(F.array(F.length(x["t"]), F.length(y["t"])))
+    starting = F.size(F.filter(F.array_except(x["w"], y["w"]), lambda p: F.exists(y["w"], lambda q: F.startswith(q, p) | F.startswith(p, q))))
+    by_words = F.when(none(x["w"]) | none(y["w"]), 0.0).otherwise((F.size(F.array_intersect(x["w"], y["w"])) + 0.8 * starting) / (F.size(F.array_union(x["w"], y["w"])) - starting))
+    by_grams = F.when(none(x["g"]) | none(y["g"]), 0.0).otherwise(dice(x["g"], y["g"]))
+    held = F.contains(x["t"], y["t"]) | F.contains(y["t"], x["t"])
+    whole = F.when(held, F.greatest(F.lit(0.7), lengths[0] / lengths[1])).otherwise(F.greatest(by_grams, by_words))
+    return F.when((x["t"] == "") | (y["t"] == ""), 0.0).otherwise(whole)
+
+
+#: What likeness after the verb counts, and what an equal verb adds.
+CONTENT_WEIGHT, VERB_WEIGHT = 0.85, 0.15
+
+
+def name_score(x: Column, y: Column) -> Column:
+    """Of two ``measured`` names: mostly by what follows the verb if both have one, else as they are."""
+    verbs = x["verb"].isNotNull() & y["verb"].isNotNull() & (x["content"]["t"] != "") & (y["content"]["t"] != "")
+    by_verb = CONTENT_WEIGHT * plain_score(x["content"], y["content"]) + F.when(x["verb"] == y["verb"], VERB_WEIGHT).otherwise(0.0)
+    equal = (x["whole"]["t"] == y["whole"]["t"]) & (x["whole"]["t"] != "")
+    return F.when(equal, 1.0).when(verbs, F.least(F.lit(1.0), by_verb)).otherwise(plain_score(x["whole"], y["whole"]))
+
+
+def similarity(a: Column | str, b: Column | str) -> Column:
+    """Score of two normalised names, from 0 to 1; null counts as empty."""
+    a, b = (F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")) for c in (a, b))
+    return F.transform(F.array(F.struct(measured(a).alias("x"), measured(b).alias("y"))), lambda p: name_score(p["x"], p["y"]))[0]
+
+
+def rarest(rows: DataFrame, key: str, kept: Column) -> DataFrame:
+    """Of each text's keys (t, key) the ``kept`` rarest; ``kept`` may use their number ``n``."""
+    frequency = rows.groupBy(key).agg(F.count("*").alias("df"))
+    ordered = rows.join(frequency, key).groupBy("t").agg(F.array_sort(F.collect_list(F.struct("df", key))).alias("x")).withColumn("n", F.size("x"))
+    return ordered.select("t", "n", F.explode(F.slice("x", F.lit(1), F.greatest(F.lit(1), F.least(F.col("n"), kept)))).alias("x")).select("t", "n", f"x.{key}")
+
+
+def meeting(texts: DataFrame, threshold: float) -> DataFrame:
+    """x, y (both ways, unequal): all pairs of distinct ``texts`` (t) whose ``plain_score`` may reach the threshold."""
+    held = cut(texts.where("t != ''").select("t").distinct())
+    per_gram = cut(held.select("t", F.explode(grams(F.col("t"), 2)).alias("key")))
+    share = threshold / (2 - threshold)  # of a text's bigrams that a similar one has
+    keys = cut(rarest(per_gram, "key", F.col("n") - F.ceil(F.col("n") * share - 1e-9).cast("int") + 1).select("t", "key"))
+    by_gram = keys.toDF("x", "key").join(keys.toDF("y", "key"), "key").select("x", "y")
+
+    one = held.where("length(t) = 1").select("t", F.col("t").alias("key"))
+    probes = rarest(per_gram, "key", F.lit(1)).select("t", "key").unionByName(one)
+    letters = held.select("t", F.explode(F.array_distinct(F.split("t", ""))).alias("key")).join(one.select("key").distinct(), "key", "left_semi").select("t", "key")
+    holding = probes.toDF("x", "key").join(per_gram.unionByName(letters).toDF("y", "key"), "key").where("x != y and contains(y, x)").select("x", "y")
+
+    words = cut(held.select("t", F.explode(F.array_distinct(F.filter(F.split("t", " "), lambda w: w != ""))).alias("key")))
+    least = F.ceil((F.col("n") + 1) * threshold / (1 + threshold) - 1e-9).cast("int")  # words that match, of n and one at least
+    few = cut(rarest(words, "key", F.col("n") - least + 1))
+    starts = lambda rows: rows.withColumn("key", F.explode(F.transform(F.sequence(F.lit(1), F.length("key")), lambda k: F.substring(F.col("key"), F.lit(1), k))))
+    all_words = words.join(words.groupBy("t").agg(F.count("*").alias("m")), "t").withColumnRenamed("t", "y")
+    left = few.withColumnRenamed("t", "x")
+    fits = F.col("m") * threshold <= F.col("n") + 1e-9
+    by_word = left.join(starts(all_words), "key").where(fits).select("x", "y").union(starts(left).join(all_words, "key").where(fits).select("x", "y"))
+    found = by_gram.union(holding).union(by_word).where("x != y")
+    return found.union(found.select("y", "x")).distinct()
+
+
+def similar_pairs(names: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """a, b (a before b) and their score, for distinct normalised ``names`` (name) at or above the threshold, above 0.15."""
+    own = cut(names.select("name").where("name != ''").distinct().withColumn("m", measured(F.col("name"))))
+    whole = meeting(own.select(F.col("name").alias("t")), threshold).toDF("a", "b")
+    verbed = own.where("m.verb is not null and m.content.t != ''").select("name", F.col("m.content.t").alias("t"))
+    alike = meeting(verbed.select("t"), (threshold - VERB_WEIGHT) / CONTENT_WEIGHT).union(verbed.select("t", F.col("t").alias("y")).distinct())
+    by_content = verbed.toDF("a", "x").join(alike, "x").join(verbed.toDF("b", "y"), "y").select("a", "b")
+    pairs = whole.union(by_content).where("a < b").distinct()
+    scored = pairs.join(own.toDF("a", "ma"), "a").join(own.toDF("b", "mb"), "b").select("a", "b", name_score(F.col("ma"), F.col("mb")).alias("score"))
+    return scored.where(F.col("score") >= threshold)
 
 
 def gram_pairs(names: DataFrame, n: int, measure: Callable[[Column, Column], Column], least: float, shared: float) -> DataFrame:
@@ -122,18 +165,6 @@ def gram_pairs(names: DataFrame, n: int, measure: Callable[[Column, Column], Col
     return scored.where(F.col("score") >= least)
 
 
-def similar_pairs(names: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """a, b (a before b) and their score, for distinct normalised ``names`` (name) at or above the threshold."""
-    names = cut(names.select("name").where("name != ''").distinct())
-    keys, probes = candidate_keys(names, threshold)
-    keys = cut(keys)
-    left, right = keys.toDF("a", "key"), keys.toDF("b", "key")
-    pairs = left.join(right, "key").where("a < b").select("a", "b")
-    held = probes.toDF("p", "gram").join(names.select(F.col("name").alias("n"), F.explode(grams(F.col("name"), 2)).alias("gram")), "gram").where("p != n and contains(n, p)")
-    pairs = pairs.union(held.select(F.least("p", "n"), F.greatest("p", "n"))).distinct()
-    return pairs.withColumn("score", similarity("a", "b")).where(F.col("score") >= threshold)
-
-
 def clusters(pairs: DataFrame) -> DataFrame:
     """name, cluster (its least name) over all pairs: labels spread until none changes.
 

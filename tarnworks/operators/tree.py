@@ -217,13 +217,13 @@ def prunable(pairs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def auto_completable(pairs: DataFrame, items: DataFrame) -> DataFrame:
-    """Open items with children that would complete by themselves, bottom-up: all children finished, deleted or such items.
+    """Open items with children that would complete by themselves, bottom-up: all children finished or such items.
 
-    An unfinished item that can't complete so (a leaf, or blocked or failing) holds back its ancestors, as far up as
+    An unfinished item that can't complete so (a leaf, or blocked, failing or deleted) holds back its ancestors, as far up as
     the first that is finished itself, which hides what lies below it.
     """
     kids = items.where("parent_id is not null").select(F.col("parent_id").alias("id")).distinct()
-    state = items.join(kids.withColumn("has_kids", F.lit(True)), "id", "left").withColumns({"over": F.col("status").isin(*DONE, "deleted"), "open": F.col("status").isin("pending", "in_progress") & F.col("has_kids").isNotNull()})
+    state = items.join(kids.withColumn("has_kids", F.lit(True)), "id", "left").withColumns({"over": F.col("status").isin(*DONE), "open": F.col("status").isin("pending", "in_progress") & F.col("has_kids").isNotNull()})
     holds = state.where(~F.col("over") & ~F.col("open")).select("id")
     above = pairs.where("distance > 0").join(holds, "id")
     over = state.where("over").select(F.col("id").alias("ancestor"))

@@ -222,12 +222,17 @@ def findings_in_order(spark, sf_dir):
     return first.select("id", place.cast("long").alias("place"))
 
 
-@query(f"""WITH {GRADED}, z AS (SELECT 'z' || k AS scope, k % 3 = 0 AS unsound FROM range(0, 8) t(k)), s AS (SELECT *, CASE WHEN severity = 'critical' THEN 'fix' WHEN severity = 'warning' AND type = 'anti-pattern' THEN 'refactor' WHEN severity = 'warning' AND type IN ('relationship', 'pattern') THEN 'extract' END AS category FROM g),
- w AS (SELECT category, scope, count(*) AS findings, bool_or(len(related) > 5 OR coalesce(unsound, false)) AS wide, len(list_distinct(flatten(list(related)))) AS files FROM s LEFT JOIN z USING (scope) WHERE category IS NOT NULL GROUP BY 1, 2)
-SELECT CASE WHEN category = 'fix' OR wide THEN 'high' ELSE 'medium' END AS priority, category, scope, findings, CAST(files AS BIGINT) AS files FROM w""")
+@query(f"""WITH {GRADED}, z AS (SELECT 'z' || k AS scope, 1 - CASE WHEN k % 3 = 0 THEN 0.2 ELSE 0.6 END + 0.4 AS penalty, ' Files: a' || k || ', b, c' AS shown FROM range(0, 8) t(k)),
+ n AS (SELECT g.* REPLACE (text || repeat('x', id % 100) AS text), CASE WHEN severity = 'critical' THEN 'fix' WHEN type = 'suggestion' THEN 'suggestion' WHEN severity = 'info' THEN NULL WHEN type = 'anti-pattern' THEN 'refactor' WHEN type = 'observation' THEN 'other' ELSE 'extract' END AS step,
+  len(related) + coalesce(penalty, 0) AS impact, len(related) >= 4 OR coalesce(penalty, 0) >= 1.2 AS wide, coalesce(shown, '') AS shown FROM g LEFT JOIN z USING (scope)),
+ s AS (SELECT step, scope, count(*) AS findings, sum(impact) AS impact, bool_or(wide) AS wide, bool_or(severity = 'warning') AS warns, min_by(text, id) AS text, min(shown) AS shown FROM n WHERE step IS NOT NULL GROUP BY step, scope, CASE WHEN step IN ('suggestion', 'other') THEN id END)
+SELECT CASE WHEN step = 'fix' THEN 'high' WHEN step = 'suggestion' AND NOT warns THEN 'low' WHEN wide THEN 'high' ELSE 'medium' END AS priority, CASE WHEN step IN ('fix', 'extract') THEN step ELSE 'refactor' END AS category, scope,
+ CASE WHEN findings = 1 THEN CASE WHEN length(text) <= 80 THEN text ELSE left(text, 79) || '…' END ELSE CASE WHEN length(text) <= 60 THEN text ELSE left(text, 59) || '…' END || ' (+' || (findings - 1) || ' related)' END AS title,
+ text || CASE WHEN step = 'suggestion' THEN '' ELSE shown END AS description, findings, floor(impact * 1000 + 0.5) / 1000 AS impact FROM s""")
 def next_steps(spark, sf_dir):
-    zones = spark.range(0, 8).select(F.concat(F.lit("z"), "id").alias("zone"), F.when(F.col("id") % 3 == 0, 0.2).otherwise(0.6).alias("cohesion"), F.lit(0.4).alias("coupling"))
-    return fd.next_steps(graded(spark, sf_dir), zones)
+    zones = spark.range(0, 8).select(F.concat(F.lit("z"), "id").alias("zone"), F.when(F.col("id") % 3 == 0, 0.2).otherwise(0.6).alias("cohesion"), F.lit(0.4).alias("coupling"), F.array(F.concat(F.lit("a"), "id"), F.lit("b"), F.lit("c"), F.lit("d")).alias("files"))
+    rows = graded(spark, sf_dir).withColumn("text", F.concat("text", F.repeat(F.lit("x"), (F.col("id") % 100).cast("int"))))
+    return fd.next_steps(rows, zones).withColumn("impact", F.floor(F.col("impact") * 1000 + 0.5) / 1000)
 
 
 def overridden(spark, sf_dir):

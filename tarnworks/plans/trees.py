@@ -174,15 +174,15 @@ def prunable(spark, sf_dir):
     return op.prunable(*closed(spark, sf_dir))
 
 
-#: The tree with most orders completed, so that some parents complete by themselves; some customers are blocked, and one region's nations deferred.
-RIPE = ITEMS + """, ripe AS (SELECT id, parent_id, level, CASE WHEN level = 'subtask' AND right(id, 2) NOT IN ('17', '40') THEN 'completed' WHEN level = 'subtask' THEN 'pending' WHEN level = 'task' AND right(id, 2) = '29' THEN 'blocked' WHEN level = 'task' THEN 'in_progress' WHEN level = 'feature' AND parent_id IN ('R:1', 'R:3') THEN 'deferred' WHEN id = 'R:3' THEN 'completed' ELSE status END AS status FROM items)"""
-LEVELS_UP = "d1 AS (SELECT id, status IN ('completed', 'deferred', 'deleted') AS over, level IN ('epic', 'feature', 'task') AND status IN ('pending', 'in_progress') AND id IN (SELECT parent_id FROM ripe WHERE parent_id IS NOT NULL) AS open, parent_id, level FROM ripe)"
+#: The tree with most orders completed, so that some parents complete by themselves; some customers are blocked, one region's nations deferred, and some orders deleted.
+RIPE = ITEMS + """, ripe AS (SELECT id, parent_id, level, CASE WHEN level = 'subtask' AND right(id, 2) = '63' THEN 'deleted' WHEN level = 'subtask' AND right(id, 2) NOT IN ('17', '40') THEN 'completed' WHEN level = 'subtask' THEN 'pending' WHEN level = 'task' AND right(id, 2) = '29' THEN 'blocked' WHEN level = 'task' THEN 'in_progress' WHEN level = 'feature' AND parent_id IN ('R:1', 'R:3') THEN 'deferred' WHEN id = 'R:3' THEN 'completed' ELSE status END AS status FROM items)"""
+LEVELS_UP = "d1 AS (SELECT id, status IN ('completed', 'deferred') AS over, level IN ('epic', 'feature', 'task') AND status IN ('pending', 'in_progress') AND id IN (SELECT parent_id FROM ripe WHERE parent_id IS NOT NULL) AS open, parent_id, level FROM ripe)"
 
 
 def ripe(spark, sf_dir):
     rows, level = items(spark, sf_dir), F.col("level")
     left = F.substring(F.concat(F.lit("  "), F.col("id")), -2, 2).isin("17", "40")
-    status = F.when((level == "subtask") & ~left, "completed").when(level == "subtask", "pending").when((level == "task") & F.endswith("id", F.lit("29")), "blocked").when(level == "task", "in_progress")
+    status = F.when((level == "subtask") & F.endswith("id", F.lit("63")), "deleted").when((level == "subtask") & ~left, "completed").when(level == "subtask", "pending").when((level == "task") & F.endswith("id", F.lit("29")), "blocked").when(level == "task", "in_progress")
     return rows.withColumn("status", status.when((level == "feature") & F.col("parent_id").isin("R:1", "R:3"), "deferred").when(F.col("id") == "R:3", "completed").otherwise(F.col("status")))
 
 

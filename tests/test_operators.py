@@ -38,12 +38,38 @@ def test_text(spark):
     assert value(spark, text.comparable(F.lit('a = "b" // c'))) == "a='b'"
 
 
-def test_similar_pairs_miss_none(spark):
+def sets_score(a, b):
+    """Similarity of two texts from their sets of bigrams and words."""
+    (ga, wa), (gb, wb) = (({*map("".join, zip(t, t[1:]))}, {*t.split()}) for t in (a, b))
+    near = {x for x in wa - wb for y in wb if y.startswith(x) or x.startswith(y)}
+    scores = [2 * len(ga & gb) / len([*ga, *gb])] if ga and gb else []
+    scores += [(len(wa & wb) + 0.8 * len(near)) / (len(wa | wb) - len(near))] if wa and wb else []
+    if a and b and (a in b or b in a):
+        scores = [1.0 if a == b else max(0.7, min(map(len, (a, b))) / max(map(len, (a, b))))]
+    return max(scores, default=0.0)
+
+
+def verbs_score(a, b):
+    def split(t):
+        first, *rest = t.split(" ")
+        verb = similarity.VERBS.get(first.removesuffix(":"))
+        if first.removesuffix(":") == "set" and rest[:1] == ["up"]:
+            rest = rest[1:]
+        return verb, " ".join(w for w in rest if w not in similarity.NAME_STOP_WORDS)
+
+    (va, ca), (vb, cb) = split(a), split(b)
+    if a != b and va and vb and ca and cb:
+        return min(1.0, 0.85 * sets_score(ca, cb) + 0.15 * (va == vb))
+    return sets_score(a, b)
+
+
+@pytest.mark.parametrize("threshold", [0.7, 0.8, 0.95])
+def test_similar_pairs_miss_none(spark, threshold):
     rng = random.Random(1)
-    words = ["login", "log", "cache", "caching", "user", "flow", "fix", "add", "blogging", "page"]
-    names = sorted({" ".join(rng.sample(words, rng.randint(1, 3))) for _ in range(60)})
-    found = {(r.a, r.b): r.score for r in similarity.similar_pairs(spark.createDataFrame([(n,) for n in names], "name string"), 0.7).collect()}
-    expected = {(a, b): s for i, a in enumerate(names) for b in names[i + 1 :] if (s := similarity.name_similarity(a, b)) >= 0.7}
+    words = ["login", "log", "cache", "caching", "user", "flow", "fix", "add", "blogging", "page", "x", "xy", "set", "up", "set:", "the", "create:", "p", "é"]
+    names = sorted({" ".join(rng.choices(words, k=rng.randint(1, 4))) for _ in range(160)})
+    found = {(r.a, r.b): r.score for r in similarity.similar_pairs(spark.createDataFrame([(n,) for n in names], "name string"), threshold).collect()}
+    expected = {(a, b): s for i, a in enumerate(names) for b in names[i + 1 :] if (s := verbs_score(a, b)) >= threshold}
     assert found == pytest.approx(expected)
     parent = {n: n for n in names}
 
@@ -380,10 +406,10 @@ def test_completion_stops_at_what_cannot_complete(spark):
     rows = [
         ("e", None, "pending"), ("f1", "e", "pending"), ("t1", "f1", "completed"), ("f2", "e", "blocked"), ("t2", "f2", "completed"),
         ("g", None, "in_progress"), ("g1", "g", "pending"), ("g2", "g1", "completed"), ("g3", "g", "completed"), ("g4", "g3", "pending"),
-        ("leaf", None, "pending"), ("h", None, "pending"), ("h1", "h", "deleted"),
+        ("leaf", None, "pending"), ("h", None, "pending"), ("h1", "h", "deleted"), ("i", None, "pending"), ("i1", "i", "pending"), ("i2", "i1", "deleted"), ("i3", "i1", "completed"),
     ]
     items = spark.createDataFrame(rows, "id string, parent_id string, status string")
-    assert {r.id for r in tree.auto_completable(tree.closure(items), items).collect()} == {"f1", "g", "g1", "h"}
+    assert {r.id for r in tree.auto_completable(tree.closure(items), items).collect()} == {"f1", "g", "g1"}
     resets = tree.parent_resets(tree.closure(items), items, items.where("id in ('g4', 'g2')"))
     assert {(r.parent, r.id) for r in resets.collect()} == {("g2", "g2")}
 
@@ -408,7 +434,7 @@ def test_matches_conflicts_and_epics(spark):
     features = spark.createDataFrame([(1, "login page", "users sign in", ["Auth"], "form")], side)
     epics = spark.createDataFrame([(5, "login", None, ["auth"], ""), (6, "payments", "users sign in", [], "form"), (7, "xyz", None, None, None)], side)
     best = [(r.epic, round(r.score, 4)) for r in similarity.epics_of_features(features, epics).orderBy(F.desc("score")).collect()]
-    expected = sorted(((5, 0.7 * similarity.plain_similarity("login page", "login") + 0.1), (6, 0.45 * similarity.plain_similarity("login page", "payments") + 0.25 + 0.2)), key=lambda x: -x[1])
+    expected = sorted(((5, 0.7 * sets_score("login page", "login") + 0.1), (6, 0.45 * sets_score("login page", "payments") + 0.25 + 0.2)), key=lambda x: -x[1])
     assert best == [(k, round(v, 4)) for k, v in expected if v >= 0.15]
 
 
