@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnworks.functions.scalars import half_up, priority_rank, total_interval_ms
+from tarnworks.functions.text import normalize
 from tarnworks.operators.graph import nodes_on_cycles
 from tarnworks.operators.items import requirement_scores
+from tarnworks.operators.similarity import measured, name_score
 from tarnworks.session import cut
 
 CONTAINERS, WORK_ITEMS = ("epic", "feature"), ("task", "subtask")
@@ -358,28 +360,32 @@ def reorganisations(items: DataFrame, most: int = 15, least: int = 2) -> DataFra
     """kind, id, other, confidence: what a tree's shape suggests.
 
     move: a feature without a parent; split: a container of more live children than ``most``; merge: one of fewer than
-    ``least`` (but some) into its largest sibling of the level; collapse: a feature whose only child is of its level's kind
-    below. Pairs of like titles among siblings come from ``sibling_duplicates``.
+    ``least`` (but some) into the container beside it with the likest title, the least identifier of equally like ones;
+    collapse: a container that isn't completed and whose only live child is a container. Deleted items count nowhere.
+    A parent's small containers are compared with all its containers. Pairs of like titles among siblings come from
+    ``sibling_duplicates``.
     """
     kids = live_children(items)
     live = items.where("status != 'deleted'").join(kids.select("id", "live"), "id", "left").withColumn("live", F.coalesce("live", F.lit(0)))
     box, none = F.col("level").isin(*CONTAINERS), F.lit(None).cast("string")
     move = live.where((F.col("level") == "feature") & F.col("parent_id").isNull()).select(F.lit("move").alias("kind"), "id", none.alias("other"), F.lit(0.8).alias("confidence"))
     split = live.where(box & (F.col("live") > most)).select(F.lit("split"), "id", none, F.lit(0.6))
-    under = live.where(box & (F.col("live") > 0) & (F.col("live") < least) & (F.col("status") != "completed"))
-    largest = live.where(box).groupBy("parent_id", "level").agg(F.max(F.struct("live", (F.struct("id")).alias("x"))).alias("top"))
-    top = largest.select(F.col("parent_id").alias("p"), F.col("level").alias("l"), F.col("top.x.id").alias("other"))
-    merge = under.join(top, F.col("parent_id").eqNullSafe(F.col("p")) & (F.col("level") == F.col("l"))).where("id != other").select(F.lit("merge"), "id", "other", F.lit(0.5))
-    only = live.where("parent_id is not null").groupBy(F.col("parent_id").alias("id")).agg(F.min("id").alias("other"), F.count("*").alias("n")).where("n = 1")
-    collapse = live.where("level = 'feature'").join(only, "id").select(F.lit("collapse"), "id", "other", F.lit(0.7))
+    titled = live.where(box).select("id", "parent_id", "live", measured(normalize(F.coalesce("title", F.lit("")))).alias("m"))
+    beside = titled.select(F.col("id").alias("other"), F.col("parent_id").alias("p"), F.col("m").alias("n"))
+    pairs = titled.where((F.col("live") > 0) & (F.col("live") < least)).join(beside, F.col("parent_id").eqNullSafe(F.col("p")) & (F.col("id") != F.col("other")))
+    best = pairs.groupBy("id").agg(F.min_by("other", F.struct(-name_score(F.col("m"), F.col("n")), "other")).alias("other"))
+    merge = best.select(F.lit("merge"), "id", "other", F.lit(0.5))
+    only = live.where("parent_id is not null").groupBy(F.col("parent_id").alias("id")).agg(F.min("id").alias("other"), F.count("*").alias("n"), F.bool_and(box).alias("container")).where("n = 1 and container")
+    collapse = live.where(box & (F.col("status") != "completed")).join(only, "id").select(F.lit("collapse"), "id", "other", F.lit(0.65))
     return move.union(split).union(merge).union(collapse)
 
 
 def reshaped(items: DataFrame, actions: DataFrame) -> DataFrame:
     """Items after actions (kind, id, to): move to another parent, merge into an item, delete, each item by one at most.
 
-    A merged item's children go to its survivor; a deleted one's subtree stays under no one and is marked too, as
-    ``without_subtrees`` leaves it out. Chains of merges are followed by repeated calls.
+    All actions count as made at once: a merged item's children go to its survivor, and only the deleted item itself is
+    marked (``without_subtrees`` finds what lies below). ``reshape.Reshaped`` applies changes in order, chains of merges
+    and whole subtrees included.
     """
     act = actions.groupBy("id").agg(F.min(F.struct("kind", "to")).alias("a")).select("id", "a.kind", "a.to")
     into = act.where("kind = 'merge'").select(F.col("id").alias("parent_id"), F.col("to").alias("survivor"))

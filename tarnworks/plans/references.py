@@ -11,8 +11,10 @@ from tarnworks.operators import inventory as inv
 from tarnworks.operators import items as it
 from tarnworks.operators import sync, telemetry
 from tarnworks.operators import tree as tr
+from tarnworks.operators.reshape import ACTION, Reshaped
 from tarnworks.plans.columns import picked, picked_sql
 from tarnworks.plans.tables import CLOSURE, ITEMS, TREE_LEVELS, items, table
+from tarnworks.plans.texts import likeness
 from tarnworks.plans.trees import closed
 
 QUERIES, SQL = {}, {}
@@ -392,14 +394,25 @@ def updated_items(spark, sf_dir):
     return tr.updated(rows, change, "status", "title").select("id", "status", "title")
 
 
-@query(f"""WITH {ITEMS}, c AS (SELECT * REPLACE (CASE WHEN id IN ('N:3', 'N:4') THEN NULL ELSE parent_id END AS parent_id) FROM items), k AS (SELECT parent_id AS id, count(*) FILTER (status <> 'deleted') AS live, min(id) AS one, count(*) AS n FROM c WHERE parent_id IS NOT NULL GROUP BY 1), h AS (SELECT c.*, coalesce(live, 0) AS live FROM c LEFT JOIN k USING (id)),
- t AS (SELECT parent_id AS p, level AS l, arg_max(id, (live, id)) AS other FROM h WHERE level IN ('epic', 'feature') GROUP BY 1, 2)
+#: The tree with two features at the top, few live children in some features, and one region with a single live feature.
+LOPSIDED = ITEMS + """, lop AS (SELECT id, CASE WHEN id IN ('N:3', 'N:4') THEN NULL ELSE parent_id END AS parent_id, level, title, CASE WHEN level = 'task' AND parent_id IN ('N:1', 'N:5', 'N:9', 'N:13') AND length(id) > 4 THEN 'deleted' WHEN level = 'feature' AND parent_id = 'R:2' AND id <> 'N:12' THEN 'deleted' WHEN id = 'N:5' THEN 'completed' ELSE status END AS status FROM items)"""
+
+
+def lopsided(spark, sf_dir):
+    up, level = F.col("parent_id"), F.col("level")
+    few = (level == "task") & up.isin("N:1", "N:5", "N:9", "N:13") & (F.length("id") > 4)
+    single = (level == "feature") & (up == "R:2") & (F.col("id") != "N:12")
+    status = F.when(few | single, "deleted").when(F.col("id") == "N:5", "completed").otherwise(F.col("status"))
+    return items(spark, sf_dir).withColumns({"status": status, "parent_id": F.when(F.col("id").isin("N:3", "N:4"), None).otherwise(up)})
+
+
+@query(f"""WITH {LOPSIDED}, {likeness("SELECT lower(title) AS t FROM lop WHERE level IN ('epic', 'feature')")}, k AS (SELECT parent_id AS id, count(*) AS live, min(id) AS one, bool_and(level IN ('epic', 'feature')) AS box FROM lop WHERE parent_id IS NOT NULL AND status <> 'deleted' GROUP BY 1),
+ h AS (SELECT lop.*, coalesce(live, 0) AS live FROM lop LEFT JOIN k USING (id) WHERE status <> 'deleted'),
+ p AS (SELECT x.id, y.id AS other, row_number() OVER (PARTITION BY x.id ORDER BY score DESC, y.id) AS rn FROM h x JOIN h y ON x.parent_id IS NOT DISTINCT FROM y.parent_id AND x.id <> y.id AND x.level IN ('epic', 'feature') AND y.level IN ('epic', 'feature') JOIN sc ON a = lower(x.title) AND b = lower(y.title) WHERE x.live > 0 AND x.live < 8)
 SELECT 'move' AS kind, id, NULL AS other, 0.8::DOUBLE AS confidence FROM h WHERE level = 'feature' AND parent_id IS NULL UNION ALL SELECT 'split', id, NULL, 0.6 FROM h WHERE level IN ('epic', 'feature') AND live > 15
-UNION ALL SELECT 'merge', id, other, 0.5 FROM h JOIN t ON h.parent_id IS NOT DISTINCT FROM p AND level = l WHERE live > 0 AND live < 5 AND level IN ('epic', 'feature') AND status <> 'completed' AND id <> other
-UNION ALL SELECT 'collapse', h.id, one, 0.7 FROM h JOIN k USING (id) WHERE level = 'feature' AND n = 1""")
+UNION ALL SELECT 'merge', id, other, 0.5 FROM p WHERE rn = 1 UNION ALL SELECT 'collapse', h.id, one, 0.65 FROM h JOIN k USING (id) WHERE k.live = 1 AND k.box AND h.status <> 'completed' AND h.level IN ('epic', 'feature')""")
 def reorganisations(spark, sf_dir):
-    rows = items(spark, sf_dir).withColumn("parent_id", F.when(F.col("id").isin("N:3", "N:4"), None).otherwise(F.col("parent_id")))
-    return tr.reorganisations(rows, least=5)
+    return tr.reorganisations(lopsided(spark, sf_dir), least=8)
 
 
 @query(f"""WITH {ITEMS}, a AS (SELECT id, CASE WHEN level = 'subtask' THEN 'move' WHEN level = 'task' THEN 'merge' ELSE 'delete' END AS kind, CASE WHEN level = 'subtask' THEN 'C:1' WHEN level = 'task' THEN 'C:2' END AS "to" FROM items WHERE right(id, 1) = '7' AND level <> 'epic')
@@ -410,6 +423,28 @@ def reshaped_tree(spark, sf_dir):
     return tr.reshaped(rows, act).select("id", "parent_id", "status")
 
 
+@query(f"""WITH {ITEMS}, l AS (SELECT n_regionkey AS r, max(n_nationkey) AS lead FROM nation GROUP BY 1), n AS (SELECT 'N:' || n_nationkey AS id, 'N:' || lead AS lead FROM nation JOIN l ON r = n_regionkey),
+ d AS (SELECT id FROM items WHERE level = 'task' AND right(id, 1) = '5')
+SELECT i.id, CASE WHEN i.level = 'task' THEN coalesce(n.lead, i.parent_id) ELSE i.parent_id END AS parent_id, CASE WHEN i.id IN (SELECT id FROM d) OR i.parent_id IN (SELECT id FROM d) OR i.level = 'feature' AND i.id NOT IN (SELECT lead FROM n) THEN 'deleted' ELSE i.status END AS status,
+ CASE WHEN i.level = 'feature' AND i.id IN (SELECT lead FROM n) THEN 'late' ELSE i.title END AS title FROM items i LEFT JOIN n ON n.id = i.parent_id""")
+def changes_in_order(spark, sf_dir):
+    """Each nation merged into the next of its region, in turn; then all renamed, which only the last ones take; then some
+    customers deleted with their orders."""
+    from pyspark.sql import Window
+
+    nation = table(spark, sf_dir, "nation").withColumn("next", F.lead("n_nationkey").over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")))
+    name = lambda c: F.concat(F.lit("N:"), c)
+    kind = lambda k: F.lit(k).alias("kind")
+    merges = nation.where("next is not null").select((F.col("n_nationkey") + 1).alias("seq"), kind("merge"), name(F.col("next")).alias("id"), F.array(name(F.col("n_nationkey"))).alias("members"))
+    renames = nation.select((F.col("n_nationkey") + 100).alias("seq"), kind("update"), name(F.col("n_nationkey")).alias("id"), F.lit("late").alias("title"))
+    rows = items(spark, sf_dir).withColumn("description", F.lit(None).cast("string"))
+    drops = rows.where("level = 'task' and right(id, 1) = '5'").select((F.substring("id", 3, 20).cast("long") + 1000).alias("seq"), kind("delete"), "id")
+    actions = spark.createDataFrame([], ACTION)
+    for part in (merges, renames, drops):
+        actions = actions.unionByName(part.withColumn("seq", F.col("seq").cast("long")), allowMissingColumns=True)
+    return Reshaped(rows, actions).items().select("id", "parent_id", "status", "title")
+
+
 SCAN = f"s AS (SELECT {picked_sql('p_partkey', 'task', 'feature', 'task', 'epic', 'task')} AS kind, p_name AS name, 'd' || (p_size % 6) || '/' || p_brand AS file, p_type AS source FROM part)"
 
 
