@@ -140,12 +140,6 @@ def merged_zones(zones: DataFrame) -> DataFrame:
     return zones.groupBy(F.lower(F.trim("name")).alias("key")).agg(F.min("name").alias("name"), weighted("cohesion"), weighted("coupling"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("files")))).alias("files"))
 
 
-def prefixed(member: str, files: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A member project's tables with its name before every path, to be united with others."""
-    lead = lambda c: F.concat(F.lit(f"{member}/"), F.col(c)).alias(c)
-    return files.select(lead("path"), *[c for c in files.columns if c != "path"]), edges.select(lead("from"), lead("to"), *[c for c in edges.columns if c not in ("from", "to")])
-
-
 def stale_findings(findings: DataFrame, files: DataFrame) -> DataFrame:
     """Findings all of whose related files are gone."""
     rows = findings.select("id", F.explode("related").alias("path")).where(r"path rlike '\\.[A-Za-z0-9]+$'")
@@ -214,9 +208,23 @@ def pinned(zones: DataFrame, pins: DataFrame) -> DataFrame:
 
 
 def route_patterns(name: Column) -> Column:
-    """URL pattern of a dotted route file name: ``$x`` is a parameter, ``(x)`` optional, ``_index`` the parent, ``_x`` no path."""
-    stem = F.regexp_replace(name, r"\.(tsx?|jsx?)$", "")
-    parts = F.filter(F.split(stem, r"\."), lambda s: ~F.startswith(s, F.lit("_")))
-    shown = F.transform(parts, lambda s: F.when(s == "$", "*").otherwise(F.regexp_replace(F.regexp_replace(s, r"^\$", ":"), r"^\((.*)\)$", "$1?")))
-    pathless = stem.rlike(r"^_(?!index)[^.]*$")
-    return F.when(pathless, F.lit(None)).otherwise(F.concat(F.lit("/"), F.array_join(shown, "/")))
+    """URL pattern of a dotted route file name below the folder of routes; null of a layout without a path.
+
+    ``$x`` is a parameter, ``$`` the rest of the path, ``(x)`` is written without and ``($x)`` is optional, ``_x`` in
+    front has no path, ``_index`` at the end and ``_`` after a name are left out. A name that leads out of the folder
+    has none.
+    """
+    stem = F.regexp_replace(name, r"\.[^./]+$", "")
+    every = F.split(stem, r"\.")
+    named = F.when(F.element_at(every, -1) == "_index", F.slice(every, F.lit(1), F.size(every) - 1)).otherwise(every)
+    pathless = F.coalesce(F.startswith(F.get(named, F.lit(0)), F.lit("_")), F.lit(False))
+    parts = F.when(pathless, F.slice(named, F.lit(2), F.size(named))).otherwise(named)
+
+    def shown(part):
+        bare = F.regexp_replace(part, "(?<=.)_$", "")
+        fitted = F.regexp_replace(F.regexp_replace(bare, r"^\(\$(.*)\)$", ":$1?"), r"^\((.*)\)$", "$1")
+        return F.when(bare == "$", "*").otherwise(F.regexp_replace(fitted, r"^\$", ":"))
+
+    path = F.concat(F.lit("/"), F.array_join(F.transform(parts, shown), "/"))
+    whole = F.when(stem.isin("_index", "index"), "/").when(pathless & (F.size(parts) == 0), F.lit(None)).otherwise(path)
+    return F.when(F.startswith(name, F.lit("..")), F.lit(None)).otherwise(whole)

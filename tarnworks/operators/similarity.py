@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnworks.functions.text import dice, grams, normalize
@@ -226,24 +226,123 @@ def node_score(title_score: Column, content_score: Column) -> Column:
     return F.greatest(title_score, title_score * 0.75 + content_score * 0.25, content_score * 0.7)
 
 
+def by_rarity(texts: DataFrame, keys: Column, name: str) -> DataFrame:
+    """``texts`` (kind, t) with their distinct keys in a column, those that fewest texts of the kind have first."""
+    rows = texts.select("kind", "t", F.explode(keys).alias("key"))
+    counted = rows.join(rows.groupBy("kind", "key").agg(F.count("*").alias("df")), ["kind", "key"])
+    ordered = counted.groupBy("kind", "t").agg(F.array_sort(F.collect_list(F.struct("df", "key")))["key"].alias(name))
+    return texts.join(ordered, ["kind", "t"], "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+
+
+def meeting_across(left: DataFrame, right: DataFrame, least: Column) -> DataFrame:
+    """kind, x of ``left``, y of ``right``: pairs of a kind whose ``plain_score`` may reach ``least``, a column over kind.
+
+    Both sides have kind, t, and bigrams and words by rarity (grams, words), in one order for both sides.
+    """
+    first = lambda rows, name, kept: rows.select("kind", "t", F.explode(F.slice(name, F.lit(1), F.greatest(F.lit(1), F.least(F.size(name), kept)))).alias("key"), F.size(name).alias("n"))
+    every = lambda rows, name: rows.select("kind", "t", F.explode(name).alias("key"), F.size(name).alias("m"))
+    met = lambda a, b: a.withColumnRenamed("t", "x").join(b.withColumnRenamed("t", "y"), ["kind", "key"])
+    few = F.size("grams") - F.ceil(F.size("grams") * least / (2 - least) - 1e-9).cast("int") + 1
+    by_gram = met(first(left, "grams", few), first(right, "grams", few)).select("kind", "x", "y")
+
+    def holding(a, b):  # texts of a in texts of b: by a bigram, or by the letter of a text that is no longer
+        ones = a.where("length(t) = 1").select("kind", "t", F.col("t").alias("key"))
+        letters = b.select("kind", "t", F.explode(F.array_distinct(F.split("t", ""))).alias("key")).join(ones.select("kind", "key").distinct(), ["kind", "key"], "left_semi").select("kind", "t", "key")
+        probes = first(a, "grams", F.lit(1)).select("kind", "t", "key").unionByName(ones)
+        return met(probes, every(b, "grams").select("kind", "t", "key").unionByName(letters)).where("contains(y, x)")
+
+    held = holding(left, right).select("kind", "x", "y").union(holding(right, left).select("kind", F.col("y").alias("x"), F.col("x").alias("y")))
+    starts = lambda rows: rows.withColumn("key", F.explode(F.transform(F.sequence(F.lit(1), F.length("key")), lambda k: F.substring(F.col("key"), F.lit(1), k))))
+    kept = F.size("words") - F.ceil((F.size("words") + 1) * least / (1 + least) - 1e-9).cast("int") + 1
+    own, theirs = first(left, "words", kept), every(right, "words")
+    by_word = met(own, starts(theirs)).unionByName(met(starts(own), theirs)).where(F.col("m") * least <= F.col("n") + 1e-9).select("kind", "x", "y")
+    return by_gram.union(held).union(by_word).distinct()
+
+
+#: Scores at which the best epics are sought in turn, down to the least one asked for.
+RUNGS = (0.45,)
+
+
 def epics_of_features(features: DataFrame, epics: DataFrame, least: float = 0.15, most: int = 5) -> DataFrame:
     """feature, epic, score: for each feature (id, title, description, tags, children) the best epics, at or above a score.
 
-    ``epics`` are the few roots of a tree, and a score this low is reached by most pairs, so all pairs are scored: as a
-    query set against a table, in tasks of the features. More epics than 10,000 raise an error.
+    The best are found from the top: at each of ``RUNGS``, then at ``least``, all pairs that reach the score are found,
+    and a feature that has enough of them is done and leaves. Tags add at most a tenth, so title, description or
+    children of such a pair have a likeness of at least (score - 0.1) / 0.9, and meet by their rarest bigrams and words
+    as in ``meeting_across``, or by equal verbs where these alone suffice. Features, and epics, that agree in all
+    columns are compared once; of equal epics the first ``most`` are kept, as no feature needs more. Ties go to the
+    lesser epic. ``least`` must exceed 0.1, what tags alone can earn.
     """
-    if epics.count() > 10_000:
-        raise ValueError("too many epics to score each against every feature")
-    lower = lambda c: F.array_distinct(F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), F.lower))
-    side = lambda t, p: t.select(F.col("id").alias(p), F.col("title").alias(f"{p}_t"), F.col("description").alias(f"{p}_d"), lower("tags").alias(f"{p}_g"), F.col("children").alias(f"{p}_c"))
-    pairs = side(features, "feature").crossJoin(F.broadcast(side(epics, "epic")))
-    like = lambda c: F.when((F.coalesce(F.col(f"feature_{c}"), F.lit("")) != "") & (F.coalesce(F.col(f"epic_{c}"), F.lit("")) != ""), similarity(normalize(F.col(f"feature_{c}")), normalize(F.col(f"epic_{c}")))).otherwise(0.0)
-    union = F.size(F.array_union("feature_g", "epic_g"))
-    tags = F.when(union > 0, F.size(F.array_intersect("feature_g", "epic_g")) / union).otherwise(0.0)
-    scored = pairs.withColumns({"s": like("t"), "d": like("d"), "k": like("c"), "g": tags})
-    scored = scored.select("feature", "epic", combined(F.col("s"), F.col("d"), F.col("g"), F.col("k")).alias("score")).where(F.col("score") >= least)
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "epic"))), 1, most)
-    return scored.groupBy("feature").agg(best.alias("x")).select("feature", F.explode("x").alias("x")).select("feature", F.col("x.epic").alias("epic"), (-F.col("x.o")).alias("score"))
+    if least <= CORRELATION_WEIGHTS["tags"]:
+        raise ValueError("a score that tags alone can reach lets every pair pass")
+    own = ["title", "description", "children"]
+    text = lambda c: F.coalesce(normalize(F.col(c)), F.lit(""))
+    tags = F.array_sort(F.array_distinct(F.transform(F.coalesce(F.col("tags"), F.array().cast("array<string>")), F.lower)))
+    plain = lambda t: t.select("id", *(text(c).alias(c) for c in own), tags.alias("tags"))
+    features, epics = cut(plain(features)), plain(epics)
+    left = features.groupBy(*own, "tags").agg(F.min("id").alias("f"))
+    rank = F.row_number().over(Window.partitionBy(*own, "tags").orderBy("id"))
+    first = cut(epics.withColumn("k", rank).where(F.col("k") <= most))
+    right = first.groupBy(*own, "tags").agg(F.min("id").alias("e"), F.count("*").alias("n"))
+    with_parts = lambda t: t.select("*", *(measured(F.col(c)).alias(f"{c}_m") for c in own))
+    left, right = cut(with_parts(left)), cut(with_parts(right))
+
+    # names of either side by field; what follows a verb is a text of another kind, with a threshold of its own
+    fields = F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("name"), F.col(f"{c}_m").alias("m")) for c in own)))
+    named = lambda t, i: t.select(i, fields.alias("x")).select(i, "x.field", "x.name", "x.m").where("name != ''")
+    lefts, rights = named(left, "f"), named(right, "e")
+    verbed = (F.col("m.verb").isNotNull()) & (F.col("m.content.t") != "")
+    kinds = lambda t: t.select(F.col("field").alias("kind"), F.col("name").alias("t")).union(t.where(verbed).select(F.concat("field", F.lit("+")), F.col("m.content.t"))).distinct()
+    every = cut(kinds(lefts).union(kinds(rights)).distinct())
+    words = F.array_distinct(F.filter(F.split("t", " "), lambda w: w != ""))
+    index = cut(by_rarity(by_rarity(every, grams(F.col("t"), 2), "grams"), words, "words"))
+    there = cut(index.join(kinds(rights), ["kind", "t"], "left_semi"))
+    names = cut(rights.select("field", "name", "m").distinct())
+
+    found, open_ = None, left
+    for score in [*(r for r in RUNGS if r > least), least]:
+        alike = (score - CORRELATION_WEIGHTS["tags"]) / (1 - CORRELATION_WEIGHTS["tags"]) - 1e-9
+        after = alike / CONTENT_WEIGHT if alike <= VERB_WEIGHT else (alike - VERB_WEIGHT) / CONTENT_WEIGHT
+        mine = named(open_, "f")
+        here = index.join(kinds(mine), ["kind", "t"], "left_semi")
+        texts = cut(meeting_across(here, there, F.when(F.endswith("kind", F.lit("+")), after).otherwise(alike)))
+        asked = mine.select("field", "name", "m").distinct()
+        x = asked.select("field", F.col("name").alias("x"), F.col("m.verb").alias("xv"), F.when(verbed, F.col("m.content.t")).alias("xc"))
+        y = names.select("field", F.col("name").alias("y"), F.col("m.verb").alias("yv"), F.when(verbed, F.col("m.content.t")).alias("yc"))
+        rest = texts.where(F.endswith("kind", F.lit("+"))).select(F.expr("substring(kind, 1, length(kind) - 1)").alias("field"), F.col("x").alias("xc"), F.col("y").alias("yc"))
+        pairs = texts.where(~F.endswith("kind", F.lit("+"))).select(F.col("kind").alias("field"), "x", "y")
+        pairs = pairs.union(x.join(rest, ["field", "xc"]).join(y, ["field", "yc"]).select("field", "x", "y"))
+        if alike <= VERB_WEIGHT:
+            pairs = pairs.union(x.where("xc is not null").join(y.where("yc is not null"), (x["field"] == y["field"]) & (F.col("xv") == F.col("yv"))).select(x["field"], "x", "y"))
+        pairs = pairs.distinct().join(asked.toDF("field", "x", "xm"), ["field", "x"]).join(names.toDF("field", "y", "ym"), ["field", "y"])
+        pairs = cut(pairs.where(name_score(F.col("xm"), F.col("ym")) >= alike).select("field", "x", "y"))
+        both = mine.select("f", "field", F.col("name").alias("x")).join(pairs, ["field", "x"]).join(rights.select("e", "field", F.col("name").alias("y")), ["field", "y"]).select("f", "e").distinct()
+        scored = cut(both.join(side(open_, "f"), "f").join(side(right, "e"), "e").select("f", "e", "n", correlation().alias("score")).where(F.col("score") >= score))
+        enough = scored.groupBy("f").agg(F.sum("n").alias("n")).where(F.col("n") >= most).select("f")
+        last = score == least
+        part = scored if last else scored.join(enough, "f", "left_semi")
+        found = part if found is None else found.union(part)
+        if not last:
+            open_ = cut(open_.join(enough, "f", "left_anti"))
+    ids = first.join(right.select(*own, "tags", "e"), [*own, "tags"]).select("e", F.col("id").alias("epic"))
+    best = F.row_number().over(Window.partitionBy("f").orderBy(F.desc("score"), "epic"))
+    ranked = found.select("f", "e", "score").join(ids, "e").withColumn("k", best).where(F.col("k") <= most)
+    classes = features.join(left.select(*own, "tags", "f"), [*own, "tags"]).select("f", F.col("id").alias("feature"))
+    return classes.join(ranked, "f").select("feature", "epic", "score")
+
+
+def side(rows: DataFrame, name: str) -> DataFrame:
+    """Columns of ``epics_of_features`` with a name before them."""
+    extra = ["n"] if "n" in rows.columns else []
+    return rows.select(name, *extra, *(F.col(f"{c}_m").alias(f"{name}_{c}") for c in ("title", "description", "children")), F.col("tags").alias(f"{name}_tags"))
+
+
+def correlation() -> Column:
+    """Weighted score of a pair of sides ``f`` and ``e``."""
+    t, d, k = (name_score(F.col(f"f_{c}"), F.col(f"e_{c}")) for c in ("title", "description", "children"))
+    union = F.size(F.array_union("f_tags", "e_tags"))
+    tags = F.when(union > 0, F.size(F.array_intersect("f_tags", "e_tags")) / union).otherwise(0.0)
+    return combined(t, d, tags, k)
 
 
 def matched_nodes(nodes: DataFrame, items: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from tarnworks.functions.text import glob_pattern
 from tarnworks.operators.graph import local_moves, louvain, neighbours, proximity_edges, undirected
 from tarnworks.operators.inventory import assigned_by_proximity, derived_zone_names, pinned
 from tarnworks.operators.similarity import clusters
-from tarnworks.session import cut
+from tarnworks.session import cut, cut_afresh
 
 MOST = 200_000
 Sizes, Flows = dict[str, int], dict[str, dict[str, float]]
@@ -318,13 +318,30 @@ def subdivided(edges: DataFrame, zones: DataFrame, depth: int = 3, least_edges:
 
 def kept_names(zones: DataFrame, before: DataFrame, least: float = 0.5) -> DataFrame:
     """zone, name for zones (path, zone) that were there before (path, zone): of two zones the lesser share that they have
-    in common is at least ``least``. A zone takes the old name it shares most with, an old name goes to one zone."""
-    size = lambda t, n: t.groupBy("zone").agg(F.count("*").alias(n))
-    both = zones.join(before.select("path", F.col("zone").alias("name")), "path").groupBy("zone", "name").agg(F.count("*").alias("n"))
-    both = both.join(size(zones, "new"), "zone").join(size(before, "old").withColumnRenamed("zone", "name"), "name")
+    in common is at least ``least``, above zero.
+
+    Zones choose in turn, each the old name not yet taken that it shares most with. Turns, and old names that share
+    alike, go by a column ``place`` of either table, else by name. In each round every zone asks for its next name and
+    a name goes to the first that asks, taken from a later one that had it; so rounds end where dealing in turn does.
+    A zone asks for at most 1 / ``least`` names.
+    """
+
+    def sized(rows, zone, n, place):
+        order = F.min("place") if "place" in rows.columns else F.first("zone")
+        return rows.groupBy("zone").agg(F.count("*").alias(n), order.alias(place)).withColumnRenamed("zone", zone)
+
+    both = zones.select("path", "zone").join(before.select("path", F.col("zone").alias("name")), "path").groupBy("zone", "name").agg(F.count("*").alias("n"))
+    both = both.join(sized(zones, "zone", "new", "turn"), "zone").join(sized(before, "name", "old", "then"), "name")
     both = both.withColumn("overlap", F.least(F.col("n") / F.col("new"), F.col("n") / F.col("old"))).where(F.col("overlap") >= least)
-    own = both.groupBy("zone").agg(F.min_by("name", F.struct((-F.col("overlap")).alias("o"), "name")).alias("name"), F.max("overlap").alias("overlap"))
-    return own.groupBy("name").agg(F.min_by("zone", F.struct((-F.col("overlap")).alias("o"), "zone")).alias("zone"))
+    wishes = F.array_sort(F.collect_list(F.struct((-F.col("overlap")).alias("o"), "then", "name")))["name"]
+    held = cut(both.groupBy("zone", "turn").agg(wishes.alias("names")).withColumn("at", F.lit(1)))
+    while True:
+        asking = held.where(F.col("at") <= F.size("names")).withColumn("name", F.element_at("names", F.col("at")))
+        given = asking.groupBy("name").agg(F.min_by("zone", F.struct("turn", "zone")).alias("winner"))
+        asking = cut_afresh(asking.join(given, "name").withColumn("refused", F.col("zone") != F.col("winner")))
+        if asking.where("refused").isEmpty():
+            return asking.select("zone", "name")
+        held = asking.select("zone", "turn", "names", (F.col("at") + F.col("refused").cast("int")).alias("at"))
 
 
 def anchored(zones: DataFrame, anchors: list[tuple[str, str]]) -> DataFrame:

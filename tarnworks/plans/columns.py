@@ -264,7 +264,7 @@ def scope_creep(spark, sf_dir):
 ROUTES = ("users.$id.tsx", "(lang).about.tsx", "_index.tsx", "_layout.tsx", "files.$.ts", "blog._edit.post.jsx")
 
 
-@query("SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN '/users/:id' WHEN 1 THEN '/lang?/about' WHEN 2 THEN '/' WHEN 4 THEN '/files/*' WHEN 5 THEN '/blog/post' END AS route FROM part")
+@query("SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN '/users/:id' WHEN 1 THEN '/lang/about' WHEN 2 THEN '/' WHEN 4 THEN '/files/*' WHEN 5 THEN '/blog/_edit/post' END AS route FROM part")
 def route_patterns(spark, sf_dir):
     from tarnworks.operators.inventory import route_patterns as patterns
 

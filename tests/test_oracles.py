@@ -5,10 +5,10 @@ import math
 import duckdb
 import pytest
 
-from tarnworks.plans import columns, graphs, inventories, references, sources, stores, telemetry, texts, trees, zoning
+from tarnworks.plans import columns, graphs, inventories, references, sources, stores, telemetry, texts, trees, workspaces, zoning
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CASES = [(plan, name) for plan in (telemetry, trees, graphs, inventories, texts, columns, references, zoning, sources, stores) for name in plan.SQL]
+CASES = [(plan, name) for plan in (telemetry, trees, graphs, inventories, texts, columns, references, zoning, sources, stores, workspaces) for name in plan.SQL]
 
 
 @pytest.fixture(scope="module")
