@@ -146,6 +146,17 @@ def total_interval_ms(intervals: Column, now: Column) -> Column:
     return F.aggregate(intervals, F.lit(0).cast("long"), lambda a, i: a + F.coalesce(interval_ms(i["start"], F.coalesce(i["end"], now)), F.lit(0).cast("long")))
 
 
+def elapsed_ms(status: Column, intervals: Column, started: Column, ended: Column, completed: Column, now: Column) -> Column:
+    """Milliseconds of work on an item: those of its intervals, or from start to end where it has none.
+
+    Without intervals, an item in progress runs to ``now``; the end is ``ended``, else ``completed``. An item without a
+    start, or with an end before it, took none.
+    """
+    end = F.when(status == "in_progress", now).otherwise(F.coalesce(ended, completed))
+    whole = F.coalesce(interval_ms(started, end), F.lit(0).cast("long"))
+    return F.when(F.size(intervals) > 0, total_interval_ms(intervals, now)).otherwise(whole)
+
+
 def metric_value(text: Column) -> Column:
     """The whole text as a number, else the last number in it."""
     found = F.regexp_extract_all(text, F.lit(r"(-?\d+(?:\.\d+)?)"), F.lit(1))

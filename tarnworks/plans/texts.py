@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tarnworks.functions import tables
 from tarnworks.functions import text as fn
 from tarnworks.operators import search as find
 from tarnworks.operators import similarity as op
@@ -247,3 +248,29 @@ def blended_scores(spark, sf_dir):
     n, d, g = (k % 101) / 100.0, (k % 37) / 36.0, (k % 5) / 4.0
     shown = lambda c: F.floor(c * 1000000 + 0.5) / 1000000
     return table(spark, sf_dir, "part").select("p_partkey", shown(op.blended(n, d)).alias("blended"), shown(op.combined(n, d, g, n)).alias("combined"), shown(op.node_score(n, d)).alias("node"))
+
+
+STOP_WORDS = "[" + ", ".join(f"'{w}'" for w in find.SEARCH_STOP_WORDS) + "]"
+
+
+@query(f"""WITH q AS (SELECT '"' || role || ' Said" ' || CASE WHEN turn % 2 = 0 THEN text ELSE replace(text, '. ', ' OR ') END AS raw FROM conversations), r AS (SELECT raw, regexp_replace(raw, '"[^"]+"', ' ', 'g') AS rest FROM q),
+ p AS (SELECT 'phrase' AS kind, unnest(list_filter(list_transform(regexp_extract_all(raw, '"([^"]+)"', 1), lambda x: lower(trim(x))), lambda x: x <> '')) AS part, regexp_matches(rest, '\\bOR\\b') AS either FROM r
+  UNION ALL SELECT 'term', unnest(list_filter(string_split_regex(regexp_replace(lower(regexp_replace(rest, '\\bOR\\b', ' ', 'g')), '[^a-z0-9\\s\\-_]', ' ', 'g'), '\\s+'), lambda x: x <> '' AND NOT list_contains({STOP_WORDS}, x))), regexp_matches(rest, '\\bOR\\b') FROM r)
+SELECT kind, part, either, count(*) AS n FROM p GROUP BY 1, 2, 3""")
+def query_parts(spark, sf_dir):
+    """Turns of conversations as searches, by a table function in SQL."""
+    tables.registered(spark)
+    raw = F.when(F.col("turn") % 2 == 0, F.col("text")).otherwise(F.replace("text", F.lit(". "), F.lit(" OR ")))
+    rows = table(spark, sf_dir, "conversations").select(F.concat(F.lit('"'), "role", F.lit(' Said" '), raw).alias("raw"))
+    return spark.sql("SELECT p.kind, p.part, p.either, count(*) AS n FROM {rows} q, LATERAL query_parts(q.raw) p GROUP BY ALL", rows=rows)
+
+
+@query("""SELECT event_id, 0 AS place, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS at, CAST(NULL AS DOUBLE) AS value FROM events
+UNION ALL SELECT event_id, 3, event_id + 9007199254740993, event_type, value FROM events""")
+def log_lines(spark, sf_dir):
+    """Logs of lines, some of them blank or broken, as rows with fields that the call names."""
+    tables.registered(spark)
+    e = table(spark, sf_dir, "events")
+    last = F.to_json(F.struct((F.col("event_id") + 9007199254740993).alias("k"), F.col("event_type").alias("at"), "value"))
+    logs = e.select("event_id", F.concat_ws("\n", "props", F.lit(""), F.lit('{"k": 1'), last, F.lit("[1]")).alias("text"))
+    return spark.sql("SELECT q.event_id, r.* FROM {logs} q, LATERAL json_lines(q.text, 'k bigint, at string, value double') r", logs=logs)

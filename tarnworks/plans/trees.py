@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tarnworks.functions import scalars
 from tarnworks.operators import tree as op
 from tarnworks.plans.tables import CLOSURE, ITEMS, TREE_LEVELS, TREE_NOW, items, table
 
@@ -88,6 +89,24 @@ def item_durations(spark, sf_dir):
     return op.duration_rollup(pairs, held, F.lit(TREE_NOW).cast("timestamp"))
 
 
+@query(f"""WITH own AS (SELECT o_orderkey, CAST(sum(CASE WHEN l_shipdate > o_orderdate THEN epoch_ms(l_shipdate) - epoch_ms(o_orderdate) ELSE 0 END) AS BIGINT) AS ms, max(l_shipdate) AS last FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1)
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN coalesce(ms, 0) WHEN o_orderkey % 11 = 0 THEN 0 WHEN o_orderstatus = 'P' THEN greatest(0, epoch_ms(TIMESTAMP '{TREE_NOW}') - epoch_ms(o_orderdate))
+ WHEN o_orderkey % 5 = 1 THEN 0 WHEN o_orderkey % 2 = 0 THEN coalesce(greatest(0, epoch_ms(last) - epoch_ms(o_orderdate)), 0) ELSE 86400000 END AS ms, o_orderstatus = 'P' AS is_running FROM orders LEFT JOIN own USING (o_orderkey) WHERE o_orderkey % 3 <> 0 OR ms IS NOT NULL""")
+def elapsed_times(spark, sf_dir):
+    """Orders as items with intervals (every third), else with a start, perhaps an end, or neither."""
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate")
+    orders, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    spans = orders.join(line, k == F.col("l_orderkey")).groupBy("o_orderkey").agg(F.collect_list(F.struct(F.col("o_orderdate").alias("start"), F.col("l_shipdate").alias("end"))).alias("intervals"), F.max("l_shipdate").alias("last"))
+    rows = orders.join(spans, "o_orderkey", "left").where((k % 3 != 0) | F.col("intervals").isNotNull())
+    intervals = F.when(k % 3 == 0, F.col("intervals"))
+    started = F.when(k % 11 != 0, F.col("o_orderdate"))
+    ended = F.when((k % 2 == 0) & (k % 5 != 1), F.col("last"))
+    completed = F.when((k % 2 != 0) & (k % 5 != 1), F.col("o_orderdate") + F.expr("interval 1 day"))
+    status = F.when(F.col("o_orderstatus") == "P", "in_progress").otherwise("completed")
+    ms = scalars.elapsed_ms(status, intervals, started, ended, completed, F.lit(TREE_NOW).cast("timestamp"))
+    return rows.select("o_orderkey", ms.alias("ms"), (status == "in_progress").alias("is_running"))
+
+
 RANK = "CASE {c} WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 2 END"
 
 

@@ -15,6 +15,7 @@ import fnmatch
 import gzip
 import hashlib
 import json
+import math
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -202,6 +203,8 @@ def converted(value, kind):
     if isinstance(value, bool) or not isinstance(value, (int, float)):
         return None
     if isinstance(kind, (IntegerType, LongType)):
+        if isinstance(value, float) and not math.isfinite(value):
+            return None
         bits = 31 if isinstance(kind, IntegerType) else 63
         return int(value) if value == int(value) and -(1 << bits) <= value < 1 << bits else None
     return float(value) if isinstance(kind, DoubleType) else None
