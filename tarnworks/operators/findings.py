@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnworks.functions.text import dice, grams, normalize
+from tarnworks.session import cut
 
 #: Patterns of findings about code, about structure and about documentation, in this order.
 CATEGORY_PATTERNS = {
@@ -82,20 +83,21 @@ def ordered(findings: DataFrame) -> DataFrame:
 
 def known_by_text(findings: DataFrame, known: DataFrame, least: float = 0.65) -> DataFrame:
     """id of findings (id, type, scope, hash, text) that a known one (type, scope, hash, text) matches by hash, or by bigrams of the text within
-    type and scope. Texts meet through bigrams rare enough that any pair above the threshold shares one."""
+    type and scope. Texts meet through bigrams rare enough that any pair above the threshold shares one; equal ones meet once."""
     by_hash = findings.join(known.select("hash").distinct(), "hash", "left_semi").select("id")
-    texts = lambda t, *keep: t.select(*keep, "type", "scope", normalize(F.col("text")).alias("t")).withColumn("g", grams(F.col("t"), 2))
-    a, b = texts(findings, "id"), texts(known).distinct().withColumn("known", F.sha2(F.concat_ws("\n", "type", "scope", "t"), 256))
-    every = b.select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
+    place = ["type", "scope"]
+    said = findings.select("id", *place, normalize(F.col("text")).alias("t"))
+    a, b = cut(said.select(*place, "t").distinct()), cut(known.select(*place, normalize(F.col("text")).alias("t")).distinct())
+    every = b.select(F.explode(grams(F.col("t"), 2)).alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
 
-    def rare(rows, key):
-        found = rows.select(key, "type", "scope", F.explode("g").alias("gram")).join(every, "gram", "left").groupBy(key, "type", "scope").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram"))).alias("x"))
+    def rare(rows):
+        found = rows.select(*place, "t", F.explode(grams(F.col("t"), 2)).alias("gram")).join(every, "gram", "left").groupBy(*place, "t").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram"))).alias("x"))
         kept = F.size("x") - F.ceil(F.size("x") * (least / (2 - least)) - 1e-9).cast("int") + 1
-        return found.select(key, "type", "scope", F.explode(F.slice("x", F.lit(1), F.least(kept, F.size("x")))).alias("x")).select(key, "type", "scope", F.col("x.gram").alias("gram"))
+        return found.select(*place, "t", F.explode(F.slice("x", F.lit(1), F.least(kept, F.size("x")))).alias("x")).select(*place, "t", F.col("x.gram").alias("gram"))
 
-    pairs = rare(a, "id").join(rare(b, "known"), ["type", "scope", "gram"]).select("id", "known").distinct()
-    scored = pairs.join(a.select("id", "g"), "id").join(b.select("known", F.col("g").alias("kg")), "known")
-    return by_hash.union(scored.where(dice(F.col("g"), F.col("kg")) >= least).select("id")).distinct()
+    pairs = rare(a).join(rare(b).withColumnRenamed("t", "k"), [*place, "gram"]).select(*place, "t", "k").distinct()
+    alike = pairs.where(dice(grams(F.col("t"), 2), grams(F.col("k"), 2)) >= least).select(*place, "t").distinct()
+    return by_hash.union(said.join(alike, [*place, "t"], "left_semi").select("id")).distinct()
 
 
 #: Related files of one finding, and a zone's lack of cohesion plus its coupling, from which on it matters more.
