@@ -349,18 +349,22 @@ def matched_nodes(nodes: DataFrame, items: DataFrame) -> DataFrame:
     """node, item, score, reason: each proposal's node (id, level, title) with the best item of its level.
 
     Equal titles score 1, one that holds the other (5 letters or more) 0.95, else their similarity from 0.7 on; ties to
-    the lesser identifier. Titles meet as ``similar_pairs`` has them, which finds every holding one.
+    the lesser identifier. Titles meet as ``similar_pairs`` has them, which finds every holding one; those of a level once,
+    the least identifier of equal items standing for them.
     """
     a, b = (t.select("id", "level", normalize(F.col("title")).alias("t")) for t in (nodes, items))
-    alike = cut(similar_pairs(a.select(F.col("t").alias("name")).union(b.select("t")), 0.7))
-    both = alike.select("a", "b").union(alike.select("b", "a")).union(a.select(F.col("t").alias("a"), F.col("t").alias("b")).distinct())
-    rows = a.select(F.col("id").alias("node"), "level", F.col("t").alias("a")).join(both, "a").join(b.select(F.col("id").alias("item"), "level", F.col("t").alias("b")), ["level", "b"])
+    titles = cut(a.select("level", F.col("t").alias("a")).distinct())
+    first = cut(b.groupBy("level", F.col("t").alias("b")).agg(F.min("id").alias("item")))
+    alike = cut(similar_pairs(titles.select(F.col("a").alias("name")).union(first.select("b")), 0.7))
+    both = alike.select("a", "b").union(alike.select("b", "a")).union(titles.select("a", F.col("a").alias("b")).distinct())
+    rows = titles.join(both, "a").join(first, ["level", "b"])
     holds = (F.length("a") >= 5) & (F.length("b") >= 5) & (F.contains("a", F.col("b")) | F.contains("b", F.col("a")))
     score = F.when(F.col("a") == F.col("b"), 1.0).when(holds, 0.95).otherwise(similarity("a", "b"))
     rows = rows.withColumn("score", score).where("score >= 0.7")
     reason = F.when(F.col("score") == 1, "exact_title").otherwise("semantic_title")
-    best = rows.groupBy("node").agg(F.min_by("item", F.struct((-F.col("score")).alias("o"), "item")).alias("item"), F.max("score").alias("score"))
-    return best.select("node", "item", "score", reason.alias("reason"))
+    best = lambda t, *key: t.groupBy(*key).agg(F.min_by("item", F.struct((-F.col("score")).alias("o"), "item")).alias("item"), F.max("score").alias("score"))
+    named = a.select(F.col("id").alias("node"), "level", F.col("t").alias("a")).join(best(rows, "level", "a"), ["level", "a"])
+    return best(named, "node").select("node", "item", "score", reason.alias("reason"))
 
 
 def conflicts(recommendations: DataFrame, items: DataFrame, in_tree: float = 0.7, in_batch: float = 0.95) -> DataFrame:

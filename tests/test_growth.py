@@ -1,6 +1,6 @@
 """Steps whose rows must grow with their input, not with the square of a group of equal rows."""
 
-from tarnworks.operators import findings
+from tarnworks.operators import findings, similarity
 
 
 def most_rows(df) -> int:
@@ -26,3 +26,10 @@ def test_known_findings_meet_once_a_text(spark):
     rows = spark.range(2000).selectExpr("id", "'t' AS type", "'s' AS scope", "CAST(id AS STRING) AS hash", f"{said} AS text")
     out = findings.known_by_text(rows, rows.where("id = 0").drop("id"))
     assert most_rows(out) <= 4000 and out.count() == 2000
+
+
+def test_nodes_and_items_of_one_title_meet_once(spark):
+    rows = spark.range(1200).selectExpr("id", "'task' AS level", "CASE WHEN id % 3 = 0 THEN 'cold rod' ELSE 'the cold rod' END AS title")
+    out = similarity.matched_nodes(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"))
+    assert most_rows(out) <= 2400
+    assert {(r.node % 3 == 0, r.item, r.score) for r in out.collect()} == {(True, 3, 1.0), (False, 1, 1.0)} and out.count() == 600
