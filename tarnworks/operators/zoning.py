@@ -355,11 +355,16 @@ def anchored(zones: DataFrame, anchors: list[tuple[str, str]]) -> DataFrame:
 def pin_divergence(pins: DataFrame, zones: DataFrame, edges: DataFrame) -> DataFrame:
     """path, zone, directory, there, edges: pinned files (path, zone) that lie elsewhere than most of their zone's files.
 
-    Not those whose directory holds the zone's, nor tests; ``edges``: those between the file and the zone.
+    Not those whose directory holds the zone's, nor tests; ``edges``: those between the file and the zone. A pin's own
+    file doesn't count, so the zone's best directory is among its two largest and that file's.
     """
     test = lambda c: F.col(c).rlike(r"(^|/)(tests?|__tests__|spec)/")
     at = zones.where(~test("path")).select("zone", "path", directory_of(F.col("path")).alias("there"))
-    counted = pins.select(F.col("path").alias("pin"), "zone").where(~test("pin")).join(at, "zone").where("path != pin").groupBy("pin", "zone", "there").agg(F.count("*").alias("n"))
+    pinned = pins.select(F.col("path").alias("pin"), "zone").where(~test("pin")).distinct()
+    own = at.join(pinned.withColumnRenamed("pin", "path"), ["zone", "path"]).groupBy("zone", F.col("path").alias("pin"), "there").agg(F.count("*").alias("own"))
+    rank = F.row_number().over(Window.partitionBy("zone").orderBy(F.desc("n"), "there"))
+    largest = at.groupBy("zone", "there").agg(F.count("*").alias("n")).withColumn("rank", rank).where("rank <= 2")
+    counted = pinned.join(largest, "zone").join(own, ["zone", "pin", "there"], "left").withColumn("n", F.col("n") - F.coalesce("own", F.lit(0))).where("n > 0")
     best = counted.groupBy("pin", "zone").agg(F.min_by("there", F.struct((-F.col("n")).alias("n"), "there")).alias("there"))
     best = best.withColumn("directory", directory_of(F.col("pin"))).where("there != directory and not startswith(there, concat(directory, '/'))")
     both = edges.select(F.col("from").alias("pin"), F.col("to").alias("path")).union(edges.select("to", "from"))

@@ -1,6 +1,6 @@
 """Steps whose rows must grow with their input, not with the square of a group of equal rows."""
 
-from tarnworks.operators import findings, similarity
+from tarnworks.operators import findings, similarity, zoning
 
 
 def most_rows(df) -> int:
@@ -33,3 +33,13 @@ def test_nodes_and_items_of_one_title_meet_once(spark):
     out = similarity.matched_nodes(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"))
     assert most_rows(out) <= 2400
     assert {(r.node % 3 == 0, r.item, r.score) for r in out.collect()} == {(True, 3, 1.0), (False, 1, 1.0)} and out.count() == 600
+
+
+def test_pins_meet_directories_not_files(spark):
+    zones = spark.range(1000).selectExpr("CASE WHEN id < 500 THEN concat('a/', id) WHEN id < 999 THEN concat('b/', id) ELSE 'c/999' END AS path", "'z' AS zone")
+    pins = spark.sql("SELECT concat('a/', id) AS path, 'z' AS zone FROM range(100) UNION ALL SELECT concat('b/', id), 'z' FROM range(500, 600) UNION ALL SELECT 'a/7', 'z' UNION ALL SELECT 'c/999', 'z' UNION ALL SELECT 'd/1', 'z'")
+    out = zoning.pin_divergence(pins, zones, spark.createDataFrame([("a/3", "d/1"), ("d/1", "x"), ("c/999", "b/600")], '"from" string, to string'.replace('"', "")))
+    assert most_rows(out) <= 2000
+    got = {r.path: (r.directory, r.there, r.edges) for r in out.collect()}
+    # without its own file a has 499 files, as b has; ties go to the lesser directory
+    assert got == {**{f"b/{k}": ("b", "a", 0) for k in range(500, 600)}, "c/999": ("c", "a", 1), "d/1": ("d", "a", 1)}
