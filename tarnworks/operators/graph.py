@@ -102,10 +102,14 @@ def undirected(edges: DataFrame) -> DataFrame:
     return kept.select(F.col("from").alias("src"), F.col("to").alias("dst"), "w").union(kept.select("to", "from", "w")).groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
-def ball(edges: DataFrame, start: Column, hops: int) -> DataFrame:
-    """Nodes within so many hops of the start nodes, in any direction, with their distance."""
+def ball(edges: DataFrame, start: Column | DataFrame, hops: int) -> DataFrame:
+    """Nodes within so many hops of the start nodes, in any direction, with their distance.
+
+    ``start``: a condition on the edges' ends (a), or a table of nodes (node), which may have no edges.
+    """
     both = cut(edges.select(F.col("from").alias("a"), F.col("to").alias("b")).union(edges.select("to", "from")).distinct())
-    found = both.where(start).select(F.col("a").alias("node"), F.lit(0).alias("distance")).distinct()
+    nodes = start.select("node") if isinstance(start, DataFrame) else both.where(start).select(F.col("a").alias("node"))
+    found = nodes.withColumn("distance", F.lit(0)).distinct()
     for hop in range(1, hops + 1):
         rim = found.where(F.col("distance") == hop - 1).join(both, F.col("node") == F.col("a")).select(F.col("b").alias("node"), F.lit(hop).alias("distance"))
         found = cut(found.unionByName(rim).groupBy("node").agg(F.min("distance").alias("distance")))

@@ -466,3 +466,10 @@ def test_suggestions_equal_all_pairs(spark):
 
     got = work_items.suggestions(spark.createDataFrame([(t,) for t in typed], "typed string"), spark.createDataFrame([(c,) for c in commands], "command string")).collect()
     assert {(r.typed, r.command, r.distance) for r in got} == {(t, c, d) for t in typed for c in set(commands) if 1 <= (d := edits(t, c)) <= 2}
+
+
+def test_ball_around_nodes_without_edges(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d")], ["from", "to"])
+    around = lambda nodes, e: {(r.node, r.distance) for r in graph.ball(e, spark.createDataFrame(nodes, "node string"), 2).collect()}
+    assert around([("a",), ("z",)], edges) == {("a", 0), ("b", 1), ("c", 2), ("z", 0)}
+    assert around([(None,)], edges.limit(0)) == {(None, 0)}
