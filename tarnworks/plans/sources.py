@@ -47,7 +47,7 @@ def log_usage(spark, sf_dir):
 
 
 def run_folder(spark, sf_dir):
-    """A run for each user, in files of several; gzipped copies say another state. Users divisible by 3 have turns, by 6 with cache counts."""
+    """A run for each user, in files of several, each one JSON value; gzipped copies say another state. Users divisible by 3 have turns, by 6 with cache counts."""
     u = F.col("user_id")
     n = lambda c: F.floor(c).cast("long")
     turn = F.struct(n("value").alias("input"), F.lit(2).cast("long").alias("output"), F.when(u % 6 == 0, F.lit(1).cast("long")).alias("cacheReadInput"))
@@ -57,7 +57,7 @@ def run_folder(spark, sf_dir):
     for status, options in (("plain", {}), ("gzipped", {"compression": "gzip"})):
         body = F.struct(F.concat(F.lit("r"), u).alias("id"), F.lit(status).alias("status"), "startedAt", "tokenUsage", F.when(u % 3 == 0, F.col("turns")).alias("turnTokenUsage"))
         rows = runs.where("user_id % 10 != 9") if status == "plain" else runs
-        rows.groupBy((u % 8).alias("file")).agg(F.to_json(F.collect_list(body)).alias("value")).select("value").repartition(8).write.mode("append").options(**options).text(folder)
+        rows.groupBy((u % 8).alias("file")).agg(F.to_json(F.collect_list(body)).alias("value")).select("value").repartition(8).write.mode("append").options(maxRecordsPerFile=1, **options).text(folder)
     return folder
 
 

@@ -101,3 +101,16 @@ def test_sinks(spark, tmp_path):
     assert [r.n for r in spark.read.json(str(tmp_path / "c")).orderBy("n").collect()] == [1, 2, 3]
     assert [r.n for r in writers.capped(rows, rows.withColumn("n", F.col("n") + 10), "n", 4).collect()] == [13, 12, 11, 3]
     assert [r.g for r in writers.numbered_duplicates(rows.withColumn("k", F.lit(1)), "k", "g", "n").orderBy("n").collect()] == ["a", "b", "a-2"]
+
+
+def test_each_run_file_is_one_value(spark, sf_dir):
+    from tarnworks.plans import sources
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as where the groups fill several partitions
+    try:
+        folder = sources.run_folder(spark, sf_dir)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    lines = spark.read.text(folder).select(F.col("_metadata.file_path").alias("file")).groupBy("file").count()
+    assert {r["count"] for r in lines.collect()} == {1} and lines.count() == 16
+    assert readers.run_records(spark, folder).count() == spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct().count()
