@@ -154,6 +154,7 @@ class FolderStream(DataSourceStreamReader):
     def __init__(self, reader: FolderReader, most_files: int):
         self.reader, self.most_files = reader, most_files
         self.last = self.initialOffset()
+        self.seen: list[File] = []  # the latest listing
 
     def initialOffset(self) -> dict:
         return {"modified": -1, "path": ""}
@@ -163,14 +164,17 @@ class FolderStream(DataSourceStreamReader):
         return (file.modified, file.path) > (offset["modified"], offset["path"])
 
     def latestOffset(self) -> dict:
-        new = [f for f in listed(self.reader.path, self.reader.pattern) if self.after(f, self.last)][: self.most_files]
+        self.seen = listed(self.reader.path, self.reader.pattern)
+        new = [f for f in self.seen if self.after(f, self.last)][: self.most_files]
         if new:
             self.last = {"modified": new[-1].modified, "path": new[-1].path}
         return self.last
 
     def partitions(self, start: dict, end: dict) -> list[Files]:
         self.last = max(self.last, end, key=lambda o: (o["modified"], o["path"]))
-        new = [f for f in listed(self.reader.path, self.reader.pattern) if self.after(f, start) and not self.after(f, end)]
+        if not any((f.modified, f.path) == (end["modified"], end["path"]) for f in self.seen):  # a batch of an earlier run
+            self.seen = listed(self.reader.path, self.reader.pattern)
+        new = [f for f in self.seen if self.after(f, start) and not self.after(f, end)]
         return packed(self.reader.chosen(new), self.reader.most) or [Files()]
 
     def read(self, partition: Files) -> Iterator[tuple]:

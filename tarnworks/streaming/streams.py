@@ -123,16 +123,26 @@ def upserting(path: str, key: str, values: tuple[str, ...]):
     return save
 
 
-def drained(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+def drained(stream: DataFrame, folder: str, mode: str = "append", by_turns: bool = False) -> DataFrame:
     """What a stream gives for all that is there now, as a table below ``folder``.
 
     A batch is written under its number, so a repeated one replaces itself; in complete mode the last batch is all.
+    ``by_turns`` is for sources written in Python that give a part of what is there at a time: Spark asks those once
+    where it is to take what is available now, and would end with the first part.
     """
 
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/rows/{'batch=0' if mode == 'complete' else f'batch={number}'}")
 
-    stream.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    writer = stream.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", f"{folder}/state")
+    if by_turns:
+        running = writer.trigger(processingTime="0 seconds").start()
+        try:
+            running.processAllAvailable()
+        finally:
+            running.stop()
+    else:
+        writer.trigger(availableNow=True).start().awaitTermination()
     return stream.sparkSession.read.parquet(f"{folder}/rows").drop("batch")
 
 

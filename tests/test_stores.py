@@ -233,3 +233,16 @@ def test_a_writer_that_is_always_late_gives_up(spark, tmp_path):
     with pytest.raises(Conflict):
         store.transact(late, retries=1)
     assert store.retried == 2 and store.snapshot().first().n == 9
+
+
+def test_a_stream_by_turns_drains_all(registry, spark, tmp_path):
+    from tarnworks.streaming import streams
+
+    source = tmp_path / "in"
+    source.mkdir()
+    for k in range(8):
+        (source / f"{k}.json").write_text(json.dumps({"n": k}))
+    rows = registry.read_stream("tarnworks_records", "id string, n bigint", path=str(source), maxFilesPerTrigger=3)
+    assert sorted(r.n for r in streams.drained(rows, str(tmp_path / "out"), by_turns=True).collect()) == list(range(8))
+    total = rows.groupBy().agg(F.sum("n").alias("n"))
+    assert [r.n for r in streams.drained(total, str(tmp_path / "sum"), "complete", by_turns=True).collect()] == [28]
