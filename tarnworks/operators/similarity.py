@@ -9,6 +9,7 @@ candidates miss no pair, and no group of equal names is multiplied.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -381,14 +382,31 @@ def conflicts(recommendations: DataFrame, items: DataFrame, in_tree: float = 0.7
     return tree.unionByName(batch.select("id", "other", "score", F.lit("batch").alias("kind")))
 
 
-def sibling_duplicates(items: DataFrame, least: float = 0.75) -> DataFrame:
-    """a, b, score: open siblings of one level with like titles, each pair once; titles meet as ``similar_pairs`` has them."""
-    own = items.where("status not in ('deleted', 'completed')").select("id", "parent_id", "level", normalize(F.col("title")).alias("t"))
+def sibling_duplicates(items: DataFrame, least: float = 0.75, most: int = 1_000_000) -> DataFrame:
+    """a, b, score: open siblings of one level with like titles, each pair once; titles meet as ``similar_pairs`` has them.
+
+    Titles of a parent meet once, with the number of their items; pairs of titles are then dealt in chunks that compare
+    at most about ``most`` items, some four to a task, as the rows made say more of the work than those read.
+    """
+    own = cut(items.where("status not in ('deleted', 'completed')").select("id", "parent_id", "level", normalize(F.col("title")).alias("t")))
     alike = cut(similar_pairs(own.select(F.col("t").alias("name")), least))
-    both = alike.union(alike.select("b", "a", "score")).union(own.select(F.col("t").alias("a"), F.col("t").alias("b"), F.lit(1.0).alias("score")).distinct())
-    other = own.select(F.col("id").alias("other"), F.col("parent_id").alias("p"), F.col("level").alias("l"), F.col("t").alias("b"))
-    pairs = own.join(both, F.col("t") == F.col("a")).join(other, "b").where(F.col("parent_id").eqNullSafe(F.col("p")) & (F.col("level") == F.col("l")) & (F.col("id") < F.col("other")))
-    return pairs.select(F.col("id").alias("a"), F.col("other").alias("b"), "score")
+    sizes = cut(own.groupBy("parent_id", "level", "t").agg(F.count("*").alias("n")))
+    both = alike.union(alike.select("b", "a", "score")).union(sizes.select(F.col("t").alias("a"), F.col("t").alias("b"), F.lit(1.0).alias("score")).distinct())
+    there = sizes.toDF("p", "l", "b", "m")
+    same = F.col("parent_id").eqNullSafe(F.col("p")) & (F.col("level") == F.col("l"))
+    met = sizes.withColumnRenamed("t", "a").join(both, "a").join(there, "b").where(same)
+    met = cut(met.select("parent_id", "level", "a", "b", "score", (F.col("n") * F.col("m")).alias("rows"), F.ceil(F.col("n") * F.col("m") / most).alias("parts"), F.monotonically_increasing_id().alias("pair")))
+    rows = met.agg(F.sum("rows")).first()[0] or 0
+    tasks = max(int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / (4 * most)))
+
+    def dealt(side, name, chunk):
+        key = met.select(F.col("parent_id").alias("p"), F.col("level").alias("l"), F.col(side).alias("x"), "pair", "parts", "score")
+        found = own.join(key, F.col("parent_id").eqNullSafe(F.col("p")) & (F.col("level") == F.col("l")) & (F.col("t") == F.col("x")))
+        return found.select("pair", chunk.alias("chunk"), F.col("id").alias(name), *(["score"] if side == "a" else [])).repartition(tasks, "pair", "chunk")
+
+    left = dealt("a", "id", F.pmod(F.xxhash64("id"), F.col("parts")))
+    right = dealt("b", "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    return left.join(right, ["pair", "chunk"]).where("id < other").select(F.col("id").alias("a"), F.col("other").alias("b"), "score")
 
 
 def unmatched(proposals: DataFrame, items: DataFrame, least: float = 0.7) -> DataFrame:

@@ -43,3 +43,17 @@ def test_pins_meet_directories_not_files(spark):
     got = {r.path: (r.directory, r.there, r.edges) for r in out.collect()}
     # without its own file a has 499 files, as b has; ties go to the lesser directory
     assert got == {**{f"b/{k}": ("b", "a", 0) for k in range(500, 600)}, "c/999": ("c", "a", 1), "d/1": ("d", "a", 1)}
+
+
+def test_siblings_of_one_title_spread_over_tasks(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(300).selectExpr("id", "IF(id < 200, 1L, NULL) AS parent_id", "'task' AS level", "'pending' AS status", "IF(id % 10 = 0, 'a cold rod', 'cold rod') AS title")
+    out = similarity.sibling_duplicates(rows, 0.75, most=500).withColumn("task", F.spark_partition_id())
+    found = out.collect()
+    expected = {(a, b) for a in range(300) for b in range(a + 1, 300) if (a < 200) == (b < 200)}
+    assert {(r.a, r.b) for r in found} == expected and len(found) == len(expected)
+    per_task = {}
+    for r in found:
+        per_task[r.task] = per_task.get(r.task, 0) + 1
+    assert max(per_task.values()) < len(found) / 5
