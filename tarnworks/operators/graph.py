@@ -134,10 +134,10 @@ def in_cycles(edges: DataFrame, steps: int) -> DataFrame:
 
 def cyclic_core(edges: DataFrame, rounds: int) -> DataFrame:
     """Edges left after so many rounds of removing nodes without a predecessor or a successor: what cycles, or paths
-    between them, hold. Linear in the edges, for graphs too large for ``in_cycles``."""
+    between them, hold. Linear in the edges, for graphs too large for ``in_cycles``. No round sends nodes to the driver."""
     for _ in range(rounds):
         sources, targets = edges.select("from").distinct(), edges.select("to").distinct()
-        edges = cut(edges.join(targets.select(F.col("to").alias("from")), "from", "left_semi").join(sources.select(F.col("from").alias("to")), "to", "left_semi").select("from", "to"))
+        edges = cut(edges.join(targets.select(F.col("to").alias("from")).hint("merge"), "from", "left_semi").join(sources.select(F.col("from").alias("to")).hint("merge"), "to", "left_semi").select("from", "to"))
     return edges
 
 
@@ -170,11 +170,11 @@ def chain_lengths(deps: DataFrame) -> DataFrame:
     edges = cut(deps.select("id", "blocker").where("id is not null and blocker is not null").distinct())
     cycles = nodes_on_cycles(edges.toDF("from", "to"))
     if cycles is not None:
-        edges = cut(edges.join(cycles.select(F.col("node").alias("id")), "id", "left_anti"))
+        edges = cut(edges.join(cycles.select(F.col("node").alias("id")).hint("merge"), "id", "left_anti"))
     lengths = cut(edges.select("id").distinct().withColumn("length", F.lit(1)))
     while True:
-        longer = edges.join(lengths.toDF("blocker", "above"), "blocker").groupBy("id").agg((F.max("above") + 1).alias("longer"))
-        grown = cut_afresh(lengths.join(longer, "id", "left").select("id", F.greatest("length", "longer").alias("length"), F.coalesce(F.col("longer") > F.col("length"), F.lit(False)).alias("grown")))
+        longer = edges.join(lengths.toDF("blocker", "above").hint("merge"), "blocker").groupBy("id").agg((F.max("above") + 1).alias("longer"))
+        grown = cut_afresh(lengths.join(longer.hint("merge"), "id", "left").select("id", F.greatest("length", "longer").alias("length"), F.coalesce(F.col("longer") > F.col("length"), F.lit(False)).alias("grown")))
         lengths = grown.select("id", "length")
         if grown.where("grown").isEmpty():
             return lengths

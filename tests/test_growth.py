@@ -1,6 +1,6 @@
 """Steps whose rows must grow with their input, not with the square of a group of equal rows."""
 
-from tarnworks.operators import findings, similarity, zoning
+from tarnworks.operators import findings, graph, similarity, zoning
 
 
 def most_rows(df) -> int:
@@ -57,3 +57,13 @@ def test_siblings_of_one_title_spread_over_tasks(spark):
     for r in found:
         per_task[r.task] = per_task.get(r.task, 0) + 1
     assert max(per_task.values()) < len(found) / 5
+
+
+def test_rounds_of_chains_broadcast_nothing(spark, monkeypatch):
+    plans = []
+    for name in ("cut", "cut_afresh"):
+        plain = getattr(graph, name)
+        monkeypatch.setattr(graph, name, lambda df, plain=plain: plans.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df))
+    deps = spark.range(1, 40).selectExpr("id", "id DIV 2 AS blocker")
+    assert {r.id: r.length for r in graph.chain_lengths(deps).collect()} == {k: k.bit_length() for k in range(1, 40)}
+    assert len(plans) > 5 and not any("BroadcastHashJoin" in p for p in plans)
