@@ -143,3 +143,42 @@ def test_health_keeps_its_last_closings(spark, tmp_path):
     assert (last["active"], last["peak"], last["opened"], last["closed"]) == (now, peak, len(opened), len(closings))
     assert last["recent"] == sum(ms >= end - 60_000 for ms, *_ in kept) and last["mean_ms"] == int(sum(took) / len(took) + 0.5)
     assert last["rate"] == int(sum(c[2] for c in closings) / len(closings) * 1000 + 0.5) / 1000 and last["health"] == "unhealthy"
+
+
+class Held(dict):
+    """Map state, or list state under one key, without a server."""
+
+    updateValue, removeKey, getValue = dict.__setitem__, dict.pop, dict.__getitem__
+    put = lambda self, rows: self.__setitem__(0, rows)
+
+    def get(self):
+        return iter(self[0] if self else ())
+
+
+class Handle:
+    def __init__(self):
+        self.timers = []
+        self.getMapState = self.getListState = lambda *_: Held()
+        self.registerTimer = self.timers.append
+
+
+class Clock:
+    def __init__(self, now):
+        self.getCurrentWatermarkInMs = lambda: now
+
+
+def test_a_timer_holds_a_slice_of_a_key_at_a_time(monkeypatch):
+    held, plain = [], ordered.Sorted
+    monkeypatch.setattr(ordered, "Sorted", lambda table, end: held.append(0 if table is None else table.num_rows) or plain(table, end))
+    processor, handle, width = ordered.RateLimit(1), Handle(), ordered.InOrder.slice_ms
+    processor.init(handle)
+    ms = [k * width // 3_000 for k in range(60_000)]  # 20 slices
+    random.Random(3).shuffle(ms)
+    frames = [pd.DataFrame({"key": "k", "ms": part, "id": [f"c{v}" for v in part]}) for part in (ms[:25_000], ms[25_000:50_000], ms[50_000:])]
+    list(processor.handleInputRows(("k",), iter(frames), Clock(0)))
+    assert min(handle.timers) == 0
+    got = []
+    for now in (7 * width + 5, 40 * width):  # what is later than the first timer waits for the second
+        got += [v for frame in processor.handleExpiredTimer(("k",), Clock(now), None) for v in frame["ms"]]
+        assert got == sorted(v for v in ms if v <= now)
+    assert max(held) <= 3_100 and not processor.waiting and 7 * width + 5 < handle.timers[-1] < 8 * width
