@@ -196,11 +196,12 @@ def duplicate_groups(items: DataFrame, name: str, threshold: float = 0.7) -> Dat
 
 def best_matches(proposals: DataFrame, items: DataFrame, threshold: float = 0.7) -> DataFrame:
     """Each proposal's most similar item at or above the threshold: proposal, item, score; ties to the lesser name."""
-    p, i = proposals.select(normalize(F.col("name")).alias("name")), items.select(normalize(F.col("name")).alias("name"))
-    pairs = similar_pairs(p.union(i), threshold)
+    # once cut, the test of a score isn't pushed down to every row of a name
+    p, i = (cut(t.select(normalize(F.col("name")).alias("name")).distinct()) for t in (proposals, items))
+    pairs = cut(similar_pairs(p.union(i), threshold))
     both = pairs.select("a", "b").union(pairs.select("b", "a")).toDF("p", "i").union(p.select(F.col("name").alias("p"), F.col("name").alias("i")))
-    kept = both.join(p.distinct().withColumnRenamed("name", "p"), "p").join(i.distinct().withColumnRenamed("name", "i"), "i").withColumn("score", similarity("p", "i"))
-    kept = kept.where(F.col("score") >= threshold)
+    kept = both.join(p.withColumnRenamed("name", "p"), "p").join(i.withColumnRenamed("name", "i"), "i").withColumn("score", similarity("p", "i"))
+    kept = cut(kept.where(F.col("score") >= threshold))
     best = kept.groupBy("p").agg(F.max("score").alias("score"))
     return kept.join(best, ["p", "score"]).groupBy(F.col("p").alias("proposal"), "score").agg(F.min("i").alias("item"))
 
@@ -372,11 +373,12 @@ def conflicts(recommendations: DataFrame, items: DataFrame, in_tree: float = 0.7
     """id, other, score, kind: recommendations (id, title) that repeat an open item, or an earlier one of the batch."""
     title = lambda t, c: t.select(F.col("id").alias(c), normalize(F.col("title")).alias(f"{c}_t"))
     new, old = title(recommendations, "id"), title(items.where("status != 'completed'"), "other")
-    tree = best_matches(new.select(F.col("id_t").alias("name")).distinct(), old.select(F.col("other_t").alias("name")).distinct(), in_tree)
+    texts = cut(new.select(F.col("id_t").alias("name")).distinct())
+    tree = best_matches(texts, old.select(F.col("other_t").alias("name")), in_tree)
     first = old.groupBy("other_t").agg(F.min("other").alias("other"))
     tree = tree.join(new, F.col("proposal") == F.col("id_t")).join(first, F.col("item") == F.col("other_t")).select("id", "other", "score", F.lit("tree").alias("kind"))
-    alike = similar_pairs(new.select(F.col("id_t").alias("name")), in_batch)
-    alike = alike.union(alike.select("b", "a", "score")).union(new.select(F.col("id_t").alias("a"), F.col("id_t").alias("b"), F.lit(1.0).alias("score")).distinct())
+    alike = cut(similar_pairs(texts, in_batch))
+    alike = alike.union(alike.select("b", "a", "score")).union(texts.select(F.col("name").alias("a"), F.col("name").alias("b"), F.lit(1.0).alias("score")))
     least = new.groupBy(F.col("id_t").alias("b")).agg(F.min("id").alias("other"))  # the earliest of a title stands for it
     batch = new.join(alike, F.col("id_t") == F.col("a")).join(least, "b").where("other < id").groupBy("id").agg(F.min("other").alias("other"), F.min_by("score", "other").alias("score"))
     return tree.unionByName(batch.select("id", "other", "score", F.lit("batch").alias("kind")))

@@ -67,3 +67,10 @@ def test_rounds_of_chains_broadcast_nothing(spark, monkeypatch):
     deps = spark.range(1, 40).selectExpr("id", "id DIV 2 AS blocker")
     assert {r.id: r.length for r in graph.chain_lengths(deps).collect()} == {k: k.bit_length() for k in range(1, 40)}
     assert len(plans) > 5 and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_best_matches_score_texts_not_rows(spark):
+    rows = spark.range(2000).selectExpr("id", "IF(id % 2 = 0, 'add cold rod', 'add  Warm rod') AS name")
+    out = similarity.best_matches(rows.select("name"), rows.where("id % 2 = 0").selectExpr("'cold rod' AS name"))
+    assert most_rows(out) <= 20
+    assert [(r.proposal, r.item) for r in out.collect()] == [("add cold rod", "cold rod")]
