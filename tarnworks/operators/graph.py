@@ -5,12 +5,14 @@ Loops cut lineage after each round, since a round uses the last one's result mor
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnworks.functions.scalars import half_up, risk_level, risk_score
-from tarnworks.session import cut, cut_afresh
+from tarnworks.session import cut, cut_afresh, scratch
 
 
 def crossings(edges: DataFrame, zones: DataFrame) -> DataFrame:
@@ -95,11 +97,12 @@ def merged_edges(parts: DataFrame) -> DataFrame:
     return parts.groupBy("from", "to", "type").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("symbols")))).alias("symbols"))
 
 
-def undirected(edges: DataFrame) -> DataFrame:
-    """Both directions of each edge, parallel ones added; a missing weight is the number of symbols, 1 at least."""
+def undirected(edges: DataFrame, parallel: bool = False) -> DataFrame:
+    """Both directions of each edge, parallel ones added (or left as they are); a missing weight is the number of symbols, 1 at least."""
     w = F.greatest(F.coalesce("weight", F.size("symbols").cast("double"), F.lit(1.0)), F.lit(1.0)) if "symbols" in edges.columns else F.greatest(F.coalesce("weight", F.lit(1.0)), F.lit(1.0))
     kept = edges.where("from != to").withColumn("w", w)
-    return kept.select(F.col("from").alias("src"), F.col("to").alias("dst"), "w").union(kept.select("to", "from", "w")).groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    both = kept.select(F.col("from").alias("src"), F.col("to").alias("dst"), "w").union(kept.select("to", "from", "w"))
+    return both if parallel else both.groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
 def ball(edges: DataFrame, start: Column | DataFrame, hops: int) -> DataFrame:
@@ -258,12 +261,28 @@ def louvain(edges: DataFrame, group: str, resolution: float = 1.0, passes: int =
 
 def propagated_labels(edges: DataFrame, rounds: int) -> DataFrame:
     """Communities for graphs of any size: in each round a node takes the label of most weight around it, the least
-    on a tie. A different result from ``louvain``, under its own name."""
-    labels = edges.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node"))
-    for _ in range(rounds):
-        around = edges.join(labels.select(F.col("node").alias("dst"), "community"), "dst").groupBy(F.col("src").alias("node"), "community").agg(F.sum("w").alias("w"))
-        labels = cut_afresh(around.groupBy("node").agg(F.max_by("community", F.struct("w", F.struct((-F.xxhash64("community")).alias("h")))).alias("community")))
-    return labels
+    on a tie. A different result from ``louvain``, under its own name.
+
+    ``edges`` (src, dst, w) has both directions of each pair, as ``undirected`` gives them, parallel ones added or not.
+    They are written once, bucketed by their node, so that a round moves labels to them and then one message an edge.
+    """
+    spark = edges.sparkSession
+    tasks, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"edges_{uuid.uuid4().hex}"
+    edges.repartition(tasks, "dst").groupBy("src", "dst").agg(F.sum("w").alias("w")).write.bucketBy(tasks, "dst").option("path", scratch(spark, "edges")).saveAsTable(name)
+    try:
+        held = spark.table(name)
+        best = lambda community: F.max_by(community, F.struct("w", F.struct((-F.xxhash64(community)).alias("h")))).alias("community")
+        # in the first round the labels around a node are its neighbours
+        labels = held.select(F.col("dst").alias("node"), F.col("src").alias("community"), "w")
+        labels = cut_afresh(labels.groupBy("node").agg(best("community"))) if rounds else labels.select("node", F.col("node").alias("community")).distinct()
+        for _ in range(rounds - 1):
+            sent = held.join(labels.withColumnRenamed("node", "dst").hint("shuffle_hash"), "dst").select(F.col("src").alias("node"), "community", "w")
+            # one shuffle serves both sums and choice
+            around = sent.repartition(tasks, "node").groupBy("node", "community").agg(F.sum("w").alias("w"))
+            labels = cut_afresh(around.groupBy("node").agg(best("community")))
+        return labels if rounds else cut_afresh(labels)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
 
 
 def partition_similarity(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -74,3 +74,22 @@ def test_best_matches_score_texts_not_rows(spark):
     out = similarity.best_matches(rows.select("name"), rows.where("id % 2 = 0").selectExpr("'cold rod' AS name"))
     assert most_rows(out) <= 20
     assert [(r.proposal, r.item) for r in out.collect()] == [("add cold rod", "cold rod")]
+
+
+def test_rounds_of_labels_move_labels_and_messages_only(spark, monkeypatch):
+    plans, plain = [], graph.cut_afresh
+    monkeypatch.setattr(graph, "cut_afresh", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]) or plain(df))
+    pairs = sorted({(k % 12, (k * k + 3) % 15) for k in range(60)})
+    rows = spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in pairs], "`from` string, `to` string").selectExpr("*", "CAST(length(`from`) AS DOUBLE) AS weight")
+    edges = graph.undirected(rows)
+    got = {r.node: r.community for r in graph.propagated_labels(graph.undirected(rows, parallel=True), 3).collect()}
+    held = [tuple(r) for r in edges.selectExpr("src", "dst", "w").collect()]
+    rank = {r.n: r.h for r in spark.createDataFrame([(s,) for s in {h[0] for h in held}], "n string").selectExpr("n", "-xxhash64(n) AS h").collect()}
+    labels = {s: s for s, _, _ in held}
+    for _ in range(3):
+        sums = {}
+        for s, d, w in held:
+            sums.setdefault(s, {}).setdefault(labels[d], []).append(w)
+        labels = {s: max(own, key=lambda c: (sum(own[c]), rank[c])) for s, own in sums.items()}
+    assert got == labels
+    assert max(p.count("Exchange hashpartitioning") for p in plans) <= 2
