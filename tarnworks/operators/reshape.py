@@ -73,7 +73,9 @@ class Reshaped:
         groups = actions.where("kind = 'group'").select("seq", F.explode("members").alias("x"))
         self.groups = cut(groups)
         made = self.events.where("kind = 'make'")
-        self.start = cut(items.select(F.col("id").alias("x"), F.col("parent_id").alias("p"), F.lit(-1).cast("long").alias("o")))
+        every = cut(items.select(F.col("id").alias("x"), F.col("parent_id").alias("p"), F.lit(-1).cast("long").alias("o"), "level"))
+        # what events name, and what is above that, says which are valid; all others only follow
+        self.start = cut_afresh(every.join(self._concerned(every), "x", "left_semi"))
         valid = self.events.select("o", F.lit(None).cast("string").alias("problem"))
         parents = made.select("o", F.lit(None).cast("string").alias("p")).where("false")
         for _ in range(self.events.count() + 2):
@@ -89,7 +91,19 @@ class Reshaped:
                 break
         else:
             raise RuntimeError("changes that depend on each other never settled")
-        self.valid = valid
+        self.valid, self.start = valid, every
+        self._spans(valid, parents)
+        self._gone(valid)
+
+    def _concerned(self, every: DataFrame) -> DataFrame:
+        """x: names in events, and all that is above them at first."""
+        names = self.events.select("x").union(self.events.select("to")).union(self.groups.select("x"))
+        rim = found = cut_afresh(names.where("x is not null").distinct())
+        while not rim.isEmpty():
+            up = every.join(rim, "x", "left_semi").where("p is not null").select(F.col("p").alias("x")).distinct()
+            rim = cut_afresh(up.join(found, "x", "left_anti"))
+            found = cut_afresh(found.unionByName(rim))
+        return found
 
     @staticmethod
     def _at(o: Column) -> Column:
@@ -97,9 +111,9 @@ class Reshaped:
 
     def _born(self, valid: DataFrame) -> None:
         """x, born, level of every item that is ever there."""
-        made = self.events.where("kind = 'make'").join(valid.where("problem is null").select("o"), "o").join(self.source.select(F.col("id").alias("x")), "x", "left_anti")
+        made = self.events.where("kind = 'make'").join(valid.where("problem is null").select("o"), "o").join(self.start.select("x"), "x", "left_anti")
         first = made.groupBy("x").agg(F.min("o").alias("born"), F.min_by("level", "o").alias("level"))
-        self.known = cut_afresh(self.source.select(F.col("id").alias("x"), F.lit(-1).cast("long").alias("born"), "level").unionByName(first))
+        self.known = cut_afresh(self.start.select("x", F.lit(-1).cast("long").alias("born"), "level").unionByName(first))
 
     def _spans(self, valid: DataFrame, parents: DataFrame) -> None:
         """x, p, from, until: whose parent is whom, after ``from`` and up to ``until``."""
@@ -107,7 +121,7 @@ class Reshaped:
         moves = good.where("kind = 'move'").select("x", F.col("to").alias("p"), "o")
         made = good.where("kind = 'make'").join(parents, "o", "left").select("x", "p", "o")
         last = F.lead("o").over(Window.partitionBy("x").orderBy("o"))
-        spans = self.start.unionByName(moves).unionByName(made).select("x", "p", F.col("o").alias("from"), F.coalesce(last, F.lit(EVER)).alias("until"))
+        spans = self.start.select("x", "p", "o").unionByName(moves).unionByName(made).select("x", "p", F.col("o").alias("from"), F.coalesce(last, F.lit(EVER)).alias("until"))
         merges = cut(good.where("kind = 'merge'").groupBy(F.col("x").alias("p")).agg(F.min("o").alias("at"), F.min_by("to", "o").alias("survivor")))
         settled, open_ = None, spans
         while True:

@@ -93,3 +93,17 @@ def test_rounds_of_labels_move_labels_and_messages_only(spark, monkeypatch):
         labels = {s: max(own, key=lambda c: (sum(own[c]), rank[c])) for s, own in sums.items()}
     assert got == labels
     assert max(p.count("Exchange hashpartitioning") for p in plans) <= 2
+
+
+def test_rounds_of_changes_leave_out_what_no_change_concerns(spark, monkeypatch):
+    from tarnworks.operators import reshape
+
+    sizes, plain = [], reshape.Reshaped._spans
+    monkeypatch.setattr(reshape.Reshaped, "_spans", lambda self, *a: sizes.append(self.start.count()) or plain(self, *a))
+    text = lambda c: f"CAST(NULL AS STRING) AS {c}"
+    items = spark.range(300).selectExpr("concat('t', id) AS id", "IF(id < 3, NULL, concat('t', id % 3)) AS parent_id", "IF(id < 3, 'epic', 'feature') AS level", "'pending' AS status", "'x' AS title", text("description"), text("priority"))
+    actions = spark.createDataFrame([(1, "merge", "t1", None, ["t0"], *[None] * 6), (2, "delete", "t1", None, None, *[None] * 6), (3, "delete", "t5", None, None, *[None] * 6)], reshape.ACTION)
+    got = {r.id: (r.parent_id, r.status) for r in reshape.Reshaped(items, actions).items().collect()}
+    assert sizes[-1] == 300 and max(sizes[:-1]) == 4  # t0, t1, t5 and t2 above it
+    gone = {k for k in range(300) if k % 3 < 2} | {5}
+    assert got == {f"t{k}": (None if k < 3 else f"t{1 if k % 3 == 0 else k % 3}", "deleted" if k in gone else "pending") for k in range(300)}
