@@ -201,27 +201,34 @@ def throttled(messages: DataFrame, delay_ms: int = 250, delays: dict[str, int] |
 
 
 class RateLimit(InOrder):
-    row, state, out = "id string", "ms long", "key string, ms long, id string"
+    """Calls of the keys of a bucket, which wait together: state and timers of a key each would cost more than its calls."""
+
+    row, state, out = "key string, id string", "key string, ms long", "key string, ms long, id string"
 
     def __init__(self, least_ms: int):
         self.least_ms = least_ms
 
-    def fold(self, key, rows, kept, now):
-        last = kept[0][0] if kept else None
-        for ms, call in rows:
+    def fold(self, bucket, rows, kept, now):
+        passed = dict(kept)
+        for ms, key, call in rows:
+            last = passed.get(key)
             if last is None or ms - last >= self.least_ms:
-                last = ms
+                passed[key] = ms
                 yield key, ms, call
-        # once the pause is over, the next call passes whatever came before
-        kept[:] = [] if last is None or last + self.least_ms <= now else [(last,)]
+        # once its pause is over, a key's next call passes whatever came before
+        kept[:] = [(key, last) for key, last in passed.items() if last + self.least_ms > now]
 
     def due(self, kept):
-        return kept[0][0] + self.least_ms if kept else None
+        return min(last for _, last in kept) + self.least_ms if kept else None
 
 
-def rate_limited(calls: DataFrame, least_ms: int = 500, late: str = "10 seconds") -> DataFrame:
-    """Calls (ts, key, id) that come at least ``least_ms`` after the last one of their key that passed."""
-    return applied(calls, "key", RateLimit(least_ms), late)
+def rate_limited(calls: DataFrame, least_ms: int = 500, late: str = "10 seconds", buckets: int = 256) -> DataFrame:
+    """Calls (ts, key, id) that come at least ``least_ms`` after the last one of their key that passed.
+
+    Keys are dealt over ``buckets``, so that many keys of a few calls take no more state and timers than a few keys do.
+    """
+    dealt = calls.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    return applied(dealt, "bucket", RateLimit(least_ms), late)
 
 
 class Ring(InOrder):

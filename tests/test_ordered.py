@@ -104,6 +104,23 @@ def test_rate_limit_over_micro_batches(spark, tmp_path):
     assert sorted(r["id"] for r in got if r["key"] != "end") == sorted(expected)
 
 
+def test_many_keys_of_a_rate_limit_share_state_and_timers(spark, tmp_path):
+    rng = random.Random(5)
+    rows = sorted((rng.randrange(20_000), f"k{k % 400}", f"c{k}") for k in range(2_000))
+    expected, last = [], {}
+    for ms, key, call in sorted(rows, key=lambda r: (r[0], r[2])):
+        if key not in last or ms - last[key] >= 5_000:
+            last[key] = ms
+            expected.append((key, call))
+    calls, got = ordered.rate_limited(fed(spark, tmp_path, rows, ["key", "id"], 2), 5_000, late="30 seconds"), []
+    save = lambda batch, _: got.extend((r.key, r.id) for r in batch.collect() if r.key != "end")
+    query = calls.writeStream.foreachBatch(save).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert sorted(got) == sorted(expected)
+    timers = [p["stateOperators"][0]["customMetrics"]["numRegisteredTimers"] for p in query.recentProgress]
+    assert 0 < timers[0] <= 256 < len(last)
+
+
 def test_idle_keys_leave_their_state(spark, tmp_path):
     rows = [(k * 10, f"k{k % 5}", float(k), "x") for k in range(50)]
     stream = fed(spark, tmp_path, rows, ["key", "value", "id"], 1)
