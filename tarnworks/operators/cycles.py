@@ -8,8 +8,6 @@ node is its component. Both steps repeat on what has no component yet. Nothing i
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,31 +15,43 @@ from tarnworks.session import cut, cut_afresh
 
 
 def chains(edges: DataFrame) -> tuple[DataFrame, DataFrame] | None:
-    """(node, last, steps) of the nodes with one edge in and one out, and the edges that lead out of them; None if there
-    are none. ``last`` ends the chain that a node lies in, ``steps`` further on.
+    """(node, own, steps) of the nodes with one edge in and one out, and the edges that lead out of them; None if there
+    are none. ``own`` names the chain that a node lies in, ``steps`` are those to its last node.
 
-    The least node of a ring isn't part of a chain: it stays, so that the ring becomes an edge from it to itself.
+    The least node of a ring isn't part of a chain: it stays, so that the ring becomes an edge from it to itself, and
+    names the chain. It is known once a node is the least one on its way, so rings take as many rounds as chains of
+    their length do, however many there are.
     """
     degree = lambda side: edges.groupBy(F.col(side).alias("node")).agg(F.count("*").alias(f"n_{side}"))
     loops = edges.where("`from` = `to`").select(F.col("from").alias("node"))
     single = cut(degree("from").join(degree("to"), "node").where("n_from = 1 and n_to = 1").select("node").join(loops, "node", "left_anti"))
+    if single.isEmpty():
+        return None
+    onward = edges.join(single.toDF("from"), "from", "left_semi").join(single.select(F.col("node").alias("to"), F.lit(True).alias("inner")), "to", "left")
+    onward = cut(onward.withColumn("inner", F.coalesce("inner", F.lit(False))))
+    # the last node of a chain points to itself and goes no further; low is the least node ahead, at the steps to it
+    ahead = lambda value: F.when(F.col("inner"), value)
+    hops = onward.select(F.col("from").alias("node"), F.when(F.col("inner"), F.col("to")).otherwise(F.col("from")).alias("last"), F.col("inner").alias("going"), ahead(F.col("to")).alias("low"), ahead(F.lit(1)).cast("long").alias("at"), F.col("inner").cast("long").alias("steps"))
+    done = []
     while True:
-        n = single.count()
-        if not n:
-            return None
-        onward = edges.join(single.toDF("from"), "from", "left_semi").join(single.select(F.col("node").alias("to"), F.lit(True).alias("inner")), "to", "left")
-        inner = F.coalesce("inner", F.lit(False))
-        to = F.when(inner, F.col("to")).otherwise(F.col("from"))
-        hops = cut(onward.select(F.col("from").alias("node"), to.alias("last"), inner.alias("going"), F.least("from", to).alias("low"), inner.cast("long").alias("steps")))
-        # the last node of a chain points to itself and goes no further
-        for _ in range(math.ceil(math.log2(n)) + 1):
-            there = hops.select(F.col("node").alias("last"), F.col("last").alias("last2"), F.col("going").alias("going2"), F.col("low").alias("low2"), F.col("steps").alias("steps2"))
-            moved = hops.where("going").join(there, "last").select("node", F.col("last2").alias("last"), F.col("going2").alias("going"), F.least("low", "low2").alias("low"), (F.col("steps") + F.col("steps2")).alias("steps"))
-            hops = cut_afresh(hops.where("not going").unionByName(moved))
-            if hops.where("going").isEmpty():
-                return hops.select("node", "last", "steps"), onward.where("inner is null").select("from", "to", "level", "chain")
-        # what still goes meets no end
-        single = cut(single.join(hops.where("going").select(F.col("low").alias("node")).distinct(), "node", "left_anti"))
+        going, shut = hops.where("going").agg(F.count("*"), F.count_if(F.col("low") == F.col("node"))).first()
+        if shut:  # all nodes of a ring have met its least one when that one has met itself
+            least = hops.where("going and low = node").select("low", F.lit(True).alias("shut"))
+            hops = cut_afresh(hops.join(least, "low", "left"))
+            ring = hops.where("shut")
+            done.append(ring.where("node != low").select("node", F.col("low").alias("own"), (F.col("at") - 1).alias("steps")))
+            going, hops = going - ring.count(), hops.where("shut is null").drop("shut")
+        if not going:
+            break
+        there = hops.select(F.col("node").alias("last"), F.col("last").alias("last2"), F.col("going").alias("going2"), F.col("low").alias("low2"), F.col("at").alias("at2"), F.col("steps").alias("steps2"))
+        at = F.when(F.col("low2") < F.col("low"), F.col("steps") + F.col("at2")).otherwise(F.col("at"))
+        moved = hops.where("going").join(there, "last").select("node", F.col("last2").alias("last"), F.col("going2").alias("going"), F.least("low", "low2").alias("low"), at.alias("at"), (F.col("steps") + F.col("steps2")).alias("steps"))
+        hops = cut_afresh(hops.where("not going").unionByName(moved))
+    ends, out = hops.select("node", F.col("last").alias("own"), "steps"), onward.where("not inner")
+    for ring in done:
+        ends = ends.unionByName(ring)
+        out = out.unionByName(onward.join(ring.where("steps = 0").select(F.col("node").alias("from")), "from", "left_semi"))
+    return ends, out.select("from", "to", "level", "chain")
 
 
 class Components:
@@ -65,16 +75,19 @@ class Components:
 
     def _reduced(self, edges: DataFrame) -> DataFrame:
         """Edges that branch, once chains are passed over and dead ends are gone."""
+        edges = self._without_dead_ends(edges)  # often most of a graph, which then needs no further step
         n = edges.count()
         while n:
-            edges = self._passed_over(edges)
-            sources, targets = edges.select("from").distinct(), edges.select("to").distinct()
-            edges = cut_afresh(edges.join(targets.toDF("from"), "from", "left_semi").join(sources.toDF("to"), "to", "left_semi").select("from", "to", "level", "chain"))
+            edges = self._without_dead_ends(self._passed_over(edges))
             n, last = edges.count(), n
             if n == last:
                 break
         return edges
 
+    def _without_dead_ends(self, edges: DataFrame) -> DataFrame:
+        sources, targets = edges.select("from").distinct(), edges.select("to").distinct()
+        return cut_afresh(edges.join(targets.toDF("from"), "from", "left_semi").join(sources.toDF("to"), "to", "left_semi").select("from", "to", "level", "chain"))
+
     def _passed_over(self, edges: DataFrame) -> DataFrame:
         met = chains(edges)
         if met is None:
@@ -82,8 +95,8 @@ class Components:
         hops, out = cut(met[0]), met[1]
         level = len(self.stack)
         # edges of a chain, counted down to its last node; and the one that leaves it
-        into = edges.join(hops.select(F.col("node").alias("to"), F.col("last").alias("own"), "steps"), "to").select("own", "steps", "from", "to", "level", "chain")
-        out = out.join(hops.where("steps = 0").select(F.col("node").alias("from"), F.col("last").alias("own")), "from").select("own", F.lit(-1).cast("long").alias("steps"), "from", "to", "level", "chain")
+        into = edges.join(hops.withColumnRenamed("node", "to"), "to").select("own", "steps", "from", "to", "level", "chain")
+        out = out.join(hops.where("steps = 0").select(F.col("node").alias("from"), "own"), "from").select("own", F.lit(-1).cast("long").alias("steps"), "from", "to", "level", "chain")
         chain = cut(into.unionByName(out))
         self.stack.append(chain)
         whole = chain.groupBy("own").agg(F.max_by("from", "steps").alias("from"), F.min_by("to", "steps").alias("to"))

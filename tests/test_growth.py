@@ -107,3 +107,22 @@ def test_rounds_of_changes_leave_out_what_no_change_concerns(spark, monkeypatch)
     assert sizes[-1] == 300 and max(sizes[:-1]) == 4  # t0, t1, t5 and t2 above it
     gone = {k for k in range(300) if k % 3 < 2} | {5}
     assert got == {f"t{k}": (None if k < 3 else f"t{1 if k % 3 == 0 else k % 3}", "deleted" if k in gone else "pending") for k in range(300)}
+
+
+def test_rounds_of_rings_grow_with_their_length_only(spark, monkeypatch):
+    from tarnworks.operators import cycles
+
+    rounds, plain, met = [], cycles.cut_afresh, {}
+    monkeypatch.setattr(cycles, "cut_afresh", lambda df: rounds.append(1) or plain(df))
+    for n, length in ((2, 5), (600, 5), (40, 2)):
+        ids = spark.range(n * length).withColumnRenamed("id", "k")
+        rings = ids.selectExpr("-k - 1 AS `from`", f"IF(k % {length} = {length - 1}, {length} - 2 - k, -k - 2) AS `to`", "CAST(NULL AS INT) AS level", "CAST(NULL AS LONG) AS chain")
+        rounds.clear()
+        met[n, length] = cycles.chains(rings), len(rounds)
+    assert met[2, 5][1] == met[600, 5][1]
+    for (n, length), ((found, out), _) in met.items():
+        # the least node of a ring stays out and names it; the others lead up to it
+        least = lambda k: -(k // length + 1) * length  # noqa: B023, E731
+        ends = {r[0]: (r[1], r[2]) for r in found.collect()}
+        assert ends == {-k - 1: (least(k), length - 2 - k % length) for k in range(n * length) if -k - 1 != least(k)}
+        assert {(r["from"], r.to) for r in out.select("from", "to").collect()} == {(least(k) + 1, least(k)) for k in range(0, n * length, length)}
