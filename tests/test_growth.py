@@ -126,3 +126,13 @@ def test_rounds_of_rings_grow_with_their_length_only(spark, monkeypatch):
         ends = {r[0]: (r[1], r[2]) for r in found.collect()}
         assert ends == {-k - 1: (least(k), length - 2 - k % length) for k in range(n * length) if -k - 1 != least(k)}
         assert {(r["from"], r.to) for r in out.select("from", "to").collect()} == {(least(k) + 1, least(k)) for k in range(0, n * length, length)}
+
+
+def test_dead_ends_go_before_chains_are_followed(spark, monkeypatch):
+    from tarnworks.operators import cycles
+
+    sizes, plain = [], cycles.chains
+    monkeypatch.setattr(cycles, "chains", lambda edges: sizes.append(edges.count()) or plain(edges))
+    edges = spark.range(1000).selectExpr("id + 10 AS `from`", "id % 2 AS `to`").union(spark.sql("VALUES (0L, 1L), (1L, 2L), (2L, 0L)"))
+    assert [tuple(r) for r in cycles.Components(edges).summary().collect()] == [(0, 3, 3)]
+    assert max(sizes) == 3
