@@ -153,7 +153,9 @@ class Sorted:
 
 def applied(rows: DataFrame, key: str, processor: InOrder, late: str) -> DataFrame:
     with_state(rows.sparkSession)
-    timed = rows.withWatermark("ts", late).withColumn("ms", F.unix_millis("ts"))
+    # each row crosses to Python by itself, so only with what is folded
+    named = dict.fromkeys([key, *(c.split()[0] for c in processor.row.split(", ") if c)])
+    timed = rows.withWatermark("ts", late).select("ts", *named, F.unix_millis("ts").alias("ms"))
     return timed.groupBy(key).transformWithStateInPandas(processor, processor.out, "Append", "EventTime")
 
 

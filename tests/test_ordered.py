@@ -121,6 +121,13 @@ def test_many_keys_of_a_rate_limit_share_state_and_timers(spark, tmp_path):
     assert 0 < timers[0] <= 256 < len(last)
 
 
+def test_rows_bring_only_what_is_folded(spark, tmp_path):
+    stream = fed(spark, tmp_path, [(k, "a", f"m{k}", "wide") for k in range(4)], ["type", "id", "text"], 1)
+    plan = ordered.throttled(stream)._jdf.queryExecution().analyzed()
+    taken = [c.split("#")[0] for c in plan.children().apply(0).output().mkString(",").split(",")]
+    assert set(taken) == {"type", "ts", "ms"}
+
+
 def test_idle_keys_leave_their_state(spark, tmp_path):
     rows = [(k * 10, f"k{k % 5}", float(k), "x") for k in range(50)]
     stream = fed(spark, tmp_path, rows, ["key", "value", "id"], 1)
