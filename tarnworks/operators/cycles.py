@@ -3,16 +3,23 @@
 Nodes with one edge in and one out are passed over first: pointers double along them, so a chain of n nodes takes
 log n rounds and becomes one edge, and rings without branches show up on the way. Nodes without a way in or out go.
 What is left is coloured: each node takes the greatest node that reaches it; within a colour, what reaches that
-node is its component. Both steps repeat on what has no component yet. Nothing is collected; every step is a join.
+node is its component. Both steps repeat on what has no component yet, until a bounded number of edges is left, which
+one task walks. Nothing is collected; every other step is a join.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from tarnworks.session import cut, cut_afresh
 
+WALKED = 500_000  # edges left over that one task takes; rounds over so few would mostly plan and start jobs
+
 
 def chains(edges: DataFrame) -> tuple[DataFrame, DataFrame] | None:
     """(node, own, steps) of the nodes with one edge in and one out, and the edges that lead out of them; None if there
@@ -54,39 +61,80 @@ def chains(edges: DataFrame) -> tuple[DataFrame, DataFrame] | None:
     return ends, out.select("from", "to", "level", "chain")
 
 
+def walked(edges: pa.Table) -> pa.Table:
+    """The ``edges`` whose ends lie in one component, with its name, by one depth-first walk (Gabow's)."""
+    names = pc.unique(pa.chunked_array([*edges["from"].chunks, *edges["to"].chunks], edges["from"].type))
+    a, b = (pc.index_in(edges[side], names).to_numpy() for side in ("from", "to"))
+    order = np.argsort(a, kind="stable")
+    onward, first = b[order].tolist(), np.searchsorted(a[order], np.arange(len(names) + 1)).tolist()
+    met, own, at, count = [0] * len(names), [-1] * len(names), first[:-1], 0
+    path, waiting, bounds = [], [], []  # nodes on the way, nodes without a component, first nodes of what may be one
+    for root in range(len(names)):
+        new = root if not met[root] else None
+        while path or new is not None:
+            if new is not None:
+                met[new] = count = count + 1
+                for held in (path, waiting, bounds):
+                    held.append(new)
+            node, new = path[-1], None
+            if at[node] < first[node + 1]:
+                to = onward[at[node]]
+                at[node] += 1
+                if not met[to]:
+                    new = to
+                elif own[to] < 0:
+                    while met[bounds[-1]] > met[to]:
+                        bounds.pop()
+                continue
+            path.pop()
+            if bounds[-1] == node:
+                bounds.pop()
+                while own[node] < 0:
+                    own[waiting.pop()] = node
+    own = np.array(own, dtype=np.int64)
+    inner = own[a] == own[b]
+    return edges.filter(pa.array(inner)).add_column(0, "component", names.take(pa.array(own[a][inner])))
+
+
 class Components:
-    """Components of ``edges`` (from, to) that hold a cycle; ``nodes`` (node, component), component the least node."""
+    """Components of ``edges`` (from, to) that hold a cycle; ``nodes`` (node, component), component the least node.
+
+    ``few`` is the number of edges, besides those from a node to itself, that one task takes at the end.
+    """
 
-    def __init__(self, edges: DataFrame):
+    def __init__(self, edges: DataFrame, few: int = WALKED):
         self.edges = cut(edges.select("from", "to").where("`from` is not null and `to` is not null").distinct())
         self.node = self.edges.schema["from"].dataType
+        self.few = few
         none = F.lit(None).cast("int")
         self.stack: list[DataFrame] = []  # edges of the chains passed over, level by level
         self.found: list[DataFrame] = []  # edges of components, chains still passed over
-        left = self.edges.withColumns({"level": none, "chain": F.lit(None).cast(self.node)})
-        while True:
-            left = self._reduced(left)
-            if left.isEmpty():
-                break
-            left = self._coloured(left)
+        left = self._without_dead_ends(self.edges.withColumns({"level": none, "chain": F.lit(None).cast(self.node)}))
+        self.edges = left.select("from", "to")  # often few of all, and all that components can hold
+        left, n = self._reduced(left)
+        while n > self.few:
+            left, n = self._reduced(self._without_dead_ends(self._coloured(left)))
+        self.found.append(self._walked(left, n))
         self.nodes = self._named()
 
     # each edge has the chain that it stands for (level, chain), or nulls
 
-    def _reduced(self, edges: DataFrame) -> DataFrame:
-        """Edges that branch, once chains are passed over and dead ends are gone."""
-        edges = self._without_dead_ends(edges)  # often most of a graph, which then needs no further step
-        n = edges.count()
+    def _reduced(self, edges: DataFrame) -> tuple[DataFrame, int]:
+        """Edges that branch, once chains are passed over and dead ends are gone, or few; and how many lead elsewhere."""
+        n = edges.where("`from` != `to`").count()
         while n:
             edges = self._without_dead_ends(self._passed_over(edges))
-            n, last = edges.count(), n
-            if n == last:
+            n, last = edges.where("`from` != `to`").count(), n
+            if n <= self.few or n == last:
                 break
-        return edges
+        return edges, n
 
     def _without_dead_ends(self, edges: DataFrame) -> DataFrame:
+        """Edges from a node to itself, and others that a way leads to and from."""
+        loops, edges = edges.where("`from` = `to`"), edges.where("`from` != `to`")
         sources, targets = edges.select("from").distinct(), edges.select("to").distinct()
-        return cut_afresh(edges.join(targets.toDF("from"), "from", "left_semi").join(sources.toDF("to"), "to", "left_semi").select("from", "to", "level", "chain"))
+        kept = edges.join(targets.toDF("from"), "from", "left_semi").join(sources.toDF("to"), "to", "left_semi")
+        return cut_afresh(kept.select("from", "to", "level", "chain").unionByName(loops))
 
     def _passed_over(self, edges: DataFrame) -> DataFrame:
         met = chains(edges)
@@ -132,6 +180,16 @@ class Components:
         known = reach.select("node")
         return cut_afresh(edges.join(known.toDF("from"), "from", "left_anti").join(known.toDF("to"), "to", "left_anti"))
 
+    def _walked(self, edges: DataFrame, n: int) -> DataFrame:
+        """component, from, to, level, chain of the last edges; ``n`` of them don't lead from a node to itself."""
+        loops = edges.where("`from` = `to`")
+        if not n:
+            return loops.select(F.col("from").alias("component"), "from", "to", "level", "chain")
+        schema = StructType([StructField("component", self.node), *edges.schema])
+        own = cut(edges.where("`from` != `to`").groupBy().applyInArrow(walked, schema))
+        named = loops.join(own.select("from", "component").distinct(), "from", "left")
+        return own.unionByName(named.withColumn("component", F.coalesce("component", "from")))
+
     def _inner_edges(self) -> DataFrame:
         """component, from, to of every edge of the coloured graphs, chains still passed over."""
         out = self.edges.select(F.col("from").alias("component"), "from", "to", F.lit(None).cast("int").alias("level"), F.lit(None).cast(self.node).alias("chain")).limit(0)

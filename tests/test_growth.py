@@ -136,3 +136,24 @@ def test_dead_ends_go_before_chains_are_followed(spark, monkeypatch):
     edges = spark.range(1000).selectExpr("id + 10 AS `from`", "id % 2 AS `to`").union(spark.sql("VALUES (0L, 1L), (1L, 2L), (2L, 0L)"))
     assert [tuple(r) for r in cycles.Components(edges).summary().collect()] == [(0, 3, 3)]
     assert max(sizes) == 3
+
+
+def test_few_edges_left_need_no_rounds(spark, monkeypatch):
+    from tarnworks.operators import cycles
+
+    rounds, plain = [], cycles.cut_afresh
+    monkeypatch.setattr(cycles, "cut_afresh", lambda df: rounds.append(1) or plain(df))
+    # a ladder of 20 nodes and one of 8, an edge between them, loops on a ladder's node, on one between and on one apart
+    pairs = {(k, k + d) for k in range(18) for d in (1, 2)} | {(18, 19), (19, 0), (18, 0), (7, 7), (5, 40), (40, 40), (40, 101), (90, 90)}
+    pairs |= {(100 + k, 100 + (k + d) % 8) for k in range(8) for d in (1, 3)} | {(101, 200), (200, 201)}
+    edges, met = spark.createDataFrame([(f"n{a:03}", f"n{b:03}") for a, b in pairs], "`from` string, `to` string"), {}
+    for few in (cycles.WALKED, 0):
+        rounds.clear()
+        found = cycles.Components(edges, few) if few == 0 else cycles.Components(edges)
+        met[few] = len(rounds)
+        assert {tuple(r) for r in found.summary().collect()} == {("n000", 20, 40), ("n040", 1, 1), ("n090", 1, 1), ("n100", 8, 16)}
+        path = [(r.component, int(r.node[1:])) for r in cycles.numbered(found.cycles()).orderBy("component", "place").collect()]
+        for component in ("n000", "n040", "n090", "n100"):
+            own = [node for c, node in path if c == component]
+            assert own and all(p in pairs for p in zip(own, own[1:] + own[:1]))
+    assert met[cycles.WALKED] <= 10 < met[0]
