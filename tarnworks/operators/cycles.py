@@ -9,6 +9,8 @@ one task walks. Nothing is collected; every other step is a join.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,30 +18,68 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from tarnworks.session import cut, cut_afresh
+from tarnworks.session import cut, cut_afresh, scratch
 
 WALKED = 500_000  # edges left over that one task takes; rounds over so few would mostly plan and start jobs
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table: unlike a checkpoint, it is read by columns and packed, which pays where all nodes are in it."""
+    at = scratch(df.sparkSession, "cycles")
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def nearby(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, last, going, low, at, steps, shut of one task's rows of nodes that lead on (from, to, inner).
+
+    Rings among the rows are shut, and chains whose last node is among them followed to it. Rows of others lead one step on.
+    """
+    rows = pa.Table.from_batches(parts).sort_by("from")
+    names, inner, here = rows["from"], rows["inner"].to_numpy(), np.arange(len(rows))
+    onward = pc.fill_null(pc.index_in(rows["to"], names.combine_chunks()), -1).to_numpy()
+    going, shut = onward >= 0, np.zeros(len(rows), dtype=bool)
+    last, low = np.where(going, onward, here), np.where(going, onward, len(rows))
+    at, steps = np.ones(len(rows), dtype=np.int64), going.astype(np.int64)
+    while going.any():
+        least = np.zeros(len(rows) + 1, dtype=bool)
+        least[here[going & (low == here)]] = True  # all nodes of a ring have met its least one when that one has met itself
+        shut |= going & least[low]
+        g = np.flatnonzero(going & ~shut)
+        to = last[g]
+        at[g] = np.where(low[to] < low[g], steps[g] + at[to], at[g])
+        low[g], steps[g], last[g] = np.minimum(low[g], low[to]), steps[g] + steps[to], last[to]
+        going[:] = False
+        going[g] = (onward[last[g]] >= 0)
+    far = ~shut & inner[last]
+    told = {"node": names, "last": pc.if_else(pa.array(far), rows["to"], names.take(pa.array(last))), "going": far, "low": pc.if_else(pa.array(far), rows["to"], names.take(pa.array(low, mask=~shut)))}
+    told |= {"at": pa.array(np.where(far, 1, at), mask=~shut & ~far), "steps": np.where(far, 1, steps), "shut": shut}
+    yield from pa.table(told).to_batches()
+
+
 def chains(edges: DataFrame) -> tuple[DataFrame, DataFrame] | None:
     """(node, own, steps) of the nodes with one edge in and one out, and the edges that lead out of them; None if there
     are none. ``own`` names the chain that a node lies in, ``steps`` are those to its last node.
 
     The least node of a ring isn't part of a chain: it stays, so that the ring becomes an edge from it to itself, and
     names the chain. It is known once a node is the least one on its way, so rings take as many rounds as chains of
-    their length do, however many there are.
+    their length do, however many there are. Nodes are sorted over tasks first, and chains and rings of nodes that lie
+    in one task take no round: where neighbours have neighbouring names, rounds are left with what crosses tasks.
     """
-    degree = lambda side: edges.groupBy(F.col(side).alias("node")).agg(F.count("*").alias(f"n_{side}"))
-    loops = edges.where("`from` = `to`").select(F.col("from").alias("node"))
-    single = cut(degree("from").join(degree("to"), "node").where("n_from = 1 and n_to = 1").select("node").join(loops, "node", "left_anti"))
+    side = lambda node, out: edges.select(F.col(node).alias("node"), F.lit(out).alias("out"), (F.col("from") == F.col("to")).alias("loop"), *(F.when(F.lit(out), F.col(c)).alias(c) for c in ("to", "level", "chain")))
+    ends = side("from", True).unionByName(side("to", False)).groupBy("node")
+    ends = ends.agg(F.count_if("out").alias("n_out"), F.count_if(~F.col("out")).alias("n_in"), F.bool_or("loop").alias("loop"), *(F.max(c).alias(c) for c in ("to", "level", "chain")))
+    single = written(ends.where("n_out = 1 and n_in = 1 and not loop").select(F.col("node").alias("from"), "to", "level", "chain"))
     if single.isEmpty():
         return None
-    onward = edges.join(single.toDF("from"), "from", "left_semi").join(single.select(F.col("node").alias("to"), F.lit(True).alias("inner")), "to", "left")
-    onward = cut(onward.withColumn("inner", F.coalesce("inner", F.lit(False))))
+    onward = single.join(single.select(F.col("from").alias("to"), F.lit(True).alias("inner")), "to", "left")
+    onward = written(onward.withColumn("inner", F.coalesce("inner", F.lit(False))))
     # the last node of a chain points to itself and goes no further; low is the least node ahead, at the steps to it
-    ahead = lambda value: F.when(F.col("inner"), value)
-    hops = onward.select(F.col("from").alias("node"), F.when(F.col("inner"), F.col("to")).otherwise(F.col("from")).alias("last"), F.col("inner").alias("going"), ahead(F.col("to")).alias("low"), ahead(F.lit(1)).cast("long").alias("at"), F.col("inner").cast("long").alias("steps"))
-    done = []
+    node = edges.schema["from"].dataType.simpleString()
+    sorted_rows = onward.select("from", "to", "inner").repartitionByRange("from")
+    hops = written(sorted_rows.mapInArrow(nearby, f"node {node}, last {node}, going boolean, low {node}, at long, steps long, shut boolean"))
+    done = [hops.where("shut and node != low").select("node", F.col("low").alias("own"), (F.col("at") - 1).alias("steps"))]
+    hops = hops.where("not shut").drop("shut")
     while True:
         going, shut = hops.where("going").agg(F.count("*"), F.count_if(F.col("low") == F.col("node"))).first()
         if shut:  # all nodes of a ring have met its least one when that one has met itself
@@ -103,11 +143,12 @@ class Components:
     """
 
     def __init__(self, edges: DataFrame, few: int = WALKED):
-        self.edges = cut(edges.select("from", "to").where("`from` is not null and `to` is not null").distinct())
+        self.edges = written(edges.select("from", "to").where("`from` is not null and `to` is not null").distinct())
         self.node = self.edges.schema["from"].dataType
         self.few = few
         none = F.lit(None).cast("int")
         self.stack: list[DataFrame] = []  # edges of the chains passed over, level by level
+        self.wholes: list[DataFrame] = []  # own, from, to of the edge that stands for each chain
         self.found: list[DataFrame] = []  # edges of components, chains still passed over
         left = self._without_dead_ends(self.edges.withColumns({"level": none, "chain": F.lit(None).cast(self.node)}))
         self.edges = left.select("from", "to")  # often few of all, and all that components can hold
@@ -134,26 +175,27 @@ class Components:
         loops, edges = edges.where("`from` = `to`"), edges.where("`from` != `to`")
         sources, targets = edges.select("from").distinct(), edges.select("to").distinct()
         kept = edges.join(targets.toDF("from"), "from", "left_semi").join(sources.toDF("to"), "to", "left_semi")
-        return cut_afresh(kept.select("from", "to", "level", "chain").unionByName(loops))
+        return written(kept.select("from", "to", "level", "chain").unionByName(loops))
 
     def _passed_over(self, edges: DataFrame) -> DataFrame:
         met = chains(edges)
         if met is None:
             return edges
-        hops, out = cut(met[0]), met[1]
+        hops, out = written(met[0]), met[1]
         level = len(self.stack)
         # edges of a chain, counted down to its last node; and the one that leaves it
         into = edges.join(hops.withColumnRenamed("node", "to"), "to").select("own", "steps", "from", "to", "level", "chain")
         out = out.join(hops.where("steps = 0").select(F.col("node").alias("from"), "own"), "from").select("own", F.lit(-1).cast("long").alias("steps"), "from", "to", "level", "chain")
-        chain = cut(into.unionByName(out))
+        chain = written(into.unionByName(out))
+        whole = written(chain.groupBy("own").agg(F.max_by("from", "steps").alias("from"), F.min_by("to", "steps").alias("to")))
         self.stack.append(chain)
-        whole = chain.groupBy("own").agg(F.max_by("from", "steps").alias("from"), F.min_by("to", "steps").alias("to"))
+        self.wholes.append(whole)
         passed = whole.select("from", "to", F.lit(level).alias("level"), F.col("own").alias("chain"))
         kept = edges.join(hops.select(F.col("node").alias("from")), "from", "left_anti").join(hops.select(F.col("node").alias("to")), "to", "left_anti")
         both = kept.select("from", "to", "level", "chain").unionByName(passed)
         # of parallel edges the one over fewest levels stays; the others' nodes are placed by their ends
         first = F.min(F.struct(F.coalesce("level", F.lit(-1)).alias("o"), "level", "chain")).alias("e")
-        return cut_afresh(both.groupBy("from", "to").agg(first).select("from", "to", "e.level", "e.chain"))
+        return written(both.groupBy("from", "to").agg(first).select("from", "to", "e.level", "e.chain"))
 
     def _coloured(self, edges: DataFrame) -> DataFrame:
         """Record the components of each colour's greatest node; edges among nodes without one."""
@@ -200,13 +242,12 @@ class Components:
     def _named(self) -> DataFrame:
         inner = cut(self._inner_edges())
         nodes = inner.select(F.col("from").alias("node"), "component").distinct()
-        for chain in reversed(self.stack):  # a chain belongs to the component that holds both its ends
-            whole = chain.groupBy("own").agg(F.max_by("from", "steps").alias("a"), F.min_by("to", "steps").alias("b"))
-            placed = whole.join(nodes.toDF("a", "component"), "a").join(nodes.toDF("b", "c2"), "b").where("component = c2").select("own", "component")
+        for chain, whole in zip(reversed(self.stack), reversed(self.wholes)):  # a chain belongs to the component that holds both its ends
+            placed = whole.join(nodes.toDF("from", "component"), "from").join(nodes.toDF("to", "c2"), "to").where("component = c2").select("own", "component")
             members = chain.where("steps >= 0").select(F.col("to").alias("node"), "own").join(placed, "own").select("node", "component")
-            nodes = cut_afresh(nodes.unionByName(members).distinct())
+            nodes = written(nodes.unionByName(members))  # who was passed over stands in one chain and at no end
         least = nodes.groupBy("component").agg(F.min("node").alias("least"))
-        return cut(nodes.join(least, "component").select("node", F.col("least").alias("component")))
+        return written(nodes.join(least, "component").select("node", F.col("least").alias("component")))
 
     def summary(self) -> DataFrame:
         """component, nodes and edges of each."""

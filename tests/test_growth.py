@@ -157,3 +157,31 @@ def test_few_edges_left_need_no_rounds(spark, monkeypatch):
             own = [node for c, node in path if c == component]
             assert own and all(p in pairs for p in zip(own, own[1:] + own[:1]))
     assert met[cycles.WALKED] <= 10 < met[0]
+
+
+def test_chains_within_a_task_take_no_round(spark, monkeypatch):
+    from tarnworks.operators import cycles
+
+    rounds, plain, coalesced = [], cycles.cut_afresh, "spark.sql.adaptive.coalescePartitions.enabled"
+    monkeypatch.setattr(cycles, "cut_afresh", lambda df: rounds.append(1) or plain(df))
+    before = spark.conf.get(coalesced)
+    # rings of 30 and a chain from 1000 to 1099, in turn and dealt so that neighbours lie far apart
+    steps = {k: k - k % 30 + (k + 1) % 30 for k in range(210)} | {k: k + 1 for k in range(1000, 1100)}
+    for spread in (1, 7919):
+        name = lambda k: k * spread % 10007  # noqa: B023, E731
+        edges = spark.createDataFrame([(name(a), name(b), None, None) for a, b in steps.items()], "`from` long, `to` long, level int, chain long")
+        want = {name(k): (name(1099), 1099 - k) for k in range(1001, 1100)}  # 1000 has no edge in, 1100 none out
+        for ring in range(0, 210, 30):
+            least = min(range(ring, ring + 30), key=name)
+            want |= {name(k): (name(least), (least - k - 1) % 30) for k in range(ring, ring + 30) if k != least}
+        for whole in ("true", "false"):
+            rounds.clear()
+            spark.conf.set(coalesced, whole)
+            try:
+                ends, out = cycles.chains(edges)
+                met = len(rounds)
+                assert {r.node: (r.own, r.steps) for r in ends.collect()} == want
+                assert out.count() == 8
+            finally:
+                spark.conf.set(coalesced, before)
+            assert (met == 0) == (whole == "true")
