@@ -179,9 +179,9 @@ def trade_edges(spark, sf_dir):
     """Customers and suppliers who trade, in both roles: an order leads from its customer to each supplier, a supplier to
     the customers whose keys are its own."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey", "l_linenumber")
-    edges = lines.where("l_linenumber = 1").join(orders, "o_orderkey").select((F.col("o_custkey") * 2).alias("from"), (F.col("l_suppkey") * 2 + 1).alias("to"))
-    back = table(spark, sf_dir, "supplier").where("s_nationkey < 5").select((F.col("s_suppkey") * 2 + 1).alias("from"), (F.col("s_suppkey") * 2).alias("to"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey")
+    edges = lines.join(orders, "o_orderkey").select((F.col("o_custkey") * 2).alias("from"), (F.col("l_suppkey") * 2 + 1).alias("to"))
+    back = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 2 + 1).alias("from"), (F.col("s_suppkey") * 2).alias("to"))
     chain = table(spark, sf_dir, "part").select((-F.col("p_partkey") - 1).alias("from"), F.when(F.col("p_partkey") % 40 == 39, -F.col("p_partkey") + 38).otherwise(-F.col("p_partkey") - 2).alias("to"))
     return edges.unionByName(back).unionByName(chain).distinct()
 
@@ -189,7 +189,11 @@ def trade_edges(spark, sf_dir):
 EDGES = """edges AS (SELECT o_custkey * 2 AS a, l_suppkey * 2 + 1 AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1
  UNION SELECT s_suppkey * 2 + 1, s_suppkey * 2 FROM supplier WHERE s_nationkey < 5 UNION SELECT -p_partkey - 1, CASE WHEN p_partkey % 40 = 39 THEN 38 - p_partkey ELSE -p_partkey - 2 END FROM part)"""
 
-@query(f"""WITH RECURSIVE {EDGES}, starts AS (SELECT a AS s FROM edges WHERE a % 2 = 1 AND a > 0),
+ALL_EDGES = """edges AS (SELECT o_custkey * 2 AS a, l_suppkey * 2 + 1 AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+ UNION SELECT s_suppkey * 2 + 1, s_suppkey * 2 FROM supplier UNION SELECT -p_partkey - 1, CASE WHEN p_partkey % 40 = 39 THEN 38 - p_partkey ELSE -p_partkey - 2 END FROM part)"""
+
+
+@query(f"""WITH RECURSIVE {ALL_EDGES}, starts AS (SELECT a AS s FROM edges WHERE a % 2 = 1 AND a > 0),
  reach AS (SELECT s, b AS t FROM starts JOIN edges ON a = s UNION SELECT s, b FROM reach JOIN edges ON a = t),
  mutual AS (SELECT x.s AS node, x.t AS other FROM reach x JOIN reach y ON y.s = x.t AND y.t = x.s),
  suppliers AS (SELECT node, min(other) AS lead FROM mutual GROUP BY node),

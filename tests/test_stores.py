@@ -2,6 +2,7 @@ import json
 import threading
 from pathlib import Path
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
@@ -246,3 +247,22 @@ def test_a_stream_by_turns_drains_all(registry, spark, tmp_path):
     assert sorted(r.n for r in streams.drained(rows, str(tmp_path / "out"), by_turns=True).collect()) == list(range(8))
     total = rows.groupBy().agg(F.sum("n").alias("n"))
     assert [r.n for r in streams.drained(total, str(tmp_path / "sum"), "complete", by_turns=True).collect()] == [28]
+
+
+def test_components_follow_all_lines_and_all_suppliers(spark, tmp_path):
+    from tarnworks.plans import stores
+
+    tables = {
+        "orders": "SELECT * FROM VALUES (1L, 3L), (2L, 4L), (3L, 5L) t(o_orderkey, o_custkey)",
+        "lineitem": "SELECT * FROM VALUES (1L, 9L, 1), (1L, 4L, 2), (2L, 3L, 7), (3L, 5L, 1) t(l_orderkey, l_suppkey, l_linenumber)",
+        "supplier": "SELECT id AS s_suppkey, CAST(24 - id AS INT) AS s_nationkey FROM range(3, 10)",
+        "part": "SELECT id AS p_partkey FROM range(41)",
+    }
+    for name, sql in tables.items():
+        spark.sql(sql).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {tuple(r) for r in stores.cycle_components(spark, str(tmp_path)).select("component", "nodes", "edges").collect()}
+    assert got == {(6, 4, 4), (10, 2, 2), (-40, 40, 40)}  # customer 3, supplier 4, customer 4, supplier 3; customer and supplier 5
+    con = duckdb.connect()
+    for name in tables:
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert {tuple(r) for r in con.execute(stores.SQL["cycle_components"]).fetchall()} == got
