@@ -101,13 +101,14 @@ def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
 TRADE = """trade AS (SELECT 'N' || s_nationkey AS src, 'N' || c_nationkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)"""
 
 
-def heavy_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of nations with more edges than the mean pair; without loops."""
+def heavy_trade(spark: SparkSession, sf_dir: str, times: float = 1.0) -> DataFrame:
+    """Pairs of nations with more edges than so many times the mean pair; without loops."""
     pairs = trade(spark, sf_dir).groupBy("from", "to").agg(F.count("*").alias("n")).where("from != to")
-    return pairs.crossJoin(pairs.agg(F.avg("n").alias("mean"))).where("n > mean * 1.1").select("from", "to")  # one mean
+    return pairs.crossJoin(pairs.agg(F.avg("n").alias("mean"))).where(F.col("n") > F.col("mean") * times).select("from", "to")  # one mean
 
 
 HEAVY = TRADE + """, pairs AS (SELECT src, dst, count(*) AS n FROM trade WHERE src <> dst GROUP BY 1, 2), heavy AS (SELECT src, dst FROM pairs WHERE n > (SELECT avg(n) FROM pairs) * 1.1)"""
+OVER_MEAN = TRADE + """, pairs AS (SELECT src, dst, count(*) AS n FROM trade WHERE src <> dst GROUP BY 1, 2), heavy AS (SELECT src, dst FROM pairs WHERE n > (SELECT avg(n) FROM pairs))"""
 
 
 def zones(spark: SparkSession, sf_dir: str) -> DataFrame:

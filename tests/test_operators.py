@@ -473,3 +473,24 @@ def test_ball_around_nodes_without_edges(spark):
     around = lambda nodes, e: {(r.node, r.distance) for r in graph.ball(e, spark.createDataFrame(nodes, "node string"), 2).collect()}
     assert around([("a",), ("z",)], edges) == {("a", 0), ("b", 1), ("c", 2), ("z", 0)}
     assert around([(None,)], edges.limit(0)) == {(None, 0)}
+
+
+def test_the_ball_takes_every_pair_above_the_mean(spark, tmp_path):
+    import duckdb
+
+    from tarnworks.plans import graphs
+
+    # edges of 0 to 1, 1 to 2, 2 to 3 and 3 to 0: 21, 21, 20 and 18; the mean is 20
+    tables = {
+        "lineitem": "SELECT k AS l_orderkey, k AS l_suppkey FROM (SELECT explode(flatten(array(array_repeat(0L, 21), array_repeat(1L, 21), array_repeat(2L, 20), array_repeat(3L, 18)))) AS k)",
+        "orders": "SELECT id AS o_orderkey, (id + 1) % 4 AS o_custkey FROM range(4)",
+        "customer": "SELECT id AS c_custkey, CAST(id AS INT) AS c_nationkey FROM range(4)",
+        "supplier": "SELECT id AS s_suppkey, CAST(id AS INT) AS s_nationkey FROM range(4)",
+    }
+    con = duckdb.connect()
+    for name, sql in tables.items():
+        spark.sql(sql).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = {tuple(r) for r in graphs.khop_ball(spark, str(tmp_path)).select("node", "distance").collect()}
+    assert got == {("N0", 0), ("N1", 1), ("N2", 2)}
+    assert {tuple(r) for r in con.execute(graphs.SQL["khop_ball"]).fetchall()} == got
