@@ -74,7 +74,7 @@ def streamed_records(spark, sf_dir):
     folder = scratch(spark, "records")
     user_records(spark, sf_dir).repartition(8).write.format("tarnworks_records").mode("append").save(folder)
     rows = Registry(spark).read_stream("tarnworks_records", RECORD, path=folder, maxFilesPerTrigger=400)
-    return streams.drained(rows.groupBy("status").agg(F.count("*").alias("records"), F.sum("tokenUsage.output").alias("output")), scratch(spark, "counted"), "complete", by_turns=True)
+    return streams.drained(rows.groupBy("status").agg(F.count("*").alias("records"), F.sum("tokenUsage.output").alias("output")), scratch(spark, "counted"), "complete", by_turns=True, parts=2)
 
 
 FILES = "SELECT CASE s_nationkey % 3 WHEN 0 THEN 'src/n' WHEN 1 THEN 'docs/n' ELSE 'data/n' END || s_nationkey || '/s' || s_suppkey || CASE s_nationkey % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '.md' ELSE '.bin' END AS path, s_suppkey AS k, s_name || chr(10) || s_suppkey AS text FROM supplier"

@@ -16,7 +16,9 @@ import gzip
 import hashlib
 import json
 import math
+import time
 import uuid
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
@@ -47,6 +49,8 @@ STAGING = ".staging-"
 PARTITION = 16 << 20
 #: What opening a file costs, in bytes.
 OPEN_COST = 64 << 10
+#: A stream's listing serves so many times as long as it took, so listings take a tenth of the time at most.
+RELISTED = 10
 
 
 def opened(path: str) -> tuple[pafs.FileSystem, str]:
@@ -149,32 +153,42 @@ class FolderStream(DataSourceStreamReader):
     """New files of a folder, in order of time and path; an offset is the last file taken.
 
     Files must reach the folder by a rename or with their final time, as a file older than the last taken is not seen.
+    A listing serves many batches: it is made anew once all of it is taken, or ``RELISTED`` times as long after it as it took.
     """
 
     def __init__(self, reader: FolderReader, most_files: int):
         self.reader, self.most_files = reader, most_files
         self.last = self.initialOffset()
         self.seen: list[File] = []  # the latest listing
+        self.due = 0.0  # when it is too old
 
     def initialOffset(self) -> dict:
         return {"modified": -1, "path": ""}
 
-    @staticmethod
-    def after(file: File, offset: dict) -> bool:
-        return (file.modified, file.path) > (offset["modified"], offset["path"])
+    def list(self) -> None:
+        began = time.monotonic()
+        self.seen = listed(self.reader.path, self.reader.pattern)
+        self.due = time.monotonic() + RELISTED * (time.monotonic() - began)
+
+    def after(self, offset: dict) -> int:
+        """Where in the listing the files after an offset begin."""
+        return bisect_right(self.seen, (offset["modified"], offset["path"]), key=lambda f: (f.modified, f.path))
 
     def latestOffset(self) -> dict:
-        self.seen = listed(self.reader.path, self.reader.pattern)
-        new = [f for f in self.seen if self.after(f, self.last)][: self.most_files]
+        if time.monotonic() >= self.due or self.after(self.last) == len(self.seen):
+            self.list()
+        at = self.after(self.last)
+        new = self.seen[at : at + self.most_files]
         if new:
             self.last = {"modified": new[-1].modified, "path": new[-1].path}
         return self.last
 
     def partitions(self, start: dict, end: dict) -> list[Files]:
         self.last = max(self.last, end, key=lambda o: (o["modified"], o["path"]))
-        if not any((f.modified, f.path) == (end["modified"], end["path"]) for f in self.seen):  # a batch of an earlier run
-            self.seen = listed(self.reader.path, self.reader.pattern)
-        new = [f for f in self.seen if self.after(f, start) and not self.after(f, end)]
+        to = self.after(end)
+        if not to or (self.seen[to - 1].modified, self.seen[to - 1].path) != (end["modified"], end["path"]):  # a batch of an earlier run
+            self.list()
+        new = self.seen[self.after(start) : self.after(end)]
         return packed(self.reader.chosen(new), self.reader.most) or [Files()]
 
     def read(self, partition: Files) -> Iterator[tuple]:

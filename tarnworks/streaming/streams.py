@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tarnworks.operators import sync
@@ -123,26 +124,38 @@ def upserting(path: str, key: str, values: tuple[str, ...]):
     return save
 
 
-def drained(stream: DataFrame, folder: str, mode: str = "append", by_turns: bool = False) -> DataFrame:
+def started(spark: SparkSession, writer: DataStreamWriter, parts: int) -> StreamingQuery:
+    """A stream whose state is dealt over ``parts`` tasks; it takes the settings that hold when it starts."""
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+
+
+def drained(stream: DataFrame, folder: str, mode: str = "append", by_turns: bool = False, parts: int | None = None) -> DataFrame:
     """What a stream gives for all that is there now, as a table below ``folder``.
 
     A batch is written under its number, so a repeated one replaces itself; in complete mode the last batch is all.
     ``by_turns`` is for sources written in Python that give a part of what is there at a time: Spark asks those once
-    where it is to take what is available now, and would end with the first part.
+    where it is to take what is available now, and would end with the first part. ``parts`` is the number of tasks over
+    which state is dealt, where keys are few: each batch loads and saves all of them, as many as a shuffle's by default.
     """
 
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/rows/{'batch=0' if mode == 'complete' else f'batch={number}'}")
 
     writer = stream.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", f"{folder}/state")
+    writer = writer.trigger(processingTime="0 seconds") if by_turns else writer.trigger(availableNow=True)
+    running = started(stream.sparkSession, writer, parts) if parts else writer.start()
     if by_turns:
-        running = writer.trigger(processingTime="0 seconds").start()
         try:
             running.processAllAvailable()
         finally:
             running.stop()
     else:
-        writer.trigger(availableNow=True).start().awaitTermination()
+        running.awaitTermination()
     return stream.sparkSession.read.parquet(f"{folder}/rows").drop("batch")
 
 

@@ -1,4 +1,5 @@
 import json
+import os
 import threading
 from pathlib import Path
 
@@ -249,6 +250,52 @@ def test_a_stream_by_turns_drains_all(registry, spark, tmp_path):
     assert [r.n for r in streams.drained(total, str(tmp_path / "sum"), "complete", by_turns=True).collect()] == [28]
 
 
+def test_batches_of_a_stream_share_a_listing(tmp_path, monkeypatch):
+    listings, plain = [], formats.listed
+    monkeypatch.setattr(formats, "listed", lambda *a: listings.append(1) or plain(*a))
+    monkeypatch.setattr(formats, "RELISTED", 1e9, raising=False)
+    for k in range(40):
+        (tmp_path / f"{k:02}.json").write_text("{}")
+    stream = formats.FolderStream(formats.RecordReader({"path": str(tmp_path)}, None), 2)
+    start, taken = stream.initialOffset(), []
+    while (end := stream.latestOffset()) != start:
+        taken += [f.path for p in stream.partitions(start, end) for f in p.files]
+        start = end
+    assert taken == [f.path for f in plain(str(tmp_path))] and len(taken) == 40
+    assert len(listings) == 2  # of all files, and whether more have come
+    (tmp_path / "more.json").write_text("{}")
+    assert [f.path for p in stream.partitions(start, stream.latestOffset()) for f in p.files] == ["more.json"]
+    again = formats.FolderStream(stream.reader, 2)  # a restart repeats a batch that it has not listed
+    assert [f.path for p in again.partitions(start, end | {"path": "more.json", "modified": stream.seen[-1].modified}) for f in p.files] == ["more.json"]
+    assert again.latestOffset()["path"] == "more.json"
+
+
+def test_an_old_listing_is_made_anew_before_all_of_it_is_taken(tmp_path, monkeypatch):
+    monkeypatch.setattr(formats, "RELISTED", 0, raising=False)
+    for k in range(4):
+        (tmp_path / f"{k}.json").write_text("{}")
+    os.utime(tmp_path / "3.json", ns=(2 << 60, 2 << 60))
+    stream = formats.FolderStream(formats.RecordReader({"path": str(tmp_path)}, None), 1)
+    assert stream.latestOffset()["path"] == "0.json"
+    (tmp_path / "a.json").write_text("{}")  # comes before a file that was listed
+    assert [stream.latestOffset()["path"] for _ in range(4)] == ["1.json", "2.json", "a.json", "3.json"]
+
+
+def test_state_of_few_keys_is_dealt_over_few_tasks(registry, spark, tmp_path):
+    from tarnworks.streaming import streams
+
+    (tmp_path / "in").mkdir()
+    for k in range(8):
+        (tmp_path / f"in/{k}.json").write_text(json.dumps({"n": k}))
+    rows = registry.read_stream("tarnworks_records", "id string, n bigint", path=str(tmp_path / "in"), maxFilesPerTrigger=3)
+    total = rows.groupBy((F.col("n") % 3).alias("k")).agg(F.sum("n").alias("n"))
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    out = streams.drained(total, str(tmp_path / "sum"), "complete", by_turns=True, parts=2)
+    assert {(r.k, r.n) for r in out.collect()} == {(0, 9), (1, 12), (2, 7)}
+    assert sorted(p.name for p in (tmp_path / "sum/state/state/0").iterdir() if p.name.isdigit()) == ["0", "1"]
+    assert spark.conf.get("spark.sql.shuffle.partitions") == held != "2"
+
+
 def test_components_follow_all_lines_and_all_suppliers(spark, tmp_path):
     from tarnworks.plans import stores
 
